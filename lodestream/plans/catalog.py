@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestream.plans.features import SUITES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(SUITES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: suite.sql() for name, suite in SUITES.items()}
