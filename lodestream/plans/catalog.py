@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestream.plans import relational
 from lodestream.plans.features import SUITES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(SUITES)
+    return SUITES | relational.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: suite.sql() for name, suite in SUITES.items()}
+    return {name: suite.sql() for name, suite in SUITES.items()} | relational.SQL
