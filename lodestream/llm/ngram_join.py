@@ -282,9 +282,10 @@ def jaccard_components(
     told = told.withColumn("_text", F.when(F.col("_cluster").isNotNull(), F.col(text_col)))
     told = save(told.drop("_in", "_node", *([] if carry else [text_col])), "ngram-rows")
 
-    members = told.where("_cluster is not null").select("_cluster", "_set", "_n", "_text")
-    one = members.select("_cluster", "_set", "_n").distinct()
-    held = one.groupBy("_cluster").agg(F.sum("_n").alias("_all"))
+    # One text of each set; copies are combined before the shuffle.
+    members = told.where("_cluster is not null").groupBy("_cluster", "_set", "_n").agg(F.min("_text").alias("_text"))
+    members = save(members, "ngram-sets")
+    held = members.groupBy("_cluster").agg(F.sum("_n").alias("_all"))
     blocks = F.ceil(F.col("_all") / block_shingles).cast("int")
     members = members.join(held, "_cluster").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_set"), F.col("_blocks")).cast("int"))
     # Every pair of blocks once; a single block meets itself.
