@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.scratch import fresh, save, without
+from lodestream.llm.scratch import masked, save, unmasked, without
 
 FIRST_DIGIT = 64
 GROWTH = 16
@@ -51,19 +51,20 @@ def exact_dedup(
     are replaced. Without rows the result is empty.
     """
     docs = without(docs, "keep_id", "group_size", "kept", "text_sha256")
-    row, first, of = fresh(docs, "_row", "_first", "_of")
+    rows, names = masked(docs)
+    key, text = names[key], names[text]
     norm = F.encode(normalised(F.col(text)), "UTF-8")
-    base = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(first, norm)
-    base = base.withColumn("text_sha256", F.sha2(F.col(first), 256)).withColumn(first, F.substring(F.col(first), 1, first_digit))
+    base = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_norm", norm)
+    base = base.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn("_first", F.substring("_norm", 1, first_digit)).drop("_norm")
     base = save(base, "dedup-base")
-    open_rows = base.select(F.lit(0).cast("long").alias("_group"), F.col(first).alias("_digit"), F.col(row).alias("_row"), F.col(key).alias("_key"))
+    open_rows = base.select(F.lit(0).cast("long").alias("_group"), F.col("_first").alias("_digit"), "_row", F.col(key).alias("_key"))
     digit, done, rest = first_digit, [], None
     while True:
         groups = save(_groups(open_rows, digit), "dedup-groups")
         same = (F.col("r._group") == F.col("g._group")) & (F.col("r._digit") == F.col("g._digit"))
         joined = open_rows.alias("r").join(groups.alias("g"), same).select("r.*", "g._n", "g._next", "g._keep", "g._keep_row", "g._ended")
         joined = save(joined.drop("_digit"), "dedup-members")
-        done.append(joined.where("_ended").select(F.col("_row").alias(of), "_n", "_keep", "_keep_row"))
+        done.append(joined.where("_ended").select(F.col("_row").alias("_of"), "_n", "_keep", "_keep_row"))
         left = joined.where("not _ended").select(F.col("_next").alias("_group"), "_row", "_key")
         n = left.count()
         if not n:
@@ -71,7 +72,7 @@ def exact_dedup(
         few = F.broadcast(left) if n <= broadcast_rows else left
         if rest is None:
             # Only now are texts moved, and only of documents that share their first digit.
-            rest = base.select(F.col(row).alias("_row"), norm.alias("_rest")).join(few, "_row")
+            rest = base.select("_row", norm.alias("_rest")).join(few, "_row")
         else:
             rest = rest.drop("_group", "_key", "_digit").join(few, "_row")
         after, digit = digit, digit * growth
@@ -82,11 +83,11 @@ def exact_dedup(
     repeated = done[0]
     for more in done[1:]:
         repeated = repeated.unionByName(more)
-    result = base.drop(first).join(repeated, F.col(row) == F.col(of), "left")
+    result = base.drop("_first").join(repeated, F.col("_row") == F.col("_of"), "left")
     return result.select(
-        *[f"`{c}`" for c in docs.columns],
-        F.when(F.col(of).isNull(), F.col(key)).otherwise(F.col("_keep")).alias("keep_id"),
+        *unmasked(names),
+        F.when(F.col("_of").isNull(), F.col(key)).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_n", F.lit(1).cast("long")).alias("group_size"),
-        (F.coalesce("_keep_row", F.col(row)) == F.col(row)).alias("kept"),
+        (F.coalesce("_keep_row", "_row") == F.col("_row")).alias("kept"),
         "text_sha256",
     )

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.scratch import fresh, save, without
+from lodestream.llm.scratch import masked, save, unmasked, without
 
 #: Documents of one source that are ordered within one task, on average.
 BUCKET_ROWS = 20_000
@@ -102,10 +102,12 @@ def mix(
     out = ["size", "source_size", "target", "taken", "positions"]
     docs = without(docs, *out)
     ramps = ramps or [0.0] * len(weights)
-    h, b, s, size = fresh(docs, "_hash", "_bucket", "_source", "_size")
+    rows, names = masked(docs)
+    key, text, source = names[key], names[text], names[source]
+    h, b, s, size = "_hash", "_bucket", "_source", "_size"
     # The order within a source: a hash of key and text, so that reruns agree.
-    narrow = docs.select(
-        *([F.col(c) for c in docs.columns] if carry else [F.col(key)]),
+    narrow = rows.select(
+        *(names.values() if carry else [key]),
         F.col(source).alias(s),
         word_count(F.col(text)).alias(size),
         F.xxhash64(F.lit("mix"), F.col(key), F.col(text)).alias(h),
@@ -132,20 +134,18 @@ def mix(
     epochs = F.when(F.col("_copies") > 0, F.sequence(F.lit(0), F.col("_copies") - 1)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("positions", F.transform(epochs, lambda k: time_of(share(k), F.col("ramp"))))
     rows = rows.withColumn("taken", F.col(size) * F.col("_copies"))
-    kept = [f"`{c}`" for c in docs.columns] if carry else [key]
+    kept = unmasked(names) if carry else [F.col(key).alias(next(old for old, new in names.items() if new == key))]
     rows = rows.select(*kept, F.col(size).alias("size"), "source_size", "target", "taken", "positions")
     return rows if carry else in_order(rows, F.get("positions", F.lit(0)))
 
 
 def in_order(rows: DataFrame, position: Column) -> DataFrame:
     """Range-sorted by training position; rows that are not taken come last."""
-    place = fresh(rows, "_position")[0]
-    rows = rows.withColumn(place, F.coalesce(position, F.lit(2.0)))
-    return rows.repartitionByRange(F.col(place), F.xxhash64(*rows.columns[:1])).sortWithinPartitions(place).drop(place)
+    place = F.coalesce(position, F.lit(2.0))
+    return rows.repartitionByRange(place, F.xxhash64(rows.columns[0])).sortWithinPartitions(place)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """The training stream: one row per taken copy with its position, sorted."""
-    (place,) = fresh(mixed, "position")
-    one = mixed.select("*", F.explode("positions").alias(place)).drop("positions")
-    return in_order(one, F.col(place))
+    """The training stream: one row per taken copy with its position (an earlier position is replaced), sorted."""
+    one = without(mixed, "position").withColumn("position", F.explode("positions")).drop("positions")
+    return in_order(one, F.col("position"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,19 +37,17 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names that no column of df has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns that an operator is about to add."""
     drop = {n.lower() for n in names}
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in drop])
+
+
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns renamed to _c0, _c1, ..., which no operator uses, and the new name of each."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def unmasked(names: dict[str, str]) -> list[Column]:
+    return [F.col(new).alias(old) for old, new in names.items()]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.scratch import fresh, without
+from lodestream.llm.scratch import masked, unmasked, without
 
 #: Bytes of the digest that the join compares first.
 PREFIX_BYTES = 4
@@ -59,8 +59,9 @@ def url_filter(pages: DataFrame, rules: DataFrame | None = None, url: str = "url
     rules = rules if rules is not None else default_rules(pages.sparkSession)
     rules = rules.select("host", "path", "verdict").dropna().distinct()
     lengths = rules.agg(F.collect_set(F.length("host")).alias("hosts"), F.collect_set(F.length("path")).alias("paths"), F.count(F.lit(1)).alias("n")).first()
-    h, p = fresh(pages, "_host", "_path")
-    parts = pages.withColumn(h, host_of(F.col(url))).withColumn(p, path_of(F.col(url)))
+    rows, names = masked(pages)
+    h, p = "_host", "_path"
+    parts = rows.withColumn(h, host_of(F.col(names[url]))).withColumn(p, path_of(F.col(names[url])))
     # One set of expressions per distinct host and path.
     urls = parts.select(F.col(h).alias("_h"), F.col(p).alias("_p")).distinct()
     ints = lambda xs: F.array(*[F.lit(x) for x in sorted(xs)]).cast("array<int>")
@@ -80,7 +81,7 @@ def url_filter(pages: DataFrame, rules: DataFrame | None = None, url: str = "url
     best = hits.groupBy("_h", "_p").agg(F.max_by(F.struct("_rule", "_v"), rank).alias("_best"))
     result = parts.join(best, (F.col(h) == F.col("_h")) & (F.col(p) == F.col("_p")), "left")
     return result.select(
-        *[f"`{c}`" for c in pages.columns],
+        *unmasked(names),
         F.col(h).alias("host"),
         F.col(p).alias("path"),
         F.col("_best._rule").alias("rule"),
