@@ -22,15 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestream.llm.scratch import save, without
+from lodestream.llm.scratch import without
 from lodestream.llm.words import U, WordHashes, odd, scramble, slices, texts
 
 GRAM = 12
 DEPTH = 2
 #: Counters of a sketch row for each picked gram, and the most there are: 2 rows of 2^29 bits are 128 MB.
 CELLS_PER_GRAM, MIN_BITS, MAX_BITS = 8, 16, 29
-#: Rows of wrongly estimated windows that may be broadcast, about 30 bytes each.
-BROADCAST_WINDOWS = 2_000_000
 #: Cells that a task collects before it hands them on.
 FLUSH = 1_000_000
 _BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
@@ -155,7 +153,6 @@ def remove_repeats(
     text: str = "text",
     carry: bool = True,
     max_bits: int = MAX_BITS,
-    broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """Adds n_words, n_removed and kept_text to every document.
 
@@ -187,16 +184,14 @@ def remove_repeats(
 
     found = one.mapInArrow(_candidates(width, gram, bits, sketch), "h1 long, h2 long, a long, b int, at int")
     exact = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("at").alias("at"))
-    once = save(exact.where("n = 1").select("a", "b", "at"), "windows-once")
-    few = once.count() <= broadcast_windows
-    once = once.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.collect_list("at").alias("_once"))
+    once = exact.where("n = 1").groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.collect_list("at").alias("_once"))
 
     spare = [f"_c{i}" for i in range(len(docs.columns))]
     key_col, text_col = spare[docs.columns.index(key)], spare[docs.columns.index(text)]
     rows = docs.toDF(*spare)
     rows = rows if carry else rows.select(key_col, text_col)
     rows = rows.withColumn("_x", F.xxhash64(text_col)).withColumn("_y", F.octet_length(text_col))
-    rows = rows.join(F.broadcast(once) if few else once, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left").drop("_x", "_y", "_a", "_b")
+    rows = rows.join(once, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left").drop("_x", "_y", "_a", "_b")
     fields = [f for f in rows.schema.fields if f.name != "_once"]
     more = [T.StructField("_words", T.LongType()), T.StructField("_gone", T.LongType()), T.StructField("_kept", T.StringType())]
     result = rows.mapInArrow(_remove(width, gram, bits, sketch, text_col), T.StructType([*fields, *more]))

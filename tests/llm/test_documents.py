@@ -158,7 +158,7 @@ def expected_removal(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_bits": 4, "broadcast_windows": 0}, {"gram": 1}])
+@pytest.mark.parametrize("options", [{}, {"max_bits": 4}, {"gram": 1}])
 @pytest.mark.parametrize("width", [3, 13])
 def test_remove_repeats(docs, spark, width, options):
     rng = random.Random(width)
