@@ -49,7 +49,7 @@ def equal_width(df: DataFrame, x: str, bins: int, out: str) -> DataFrame:
     """Bin 0 to bins - 1 of equal width between the column's extremes; a flat column is bin 0."""
     ends = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))  # one row
     place = F.floor(F.try_divide((F.col(x) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
-    return df.crossJoin(F.broadcast(ends)).withColumn(out, F.when(F.col(x).isNotNull(), F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0))).cast("int")).drop("_lo", "_hi")
+    return df.crossJoin(F.broadcast(ends)).withColumn(out, F.when(F.col(x).isNotNull(), F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1))).cast("int")).drop("_lo", "_hi")
 
 
 def tied_bins(df: DataFrame, x: str, bins: int, out: str) -> DataFrame:

@@ -161,11 +161,12 @@ def zigzag_density(threshold: float) -> Callable[[np.ndarray], tuple[float]]:
     def run(window: np.ndarray) -> tuple[float]:
         side, extreme, turns = 0, window[0, 0], 0
         for p in window[1:, 0]:
-            if side >= 0 and p > extreme or side <= 0 and p < extreme and side:
+            if side == 0:
+                if abs(p / extreme - 1) > threshold:
+                    side, extreme = (1 if p > extreme else -1), p
+            elif side * (p - extreme) > 0:
                 extreme = p
-            elif side == 0 and abs(p / extreme - 1) > threshold:
-                side, extreme = (1 if p > extreme else -1), p
-            elif side and side * (extreme - p) > threshold * extreme:
+            elif side * (extreme - p) > threshold * extreme:
                 side, extreme, turns = -side, p, turns + 1
         return (turns / len(window),)
 
