@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.plans import relational, research  # noqa: F401  (registers its queries)
-from lodestream.plans.features import SUITES
+from lodestream.plans.compressed import compressed
+from lodestream.plans.features import SUITES as FEATURES
+
+SUITES = FEATURES | {"features_compressed": compressed}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
