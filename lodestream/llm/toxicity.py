@@ -29,8 +29,12 @@ from lodestream.llm.words import slices
 #: Entries of the lexicon, at most.
 ENTRIES = 20_000
 #: Toxic documents that an entry must be in, the share of its documents that must be toxic, letters of a stem, words that show
-#: it, and letters of an entry that may be misspelled.
-LEAST_DOCS, LEAST_SHARE, STEMS, STEM_WORDS, EDITABLE = 3, 0.8, (4, 5, 6), 4, 5
+#: it, and letters of an entry that may be misspelled; such an entry also has this share of the greatest weight.
+EDITABLE_WEIGHT = 0.75
+LEAST_DOCS, LEAST_SHARE, STEMS, STEM_WORDS, EDITABLE = 4, 0.8, (3, 4, 5, 6, 7, 8), 4, 5
+STEM_SHARE = 0.85
+#: Entries that chance alone may bring, about exp(-SURE).
+SURE = 1.0
 #: Words on either side of a hit that make up its context.
 WINDOW = 6
 STATES = 100_000
@@ -40,13 +44,19 @@ QUOTES = "\"“”„«»‹›"
 REPORT = frozenset("said says wrote writes called quote quoted quotes cited citing according reported dit disait selon cité sagte sagt schrieb zitiert laut dijo dice escribió según citado".split())
 ADDRESS = frozenset("you your youre yourself u tu toi vous vos votre du dich dir ihr euch tú vos usted ustedes te".split())
 NOTHING = (0.0, 0.0)
+#: What a misspelled hit weighs against one that is spelled right.
+MISSPELLED = 0.8
+#: Sum of log odds beyond which more hits tell nothing more.
+MOST = 12.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Matcher:
     """Finds a word's best entry within one edit. Entries map a word, or a stem ending in *, to a weight."""
 
-    def __init__(self, entries: dict[str, float]) -> None:
+    def __init__(self, entries: dict[str, float], editable: float = 0.0, proper: frozenset[str] = frozenset()) -> None:
+        """editable: the least weight of an entry that may be misspelled; proper: words that are never taken for a misspelling."""
+        self.editable, self.proper = editable, proper
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[float] = [0.0]
         self.stem: list[float] = [0.0]
@@ -87,7 +97,7 @@ class Matcher:
             self.sets.append(state)
             self.moves.append({})
             right = max((self.whole[n] for n, e in state if e == 0), default=0.0)
-            wrong = max((self.whole[n] for n, e in state if e == 1 and self.depth[n] >= EDITABLE), default=0.0)
+            wrong = max((self.whole[n] for n, e in state if e == 1 and self.depth[n] >= EDITABLE and self.whole[n] >= self.editable), default=0.0)
             self.value.append((right, 0.0 if right else wrong))
             self.stemmed.append(max((self.stem[n] for n, e in state if e == 0), default=0.0))
         return self.states[state]
@@ -119,31 +129,30 @@ class Matcher:
             stem = max(stem, self.stemmed[state])
         right, wrong = self.value[state] if state >= 0 else (0.0, 0.0)
         right = max(right, stem)
-        found = self.known[word] = (right, 0.0 if right else wrong)
+        found = self.known[word] = (right, 0.0 if right or word in self.proper else wrong)
         return found
 
 
 def features(text: str, matcher: Matcher) -> list[float]:
-    """What the hits of a text add up to: right, misspelled, quoted, addressed, the largest, and whether there are any."""
+    """What the hits of a text add up to: all (a misspelled one less), whether there are any, those in address, those quoted."""
     lower = text.lower()
     weights = {w: found for w in set(WORD.findall(lower)) if len(w) > 2 and (found := matcher.of(w)) != NOTHING}
     if not weights:
-        return [0.0] * 6
+        return [0.0] * 4
     spans = list(WORD.finditer(lower))
     hits = [(i, weights[m[0]]) for i, m in enumerate(spans) if m[0] in weights]
-    right = wrong = quoted = addressed = most = 0.0
-    for i, (r, w) in hits:
+    abuse = quoted = addressed = 0.0
+    for i, (right, wrong) in hits:
         first, last = max(0, i - WINDOW), min(len(spans) - 1, i + WINDOW)
         around = {spans[j][0] for j in range(first, last + 1)}
         before, after = lower[spans[first].start() : spans[i].start()], lower[spans[i].end() : spans[last].end() + 2]
-        in_quotes = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-        weight = r or w
-        if in_quotes or around & REPORT:
+        weight = right or MISSPELLED * wrong
+        if any(q in before for q in QUOTES) and any(q in after for q in QUOTES) or around & REPORT:
             quoted += weight
         else:
-            right, wrong, most = right + r, wrong + w, max(most, weight)
+            abuse += weight
             addressed += weight * bool(around & ADDRESS)
-    return [math.log1p(right), math.log1p(wrong), math.log1p(quoted), math.log1p(addressed), most, float(most > 0)]
+    return [min(abuse, MOST), float(abuse > 0), min(addressed, MOST), min(quoted, MOST)]
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,50 +168,72 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(docs)), pa.array(list(docs.values()), pa.int64()), pa.array([toxic[t] for t in docs], pa.int64())], names=["term", "n", "toxic"])
 
 
-def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Entries and weights from (_text, _label); at most ENTRIES."""
+def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
+    """Entries with weights from (_text, _label), and words near to an entry that clean documents use; at most ENTRIES of each."""
     words = labelled.mapInArrow(_terms, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     words = save(words, "toxic-words")
-    sure = (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= LEAST_SHARE * F.col("n"))
+    # Of so many words, some are in toxic documents alone by chance, unless there are enough of these.
+    rate = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("toxic")).first()
+    asked = words.where("n > 1").count()
+    share = min(0.5, max(1e-6, (rate["toxic"] or 0) / max(1, rate["n"])))
+    least = max(LEAST_DOCS, math.ceil((math.log(asked + 1) + SURE) / -math.log(share)))
+    sure = (F.col("toxic") >= least) & (F.col("toxic") >= LEAST_SHARE * F.col("n"))
     ends = F.explode(F.array(*[F.when(F.length("term") > n, F.substring("term", 1, n)) for n in STEMS]))
     stems = words.select(ends.alias("stem"), "n", "toxic").where("stem is not null").groupBy("stem")
     stems = stems.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.count(F.when(F.col("toxic") > 0, 1)).alias("words"))
     # A stem is a sign of its own only if several words that begin with it are.
-    stems = stems.where(sure & (F.col("words") >= STEM_WORDS)).select(F.concat("stem", F.lit("*")).alias("term"), "n", "toxic")
+    stems = stems.where(sure & (F.col("toxic") >= STEM_SHARE * F.col("n")) & (F.col("words") >= STEM_WORDS)).select(F.concat("stem", F.lit("*")).alias("term"), "n", "toxic")
     found = words.where(sure).unionByName(stems)
     best = found.orderBy(F.col("toxic").desc(), "term").limit(ENTRIES).collect()
-    weights = {r["term"]: math.log1p(r["toxic"]) * r["toxic"] / (r["n"] + 1) for r in best}
+    weights = {r["term"]: math.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5)) for r in best}  # log odds
     # What a stem covers is not listed, and so not looked for with an edit either.
-    return {t: w for t, w in weights.items() if not any(t[:n] + "*" in weights for n in STEMS if t != t[:n] + "*")}
+    entries = {t: w for t, w in weights.items() if not any(t[:n] + "*" in weights for n in STEMS if t != t[:n] + "*")}
+    proper = words.where("n > toxic").select("term").mapInArrow(_near(entries), "term string").limit(ENTRIES).collect()
+    return entries, frozenset(r["term"] for r in proper)
+
+
+def matcher(entries: dict[str, float], proper: frozenset[str] = frozenset()) -> Matcher:
+    return Matcher(entries, EDITABLE_WEIGHT * max(entries.values(), default=0.0), proper)
+
+
+def _near(entries: dict[str, float]):
+    """The words that would be taken for a misspelled entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = matcher(entries)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if own.of(w)[1]], pa.string())], names=["term"])
+
+    return run
 
 
 class Model:
-    def __init__(self, entries: dict[str, float], weights: list[float]) -> None:
-        self.entries, self.weights = entries, weights
+    def __init__(self, entries: dict[str, float], proper: frozenset[str], weights: list[float]) -> None:
+        self.entries, self.proper, self.weights = entries, proper, weights
         self._matcher: Matcher | None = None
 
     @property
     def matcher(self) -> Matcher:
         if self._matcher is None:
-            self._matcher = Matcher(self.entries)
+            self._matcher = matcher(self.entries, self.proper)
         return self._matcher
 
     def __getstate__(self):
-        return self.entries, self.weights
+        return self.entries, self.proper, self.weights
 
     def __setstate__(self, state) -> None:
-        (self.entries, self.weights), self._matcher = state, None
+        (self.entries, self.proper, self.weights), self._matcher = state, None
 
     def scores(self, texts: list[str]) -> np.ndarray:
         x = np.array([[1.0, *features(t, self.matcher)] for t in texts]).reshape(-1, len(self.weights))
         return sigmoid(x @ np.array(self.weights))
 
 
-def _featured(entries: dict[str, float]):
+def _featured(entries: dict[str, float], proper: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(entries)
+        own = matcher(entries, proper)
         for batch in slices(batches):
-            rows = [features(t, matcher) for t in batch.column(0).to_pylist()]
+            rows = [features(t, own) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     return run
@@ -214,12 +245,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     Without labelled documents the lexicon is empty and every score is low.
     """
     labelled = save(sample(docs, labels, "toxic", train, key, text, rows).dropDuplicates(["_text"]), "toxic-sample")
-    entries = learn_lexicon(labelled)
-    got = labelled.mapInArrow(_featured(entries), "x array<double>, y int").collect()
+    entries, proper = learn_lexicon(labelled)
+    got = labelled.mapInArrow(_featured(entries, proper), "x array<double>, y int").collect()
     if not got:
-        return Model({}, [-3.0] + [0.0] * 6)
-    x = np.array([[1.0, *r["x"]] for r in got])
-    return Model(entries, logistic(x, np.array([float(r["y"]) for r in got]), 1e-4).tolist())
+        return Model({}, frozenset(), [-3.0] + [0.0] * 4)
+    x, y = np.array([[1.0, *r["x"]] for r in got]), np.array([float(r["y"]) for r in got])
+    used, weights = list(range(x.shape[1])), np.zeros(x.shape[1])
+    while True:  # abuse never speaks for a text: a sign that would is left out
+        found = logistic(x[:, used], y, 1e-4)
+        against = [(w, i) for w, i in zip(found, used, strict=True) if i in (1, 2, 3) and w < 0]
+        if not against:
+            break
+        used.remove(min(against)[1])
+    weights[used] = found
+    return Model(entries, proper, weights.tolist())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:

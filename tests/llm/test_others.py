@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from lodestream.llm import quality, queries, scratch, topk_search, toxicity, url_filter, warc
+from lodestream.llm import labelled, quality, queries, scratch, topk_search, toxicity, url_filter, warc
 from pyspark.sql import functions as F
 from tests.llm.test_documents import LIBRARY, expected_components, expected_dedup
 
@@ -175,9 +175,9 @@ def test_matcher_is_levenshtein():
 def test_context_separates_quotation():
     matcher = toxicity.Matcher({"idiot": 3.0})
     abuse, quoted = toxicity.features("you are an idiot", matcher), toxicity.features('the report said "an idiot" was there', matcher)
-    assert abuse[0] > 0 and abuse[2] == 0 and abuse[3] > 0
-    assert quoted[0] == 0 and quoted[2] > 0
-    assert toxicity.features("", matcher) == toxicity.features("clean words", matcher) == [0.0] * 6
+    assert abuse[0] > 0 and abuse[2] > 0 and abuse[3] == 0
+    assert quoted[0] == 0 and quoted[3] > 0
+    assert toxicity.features("", matcher) == toxicity.features("clean words", matcher) == [0.0] * 4
 
 
 @pytest.mark.parametrize(("module", "label", "folds", "held"), [(toxicity, "toxic", 4, 2), (quality, "quality", 5, 0)])
@@ -217,9 +217,10 @@ def test_pipeline_stages(spark):
         kept[name] = (before.collect(), after.collect())
         before = after
     inside, out = kept["toxicity"]
-    toxic = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("toxic = 1").collect()}
-    gone = {r.doc_id for r in inside} - {r.doc_id for r in out}
-    assert len(gone & toxic) >= 0.5 * len(toxic & {r.doc_id for r in inside}) and len(gone) < 0.3 * len(inside)
+    model = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"), labelled.fold(F.col("_key"), 4) != 2)
+    want = {r.doc_id for r in inside if model.scores([r.text or ""])[0] < 0.3}
+    clean = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("toxic = 0").collect()}
+    assert {r.doc_id for r in out} == want and len(clean - want) <= 0.02 * len(clean)
     inside, out = kept["exact_dedup"]
     assert sorted(r.doc_id for r in out) == sorted({k[1] for k in expected_dedup([(r.doc_id, r.text) for r in inside])[0]})
     inside, out = kept["ngram_join"]
