@@ -58,12 +58,13 @@ def exact_dedup(
     base = base.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn("_first", F.substring("_norm", 1, first_digit)).drop("_norm")
     base = save(base, "dedup-base")
     open_rows = base.select(F.lit(0).cast("long").alias("_group"), F.col("_first").alias("_digit"), "_row", F.col(key).alias("_key"))
-    digit, done, rest = first_digit, [], None
+    digit, done, rest, moved = first_digit, [], None, 0
     while True:
         groups = save(_groups(open_rows, digit), "dedup-groups")
         same = (F.col("r._group") == F.col("g._group")) & (F.col("r._digit") == F.col("g._digit"))
         joined = open_rows.alias("r").join(groups.alias("g"), same).select("r.*", "g._n", "g._next", "g._keep", "g._keep_row", "g._ended")
         joined = save(joined.drop("_digit"), "dedup-members")
+        moved += joined.where("_ended").count()
         done.append(joined.where("_ended").select(F.col("_row").alias("_of"), "_n", "_keep", "_keep_row"))
         left = joined.where("not _ended").select(F.col("_next").alias("_group"), "_row", "_key")
         n = left.count()
@@ -83,6 +84,8 @@ def exact_dedup(
     repeated = done[0]
     for more in done[1:]:
         repeated = repeated.unionByName(more)
+    # Ids of repeated texts only, as few as the last rounds' members.
+    repeated = F.broadcast(repeated) if moved <= broadcast_rows // 2 else repeated
     result = base.drop("_first").join(repeated, F.col("_row") == F.col("_of"), "left")
     return result.select(
         *unmasked(names),

@@ -19,22 +19,42 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestream/{spark.sparkContext.applicationId}"
 
 
+#: Paths handed out so far, oldest first.
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _paths.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _paths[-1]
+
+
+def mark() -> int:
+    """A point in the list of tables, for since()."""
+    return len(_paths)
+
+
+def since(point: int) -> list[str]:
+    return _paths[point:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that no result needs any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return the written table."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete what this application wrote; call once its results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all that this application wrote; call once its results are stored."""
+    delete(spark, [shared_folder(spark)])
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
