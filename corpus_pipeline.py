@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,11 @@ from lodestream.llm.exact_dedup import exact_dedup
 from lodestream.llm.labelled import fold
 from lodestream.llm.ngram_join import jaccard_components
 from lodestream.llm.queries import MAX_EPOCHS, RAMPS, TOKENIZER, WEIGHTS
-from lodestream.llm.scratch import save
+from lodestream.llm.scratch import delete, mark, save, since
+
+#: Ids of near copies that may be broadcast, 16 bytes each.
+BROADCAST_ROWS = 1_000_000
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +35,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by five-word shingles at 0.8 or more: the one with the least id.
 
-    Documents without an id or without words are linked with nothing that could
-    stand for them and stay.
+    A row is known by its id and a hash of its text, so rows without an id are
+    told apart too. Documents without words are linked with nothing and stay.
     """
-    found = jaccard_components(docs, words=5, num=4, den=5)
-    return found.where("component_id is null or doc_id = component_id").select(docs.columns)
+    known = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    found = jaccard_components(known, words=5, num=4, den=5, key="key", carry=False)
+    gone = save(found.where("key <> component_id").select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h")).distinct(), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_h")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +55,28 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER), decode=False)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("source_mixing", mix_sources), ("bpe", tokenize)]
+#: Tables that the last stage worked with.
+_spent: list[str] = []
+
+
+def tidy(stage: Stage) -> Stage:
+    """A stage that first deletes what the stage before it worked with.
+
+    A stage's result is written before the next one begins, so the tables that
+    it was made from are no longer needed.
+    """
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, _spent)
+        point = mark()
+        out = stage(spark, docs, sf_dir)
+        _spent[:] = since(point)
+        return out
+
+    return run_stage
+
+
+STAGES = [(name, tidy(stage)) for name, stage in (("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("source_mixing", mix_sources), ("bpe", tokenize))]
 
 #: Learned scores and hashed orders are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
