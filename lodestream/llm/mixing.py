@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestream.llm.scratch import masked, save, unmasked, without
 
 #: Documents of one source that are ordered within one task, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
