@@ -4,15 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from lodestream.functions import price
-from lodestream.functions.frames import Keyed, div, ln
-from lodestream.plans.features import fir_sql
+from lodestream.plans.features import F, K, div, fir_sql, ln, pf
+from lodestream.plans.lazy import Lazy as Column
 from lodestream.plans.suite import Suite, s_agg, s_div, s_full, s_lag, s_ln, s_slope, w
 
-K = Keyed()
 C = F.col
 
 
@@ -109,10 +105,10 @@ compressed = Suite(
         {
             "_lc": (ln("close"), s_ln("close")),
             "_lv": (F.log(C("volume") + 1), "ln(volume + 1)"),
-            "_r": (price.log_return(K), s_ln(s_div("close", s_lag("close")))),
+            "_r": (pf.log_return(K), s_ln(s_div("close", s_lag("close")))),
             "_cv": (C("close") * C("volume"), "close * volume"),
             "_step": (C("close") - K.lag("close"), f"close - {s_lag('close')}"),
-            "_range": (known(price.true_range(K)), known_sql(RANGE_SQL)),
+            "_range": (known(pf.true_range(K)), known_sql(RANGE_SQL)),
             "_log_range": (known(LOG_RANGE), known_sql(LOG_RANGE_SQL)),
         },
         {
@@ -121,14 +117,14 @@ compressed = Suite(
             "_atr40": (K.avg("_log_range", 40), s_agg("avg", "_log_range", 40)),
             "_range40": (K.avg("_range", 40), s_agg("avg", "_range", 40)),
             "_yss": (F.var_pop("_lc").over(K.trailing(DAYS)) * DAYS, f"var_pop(_lc) {w(DAYS)} * {DAYS}"),
-            "_c1": (price.fir(K, "_lc", WEIGHTS[0]), fir_sql("_lc", WEIGHTS[0])),
-            "_c2": (price.fir(K, "_lc", WEIGHTS[1]), fir_sql("_lc", WEIGHTS[1])),
-            "_c3": (price.fir(K, "_lc", WEIGHTS[2]), fir_sql("_lc", WEIGHTS[2])),
+            "_c1": (pf.fir(K, "_lc", WEIGHTS[0]), fir_sql("_lc", WEIGHTS[0])),
+            "_c2": (pf.fir(K, "_lc", WEIGHTS[1]), fir_sql("_lc", WEIGHTS[1])),
+            "_c3": (pf.fir(K, "_lc", WEIGHTS[2]), fir_sql("_lc", WEIGHTS[2])),
             "_price_ratio": (ratio("_lc"), ratio_sql("_lc")),
             "_change_ratio": (ratio("_r"), ratio_sql("_r")),
         },
         {f"_raw_{name}": (column, sql) for name, (column, sql, _) in RAW.items()},
-        {name: (price.normal_compress(C(f"_raw_{name}"), m), phi_sql(f"_raw_{name}", m)) for name, (_, _, m) in RAW.items()}
+        {name: (pf.normal_compress(C(f"_raw_{name}"), m), phi_sql(f"_raw_{name}", m)) for name, (_, _, m) in RAW.items()}
         | {
             "price_variance_ratio": (100 * f_two(4 * C("_price_ratio"), 8.0) - 50, "100 * (1 - pow(1 + 2 * 4 * _price_ratio / 8.0, -4.0)) - 50"),
             "change_variance_ratio": (

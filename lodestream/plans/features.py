@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import functions as F
-
-from lodestream.functions import flow, price
-from lodestream.functions.frames import Keyed, div, ln
+import pyspark.sql.functions
+from lodestream.functions import flow as flow_functions
+from lodestream.functions import frames, price
+from lodestream.plans.lazy import held
 from lodestream.plans.suite import P, SO_FAR, Suite, s_agg, s_both, s_corr, s_div, s_full, s_lag, s_ln, s_slope, s_z, w
 
+# Noted down here, built when there is a session.
+F, flow, Keyed, div, ln = map(held, (pyspark.sql.functions, flow_functions, frames.Keyed, frames.div, frames.ln))
+pf = held(price)
 K = Keyed()
 C = F.col
 LN2 = math.log(2)
@@ -33,7 +36,7 @@ def fir_sql(x: str, weights: list[float]) -> str:
 
 flagship = Suite(
     [
-        {"parkinson": (flow.parkinson(K, 20), park(20)), "_tp": (price.typical_price(), TP)},
+        {"parkinson": (flow.parkinson(K, 20), park(20)), "_tp": (pf.typical_price(), TP)},
         {"vwap": (flow.weighted_by_volume(K, "_tp", 20), s_full(f"sum(_tp * volume) {w(20)} / sum(volume) {w(20)}", "volume", 20)), "close_z": (K.zscore("close", 20), s_z("close", 20))},
     ]
 )
@@ -41,26 +44,22 @@ flagship = Suite(
 candles = Suite(
     [
         {
-            name: (column, sql)
-            for (name, column), sql in zip(
-                price.candle().items(),
-                [
-                    f"abs(close - open) / (high - low + {EPS})",
-                    f"(high - greatest(open, close)) / (high - low + {EPS})",
-                    f"(least(open, close) - low) / (high - low + {EPS})",
-                    "CAST(sign(close - open) AS DOUBLE)",
-                    f"(close - low) / (high - low + {EPS})",
-                    f"(high - low) / (close + {EPS})",
-                ],
-                strict=True,
-            )
+            name: (pf.candle()[name], sql)
+            for name, sql in {
+                "body": f"abs(close - open) / (high - low + {EPS})",
+                "upper_wick": f"(high - greatest(open, close)) / (high - low + {EPS})",
+                "lower_wick": f"(least(open, close) - low) / (high - low + {EPS})",
+                "direction": "CAST(sign(close - open) AS DOUBLE)",
+                "close_location": f"(close - low) / (high - low + {EPS})",
+                "range_pct": f"(high - low) / (close + {EPS})",
+            }.items()
         }
     ]
 )
 
 _FLOW: Suite = Suite(
     [
-        {"_beta": (flow.close_location(), BETA), "_tp": (price.typical_price(), TP), "_r": (price.log_return(K), RETURN)},
+        {"_beta": (flow.close_location(), BETA), "_tp": (pf.typical_price(), TP), "_r": (pf.log_return(K), RETURN)},
         {"_delta": (flow.imbalance("_beta"), "((2 * _beta - 1) * volume)")},
     ]
 )
@@ -117,7 +116,7 @@ order_flow = Suite(
 _SPREAD = {
     "_mid": ((C("high") + C("low")) / 2, "((high + low) / 2)"),
     "_s": (F.least(F.greatest((C("high") - C("low") + 0.01) / C("volume") / ((C("high") + C("low")) / 2), F.lit(0.0)), F.lit(1.0)), "least(greatest((high - low + 0.01) / volume / ((high + low) / 2), 0.0), 1.0)"),
-    "_r": (price.log_return(K), RETURN),
+    "_r": (pf.log_return(K), RETURN),
     "_step": (C("close") - K.lag("close"), f"close - {s_lag('close')}"),
     "_high2": (F.max("high").over(K.trailing(2)), f"max(high) {w(2)}"),
     "_low2": (F.min("low").over(K.trailing(2)), f"min(low) {w(2)}"),
@@ -175,7 +174,7 @@ _YZ = 0.34 / (1.34 + 21 / 19)
 volatility = Suite(
     [
         {
-            "_r": (price.log_return(K), RETURN),
+            "_r": (pf.log_return(K), RETURN),
             "_gap": (ln(div("open", K.lag("close"))), s_ln(s_div("open", s_lag("close")))),
             "_body": (ln(div("close", "open")), s_ln("close / open")),
             "_rs": (flow.rogers_satchell_term(), _RS),
@@ -220,25 +219,25 @@ volatility = Suite(
 momentum = Suite(
     [
         {
-            "log_return": (price.log_return(K), RETURN),
-            "_tp": (price.typical_price(), TP),
+            "log_return": (pf.log_return(K), RETURN),
+            "_tp": (pf.typical_price(), TP),
             "_n": (K.number().cast("double"), f"CAST(row_number() {P} AS DOUBLE)"),
-            "roc": (price.rate_of_change(K, "close", 14), f"100 * (close / {s_lag('close', 14)} - 1)"),
+            "roc": (pf.rate_of_change(K, "close", 14), f"100 * (close / {s_lag('close', 14)} - 1)"),
             "_mean20": (K.avg("close", 20), s_agg("avg", "close", 20)),
         },
         {
-            "sharpe": (price.rolling_sharpe(K, "log_return", 20), f"{s_agg('avg', 'log_return', 20)} / ({s_agg('stddev_samp', 'log_return', 20)} + 1e-8)"),
+            "sharpe": (pf.rolling_sharpe(K, "log_return", 20), f"{s_agg('avg', 'log_return', 20)} / ({s_agg('stddev_samp', 'log_return', 20)} + 1e-8)"),
             "roc_velocity": (C("roc") - K.lag("roc"), f"roc - {s_lag('roc')}"),
-            "mean_adjusted_ratio": (price.mean_adjusted_ratio(K, "close", 20), "close / _mean20 - 1"),
-            "momentum": (price.momentum(K, "close", 10), f"close - {s_lag('close', 10)}"),
-            "acceleration": (price.momentum_acceleration(K), f"{s_lag('close', 10)} - {s_lag('close', 5)}"),
-            "jerk": (price.jerk(K, "close", 3), f"close - 3 * {s_lag('close', 3)} + 3 * {s_lag('close', 6)} - {s_lag('close', 9)}"),
+            "mean_adjusted_ratio": (pf.mean_adjusted_ratio(K, "close", 20), "close / _mean20 - 1"),
+            "momentum": (pf.momentum(K, "close", 10), f"close - {s_lag('close', 10)}"),
+            "acceleration": (pf.momentum_acceleration(K), f"{s_lag('close', 10)} - {s_lag('close', 5)}"),
+            "jerk": (pf.jerk(K, "close", 3), f"close - 3 * {s_lag('close', 3)} + 3 * {s_lag('close', 6)} - {s_lag('close', 9)}"),
             "slope": (div(K.slope("close", "_n", 20), "_mean20"), f"{s_slope('close', '_n', 20)} / _mean20"),
-            "stochastic": (price.stochastic_k(K, 14), "100 * " + s_div(f"close - {s_agg('min', 'low', 14)}", f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}")),
-            "williams_r": (price.williams_r(K, 14), "-100 * " + s_div(f"{s_agg('max', 'high', 14)} - close", f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}")),
-            "detrended": (price.detrended_price(K, "_mean20", "close", 20), f"close - {s_lag('_mean20', 11)}"),
-            "high_proximity": (price.high_proximity(K, "close", 60), f"(close - {s_agg('min', 'close', 60)}) / ({s_agg('max', 'close', 60)} - {s_agg('min', 'close', 60)} + {EPS})"),
-            "return_12_1": (price.return_skip(K, "close", 12, 1), f"{s_lag('close')} / {s_lag('close', 12)} - 1"),
+            "stochastic": (pf.stochastic_k(K, 14), "100 * " + s_div(f"close - {s_agg('min', 'low', 14)}", f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}")),
+            "williams_r": (pf.williams_r(K, 14), "-100 * " + s_div(f"{s_agg('max', 'high', 14)} - close", f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}")),
+            "detrended": (pf.detrended_price(K, "_mean20", "close", 20), f"close - {s_lag('_mean20', 11)}"),
+            "high_proximity": (pf.high_proximity(K, "close", 60), f"(close - {s_agg('min', 'close', 60)}) / ({s_agg('max', 'close', 60)} - {s_agg('min', 'close', 60)} + {EPS})"),
+            "return_12_1": (pf.return_skip(K, "close", 12, 1), f"{s_lag('close')} / {s_lag('close', 12)} - 1"),
             "return_change": (C("log_return") - K.lag("log_return"), f"log_return - {s_lag('log_return')}"),
             "sustained_velocity": (K.avg("log_return", 10), s_agg("avg", "log_return", 10)),
             "_tps": (F.collect_list("_tp").over(K.trailing(20)), f"list(_tp) {w(20)}"),
@@ -259,8 +258,8 @@ momentum = Suite(
 path_structure = Suite(
     [
         {
-            "_r": (price.log_return(K), RETURN),
-            "_tr": (price.true_range(K), TR),
+            "_r": (pf.log_return(K), RETURN),
+            "_tr": (pf.true_range(K), TR),
             "_abs_step": (F.abs(C("close") - K.lag("close")), f"abs(close - {s_lag('close')})"),
             "_n": (K.number().cast("double"), f"CAST(row_number() {P} AS DOUBLE)"),
         },
@@ -272,11 +271,11 @@ path_structure = Suite(
         },
         {
             "auto_corr": (K.corr("_r", "_r1", 36), s_corr("_r", "_r1", 36)),
-            "choppiness": (price.choppiness(K, "_tr", 14), "100 * " + s_ln(s_div(s_agg("sum", "_tr", 14), f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}")) + f" / {math.log(14)!r}"),
-            "efficiency_ratio": (price.efficiency_ratio(K, "_abs_step", "close", 10), s_div(f"abs(close - {s_lag('close', 10)})", s_agg("sum", "_abs_step", 10))),
-            "trend_strength": (price.trend_strength(K, "_cum", "_n", 20), f"pow({s_corr('_cum', '_n', 20)}, 2)"),
-            "detrended_strength": (price.trend_strength(K, "_r", "_n", 20), f"pow({s_corr('_r', '_n', 20)}, 2)"),
-            "variance_ratio": (price.variance_ratio(K, "_r", "_r2", 40, 2), f"CASE WHEN count(_r2) {w(40)} >= 40 AND var_samp(_r) {w(40)} > 1e-12 THEN var_samp(_r2) {w(40)} / (2 * var_samp(_r) {w(40)}) END"),
+            "choppiness": (pf.choppiness(K, "_tr", 14), "100 * " + s_ln(s_div(s_agg("sum", "_tr", 14), f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}")) + f" / {math.log(14)!r}"),
+            "efficiency_ratio": (pf.efficiency_ratio(K, "_abs_step", "close", 10), s_div(f"abs(close - {s_lag('close', 10)})", s_agg("sum", "_abs_step", 10))),
+            "trend_strength": (pf.trend_strength(K, "_cum", "_n", 20), f"pow({s_corr('_cum', '_n', 20)}, 2)"),
+            "detrended_strength": (pf.trend_strength(K, "_r", "_n", 20), f"pow({s_corr('_r', '_n', 20)}, 2)"),
+            "variance_ratio": (pf.variance_ratio(K, "_r", "_r2", 40, 2), f"CASE WHEN count(_r2) {w(40)} >= 40 AND var_samp(_r) {w(40)} > 1e-12 THEN var_samp(_r2) {w(40)} / (2 * var_samp(_r) {w(40)}) END"),
             "velocity": (F.abs(K.avg("_r", 10)), f"abs({s_agg('avg', '_r', 10)})"),
             "sign_persistence": (
                 F.when(F.size("_signs") >= 10, F.size(F.filter("_signs", lambda s: s == F.get("_signs", F.lit(0)))) / 10.0),
@@ -289,8 +288,8 @@ path_structure = Suite(
 volume = Suite(
     [
         {
-            "_r": (price.log_return(K), RETURN),
-            "_tp": (price.typical_price(), TP),
+            "_r": (pf.log_return(K), RETURN),
+            "_tp": (pf.typical_price(), TP),
             "_raw": (flow.money_flow_raw(), f"((2 * {BETA} - 1) * volume)"),
             "_step": (C("close") - K.lag("close"), f"close - {s_lag('close')}"),
             "_vol": (flow.parkinson(K, 10), park(10)),
@@ -340,31 +339,31 @@ _LEG = [price.legendre(20, d) for d in (1, 2, 3)]
 transforms = Suite(
     [
         {
-            "_r": (price.log_return(K), RETURN),
+            "_r": (pf.log_return(K), RETURN),
             "_lc": (ln("close"), s_ln("close")),
             "_n": (K.number().cast("double"), f"CAST(row_number() {P} AS DOUBLE)"),
             "_tr": (F.greatest(ln(div("high", "low")), F.abs(ln(div("high", K.lag("close")))), F.abs(ln(div("low", K.lag("close"))))), f"greatest({s_ln('high / low')}, abs({s_ln('high / ' + s_lag('close'))}), abs({s_ln('low / ' + s_lag('close'))}))"),
         },
         {
             "zscore": (K.zscore("close", 20), s_z("close", 20)),
-            "volatility_scale": (price.volatility_scale(K, "_r", 20), s_div("_r", s_agg("stddev_pop", "_r", 20))),
+            "volatility_scale": (pf.volatility_scale(K, "_r", 20), s_div("_r", s_agg("stddev_pop", "_r", 20))),
             "slope": (K.slope("close", "_n", 20), s_slope("close", "_n", 20)),
-            "persistence": (price.persistence(K, "_r", 20), s_full(f"avg(CASE WHEN _r > 0 THEN 1.0 WHEN _r IS NOT NULL THEN 0.0 END) {w(20)}", "_r", 20)),
-            "tanh": (price.tanh_compress("_r", 0.5), "CASE WHEN abs(_r) < 300 THEN (exp(2 * _r / 0.5) - 1) / (exp(2 * _r / 0.5) + 1) END"),
-            "sigmoid": (price.sigmoid_compress("_r", 0.5), "1 / (1 + exp(-_r / 0.5))"),
+            "persistence": (pf.persistence(K, "_r", 20), s_full(f"avg(CASE WHEN _r > 0 THEN 1.0 WHEN _r IS NOT NULL THEN 0.0 END) {w(20)}", "_r", 20)),
+            "tanh": (pf.tanh_compress("_r", 0.5), "CASE WHEN abs(_r) < 300 THEN (exp(2 * _r / 0.5) - 1) / (exp(2 * _r / 0.5) + 1) END"),
+            "sigmoid": (pf.sigmoid_compress("_r", 0.5), "1 / (1 + exp(-_r / 0.5))"),
             "_values": (F.collect_list("close").over(K.trailing(20)), f"list(close) {w(20)}"),
-            "wma": (price.weighted_mean(K, "close", 10), fir_sql("close", [(i + 1) / 55 for i in range(10)])),
-            "frac_diff": (price.fir(K, "_lc", price.fractional_weights(0.4, 12)), fir_sql("_lc", price.fractional_weights(0.4, 12))),
-            "legendre_linear": (price.fir(K, "_lc", _LEG[0]), fir_sql("_lc", _LEG[0])),
-            "legendre_quadratic": (price.fir(K, "_lc", _LEG[1]), fir_sql("_lc", _LEG[1])),
-            "legendre_cubic": (price.fir(K, "_lc", _LEG[2]), fir_sql("_lc", _LEG[2])),
+            "wma": (pf.weighted_mean(K, "close", 10), fir_sql("close", [(i + 1) / 55 for i in range(10)])),
+            "frac_diff": (pf.fir(K, "_lc", price.fractional_weights(0.4, 12)), fir_sql("_lc", price.fractional_weights(0.4, 12))),
+            "legendre_linear": (pf.fir(K, "_lc", _LEG[0]), fir_sql("_lc", _LEG[0])),
+            "legendre_quadratic": (pf.fir(K, "_lc", _LEG[1]), fir_sql("_lc", _LEG[1])),
+            "legendre_cubic": (pf.fir(K, "_lc", _LEG[2]), fir_sql("_lc", _LEG[2])),
             "atr": (K.avg("_tr", 14), s_agg("avg", "_tr", 14)),
             "aroon_up": (
-                100 * (25 - price.rows_since_extreme(K, "_n", "high", 25)) / 25,
+                100 * (25 - pf.rows_since_extreme(K, "_n", "high", 25)) / 25,
                 f"100 * (25 - CASE WHEN count(high) {w(26)} > 25 THEN _n - arg_max(_n, (high, _n)) {w(26)} END) / 25",
             ),
             "aroon_down": (
-                100 * (25 - price.rows_since_extreme(K, "_n", "low", 25, lowest=True)) / 25,
+                100 * (25 - pf.rows_since_extreme(K, "_n", "low", 25, lowest=True)) / 25,
                 f"100 * (25 - CASE WHEN count(low) {w(26)} > 25 THEN _n - arg_max(_n, (-low, _n)) {w(26)} END) / 25",
             ),
             "median": (K.full(F.percentile("close", 0.5).over(K.trailing(15)), "close", 15), s_full(f"quantile_cont(close, 0.5) {w(15)}", "close", 15)),

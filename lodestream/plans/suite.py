@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators.bars import ticks_to_bars
+from lodestream.plans.lazy import Lazy, real
 
 #: Added before rounding on both sides, so that sums in another order do not fall on a tie.
 NUDGE = 1.2345e-8
@@ -83,7 +84,7 @@ def s_z(x: str, n: int) -> str:
     return f"(CASE WHEN {sd} > 1e-12 THEN ({x} - {s_agg('avg', x, n)}) / {sd} WHEN {sd} IS NOT NULL THEN 0.0 END)"
 
 
-Stage = dict[str, tuple[Column, str]]
+Stage = dict[str, tuple[Lazy, str]]
 
 
 @dataclass
@@ -98,7 +99,7 @@ class Suite:
 
     def over(self, bars: DataFrame) -> DataFrame:
         for stage in self.stages:
-            bars = bars.select("*", *[c.alias(name) for name, (c, _) in stage.items()])
+            bars = bars.select("*", *[real(c).alias(name) for name, (c, _) in stage.items()])
         return bars
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
