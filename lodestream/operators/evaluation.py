@@ -27,9 +27,14 @@ def transition_matrix(df: DataFrame, label: str, key: str = "symbol", time: str
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("state")))
 
 
-def state_statistics(df: DataFrame, label: str, value: str) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles of a value per state."""
-    q = lambda p: F.percentile(value, p)
+def quantile(x: str, p, accuracy: int | None = None) -> Column:
+    """Quantiles as an aggregate: exact, which holds every distinct value of a group, or within 1 / accuracy of the rank."""
+    return F.percentile(x, p) if accuracy is None else F.percentile_approx(x, p, accuracy)
+
+
+def state_statistics(df: DataFrame, label: str, value: str, accuracy: int | None = None) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles of a value per state; see quantile for accuracy."""
+    q = lambda p: quantile(value, p, accuracy)
     return df.groupBy(label).agg(
         F.count(value).alias("n"),
         F.sum(value).alias("total"),
@@ -57,9 +62,9 @@ def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str]) -> DataFrame:
     return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.when(F.least(sx, sy) > 1e-12, F.try_divide(F.covar_pop("_x", "_y"), sx * sy)).alias("ic"))
 
 
-def quantile_bins(df: DataFrame, x: str, bins: int, out: str = "bin") -> DataFrame:
-    """Bin 0 to bins - 1 by edges at equal quantiles of the whole column; the edges are one row."""
-    edges = df.agg(F.percentile(x, [i / bins for i in range(1, bins)]).alias("_edges"))
+def quantile_bins(df: DataFrame, x: str, bins: int, out: str = "bin", accuracy: int | None = None) -> DataFrame:
+    """Bin 0 to bins - 1 by edges at equal quantiles of the whole column; the edges are one row. See quantile for accuracy."""
+    edges = df.agg(quantile(x, [i / bins for i in range(1, bins)], accuracy).alias("_edges"))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
 
 
