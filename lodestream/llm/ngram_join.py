@@ -18,6 +18,7 @@ blocks, and every pair of blocks is one task. No pairs are written anywhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ CUTS = 6
 BAND = 1.3
 #: Shingles of a cluster's block: 8 bytes each, and some ten times that in work.
 BLOCK_SHINGLES = 1_500_000
+#: Sets of a cluster that are simply compared with each other.
+FEW = 6
 #: Ids of candidate sets that may be broadcast: 16 bytes each.
 BROADCAST_NODES = 2_000_000
 
@@ -177,40 +180,64 @@ def _describe(n: int, text: str):
     return run
 
 
+def _cells(elements: np.ndarray, parts: int) -> np.ndarray:
+    """A byte for each second-level part, by the elements in it; different bytes tell of a difference there."""
+    edges = np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)
+    at = np.concatenate(([0], np.searchsorted(elements, edges.astype(U)), [len(elements)]))
+    run = np.concatenate((np.zeros(1, U), np.cumsum(scramble(elements + odd(3)), dtype=U)))
+    return (scramble(np.diff(run[at])) >> U(56)).astype(np.uint8)
+
+
 def _links(names: list[bytes], sets: list[np.ndarray], blocks: list[int], bands: Bands) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links between sets; pairs that are joined already are not tested.
 
-    blocks: with two blocks, only pairs across them.
+    blocks: with two blocks, only pairs across them. Linked sets of a band differ
+    in at most k parts, so most pairs fall by a comparison of bytes; the rest are
+    compared in full.
     """
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i]))
     sizes = np.array([len(sets[i]) for i in order])
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    _, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     block = np.array([blocks[i] for i in order])
     mixed = block.min() != block.max()
     label = np.arange(len(order))
-    marked = np.zeros(ids.max() + 1, bool)
     found = []
-    for i in range(len(order) - 1):
-        # of sets at least as large, only those up to size / similarity can be linked
-        last = int(np.searchsorted(sizes, sizes[i] * bands.den // bands.num, "right"))
-        rest = np.arange(i + 1, last)
-        rest = rest[label[rest] != label[i]]
-        if mixed:
-            rest = rest[block[rest] != block[i]]
-        if not len(rest):
+    if len(order) <= FEW:
+        for i, j in combinations(range(len(order)), 2):
+            if label[i] != label[j] and not (mixed and block[i] == block[j]):
+                a, b = sets[order[i]], sets[order[j]]
+                if bands.linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
+                    label[label == label[j]] = label[i]
+                    found.append((names[order[i]], names[order[j]]))
+        return found
+    members: dict[int, list[int]] = {}
+    for i, size in enumerate(sizes.tolist()):
+        for band in bands.of(size):
+            members.setdefault(band, []).append(i)
+    for band, inside in members.items():
+        if (k := bands.differences(band)) == 0 or len(inside) < 2:
+            continue
+        inside = np.array(inside)
+        own = np.flatnonzero(sizes[inside] >= bands.lows[band])  # the larger set of a pair is in its own band
+        if not len(own):
             continue
-        marked[ids[starts[i] : starts[i + 1]]] = True
-        lo, hi = rest[0], rest[-1] + 1
-        if len(rest) * 4 > hi - lo:
-            both = np.add.reduceat(marked[ids[starts[lo] : starts[hi]]].astype(np.int64), starts[lo:hi] - starts[lo])[rest - lo]
-        else:
-            both = np.array([np.count_nonzero(marked[ids[starts[j] : starts[j + 1]]]) for j in rest])
-        marked[ids[starts[i] : starts[i + 1]]] = False
-        for j in rest[bands.den * both >= bands.num * (sizes[i] + sizes[rest] - both)]:
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-                found.append((names[order[i]], names[order[j]]))
+        cells = np.stack([_cells(sets[order[i]], (k // 2 + 1 + EXTRA) * THIRDS) for i in inside])
+        for j in own:
+            i = inside[j]
+            first = int(np.searchsorted(sizes[inside], -(-int(sizes[i]) * bands.num // bands.den)))
+            rest = np.arange(first, j)
+            open_ = label[inside[rest]] != label[i]
+            if mixed:
+                open_ &= block[inside[rest]] != block[i]
+            if not open_.any():
+                continue
+            rest = rest[open_]
+            near = rest[np.count_nonzero((cells[first:j] if open_.all() else cells[rest]) != cells[j], axis=1) <= k]
+            for at in inside[near]:
+                if label[at] != label[i]:
+                    both = len(np.intersect1d(sets[order[at]], sets[order[i]], assume_unique=True))
+                    if bands.linked(both, int(sizes[at]), int(sizes[i])):
+                        label[label == label[at]] = label[i]
+                        found.append((names[order[i]], names[order[at]]))
     return found
 
 
