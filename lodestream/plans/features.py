@@ -302,7 +302,7 @@ volume = Suite(
             "volume_momentum": (div(F.avg("volume").over(K.trailing(5)), F.avg("volume").over(K.trailing(20))), f"avg(volume) {w(5)} / avg(volume) {w(20)}"),
             "volume_volatility_corr": (K.corr("volume", "_vol", 20), s_corr("volume", "_vol", 20)),
             "volume_profile": (F.stddev_samp("volume").over(K.trailing(20)), f"stddev_samp(volume) {w(20)}"),
-            "return_divergence": (C("_r") * C("volume") / (C("_vol") + 1e-10), "_r * volume / (_vol + 1e-10)"),
+            "return_divergence": (F.when(C("_vol") > 1e-9, C("_r") * C("volume") / (C("_vol") + 1e-10)), "CASE WHEN _vol > 1e-9 THEN _r * volume / (_vol + 1e-10) END"),
             "abnormal_volume": (K.zscore("volume", 50), s_z("volume", 50)),
             "ad_line": (F.sum("_raw").over(K.so_far), f"sum(_raw) {SO_FAR}"),
             "vwroc": (div("_cv", K.lag("_cv", 14)) - 1, f"_cv / {s_lag('_cv', 14)} - 1"),
