@@ -32,8 +32,10 @@ from lodestream.llm.words import U, WordHashes, odd, scramble, slices, texts
 
 #: Second-level parts of a first-level part; subsets of all but one are enumerated.
 THIRDS = 3
-#: First-level parts beyond those that the differences need.
+#: First-level parts beyond those that the differences need, so that empty subsets can be left out.
 EXTRA = 2
+#: More of them for larger bands, as the share of parts that have an empty subset by chance.
+EXTRA_SHARE = 0.08
 #: Cuts of the domain that are tried before empty subsets are signed too.
 CUTS = 6
 #: Ratio of the largest to the smallest size of a band.
@@ -81,6 +83,14 @@ class Bands:
         """
         return 2 * (self.lows[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
+    def extra(self, band: int) -> int:
+        """First-level parts beyond those that the differences need."""
+        return EXTRA + int(EXTRA_SHARE * (self.differences(band) // 2 + 1))
+
+    def parts(self, band: int) -> int:
+        """First-level parts: at most differences // 2 of them hold two differences or more."""
+        return self.differences(band) // 2 + 1 + self.extra(band)
+
     def of(self, size: int) -> list[int]:
         """The band of the set, and those above it that hold sets it may be linked with."""
         first = last = int(np.searchsorted(self.lows, size, "right")) - 1
@@ -98,9 +108,9 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """64-bit signatures of a set, without repeats."""
     out = [np.empty(0, U)]
     for band in bands.of(len(elements)):
-        if (k := bands.differences(band)) == 0:
+        if bands.differences(band) == 0:
             continue  # only equal sets are linked here
-        n1 = k // 2 + 1 + EXTRA  # at most k // 2 parts hold two differences or more
+        n1, extra = bands.parts(band), bands.extra(band)
         for cut in range(CUTS):
             placed = np.sort(scramble(elements + odd(200 + cut))) if cut else elements
             cells = n1 * THIRDS
@@ -114,9 +124,9 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
             held = counts.sum(axis=1, keepdims=True) - counts
             name = np.arange(n1 * THIRDS, dtype=U).reshape(n1, THIRDS) + (U(band) << U(40)) + (U(cut) << U(36))
             signs = scramble(own ^ scramble(name + odd(5)))
-            # EXTRA + 1 parts have a subset in common: if no more than EXTRA parts have an empty
+            # extra + 1 parts have a subset in common: if no more than extra parts have an empty
             # subset, one that is common and not empty remains.
-            sure = int((held == 0).any(axis=1).sum()) <= EXTRA
+            sure = int((held == 0).any(axis=1).sum()) <= extra
             out.append(signs[held > 0] if sure or cut < CUTS - 1 else signs.ravel())
             if sure:
                 break
@@ -220,7 +230,7 @@ def _links(names: list[bytes], sets: list[np.ndarray], blocks: list[int], bands:
         own = np.flatnonzero(sizes[inside] >= bands.lows[band])  # the larger set of a pair is in its own band
         if not len(own):
             continue
-        cells = np.stack([_cells(sets[order[i]], (k // 2 + 1 + EXTRA) * THIRDS) for i in inside])
+        cells = np.stack([_cells(sets[order[i]], bands.parts(band) * THIRDS) for i in inside])
         for j in own:
             i = inside[j]
             first = int(np.searchsorted(sizes[inside], -(-int(sizes[i]) * bands.num // bands.den)))
