@@ -51,8 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids."""
-    return bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER), decode=False)
+    """The documents with their token ids and the text that these decode to."""
+    return bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER))
 
 
 #: Tables that the last stage worked with.

@@ -237,6 +237,15 @@ def test_pipeline_run(spark):
     assert again[0] == again[1] and again[0]
 
 
+def test_pipeline_decodes(spark):
+    docs = spark.createDataFrame([(1, "Hello  world, naïve <|endoftext|>", "a"), (2, "", "a"), (3, None, "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["bpe"](spark, docs, DATA).collect()}
+    for key, r in got.items():
+        ids = LIBRARY.encode(r.text or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == LIBRARY.decode(ids, skip_special_tokens=False), key
+    assert got[1].decoded and len(got) == 3
+
+
 # queries against their SQL
 
 
