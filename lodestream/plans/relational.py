@@ -141,8 +141,14 @@ def join_as_of_forward(spark, sf_dir):
     return J.as_of(left, right, ["event_type"], "ts", "at", ["last_value"], forward=True)
 
 
+def _bar_events(bars: DataFrame) -> DataFrame:
+    """An event at every bar."""
+    return bars.select("symbol", C("ts").alias("t0"), C("close").alias("price"), (div(C("high") - C("low"), "close") + 0.05).alias("vol"))
+
+
 def _label_events(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("n", K.number()).where(C("n") % 10 == 0).select("symbol", C("ts").alias("t0"), C("close").alias("price"), (div(C("high") - C("low"), "close") + 0.05).alias("vol"))
+    """An event at every tenth bar, as the SQL has them; the queries *_whole take every bar."""
+    return _bar_events(bars.withColumn("n", K.number()).where(C("n") % 10 == 0))
 
 
 LABEL_EVENTS = f"""ev AS (SELECT symbol, ts AS t0, close AS price, (high - low) / close + 0.05 AS vol FROM (SELECT *, row_number() {P} AS n FROM bars) WHERE n % 10 = 0),
@@ -174,6 +180,24 @@ def label_purged_train(spark, sf_dir):
     return J.purge(J.vertical_barriers(_label_events(bars), bars, "12 HOURS"), at("2024-01-15"), at("2024-01-18")).select("symbol", "t0", "t1")
 
 
+@query()
+def label_vertical_barriers_whole(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return J.vertical_barriers(_bar_events(bars), bars, "12 HOURS").select("symbol", "t0", "t1")
+
+
+@query()
+def label_triple_barrier_whole(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return tidied(J.triple_barrier(J.vertical_barriers(_bar_events(bars), bars, "12 HOURS"), bars, 1.5, 0.8), "ret")
+
+
+@query()
+def label_purged_train_whole(spark, sf_dir):
+    at = lambda d: F.lit(d).cast("timestamp_ntz")
+    return J.purge(label_vertical_barriers_whole(spark, sf_dir), at("2024-01-15"), at("2024-01-18"))
+
+
 @query(f"""WITH {STATES_SQL}, f AS (SELECT symbol, ts, CASE WHEN close > 0 THEN ln(lead(close, 5) {P} / close) END AS fwd, stddev_samp(ret) {w(20)} AS sd, count(ret) {w(20)} AS n FROM states),
 z AS (SELECT symbol, ts, CASE WHEN n >= 20 AND sd > 1e-12 THEN fwd / sd END AS z FROM f), lim AS (SELECT quantile_cont(abs(z), 0.9) AS m FROM z)
 SELECT symbol, ts, {r("greatest(least(z, m), -m)", "label")} FROM z, lim WHERE z IS NOT NULL""")

@@ -136,6 +136,15 @@ def macro_ratio(spark, sf_dir):
     return side(2, "a").join(side(3, "b"), "date", "full_outer").select(C("date").cast("string").alias("date"), tidy(div("a", "b")).alias("ratio"))
 
 
+@query()
+def macro_ratio_whole(spark, sf_dir):
+    """The orders of the two upper priorities over all others, by date; every order is in one of the two series."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    urgent = F.coalesce(C("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit(False))
+    side = lambda which, v: orders.where(which).groupBy(F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias(v))
+    return side(urgent, "a").join(side(~urgent, "b"), "date", "full_outer").select(C("date").cast("string").alias("date"), tidy(div("a", "b")).alias("ratio"))
+
+
 @query(f"""WITH {STATES_SQL}, n AS (SELECT symbol, ts, state, CASE WHEN volume > 3 THEN 1 ELSE 0 END AS b, CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END AS c FROM states WHERE state IS NOT NULL)
 SELECT symbol, ts, CAST(CASE WHEN state = b OR state = c THEN state WHEN b = c THEN b ELSE 0 END AS INTEGER) AS consensus FROM n""")
 def label_consensus(spark, sf_dir):
