@@ -29,10 +29,11 @@ from lodestream.llm.words import slices
 #: Entries of the lexicon, at most.
 ENTRIES = 20_000
 #: Toxic documents that an entry must be in, the share of its documents that must be toxic, letters of a stem, words that show
-#: it, and letters of an entry that may be misspelled; such an entry also has this share of the greatest weight.
-EDITABLE_WEIGHT = 0.75
+#: it, and letters of an entry that may be misspelled, unless the caller says.
 LEAST_DOCS, LEAST_SHARE, STEMS, STEM_WORDS, EDITABLE = 4, 0.8, (3, 4, 5, 6, 7, 8), 4, 5
 STEM_SHARE = 0.85
+#: Letters of a learned entry that may be misspelled: all that are looked for.
+LEARNED_LETTERS = 3
 #: Entries that chance alone may bring, about exp(-SURE).
 SURE = 1.0
 #: Words on either side of a hit that make up its context.
@@ -54,9 +55,9 @@ WORD = re.compile(r"[^\W\d_]+")
 class Matcher:
     """Finds a word's best entry within one edit. Entries map a word, or a stem ending in *, to a weight."""
 
-    def __init__(self, entries: dict[str, float], editable: float = 0.0, proper: frozenset[str] = frozenset()) -> None:
-        """editable: the least weight of an entry that may be misspelled; proper: words that are never taken for a misspelling."""
-        self.editable, self.proper = editable, proper
+    def __init__(self, entries: dict[str, float], proper: frozenset[str] = frozenset(), letters: int = EDITABLE) -> None:
+        """proper: words that are never taken for a misspelling; letters: the least length of an entry that may be misspelled."""
+        self.proper, self.letters = proper, letters
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[float] = [0.0]
         self.stem: list[float] = [0.0]
@@ -97,7 +98,7 @@ class Matcher:
             self.sets.append(state)
             self.moves.append({})
             right = max((self.whole[n] for n, e in state if e == 0), default=0.0)
-            wrong = max((self.whole[n] for n, e in state if e == 1 and self.depth[n] >= EDITABLE and self.whole[n] >= self.editable), default=0.0)
+            wrong = max((self.whole[n] for n, e in state if e == 1 and self.depth[n] >= self.letters), default=0.0)
             self.value.append((right, 0.0 if right else wrong))
             self.stemmed.append(max((self.stem[n] for n, e in state if e == 0), default=0.0))
         return self.states[state]
@@ -185,15 +186,15 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], frozenset[str]
     stems = stems.where(sure & (F.col("toxic") >= STEM_SHARE * F.col("n")) & (F.col("words") >= STEM_WORDS)).select(F.concat("stem", F.lit("*")).alias("term"), "n", "toxic")
     found = words.where(sure).unionByName(stems)
     best = found.orderBy(F.col("toxic").desc(), "term").limit(ENTRIES).collect()
-    weights = {r["term"]: math.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5)) for r in best}  # log odds
-    # What a stem covers is not listed, and so not looked for with an edit either.
-    entries = {t: w for t, w in weights.items() if not any(t[:n] + "*" in weights for n in STEMS if t != t[:n] + "*")}
-    proper = words.where("n > toxic").select("term").mapInArrow(_near(entries), "term string").limit(ENTRIES).collect()
+    # Words that a stem covers stay: only words are looked for with an edit.
+    entries = {r["term"]: math.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5)) for r in best}  # log odds
+    near = words.where("n > toxic").select("term", "n").mapInArrow(_near(entries), "term string, n long")
+    proper = near.orderBy(F.col("n").desc(), "term").limit(ENTRIES).collect()
     return entries, frozenset(r["term"] for r in proper)
 
 
 def matcher(entries: dict[str, float], proper: frozenset[str] = frozenset()) -> Matcher:
-    return Matcher(entries, EDITABLE_WEIGHT * max(entries.values(), default=0.0), proper)
+    return Matcher(entries, proper, LEARNED_LETTERS)
 
 
 def _near(entries: dict[str, float]):
@@ -202,7 +203,7 @@ def _near(entries: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = matcher(entries)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if own.of(w)[1]], pa.string())], names=["term"])
+            yield batch.filter(pa.array([own.of(w)[1] > 0 for w in batch.column(0).to_pylist()], pa.bool_()))
 
     return run
 

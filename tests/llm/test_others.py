@@ -172,6 +172,18 @@ def test_matcher_is_levenshtein():
         assert matcher.of(word) == (right, 0.0 if right else wrong), word
 
 
+def test_rare_short_and_stemmed_entries_may_be_misspelled(spark):
+    """However frequent the top entry is, and whether a stem covers a word or not."""
+    toxic = ["idiot of all"] * 150 + ["wretchling here"] * 20 + ["scum of all"] * 15 + [f"blather{e} on" for e in ("ing", "ed", "er", "ous") for _ in range(15)]
+    rows = [(f"{t} we saw today", 1) for t in toxic] + [("we saw all of it here today, skum aside, and went on", 0)] * 300
+    entries, proper = toxicity.learn_lexicon(spark.createDataFrame(rows, "_text string, _label int"))
+    assert {"idiot", "wretchling", "scum", "blathering"} <= set(entries) and "blather*" in entries and "skum" in proper
+    matcher = toxicity.matcher(entries, proper)
+    for word, entry in (("idot", "idiot"), ("wretchlng", "wretchling"), ("scun", "scum"), ("bläthering", "blathering")):
+        assert matcher.of(word) == (0.0, entries[entry]), word
+    assert matcher.of("skum") == matcher.of("today") == (0.0, 0.0)
+
+
 def test_context_separates_quotation():
     matcher = toxicity.Matcher({"idiot": 3.0})
     abuse, quoted = toxicity.features("you are an idiot", matcher), toxicity.features('the report said "an idiot" was there', matcher)
