@@ -16,6 +16,15 @@ def normalise(a: Column) -> Column:
     return F.when(total(positive) > 0, F.transform(positive, lambda x: x / total(positive)))
 
 
+def normalise_or_even(a: Column | str) -> Column:
+    """On the simplex; even if nothing is positive, null only for a null or empty array. Values that are not finite count as 0."""
+    a = F.col(a) if isinstance(a, str) else a
+    positive = F.transform(a, lambda x: F.when(F.abs(x) < float("inf"), F.greatest(x.cast("double"), F.lit(0.0))).otherwise(0.0))
+    # the total is taken once, as the one element of an array
+    on = F.transform(F.array(total(positive)), lambda t: F.transform(positive, lambda x: F.when(t > 0, x / t).otherwise(F.lit(1.0) / F.size(positive))))
+    return F.when(F.size(a) > 0, F.get(on, F.lit(0)))
+
+
 def entropy(p: Column) -> Column:
     """In nats."""
     return total(F.transform(p, lambda x: F.when(x > 0, -x * F.log(x)).otherwise(0.0)))

@@ -370,7 +370,17 @@ SELECT vec_id, {r("list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN -x
   {r("CASE WHEN q IS NOT NULL THEN list_sum(list_transform(list_zip(p, q), lambda z: greatest(z[1], 1e-12) * ln(greatest(z[1], 1e-12) / greatest(z[2], 1e-12)))) END", "step_kl", 5)},
   CAST(CASE WHEN list_max(p) >= 0.4 THEN list_position(p, list_max(p)) - 1 ELSE -1 END AS INTEGER) AS gated FROM k""")
 def posterior_features(spark, sf_dir):
+    """Of the first eight components, as the SQL has them; posterior_features_whole takes all."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", posterior.normalise(F.slice("embedding", 1, 8)).alias("p")).where("p is not null")
+    return _posterior_features(rows)
+
+
+@query()
+def posterior_features_whole(spark, sf_dir):
+    return _posterior_features(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", posterior.normalise_or_even("embedding").alias("p")))
+
+
+def _posterior_features(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("q", F.lag("p").over(Window.partitionBy(F.floor(C("vec_id") / 100)).orderBy("vec_id")))
     p = C("p")
     return rows.select(

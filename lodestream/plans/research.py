@@ -27,14 +27,35 @@ W10 = "OVER (PARTITION BY block ORDER BY vec_id ROWS BETWEEN 9 PRECEDING AND CUR
 
 
 def probs(spark, sf_dir) -> DataFrame:
+    """Posteriors of the first five components, as the SQL has them."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return rows.select("vec_id", F.floor(C("vec_id") / 100).cast("long").alias("block"), posterior.normalise(F.slice("embedding", 1, 5)).alias("p")).where("p is not null")
 
 
+def whole_probs(spark, sf_dir) -> DataFrame:
+    """Posteriors of all components, a row for each vector."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select("vec_id", F.floor(C("vec_id") / 100).cast("long").alias("block"), posterior.normalise_or_even("embedding").alias("p"))
+
+
+def _width(rows: DataFrame) -> int:
+    """Components of a posterior, the most that a row has."""
+    return rows.agg(F.max(F.size("p"))).first()[0] or 1
+
+
 @query(f"""WITH {PROBS_SQL}, f AS (SELECT *, CASE WHEN state <> lag(state) {BLOCK} THEN 1 ELSE 0 END AS flip FROM st), g AS (SELECT *, sum(flip) OVER (PARTITION BY block ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
 SELECT vec_id, CAST(state AS INTEGER) AS state, {r(f"avg(flip) {W10}", "flip_rate")}, {r(f"stddev_pop(entropy) {W10}", "entropy_sd")}, {r(f"stddev_pop(top) {W10}", "top_sd")}, CAST(row_number() OVER (PARTITION BY block, run ORDER BY vec_id) AS INTEGER) AS dwell FROM g""")
 def posterior_dynamics(spark, sf_dir):
-    found = R.posterior_dynamics(probs(spark, sf_dir), "p", KV, 10).select("vec_id", "state", "flip_rate", "entropy_sd", "top_sd", "dwell")
+    return _dynamics(probs(spark, sf_dir))
+
+
+@query()
+def posterior_dynamics_whole(spark, sf_dir):
+    return _dynamics(whole_probs(spark, sf_dir))
+
+
+def _dynamics(rows: DataFrame) -> DataFrame:
+    found = R.posterior_dynamics(rows, "p", KV, 10).select("vec_id", "state", "flip_rate", "entropy_sd", "top_sd", "dwell")
     return tidied(found, "flip_rate", "entropy_sd", "top_sd")
 
 
@@ -44,9 +65,24 @@ def posterior_gates(spark, sf_dir):
     return R.gated(probs(spark, sf_dir), "p", KV, 0.4, 0.05, 0.8).select("vec_id", "gated_state")
 
 
+@query()
+def posterior_gates_whole(spark, sf_dir):
+    return R.gated(whole_probs(spark, sf_dir), "p", KV, 0.4, 0.05, 0.8).select("vec_id", "gated_state")
+
+
 @query(f"""WITH {PROBS_SQL} SELECT vec_id, {r(f"coalesce(lag(p[1], 3) {BLOCK}, 0.2)", "matured_first")}, {r("pow(greatest(p[1], 1e-12), 0.5) / list_sum(list_transform(p, lambda x: pow(greatest(x, 1e-12), 0.5)))", "tempered_first")} FROM pr""")
 def posterior_transforms(spark, sf_dir):
-    rows = R.matured(probs(spark, sf_dir), "p", KV, 3, 5)
+    return _transforms(probs(spark, sf_dir), 5)
+
+
+@query()
+def posterior_transforms_whole(spark, sf_dir):
+    rows = whole_probs(spark, sf_dir)
+    return _transforms(rows, _width(rows))
+
+
+def _transforms(rows: DataFrame, states: int) -> DataFrame:
+    rows = R.matured(rows, "p", KV, 3, states)
     return rows.select("vec_id", tidy(F.get("matured", F.lit(0))).alias("matured_first"), tidy(F.get(R.tempered(C("p"), 2.0), F.lit(0))).alias("tempered_first"))
 
 
@@ -260,19 +296,22 @@ def circular_shift_null(spark, sf_dir):
     return R.circular_shift_null(_tested(spark, sf_dir), "position", "ret", 500)
 
 
-def _chances(spark, sf_dir) -> DataFrame:
-    rows = probs(spark, sf_dir)
-    return rows.select("block", "vec_id", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(5)])
+def _chances(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    rows = whole_probs(spark, sf_dir)
+    columns = [f"p{i}" for i in range(_width(rows))]
+    return rows.select("block", "vec_id", *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(columns)]), columns
 
 
 @query()
 def posterior_smoothed(spark, sf_dir):
-    return M.run(_chances(spark, sf_dir), lambda: R.SmoothedPosterior([f"p{i}" for i in range(5)]), ("block",), "vec_id")
+    rows, columns = _chances(spark, sf_dir)
+    return M.run(rows, lambda: R.SmoothedPosterior(columns), ("block",), "vec_id")
 
 
 @query()
 def posterior_hysteresis(spark, sf_dir):
-    return M.run(_chances(spark, sf_dir), lambda: R.Hysteresis([f"p{i}" for i in range(5)], 0.35, 0.3, 2), ("block",), "vec_id")
+    rows, columns = _chances(spark, sf_dir)
+    return M.run(rows, lambda: R.Hysteresis(columns, 0.35, 0.3, 2), ("block",), "vec_id")
 
 
 @query()

@@ -6,6 +6,7 @@ import math
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from lodestream.plans import catalog
 from lodestream.plans.suite import hourly
@@ -47,3 +48,34 @@ def test_ratio_reads_every_order(spark):
         sums[str(r.o_orderdate)[:10]][r.o_orderpriority not in ("1-URGENT", "2-HIGH")] += r.o_totalprice
     got = {r.date: r.ratio for r in run(spark, "macro_ratio_whole")}
     assert got == {d: pytest.approx(a / b, abs=2e-6) if a and b else None for d, (a, b) in sums.items()}
+
+
+def test_posteriors_of_all_components(spark, tmp_path):
+    """A row for each vector, also where nothing is positive, and every component counts."""
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(60, 16))
+    vectors[7], vectors[9, :8], vectors[11, 15] = -1.0, -1.0, 50.0
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = np.maximum(vectors.astype("float32").astype(float), 0)
+    p = np.where(p.sum(axis=1, keepdims=True) > 0, p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300), 1 / 16)
+    entropy = -(p * np.log(np.where(p > 0, p, 1))).sum(axis=1)
+    run = lambda name: {r.vec_id: r for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    got = run("posterior_features_whole")
+    assert [got[i].entropy for i in range(60)] == pytest.approx(entropy, abs=2e-6) and [got[i].state for i in range(60)] == p.argmax(axis=1).tolist()
+    got = run("posterior_smoothed")
+    held = p[0]
+    for i in range(60):
+        held = held + 0.2 * (p[i] - held)
+        assert got[i].smoothed == pytest.approx(held / held.sum())
+    got = run("posterior_transforms_whole")
+    assert [got[i].matured_first for i in range(60)] == pytest.approx([1 / 16] * 3 + p[:-3, 0].tolist(), abs=2e-6)
+    top = np.sort(p, axis=1)[:, ::-1]
+    want = [-1]
+    for i in range(60):
+        passes = top[i, 0] >= 0.4 and top[i, 0] - top[i, 1] >= 0.05 and entropy[i] <= 0.8 * math.log(16)
+        want.append(int(p[i].argmax()) if passes else want[-1])
+    got = run("posterior_gates_whole")
+    assert [got[i].gated_state for i in range(60)] == want[1:] and 15 in want
+    got = run("posterior_dynamics_whole")
+    assert [got[i].state for i in range(60)] == p.argmax(axis=1).tolist()
+    assert len(run("posterior_hysteresis")) == 60
