@@ -4,7 +4,7 @@ Preference pairs are drawn from labelled documents, a good one before a bad one.
 The chance that a document is preferred is the logistic function of the
 difference of two scores, which are linear in features of the text; the weights
 minimise the logistic loss on feature differences. The threshold is the quantile
-of the scores that leaves out as many documents as are labelled bad.
+of the scores of all documents that leaves out the share that is labelled bad.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestream.llm.labelled import SAMPLE_ROWS, logistic, sample, sigmoid
-from lodestream.llm.scratch import without
+from lodestream.llm.scratch import save, without
 from lodestream.llm.words import slices
 
+#: Bins of a pass over the scores.
+BINS = 4096
 #: Preference pairs that the weights are learned from.
 PAIRS = 40_000
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -114,8 +116,42 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     drawn = np.random.default_rng(0)
     apart = z[drawn.choice(good, pairs)] - z[drawn.choice(bad, pairs)]
     weights = logistic(apart, np.ones(pairs), 1e-3)
-    raw = z @ weights
-    return Model(mean, scale, weights, float(np.quantile(raw, len(bad) / len(y))), 1.0)
+    model = Model(mean, scale, weights, 0.0, 1.0)
+    model.cut = quantile(save(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(_raw(model), "raw double"), "quality-raw"), "raw", len(bad) / len(y))
+    # a little lower, so that rounding does not part texts that meet the cut
+    model.cut -= 1e-9 * max(1.0, abs(model.cut))
+    return model
+
+
+def _raw(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = np.array([features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(model.weights))
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(x))], names=["raw"])
+
+    return run
+
+
+def quantile(df: DataFrame, column: str, share: float) -> float:
+    """The value below which this share of all rows lie, exactly and whatever the order of the rows; 0 without rows.
+
+    Rows are counted in bins, and those of the bin that holds the value again,
+    until it has one value: a few passes, of which BINS rows each reach the driver.
+    """
+    v = F.col(column)
+    all_ = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    if not all_.n:
+        return 0.0
+    lo, hi, rank = all_.lo, all_.hi, min(all_.n - 1, round(share * all_.n))
+    while lo < hi:
+        place = F.least(F.floor((v - lo) / (hi - lo) * BINS), F.lit(BINS - 1))
+        bins = df.where((v >= lo) & (v <= hi)).groupBy(place.alias("bin")).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()
+        for b in sorted(bins, key=lambda b: b.lo):
+            if rank < b.n:
+                break
+            rank -= b.n
+        lo, hi = b.lo, b.hi
+    return float(lo)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:

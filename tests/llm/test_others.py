@@ -203,6 +203,24 @@ def test_classifiers_on_held_out(spark, module, label, folds, held):
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_quality_threshold_is_of_all_documents(spark):
+    """Also where labels cover a part of the corpus that is unlike the rest."""
+    rng = random.Random(5)
+    text = lambda bad: " ".join("#$|" * rng.randrange(1, 3) if rng.random() < bad else f"word{rng.randrange(500)}" for _ in range(60))
+    rows = [(i, text(0.0 if i % 2 else 0.6)) for i in range(60)] + [(100 + i, text(i / 400)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = quality.score(docs, quality.fit(docs, labels, F.lit(True))).select("predicted").collect()
+    assert sum(r.predicted == 0 for r in got) == pytest.approx(180, abs=2)
+
+
+def test_exact_quantile(spark):
+    values = [random.Random(8).gauss(0, 1) ** 3 for _ in range(3)] + [0.5] * 500 + [float(i) for i in range(100)] + [1e9]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for share in (0.0, 0.3, 0.9, 0.99, 1.0):
+        assert quality.quantile(frame, "x", share) == sorted(values)[min(len(values) - 1, round(share * len(values)))]
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifier_troubles(spark, docs, clashing, no_docs, module):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None), (8, 1, 0), (8, 0, 0)], "doc_id long, toxic int, quality int")
