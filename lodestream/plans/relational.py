@@ -246,6 +246,13 @@ def panel_pivot(spark, sf_dir):
     return wide.select("ts", *[C(s).alias(f"close_{s}") for s in ("click", "purchase", "view")])
 
 
+@query()
+def panel_pivot_whole(spark, sf_dir):
+    """A column for each market that there is."""
+    wide = hourly(spark, sf_dir).groupBy("ts").pivot("symbol").agg(F.max("close"))
+    return wide.select("ts", *[C(f"`{c}`").alias(f"close_{c}") for c in wide.columns if c != "ts"])
+
+
 # labels and evaluation
 
 RUNS = f"runs AS (SELECT *, sum(c) {SO_FAR} AS run FROM (SELECT *, CASE WHEN state <> lag(state) {P} THEN 1 ELSE 0 END AS c FROM states WHERE state IS NOT NULL))"

@@ -251,25 +251,29 @@ def _panel(spark, sf_dir) -> DataFrame:
     return wide.withColumn("panel", F.lit("all")).dropna()
 
 
-def _pair(spark, sf_dir) -> DataFrame:
-    wide = _panel(spark, sf_dir)
-    a, b = [c for c in wide.columns if c not in ("ts", "panel")][:2]
-    return wide.select("panel", "ts", C(a).alias("first"), C(b).alias("second"))
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Closes of every two markets at the times that both have, each pair a key."""
+    closes = hourly(spark, sf_dir).select("ts", "symbol", "close")
+    side = lambda n: closes.select("ts", C("symbol").alias(f"{n}_market"), C("close").alias(n))
+    return side("first").join(side("second"), "ts").where("first_market < second_market")
+
+
+PAIR = ("first_market", "second_market")
 
 
 @query()
 def pair_rank_correlation(spark, sf_dir):
-    return M.run(_pair(spark, sf_dir), lambda: W.Rolling(63, W.rank_correlation, "rho double", ("first", "second")), ("panel",))
+    return M.run(_pairs(spark, sf_dir), lambda: W.Rolling(63, W.rank_correlation, "rho double", ("first", "second")), PAIR)
 
 
 @query()
 def pair_deviation(spark, sf_dir):
-    return M.run(_pair(spark, sf_dir), lambda: W.Rolling(20, W.spread_deviation, "deviation double", ("first", "second")), ("panel",))
+    return M.run(_pairs(spark, sf_dir), lambda: W.Rolling(20, W.spread_deviation, "deviation double", ("first", "second")), PAIR)
 
 
 @query()
 def pair_purified(spark, sf_dir):
-    return M.run(_pair(spark, sf_dir), lambda: W.Rolling(80, W.purified(20, 20, 20), "purified double", ("first", "second")), ("panel",))
+    return M.run(_pairs(spark, sf_dir), lambda: W.Rolling(80, W.purified(20, 20, 20), "purified double", ("first", "second")), PAIR)
 
 
 @query()

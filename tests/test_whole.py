@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from lodestream.operators import rolling_kernels as W
 from lodestream.plans import catalog
 from lodestream.plans.suite import hourly
 
@@ -79,3 +80,20 @@ def test_posteriors_of_all_components(spark, tmp_path):
     got = run("posterior_dynamics_whole")
     assert [got[i].state for i in range(60)] == p.argmax(axis=1).tolist()
     assert len(run("posterior_hysteresis")) == 60
+
+
+def test_every_market_and_pair(spark):
+    closes = defaultdict(dict)
+    for r in hourly(spark, DATA).collect():
+        closes[r.symbol][r.ts] = r.close
+    got = run(spark, "panel_pivot_whole")
+    assert {(s, r.ts): r[f"close_{s}"] for r in got for s in closes if r[f"close_{s}"] is not None} == {(s, t): v for s, rows in closes.items() for t, v in rows.items()}
+    pairs = {(a, b) for a in closes for b in closes if a < b}
+    for name, n, column in (("pair_rank_correlation", 63, "rho"), ("pair_deviation", 20, "deviation"), ("pair_purified", 80, "purified")):
+        got = run(spark, name)
+        assert {(r.first_market, r.second_market, r.ts) for r in got} == {(a, b, t) for a, b in pairs for t in closes[a].keys() & closes[b].keys()}
+        if column == "rho":
+            for r in got[::50]:
+                times = sorted(t for t in closes[r.first_market].keys() & closes[r.second_market].keys() if t <= r.ts)[-n:]
+                x = np.array([(closes[r.first_market][t], closes[r.second_market][t]) for t in times])
+                assert r.rho == (None if len(x) < n else pytest.approx(W.rank_correlation(x)[0]))
