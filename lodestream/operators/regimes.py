@@ -212,14 +212,16 @@ def fit_chain(x: np.ndarray, states: int, steps: int = 60, tol: float = 1e-7) ->
     return {"start": start[rank], "moves": moves[np.ix_(rank, rank)], "means": means[rank], "sds": sds[rank], "loglik": np.array(total)}
 
 
-def fit_chains(df: DataFrame, x: str, states: int, key: str = "symbol", time: str = "ts", most: int = 100_000) -> DataFrame:
+def fit_chains(df: DataFrame, x: str, states: int, key: str = "symbol", time: str = "ts", most: int | None = None) -> DataFrame:
     """A hidden Markov model per key: one row per state with its mean, deviation, row of moves, and the key's log likelihood.
 
-    A fit takes the last `most` rows of a key: the training window, as in every
-    walk-forward fit, and a bound on a task's memory.
+    A fit takes all rows of a key, which meet in one task. With `most` it takes
+    the last so many: a training window that the caller chooses.
     """
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(time).desc()))
-    window = df.where(F.col(x).isNotNull()).withColumn("_n", place).where(F.col("_n") <= most).select(key, time, x)
+    window = df.where(F.col(x).isNotNull()).select(key, time, x)
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(time).desc()))
+        window = window.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         values = rows.sort_values(time)[x].to_numpy(float)

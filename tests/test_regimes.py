@@ -91,6 +91,14 @@ def test_chain_is_recovered(spark):
     assert sorted((r.symbol, r.state) for r in got) == [("a", 0), ("a", 1)]
 
 
+def test_chains_take_all_rows(spark, monkeypatch):
+    """Of a long key too, unless the caller sets a window."""
+    monkeypatch.setattr(R, "fit_chain", lambda x, states: {"moves": np.eye(states), "means": np.full(states, x.mean()), "sds": np.ones(states), "loglik": np.array(len(x))})
+    frame = spark.range(100_500).selectExpr("'a' AS symbol", "timestamp_seconds(id) AS ts", "CAST(id AS DOUBLE) AS ret")
+    assert {(r.mean, r.loglik) for r in R.fit_chains(frame, "ret", 2).collect()} == {(50_249.5, 100_500.0)}
+    assert {(r.mean, r.loglik) for r in R.fit_chains(frame, "ret", 2, most=1_000).collect()} == {(99_999.5, 1_000.0)}
+
+
 def test_label_filters():
     got = rows_of(R.LeastDuration("s", 2), [(0,), (1,), (0,), (1,), (1,), (1,), (0,), (0,)])
     assert [g[0][0] for g in got] == [0, 0, 0, 0, 1, 1, 1, 0]
