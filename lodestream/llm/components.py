@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.scratch import save
+from lodestream.llm.scratch import save, spent
 
 
 class Forest:
@@ -59,26 +59,42 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(forest.edges(), schema, strict=True)], schema=schema)
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b), both nodes of each edge in either order."""
+#: A node with more than this share of all edges' ends is joined apart from the others: there are at most 1000.
+HUB_SHARE = 1e-3
+
+
+def _stars(edges: DataFrame, ends: int, large: bool) -> DataFrame:
+    """edges (a, b), both nodes of each edge in either order; ends: twice their number.
+
+    Minima are combined before the shuffle. The edges of hubs meet their minimum
+    by a broadcast of at most 1 / HUB_SHARE rows, the others by a shuffle in which
+    no node has many.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = both.where("b < a")
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("m"))
-    met = both.join(least, F.col("a") == F.col("at"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("at"), F.least("a", "m").alias("m"), "n")
+    least = save(least, "components-least")
+    bound = max(1000, int(ends * HUB_SHARE))
+    hubs = least.where(F.col("n") > bound).select(F.col("at").alias("hub"), F.col("m").alias("hub_m"))
+    told = both.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")
+    met = told.where("hub is not null").select("a", "b", F.col("hub_m").alias("m"))
+    met = met.unionByName(told.where("hub is null").select("a", "b").join(least.where(F.col("n") <= bound), F.col("a") == F.col("at")).select("a", "b", "m"))
     if large:  # larger neighbours move to the least neighbour
         moved = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # smaller neighbours and the node itself move to the least
         moved = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("at").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    out = save(moved.where("a <> b").distinct(), "components")
+    spent(least)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; root is the least node of its component.
 
     Nodes may be of any orderable type. Edges with a null and loops are ignored;
-    repeated edges count once. Without edges the result is empty. Hubs are
-    pre-aggregated, and joins on a hub are equi-joins whose skew AQE splits.
+    repeated edges count once. Without edges the result is empty. Superseded
+    rounds are deleted. A component of n nodes takes O(log^2 n) rounds.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     schema = edges.schema
@@ -89,7 +105,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = save(_stars(save(_stars(edges, True), "components"), False), "components")
+        half = _stars(edges, 2 * before[0], True)
+        spent(edges)
+        edges = _stars(half, 2 * half.count(), False)
+        spent(half)
         now = state(edges)
         if now == before:
             break

@@ -10,25 +10,31 @@ that is not empty, so that sets are never brought together by the absence of
 elements; the rare set with too many empty subsets is signed again under
 another cut of the domain.
 
-Sets that share a signature form clusters. A cluster's sets are sent to one task
-once, where links are tested exactly; clusters beyond a bound are cut into
-blocks, and every pair of blocks is one task. No pairs are written anywhere.
+Nearly all signatures belong to one set only, so they are moved as cheaply as
+can be: a task sorts what it signed, joins sets with equal signatures on the
+spot, and sends one packed block for each range of signatures. Sets of a band
+that share signatures form clusters. A cluster's sets are sent to one task once,
+where links are tested exactly; clusters beyond a bound are cut into blocks, and
+every pair of blocks is one task. No pairs are written anywhere.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestream.llm.components import components
-from lodestream.llm.scratch import save, without
-from lodestream.llm.words import U, WordHashes, odd, scramble, slices, texts
+from lodestream.llm.scratch import save, spent, without
+from lodestream.llm.words import U, WordHashes, odd, scramble, slices, spans, texts
 
 #: Second-level parts of a first-level part; subsets of all but one are enumerated.
 THIRDS = 3
@@ -44,24 +50,74 @@ BAND = 1.3
 BLOCK_SHINGLES = 1_500_000
 #: Sets of a cluster that are simply compared with each other.
 FEW = 6
-#: Ids of candidate sets that may be broadcast: 16 bytes each.
-BROADCAST_NODES = 2_000_000
+#: Signatures that a task sorts and packs at a time, those of a range, and bytes of text for each.
+FLUSH, RANGE_SIGNS, SIGN_BYTES = 2_000_000, 2_000_000, 5
+#: Bits of a signature beyond the logarithm of their number: one pair in 2^15 signatures meets by chance.
+SPARE_BITS = 15
+#: Bytes of a node's id, and bits below its band: 7 bits hold all bands.
+NODE_BYTES = 6
+NODE_HASH = 8 * NODE_BYTES - 7
+#: Sets that a task remembers so as not to sign their copies.
+SEEN = 1_000_000
 
 
-def shingles(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text, A-Z in lower case.
+class Sets(NamedTuple):
+    """Sorted distinct elements of some sets, one set after another, and where each begins, with the end."""
+
+    elements: np.ndarray
+    edges: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.edges)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.elements[self.edges[i] : self.edges[i + 1]]
+
+    def folded(self, values: np.ndarray, how: np.ufunc) -> np.ndarray:
+        """how over the values of each set; 0 for empty sets."""
+        out = np.zeros(len(self.edges) - 1, U)
+        held = self.sizes > 0
+        if held.any():
+            out[held] = how.reduceat(values, self.edges[:-1][held])
+        return out
+
+    def sums(self) -> np.ndarray:
+        return self.folded(self.elements, np.add)
+
+    def names(self) -> list[bytes | None]:
+        """128-bit names of the sets; none for empty ones."""
+        pair = np.stack((self.sums(), self.folded(scramble(self.elements + odd(11)), np.bitwise_xor)), axis=1)
+        return [row.tobytes() if n else None for row, n in zip(pair, self.sizes.tolist(), strict=True)]
+
+
+def shingle_sets(documents: list[bytes], n: int, hashes: WordHashes) -> Sets:
+    """The hashes of the n-word shingles of each text, A-Z in lower case.
 
     Of fewer words the whole sequence is one shingle; no words, no shingle.
     """
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, U)
-    h = hashes.of(words)
-    m = min(n, len(h))
-    total = np.zeros(len(h) - m + 1, U) + odd(100 + m)
-    for i in range(m):
-        total += scramble(h[i : len(h) - m + 1 + i] + odd(i))
-    return np.unique(scramble(total))
+    h, edges = hashes.flat([t.lower().split() for t in documents])
+    lengths = np.diff(edges)
+    counts = np.where(lengths > 0, np.maximum(lengths - n + 1, 1), 0)
+    whole = max(0, len(h) - n + 1)
+    total = np.full(whole, odd(100 + n), U)
+    for i in range(n):
+        total += h[i : i + whole] * odd(i)
+    ends = np.cumsum(counts)
+    out = np.empty(ends[-1] if len(ends) else 0, U)
+    long = lengths >= n
+    out[np.repeat(long, counts)] = total[spans(edges[:-1][long], counts[long])]
+    for d in np.flatnonzero((lengths > 0) & ~long).tolist():
+        own = h[edges[d] : edges[d + 1]]
+        out[ends[d] - 1] = (own * np.array([odd(i) for i in range(len(own))], U)).sum(dtype=U) + odd(100 + len(own))
+    out = scramble(out)
+    starts = ends - counts
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        out[a:b].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[starts[counts > 0]] = True
+    return Sets(out[fresh], np.concatenate(([0], np.cumsum(fresh)))[np.concatenate(([0], ends))])
 
 
 class Bands:
@@ -72,6 +128,10 @@ class Bands:
         self.lows = [1]
         while self.lows[-1] < 1 << 40:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * BAND)))
+        every = range(len(self.lows) - 1)
+        self._k = np.array([self.differences(b) for b in every])
+        self._extra = np.array([self.extra(b) for b in every])
+        self._parts = np.array([self.parts(b) for b in every])
 
     def linked(self, both: int, a: int, b: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
@@ -91,163 +151,260 @@ class Bands:
         """First-level parts: at most differences // 2 of them hold two differences or more."""
         return self.differences(band) // 2 + 1 + self.extra(band)
 
-    def of(self, size: int) -> list[int]:
-        """The band of the set, and those above it that hold sets it may be linked with."""
-        first = last = int(np.searchsorted(self.lows, size, "right")) - 1
-        while self.num * self.lows[last + 1] <= self.den * size:
-            last += 1
-        return list(range(first, last + 1))
-
-
-def node_of(elements: np.ndarray) -> np.uint64:
-    """One 64-bit id of a set, for finding candidates only."""
-    return scramble(np.array([elements.sum(dtype=U)], U) + odd(7))[0]
-
-
-def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """64-bit signatures of a set, without repeats."""
-    out = [np.empty(0, U)]
-    for band in bands.of(len(elements)):
-        if bands.differences(band) == 0:
-            continue  # only equal sets are linked here
-        n1, extra = bands.parts(band), bands.extra(band)
-        for cut in range(CUTS):
-            placed = np.sort(scramble(elements + odd(200 + cut))) if cut else elements
-            cells = n1 * THIRDS
-            edges = np.arange(cells + 1, dtype=np.float64) * (2.0**64 / cells)
-            at = np.searchsorted(placed, edges[1:-1].astype(U))
-            at = np.concatenate(([0], at, [len(placed)]))
-            run = np.concatenate((np.zeros(1, U), np.cumsum(scramble(placed + odd(3)), dtype=U)))
-            sums = np.diff(run[at]).reshape(n1, THIRDS)
-            counts = np.diff(at).reshape(n1, THIRDS)
-            own = sums.sum(axis=1, dtype=U, keepdims=True) - sums
-            held = counts.sum(axis=1, keepdims=True) - counts
-            name = np.arange(n1 * THIRDS, dtype=U).reshape(n1, THIRDS) + (U(band) << U(40)) + (U(cut) << U(36))
-            signs = scramble(own ^ scramble(name + odd(5)))
-            # extra + 1 parts have a subset in common: if no more than extra parts have an empty
-            # subset, one that is common and not empty remains.
-            sure = int((held == 0).any(axis=1).sum()) <= extra
-            out.append(signs[held > 0] if sure or cut < CUTS - 1 else signs.ravel())
-            if sure:
-                break
-    return np.unique(np.concatenate(out))
-
-
-def _sign(n: int, bands: Bands):
-    """(signature, node) rows of the sets, each set once per task."""
+    def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, band): the band of each set, and those above it that hold sets it may be linked with.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for batch in slices(batches):
-            signs, nodes = [], []
-            for text in texts(batch.column(0)):
-                elements = shingles(text, n, hashes)
-                if len(elements) and (node := int(node_of(elements))) not in seen:
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(node)
-                    signs.append(signatures(elements, bands))
-                    nodes.append(np.full(len(signs[-1]), node, U))
-            if signs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (signs, nodes)], names=["sign", "node"])
+        Bands in which only equal sets are linked are left out, as are empty sets.
+        """
+        first = np.searchsorted(self.lows, sizes, "right") - 1
+        last = np.searchsorted(self.lows, self.den * sizes // self.num, "right") - 1
+        counts = np.where(sizes > 0, last - first + 1, 0)
+        at, band = np.repeat(np.arange(len(sizes)), counts), spans(first, counts)
+        apart = self._k[band] > 0
+        return at[apart], band[apart]
+
+
+def nodes_of(sums: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Ids of sets in bands, for finding candidates only; the band is on top."""
+    return (scramble(sums + odd(7) + band.astype(U) * odd(8)) >> U(64 - NODE_HASH)) + (band.astype(U) << U(NODE_HASH))
+
+
+class Cells(NamedTuple):
+    """The elements of some sets by second-level part: a hash of them and their number, and where each set's cells end."""
+
+    sums: np.ndarray
+    counts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, sets: Sets, at: np.ndarray, cells: np.ndarray, cut: int = 0) -> Cells:
+        """Of the sets at[i], in cells[i] cells each."""
+        sizes, ends = sets.sizes[at], np.cumsum(cells)
+        placed = sets.elements[spans(sets.edges[at], sizes)]
+        if cut:
+            placed = scramble(placed + odd(200 + cut))
+        cell = (placed.astype(np.float64) * np.repeat(cells / 2.0**64, sizes)).astype(np.int64)
+        cell = np.minimum(cell, np.repeat(cells - 1, sizes)) + np.repeat(ends - cells, sizes)
+        if cut:
+            order = np.argsort(cell, kind="stable")
+            placed, cell = placed[order], cell[order]
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        sums = np.zeros(ends[-1], U)
+        sums[cell[first]] = np.add.reduceat(scramble(placed + odd(3)), first)
+        return cls(sums, np.bincount(cell, minlength=ends[-1]), ends)
+
+
+def signatures(sets: Sets, at: np.ndarray, band: np.ndarray, bands: Bands, cut: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(64-bit signatures, place in `at` of each one's set) of sets at[i] in bands band[i], without repeats."""
+    if not len(at):
+        return
+    cells = bands._parts[band] * THIRDS
+    sums, counts, ends = Cells.of(sets, at, cells, cut)
+    sums, counts = sums.reshape(-1, THIRDS), counts.reshape(-1, THIRDS)
+    own = sums.sum(axis=1, dtype=U, keepdims=True) - sums
+    held = counts.sum(axis=1, keepdims=True) - counts > 0
+    name = (spans(np.zeros(len(at), np.int64), cells) + np.repeat((band << 40) + (cut << 36), cells)).astype(U)
+    signs = scramble(own.ravel() ^ scramble(name + odd(5)))
+    # extra + 1 parts have a subset in common: if no more than extra parts have an empty subset, one
+    # that is common and not empty remains.
+    bare = np.add.reduceat((~held.all(axis=1)).astype(np.int64), (ends - cells) // THIRDS)
+    unsure = bare > bands._extra[band]
+    keep = held.ravel() | np.repeat(unsure & (cut == CUTS - 1), cells)
+    yield signs[keep], np.repeat(np.arange(len(at)), cells)[keep]
+    if unsure.any() and cut < CUTS - 1:
+        rest = np.flatnonzero(unsure)
+        for s, i in signatures(sets, at[rest], band[rest], bands, cut + 1):
+            yield s, rest[i]
+
+
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The n low bytes of each number, plane by plane, so that planes of zeros pack well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(n, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :n] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _stars(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct signatures, the least node of each) and (hub, node): edges from it to the others, without repeats."""
+    order = np.argsort(signs, kind="stable")
+    signs, nodes = signs[order], nodes[order]
+    first = np.flatnonzero(np.concatenate(([True], signs[1:] != signs[:-1])))
+    hubs = np.minimum.reduceat(nodes, first)
+    hub = np.repeat(hubs, np.diff(np.concatenate((first, [len(signs)]))))
+    other = np.flatnonzero(hub != nodes)
+    a, b = hub[other], nodes[other]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return signs[first], hubs, a[fresh], b[fresh]
+
+
+class Packing(NamedTuple):
+    """How many bits of a signature are used, and how many of them name its range."""
+
+    bits: int
+    range_bits: int
+
+    @classmethod
+    def for_bytes(cls, size: int) -> Packing:
+        n = max(1, size // SIGN_BYTES)
+        return cls(min(64, max(32, math.ceil(math.log2(n + 1)) + SPARE_BITS)), max(0, math.ceil(math.log2(n / RANGE_SIGNS))))
+
+    def pack(self, signs: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[int, bytes, int, bytes, bytes]]:
+        """Sorted distinct signatures as (range, steps, bytes of a step, nodes, places among the nodes) for each range that has any."""
+        rest = U(self.bits - self.range_bits)
+        edges = np.searchsorted(signs >> rest, np.arange((1 << self.range_bits) + 1, dtype=U)) if self.range_bits else np.array([0, len(signs)])
+        for r in range(len(edges) - 1):
+            s, v = signs[edges[r] : edges[r + 1]], nodes[edges[r] : edges[r + 1]]
+            if not len(s):
+                continue
+            steps = np.diff(s, prepend=U(r) << rest)
+            width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+            own, place = np.unique(v, return_inverse=True)
+            at = (len(own).bit_length() + 7) // 8
+            if len(own) * NODE_BYTES + len(v) * at < len(v) * NODE_BYTES:
+                yield r, _planes(steps, width), width, _planes(own, NODE_BYTES), _planes(place, at)
+            else:
+                yield r, _planes(steps, width), width, _planes(v, NODE_BYTES), b""
+
+    def unpack(self, r: int, steps: bytes, width: int, nodes: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+        signs = np.cumsum(_numbers(steps, width), dtype=U) + (U(r) << U(self.bits - self.range_bits))
+        own = _numbers(nodes, NODE_BYTES)
+        return signs, own[_numbers(places, len(places) // len(signs)).astype(np.int64)] if places else own
+
+
+#: What a task sends: blocks of a range (from 0 on), edges, and one row for each document (range below 0).
+_MOVED = "range int, steps binary, width int, nodes binary, places binary, a long, b long, x long, n long, name binary, own array<long>"
+#: Ranges over which edges and documents are spread.
+_SPREAD = 4096
 
-    return run
 
+def _rows(schema: pa.Schema, rows: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of so many rows with these columns; the others are null."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
 
-def _stars_of_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sign, node) as edges from each signature's least node to its others."""
-    sign, hub, seen = None, None, set()
-    for batch in batches:
-        s, v = (batch.column(i).to_numpy() for i in (0, 1))
-        if not len(s):
-            continue
-        first = np.empty(len(s), bool)
-        first[0] = s[0] != sign
-        np.not_equal(s[1:], s[:-1], out=first[1:])
-        start = np.maximum.accumulate(np.where(first, np.arange(len(s)), -1))
-        hubs = np.where(start >= 0, v[start], hub if hub is not None else 0)
-        sign, hub = s[-1], hubs[-1]
-        other = hubs != v
-        pairs = [p for p in set(zip(hubs[other].tolist(), v[other].tolist(), strict=True)) if p not in seen]
-        if len(seen) > 500_000:
-            seen.clear()
-        seen.update(pairs)
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["a", "b"])
-
-
-def _describe(n: int, text: str):
-    """The rows, with the size, node and 128-bit name of each set."""
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+
+def _sign(n: int, bands: Bands, packing: Packing, schema: pa.Schema):
+    """Rows of (key, x, text) as what a task sends: see _MOVED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen, held, count, dealt = WordHashes(), set(), [], 0, 0
+
+        def flush():
+            signs, nodes, a, b = _stars(np.concatenate([s for s, _ in held]) >> U(64 - packing.bits), np.concatenate([v for _, v in held]))
+            packed = list(zip(*packing.pack(signs, nodes), strict=True))
+            names = ("range", "steps", "width", "nodes", "places")
+            yield _rows(schema, len(packed[0]), **{k: pa.array(v, schema.field(k).type) for k, v in zip(names, packed, strict=True)})
+            if len(a):
+                yield _rows(schema, len(a), range=pa.array(-1 - (a % U(_SPREAD)).astype(np.int32)), a=pa.array(a.astype(np.int64)), b=pa.array(b.astype(np.int64)))
+
         for batch in slices(batches):
-            sets = [shingles(t, n, hashes) for t in texts(batch.column(text))]
-            names = [s.sum(dtype=U).tobytes() + np.bitwise_xor.reduce(scramble(s + odd(11))).tobytes() if len(s) else None for s in sets]
-            more = [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s).view(np.int64) if len(s) else None for s in sets], pa.int64()), pa.array(names, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_n", "_node", "_set"])
+            sets = shingle_sets(texts(batch.column(2)), n, hashes)
+            at, band = bands.of(sets.sizes)
+            sums = sets.sums()
+            nodes = nodes_of(sums[at], band)
+            offsets = np.searchsorted(at, np.arange(batch.num_rows + 1))
+            own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(nodes.astype(np.int64)))
+            dealt += batch.num_rows
+            where = -1 - (np.arange(dealt, dealt + batch.num_rows) % _SPREAD)
+            yield _rows(schema, batch.num_rows, range=pa.array(where, pa.int32()), key=batch.column(0), x=batch.column(1), n=pa.array(sets.sizes, pa.int64()), name=pa.array(sets.names(), pa.binary()), own=own)
+            new = []
+            for i, s in enumerate(sums.tolist()):
+                if s not in seen:
+                    seen.add(s)
+                    new.append(i)
+            if len(seen) >= SEEN:
+                seen.clear()
+            chosen = np.isin(at, new)
+            own_nodes = nodes[chosen]
+            for signs, i in signatures(sets, at[chosen], band[chosen], bands):
+                held.append((signs, own_nodes[i]))
+                count += len(signs)
+            if count >= FLUSH:
+                yield from flush()
+                held, count = [], 0
+        if count:
+            yield from flush()
 
     return run
 
 
-def _cells(elements: np.ndarray, parts: int) -> np.ndarray:
-    """A byte for each second-level part, by the elements in it; different bytes tell of a difference there."""
-    edges = np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)
-    at = np.concatenate(([0], np.searchsorted(elements, edges.astype(U)), [len(elements)]))
-    run = np.concatenate((np.zeros(1, U), np.cumsum(scramble(elements + odd(3)), dtype=U)))
-    return (scramble(np.diff(run[at])) >> U(56)).astype(np.uint8)
+def _meet(packing: Packing, schema: pa.Schema):
+    """Rows sorted by range: signatures as edges; the others are handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush():
+            if len(held) > 1:  # within one block all signatures differ
+                signs, nodes = (np.concatenate(c) for c in zip(*held, strict=True))
+                _, _, a, b = _stars(signs, nodes)
+                if len(a):
+                    yield _rows(schema, len(a), a=pa.array(a.astype(np.int64)), b=pa.array(b.astype(np.int64)))
+
+        for batch in batches:
+            blocks = np.flatnonzero(batch.column(0).to_numpy() >= 0)
+            passed = batch.slice(0, blocks[0]) if len(blocks) else batch  # sorted: ranges below 0 come first
+            if passed.num_rows:
+                yield pa.RecordBatch.from_arrays([passed.column(f.name) for f in schema], schema=schema)
+            for i in blocks.tolist():
+                r, *packed = (batch.column(c)[i].as_py() for c in range(5))
+                if r != now:
+                    yield from flush()
+                    now, held = r, []
+                held.append(packing.unpack(r, *packed))
+        yield from flush()
+
+    return run
 
 
-def _links(names: list[bytes], sets: list[np.ndarray], blocks: list[int], bands: Bands) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links between sets; pairs that are joined already are not tested.
+def _links(names: list[bytes], own: list[np.ndarray], blocks: list[int], band: int, bands: Bands) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between sets of a band; pairs that are joined already are not tested.
 
     blocks: with two blocks, only pairs across them. Linked sets of a band differ
-    in at most k parts, so most pairs fall by a comparison of bytes; the rest are
+    in at most k cells, so most pairs fall by a comparison of bytes; the rest are
     compared in full.
     """
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i]))
-    sizes = np.array([len(sets[i]) for i in order])
-    block = np.array([blocks[i] for i in order])
+    order = sorted(range(len(own)), key=lambda i: (len(own[i]), names[i]))
+    own, names, block = [own[i] for i in order], [names[i] for i in order], np.array([blocks[i] for i in order])
+    sizes = np.array([len(s) for s in own])
     mixed = block.min() != block.max()
-    label = np.arange(len(order))
+    label = np.arange(len(own))
     found = []
-    if len(order) <= FEW:
-        for i, j in combinations(range(len(order)), 2):
-            if label[i] != label[j] and not (mixed and block[i] == block[j]):
-                a, b = sets[order[i]], sets[order[j]]
-                if bands.linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
-                    label[label == label[j]] = label[i]
-                    found.append((names[order[i]], names[order[j]]))
+
+    def test(i: int, j: int) -> None:
+        if label[i] != label[j] and bands.linked(len(np.intersect1d(own[i], own[j], assume_unique=True)), int(sizes[i]), int(sizes[j])):
+            label[label == label[j]] = label[i]
+            found.append((names[i], names[j]))
+
+    if len(own) <= FEW:
+        for i, j in combinations(range(len(own)), 2):
+            if not (mixed and block[i] == block[j]):
+                test(i, j)
         return found
-    members: dict[int, list[int]] = {}
-    for i, size in enumerate(sizes.tolist()):
-        for band in bands.of(size):
-            members.setdefault(band, []).append(i)
-    for band, inside in members.items():
-        if (k := bands.differences(band)) == 0 or len(inside) < 2:
-            continue
-        inside = np.array(inside)
-        own = np.flatnonzero(sizes[inside] >= bands.lows[band])  # the larger set of a pair is in its own band
-        if not len(own):
-            continue
-        cells = np.stack([_cells(sets[order[i]], bands.parts(band) * THIRDS) for i in inside])
-        for j in own:
-            i = inside[j]
-            first = int(np.searchsorted(sizes[inside], -(-int(sizes[i]) * bands.num // bands.den)))
-            rest = np.arange(first, j)
-            open_ = label[inside[rest]] != label[i]
-            if mixed:
-                open_ &= block[inside[rest]] != block[i]
-            if not open_.any():
-                continue
-            rest = rest[open_]
-            near = rest[np.count_nonzero((cells[first:j] if open_.all() else cells[rest]) != cells[j], axis=1) <= k]
-            for at in inside[near]:
-                if label[at] != label[i]:
-                    both = len(np.intersect1d(sets[order[at]], sets[order[i]], assume_unique=True))
-                    if bands.linked(both, int(sizes[at]), int(sizes[i])):
-                        label[label == label[at]] = label[i]
-                        found.append((names[order[i]], names[order[at]]))
+    sets = Sets(np.concatenate(own), np.concatenate(([0], np.cumsum(sizes))))
+    parts = np.full(len(own), bands.parts(band) * THIRDS)
+    cells = (scramble(Cells.of(sets, np.arange(len(own)), parts).sums) >> U(56)).astype(np.uint8).reshape(len(own), -1)
+    for i in np.flatnonzero(sizes >= bands.lows[band]):  # the larger set of a pair is in its own band
+        first = int(np.searchsorted(sizes, -(-int(sizes[i]) * bands.num // bands.den)))
+        open_ = label[first:i] != label[i]
+        if mixed:
+            open_ &= block[first:i] != block[i]
+        if open_.any():
+            rest = np.arange(first, i)[open_]
+            near = np.count_nonzero((cells[first:i] if open_.all() else cells[rest]) != cells[i], axis=1) <= bands.differences(band)
+            for j in rest[near]:
+                test(j, i)
     return found
 
 
@@ -258,18 +415,19 @@ def _verify(n: int, bands: Bands):
         hashes, key, names, sets, blocks = WordHashes(), None, [], [], []
 
         def flush():
-            found = _links(names, sets, blocks, bands) if len(names) > 1 else []
+            found = _links(names, sets, blocks, key[0] >> NODE_HASH, bands) if len(names) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
         for batch in slices(batches):
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            for k, block, name, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), texts(batch.column(5)), strict=True):
+            told = shingle_sets(texts(batch.column(5)), n, hashes)
+            for i, (k, block, name) in enumerate(zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 if k != key:
                     yield flush()
                     key, names, sets, blocks = k, [], [], []
                 if not names or names[-1] != name:  # sorted by set: repeats follow each other
                     names.append(name)
-                    sets.append(shingles(text, n, hashes))
+                    sets.append(told.of(i))
                     blocks.append(block)
         yield flush()
 
@@ -285,7 +443,6 @@ def jaccard_components(
     text: str = "text",
     carry: bool = True,
     block_shingles: int = BLOCK_SHINGLES,
-    broadcast_nodes: int = BROADCAST_NODES,
 ) -> DataFrame:
     """Adds n_shingles and component_id to every document.
 
@@ -303,39 +460,47 @@ def jaccard_components(
     """
     docs = without(docs, "n_shingles", "component_id")
     bands = Bands(num, den)
-    signed = docs.select(F.col(text).alias("_text")).mapInArrow(_sign(words, bands), "sign long, node long")
-    edges = signed.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(_stars_of_signatures, "a long, b long").distinct()
-    clusters = save(components(edges), "ngram-clusters")
-    clusters = clusters.select(F.col("node").alias("_in"), F.col("root").alias("_cluster"))
-    few = clusters.count() <= broadcast_nodes
-
     spare = [f"_c{i}" for i in range(len(docs.columns))]  # names that no operator's own column has
     key_col, text_col = spare[docs.columns.index(key)], spare[docs.columns.index(text)]
     rows = docs.toDF(*spare)
-    rows = rows if carry else rows.select(key_col, text_col)
-    more = [T.StructField("_n", T.LongType()), T.StructField("_node", T.LongType()), T.StructField("_set", T.BinaryType())]
-    told = rows.mapInArrow(_describe(words, text_col), T.StructType([*rows.schema.fields, *more]))
-    told = told.join(F.broadcast(clusters) if few else clusters, F.col("_node") == F.col("_in"), "left")
-    told = told.withColumn("_text", F.when(F.col("_cluster").isNotNull(), F.col(text_col)))
-    told = save(told.drop("_in", "_node", *([] if carry else [text_col])), "ngram-rows")
-
-    # One text of each set; copies are combined before the shuffle.
-    members = told.where("_cluster is not null").groupBy("_cluster", "_set", "_n").agg(F.min("_text").alias("_text"))
-    members = save(members, "ngram-sets")
-    held = members.groupBy("_cluster").agg(F.sum("_n").alias("_all"))
-    blocks = F.ceil(F.col("_all") / block_shingles).cast("int")
-    members = members.join(held, "_cluster").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_set"), F.col("_blocks")).cast("int"))
+    narrow = rows.select(F.col(key_col).alias("key"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"))
+    packing = Packing.for_bytes(rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+
+    moved = T.StructType([*T.StructType.fromDDL(_MOVED).fields, T.StructField("key", narrow.schema["key"].dataType)])
+    met = T.StructType([f for f in moved.fields if f.name in ("a", "b", "x", "n", "name", "own", "key")])
+    signed = narrow.mapInArrow(_sign(words, bands, packing, _arrow(moved)), moved)
+    told = save(signed.repartition("range").sortWithinPartitions("range").mapInArrow(_meet(packing, _arrow(met)), met), "ngram-told")
+    sets = told.where("a is null").select("key", "x", "n", "name", "own")
+    clusters = save(components(told.where("a is not null").select("a", "b")), "ngram-clusters")
+
+    # One document of each set of a cluster; copies are combined before the shuffle.
+    members = sets.select("key", "x", "n", "name", F.explode("own").alias("node")).join(clusters, "node")
+    members = members.groupBy(F.col("root").alias("cluster"), "name", "n").agg(F.min(F.struct("x", "key")).alias("of"))
+    members = save(members.select("cluster", "name", "n", F.col("of.key").alias("key"), F.col("of.x").alias("x")), "ngram-members")
+    spent(clusters)
+    held = members.groupBy("cluster").agg(F.sum("n").alias("all"))
+    members = members.join(held, "cluster").withColumn("blocks", F.ceil(F.col("all") / block_shingles).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    wanted = members.select(F.col("key").alias("_key"), F.col("x").alias("_x"), "cluster", "blocks", "block", "name")
+    found = narrow.join(wanted, (F.col("x") == F.col("_x")) & F.col("key").eqNullSafe(F.col("_key")))
     # Every pair of blocks once; a single block meets itself.
-    others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("_block", j).alias("i"), F.greatest("_block", j).alias("j")))
-    members = members.withColumn("_pair", F.explode(others)).select("_cluster", F.col("_pair.i").alias("_i"), F.col("_pair.j").alias("_j"), "_block", "_set", "_text")
-    members = members.repartition("_cluster", "_i", "_j").sortWithinPartitions("_cluster", "_i", "_j", "_set")
-    links = save(members.mapInArrow(_verify(words, bands), "a binary, b binary"), "ngram-links")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    found = found.withColumn("pair", F.explode(others)).select("cluster", "pair.i", "pair.j", "block", "name", "text")
+    found = found.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "name")
+    links = save(found.mapInArrow(_verify(words, bands), "a binary, b binary"), "ngram-links")
 
+    # By sets first, so that copies of one text are counted before they meet.
+    of_set = sets.where("name is not null").groupBy("name").agg(F.min("key").alias("least"))
     roots = components(links).select(F.col("node").alias("_linked"), F.col("root").alias("_root"))
-    named = told.drop("_text", "_cluster").join(roots, F.col("_set") == F.col("_linked"), "left").withColumn("_group", F.coalesce("_root", "_set")).drop("_linked", "_root")
-    least = named.where("_group is not null").groupBy("_group").agg(F.min(key_col).alias("_least"), F.count(F.lit(1)).alias("_size"))
-    least = least.where("_size > 1").select(F.col("_group").alias("_of"), "_least")
-    result = named.join(least, F.col("_group") == F.col("_of"), "left")
-    own = F.when(F.col("_of").isNull(), F.col(key_col)).otherwise(F.col("_least"))
-    kept = list(zip(spare, docs.columns, strict=True)) if carry else [(key_col, key)]
-    return result.select(*[F.col(s).alias(c) for s, c in kept], F.col("_n").alias("n_shingles"), own.alias("component_id"))
+    of_set = of_set.join(roots, F.col("name") == F.col("_linked"), "left").select(F.col("name").alias("_name"), "least", F.coalesce("_root", "name").alias("_group"))
+    least = of_set.groupBy(F.col("_group").alias("_of")).agg(F.min("least").alias("_least"))
+    of_set = of_set.join(least, F.col("_group") == F.col("_of")).select("_name", "_least")
+    own = F.when(F.col("_name").isNull(), F.col("key")).otherwise(F.col("_least"))
+    result = sets.join(of_set, F.col("name") == F.col("_name"), "left").select("key", "x", "n", own.alias("component"))
+    if not carry:
+        return result.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # Rows with the same key and text have the same result.
+    result = result.select(F.col("key").alias("_key"), F.col("x").alias("_x"), "n", "component").distinct()
+    result = rows.join(result, (F.xxhash64(text_col) == F.col("_x")) & F.col(key_col).eqNullSafe(F.col("_key")))
+    kept = zip(spare, docs.columns, strict=True)
+    return result.select(*[F.col(s).alias(c) for s, c in kept], F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -8,40 +8,61 @@ gives the optimizer sizes.
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/lodestream/{spark.sparkContext.applicationId}"
+    """The application's part of the session's spark.checkpoint.dir; in local mode the warehouse will do where that is unset.
 
+    It is deleted when the driver ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/lodestream/{spark.sparkContext.applicationId}"
+    if not getattr(spark.sparkContext, "_lodestream_scratch", False):
+        path, system = _hadoop(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        spark.sparkContext._lodestream_scratch = True
+    return folder
 
-#: Paths handed out so far, oldest first.
-_paths: list[str] = []
+
+def _hadoop(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: Paths that this thread of control has been handed, oldest first. Runs in other threads have lists of their own.
+_paths: ContextVar[tuple[str, ...]] = ContextVar("lodestream_paths", default=())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _paths.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}")
-    return _paths[-1]
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _paths.set((*_paths.get(), path))
+    return path
 
 
 def mark() -> int:
     """A point in the list of tables, for since()."""
-    return len(_paths)
+    return len(_paths.get())
 
 
 def since(point: int) -> list[str]:
-    return _paths[point:]
+    return list(_paths.get()[point:])
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Delete written tables that no result needs any more."""
     for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = _hadoop(spark, name)
+        system.delete(path, True)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -49,12 +70,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved._lodestream_path = path
+    return saved
+
+
+def spent(*saved: DataFrame) -> None:
+    """Delete tables that save() returned and that nothing will read again."""
+    for df in saved:
+        delete(df.sparkSession, [df._lodestream_path])
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all that this application wrote; call once its results are stored."""
-    delete(spark, [shared_folder(spark)])
+    """Delete all that this application wrote so far; for a driver that goes on once its results are stored."""
+    system_path, system = _hadoop(spark, shared_folder(spark))
+    system.delete(system_path, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

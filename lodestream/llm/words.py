@@ -8,6 +8,7 @@ of [^\\x20\\x09-\\x0D]+.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,11 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), U, len(words))
 
+    def flat(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of some texts, one text after another, and the places where each begins, with the end."""
+        edges = np.cumsum([0, *map(len, split)])
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(split)), U, edges[-1]), edges
+
 
 def scramble(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64's finish)."""
@@ -53,3 +59,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The integers of all ranges [start, start + count), one range after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)

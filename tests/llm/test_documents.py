@@ -99,7 +99,7 @@ def test_jaccard_components(spark, n, num, den):
     rows = near_copies(n)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = expected_components(rows, n, num, den)
-    for options in ({}, {"block_shingles": 60, "broadcast_nodes": 0}):
+    for options in ({}, {"block_shingles": 60}):
         got = ngram_join.jaccard_components(frame, n, num, den, **options).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
@@ -120,6 +120,11 @@ def test_partenum_loses_no_link():
     rng = np.random.default_rng(3)
     for num, den in ((4, 5), (85, 100), (1, 2)):
         bands = ngram_join.Bands(num, den)
+
+        def signs(elements, bands=bands):
+            sets = ngram_join.Sets(elements, np.array([0, len(elements)]))
+            return np.concatenate([s for s, _ in ngram_join.signatures(sets, *bands.of(sets.sizes), bands)] or [elements[:0]])
+
         for size in (1, 2, 5, 6, 7, 11, 20, 57, 200, 1500):
             for _ in range(30):
                 base = rng.integers(0, 2**64, size, dtype=np.uint64, endpoint=False)
@@ -127,7 +132,30 @@ def test_partenum_loses_no_link():
                 base = np.unique(base)
                 both = len(np.intersect1d(base, other))
                 if len(other) and bands.linked(both, len(base), len(other)) and both < max(len(base), len(other)):
-                    assert len(np.intersect1d(ngram_join.signatures(base, bands), ngram_join.signatures(other, bands)))
+                    assert len(np.intersect1d(signs(base), signs(other)))
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**48 - 1)), min_size=1, max_size=200, unique_by=lambda x: x[0]), st.integers(0, 10**12))
+def test_packing(rows, size):
+    """What is packed comes back, whatever the number of ranges."""
+    import numpy as np
+
+    packing = ngram_join.Packing.for_bytes(size)._replace(range_bits=min(6, ngram_join.Packing.for_bytes(size).range_bits))
+    signs, first = np.unique(np.array([s for s, _ in rows], np.uint64) >> np.uint64(64 - packing.bits), return_index=True)
+    nodes = np.array([v for _, v in rows], np.uint64)[first]
+    back = [packing.unpack(*block) for block in packing.pack(signs, nodes)]
+    assert np.array_equal(np.concatenate([s for s, _ in back]), signs) and np.array_equal(np.concatenate([v for _, v in back]), nodes)
+
+
+def test_shingles_of_a_batch():
+    """A batch of texts gives each text's own set."""
+    batch = [(t or "").encode() for _, t, _ in ROWS]
+    for n in (1, 4, 5):
+        whole = ngram_join.shingle_sets(batch, n, ngram_join.WordHashes())
+        for i, text in enumerate(batch):
+            alone = ngram_join.shingle_sets([text], n, ngram_join.WordHashes())
+            w = text.lower().split()
+            assert whole.of(i).tolist() == alone.of(0).tolist() and len(whole.of(i)) == len({tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))} if w else ())
 
 
 def test_components(spark):

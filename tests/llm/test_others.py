@@ -262,6 +262,27 @@ def test_pipeline_stages(spark):
     assert all(np.frombuffer(r.ids, "<u4").tolist() == LIBRARY.encode(r.text, add_special_tokens=False).ids for r in out)
 
 
+def test_pipeline_troubles(spark, clashing, no_docs):
+    """Nulls, white space, repeated rows, a very long text, names that operators use, and no rows at all."""
+    extra = [c for c in clashing.columns if c not in ("doc_id", "text", "source")]
+    before = clashing
+    for name, stage in corpus_pipeline.STAGES:
+        after = scratch.save(stage(spark, before, DATA), f"trouble-{name}")
+        assert after.columns[: len(clashing.columns)] == clashing.columns
+        rows = after.collect()
+        assert all(tuple(r[c] for c in extra) == (1, 2, "n", "t", 3, "s", 4, 5, 6, "h", 7, "z") for r in rows)
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+        if name == "exact_dedup":  # 4, 5 are empty, 6, 7 one space; repeated rows are one
+            assert [k for none, k in ids if not none] == [1, 3, 4, 6, 8, 10, 11, 12, 13] and ids[-1][0] and len(ids) == 10
+        if name == "ngram_join":  # 1 and 12 differ by case, 8 and 10 by a word
+            assert [k for none, k in ids if not none] == [1, 3, 4, 6, 8, 11, 13] and len(ids) == 8
+        if name == "source_mixing":  # what has no words is never taken
+            assert rows and not {4, 6} & {r.doc_id for r in rows}
+        before = after
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, DATA).collect() == []
+
+
 def test_pipeline_run(spark):
     again = [Counter((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, DATA).collect()) for _ in range(2)]
     assert again[0] == again[1] and again[0]
