@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import bpe, mixing, toxicity
@@ -13,64 +14,87 @@ from lodestream.llm.exact_dedup import exact_dedup
 from lodestream.llm.labelled import fold
 from lodestream.llm.ngram_join import jaccard_components
 from lodestream.llm.queries import MAX_EPOCHS, RAMPS, TOKENIZER, WEIGHTS
-from lodestream.llm.scratch import delete, mark, save, since
+from lodestream.llm.scratch import delete, mark, save, since, spent
 
-#: Ids of near copies that may be broadcast, 16 bytes each.
-BROADCAST_ROWS = 1_000_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def hidden(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with its further columns under names that no operator uses, and the columns as they were."""
+    names = [c if c in ("doc_id", "text", "source") else f"_p{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(new).alias(old) for new, old in zip(names, docs.columns, strict=True)]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.3."""
+    """Documents whose toxicity score is below 0.3, each as often as it came.
+
+    Null and empty texts score as texts without hits and stay; equal texts fare
+    alike. Labels with a null teach nothing; without labels every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, fold(F.col("_key"), 4) != 2)
-    return toxicity.score(docs, model, 0.3).where("predicted = 0").select(docs.columns)
+    rows, columns = hidden(docs)
+    return toxicity.score(rows, model, 0.3).where("predicted = 0").select(columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text; white space aside."""
-    return exact_dedup(docs).where("kept").select(docs.columns)
+    """One document of each text, white space aside: the one with the least id.
+
+    Null and empty texts are one text. Of rows with the same id any one stays;
+    an id of null comes last.
+    """
+    rows, columns = hidden(docs)
+    return exact_dedup(rows).where("kept").select(columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by five-word shingles at 0.8 or more: the one with the least id.
 
     A row is known by its id and a hash of its text, so rows without an id are
-    told apart too. Documents without words are linked with nothing and stay.
+    told apart too; an id of null comes first. Rows that are alike in both stay
+    or go together: the stage before leaves one of them. Documents without words
+    are linked with nothing and stay.
     """
-    known = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    rows, columns = hidden(docs)
+    known = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
     found = jaccard_components(known, words=5, num=4, den=5, key="key", carry=False)
-    gone = save(found.where("key <> component_id").select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h")).distinct(), "near-copies")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_h")), "left_anti")
+    gone = found.where("key <> component_id").select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h")).distinct()
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti").select(columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, a row for each time, in training order."""
-    return mixing.emit(mixing.mix(docs, WEIGHTS, RAMPS, MAX_EPOCHS)).select(docs.columns)
+    """The documents that the mix takes, a row for each time, in training order.
+
+    Documents without words are never taken; a null source is one source.
+    """
+    rows, columns = hidden(docs)
+    return mixing.emit(mixing.mix(rows, WEIGHTS, RAMPS, MAX_EPOCHS)).select(columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids and the text that these decode to."""
+    """The documents with n_tokens, ids and the decoded text; null is as empty.
+
+    Columns of these names are replaced.
+    """
     return bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER))
 
 
-#: Tables that the last stage worked with.
-_spent: list[str] = []
+#: Tables that the last stage of this thread of control worked with.
+_spent: ContextVar[tuple[str, ...]] = ContextVar("pipeline_spent", default=())
 
 
 def tidy(stage: Stage) -> Stage:
     """A stage that first deletes what the stage before it worked with.
 
     A stage's result is written before the next one begins, so the tables that
-    it was made from are no longer needed.
+    it was made from are no longer needed. Runs in other threads have their own.
     """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, _spent)
+        delete(spark, list(_spent.get()))
         point = mark()
         out = stage(spark, docs, sf_dir)
-        _spent[:] = since(point)
+        _spent.set(tuple(since(point)))
         return out
 
     return run_stage
@@ -83,7 +107,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage, over the table documents.
+
+    Without documents the result is empty; other columns of theirs are kept.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            spent(last)
+        last = docs
     return docs
