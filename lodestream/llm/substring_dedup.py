@@ -1,13 +1,14 @@
 """Substring dedup: windows of words that start more than once, behind a count-min prefilter.
 
 First pass: every partition sketches its windows, and the sketches are merged
-into one count-min sketch. A window is represented in the sketch by one of its
-grams, the one with the least hash (the first such); a repeated window picks the
-same gram at each of its places, so the sketch counts distinct picked places and
-never falls below a window's count, at a twelfth of the counters.
+into one count-min sketch. A window is represented in the sketch by the least of
+its gram hashes; a repeated window picks the same gram at each of its places, so
+the sketch counts the places where a least gram of a window lies and never falls
+below a window's count, at a twelfth of the counters.
 
 Second pass: only windows that the sketch takes for repeated are shuffled, by a
-128-bit hash of their words, and counted exactly. Those that occur once are what
+128-bit hash of their words (two hashes that share neither the words' hashes nor
+the base), and counted exactly. Those that occur once are what
 the sketch was wrong about; each belongs to one text, and they alone are sent
 back to it. The windows that remain cover the words to remove.
 """
@@ -15,6 +16,8 @@ back to it. The windows that remain cover the words to remove.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestream.llm.scratch import without
-from lodestream.llm.words import U, WordHashes, odd, scramble, slices, texts
+from lodestream.llm.words import U, WordHashes, odd, scramble, slices, spans, texts
 
 GRAM = 12
 DEPTH = 2
@@ -31,33 +34,56 @@ DEPTH = 2
 CELLS_PER_GRAM, MIN_BITS, MAX_BITS = 8, 16, 29
 #: Cells that a task collects before it hands them on.
 FLUSH = 1_000_000
-_BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
+#: Of the polynomial hashes, and the seed of the second one's word hashes: the two share nothing.
+_BASES, _SEED = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)), 41
+_INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in _BASES)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
+@lru_cache(maxsize=8)
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.full(n, U(base), U)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
-def _runs(h: np.ndarray, width: int, base: np.uint64, inverse: np.uint64) -> np.ndarray:
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    if n > 1 << 24:  # a text longer than any slice: not worth keeping
+        return _powers_of.__wrapped__(int(base), n)
+    return _powers_of(int(base), 1 << max(10, (n - 1).bit_length()))[:n]
+
+
+def _runs(h: np.ndarray, width: int, which: int) -> np.ndarray:
     """A polynomial hash of every run of so many words, from prefix sums modulo 2^64."""
-    n = len(h) - width + 1
-    total = np.concatenate((np.zeros(1, U), np.cumsum(h * _powers(base, len(h)), dtype=U)))
-    return (total[width:] - total[:n]) * _powers(inverse, n)
+    n = max(0, len(h) - width + 1)
+    total = np.concatenate((np.zeros(1, U), np.cumsum(h * _powers(_BASES[which], len(h)), dtype=U)))
+    return (total[len(total) - n :] - total[:n]) * _powers(_INVERSES[which], n)
 
 
-_INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in _BASES)
+def _slide(x: np.ndarray, width: int, how: np.ufunc) -> np.ndarray:
+    """how over every run of so many numbers, by doubling."""
+    n = 1
+    while 2 * n <= width:
+        x, n = how(x[: max(0, len(x) - n)], x[n:]), 2 * n
+    return how(x[: max(0, len(x) - (width - n))], x[width - n :]) if n < width else x
+
 
+def picked(h: np.ndarray, edges: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, starts, least) of texts that lie one after another, with bounds `edges`.
 
-def picked(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, place): the hash of every gram, and the place of the gram that each window picks."""
-    grams = scramble(_runs(h, gram, _BASES[0], _INVERSES[0]) + odd(21))
-    span = np.lib.stride_tricks.sliding_window_view(grams, width - gram + 1)
-    place = np.empty(len(span), np.int64)
-    for at in range(0, len(span), 1 << 16):  # bounded work for very long texts
-        place[at : at + (1 << 16)] = span[at : at + (1 << 16)].argmin(axis=1)
-    return grams, place + np.arange(len(span))
+    starts: of all windows within a text; least: the least gram hash of each,
+    which is the gram that the window picks; places: hashes of the grams that are
+    picked, one for each place that a window's pick may be at.
+    """
+    grams = scramble(_runs(h, gram, 0) + odd(21))
+    span = width - gram + 1
+    starts = spans(edges[:-1], np.maximum(np.diff(edges) - width + 1, 0))
+    if not len(starts):
+        return grams[:0], starts, grams[:0]
+    least = _slide(grams, span, np.minimum)[starts]
+    # A gram is picked if one of the windows that cover it has no lesser one.
+    held = np.zeros(len(grams) + span - 1, U)
+    held[starts + span - 1] = least
+    return grams[_slide(held, span, np.maximum) == grams], starts, least
 
 
 def cells(grams: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -76,45 +102,51 @@ def _sketch(width: int, gram: int, bits: int):
             return pa.RecordBatch.from_arrays([pa.array(at), pa.array(count.astype(np.int64))], names=["cell", "n"])
 
         for batch in slices(batches):
-            for text in texts(batch.column(0)):
-                if len(words := text.split()) >= width:
-                    grams, place = picked(hashes.of(words), width, gram)
-                    held += cells(grams[np.unique(place)], bits)
-                    n += len(held[-1])
+            places, _, _ = picked(*hashes.flat([t.split() for t in texts(batch.column(0))]), width, gram)
+            held += cells(places, bits)
+            n += len(places)
             if n >= FLUSH:
                 yield flush()
                 held, n = [], 0
-        if held:
+        if n:
             yield flush()
 
     return run
 
 
-def _estimated(h: np.ndarray, width: int, gram: int, bits: int, sketch: np.ndarray) -> np.ndarray:
+def _estimated(h: np.ndarray, edges: np.ndarray, width: int, gram: int, bits: int, sketch: np.ndarray) -> np.ndarray:
     """Starts of the windows whose estimated count is two or more."""
-    grams, place = picked(h, width, gram)
-    often = np.ones(len(grams), bool)
-    for at in cells(grams, bits):
+    _, starts, least = picked(h, edges, width, gram)
+    if not len(starts):
+        return starts
+    fresh = np.concatenate(([True], least[1:] != least[:-1]))  # neighbours mostly pick the same
+    asked = least[fresh]
+    often = np.ones(len(asked), bool)
+    for at in cells(asked, bits):
         often &= (sketch[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-    return np.flatnonzero(often[place])
+    return starts[often[np.cumsum(fresh) - 1]]
 
 
 def _candidates(width: int, gram: int, bits: int, sketch):
+    """(h1, h2, a, b, at): the words of each window as 128 bits, and the text and place it is from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), np.frombuffer(sketch.value, np.uint8)
+        hashes, others, table = WordHashes(), WordHashes(_SEED), np.frombuffer(sketch.value, np.uint8)
         for batch in slices(batches):
-            out = []
-            for text, a, b in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if len(words := text.split()) >= width:
-                    h = hashes.of(words)
-                    at = _estimated(h, width, gram, bits, table)
-                    if len(at):
-                        # the second hash runs over other word hashes and another base
-                        one = _runs(h, width, _BASES[0], _INVERSES[0])[at]
-                        two = _runs(scramble(h + odd(41)), width, _BASES[1], _INVERSES[1])[at]
-                        out.append((scramble(one).view(np.int64), scramble(two).view(np.int64), np.full(len(at), a), np.full(len(at), b, np.int32), at.astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h1", "h2", "a", "b", "at"])
+            split = [t.split() for t in texts(batch.column(0))]
+            h, edges = hashes.flat(split)
+            at = _estimated(h, edges, width, gram, bits, table)
+            if not len(at):
+                continue
+            doc = np.searchsorted(edges, at, "right") - 1
+            # the second hash is over other word hashes and another base, of the texts that need it
+            own, place = np.unique(doc, return_inverse=True)
+            more, bounds = others.flat([split[d] for d in own.tolist()])
+            inside = at - edges[doc]
+            one, two = _runs(h, width, 0)[at], _runs(more, width, 1)[bounds[place] + inside]
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False)[doc] for i in (1, 2))
+            columns = [scramble(one).view(np.int64), scramble(two).view(np.int64), a, b, inside.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "a", "b", "at"])
 
     return run
 
@@ -123,22 +155,22 @@ def _remove(width: int, gram: int, bits: int, sketch, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = WordHashes(), np.frombuffer(sketch.value, np.uint8)
         for batch in slices(batches):
-            total, gone, kept = [], [], []
-            for t, once in zip(texts(batch.column(text)), batch.column("_once").to_pylist(), strict=True):
-                words = t.split()
-                cover = np.zeros(len(words), bool)
-                if len(words) >= width:
-                    at = _estimated(hashes.of(words), width, gram, bits, table)
-                    if once:
-                        at = at[~np.isin(at, once)]
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    edge[at] += 1  # starts are distinct, and so are ends
-                    edge[at + width] -= 1
-                    cover = np.cumsum(edge)[:-1] > 0
-                total.append(len(words))
-                gone.append(int(cover.sum()))
-                kept.append(b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c] if gone[-1] else words))
-            more = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            split = [t.split() for t in texts(batch.column(text))]
+            h, edges = hashes.flat(split)
+            edge = np.zeros(len(h) + 1, np.int64)
+            at = _estimated(h, edges, width, gram, bits, table)
+            edge[at] += 1  # starts are distinct, and so are ends
+            edge[at + width] -= 1
+            for d in np.flatnonzero(batch.column("_once").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                once = np.array(batch.column("_once")[d].as_py(), np.int64) + edges[d]
+                edge[once] -= 1
+                edge[once + width] += 1
+            cover = np.cumsum(edge)[:-1] > 0
+            counted = np.concatenate(([0], np.cumsum(cover)))[edges]
+            gone = np.diff(counted)
+            stay = ~cover
+            kept = [b" ".join(compress(w, stay[a:b].tolist()) if n else w) for w, n, a, b in zip(split, gone.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            more = [pa.array(np.diff(edges), pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             old = batch.drop_columns(["_once"])
             yield pa.RecordBatch.from_arrays([*old.columns, *more], names=[*old.schema.names, "_words", "_gone", "_kept"])
 
@@ -174,7 +206,7 @@ def remove_repeats(
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     grams = size / 6.5 * 2 / (width - gram + 2)
     bits = int(np.clip(np.ceil(np.log2(CELLS_PER_GRAM * grams + 1)), MIN_BITS, max_bits))
-    one = docs.select(F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("a"), F.octet_length(text).alias("b"))
+    one = docs.select(F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(_SEED), F.col(text)).alias("b"))
     counted = one.select("_text").mapInArrow(_sketch(width, gram, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
     blocks = counted.groupBy(F.shiftright("cell", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(32767)).alias("bits"))
     table = np.zeros(max(1, (DEPTH << bits) >> 15) * 4096, np.uint8)  # the merged sketch: a bit for a count of two or more
@@ -182,7 +214,7 @@ def remove_repeats(
         table[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
     sketch = spark.sparkContext.broadcast(table.tobytes())
 
-    found = one.mapInArrow(_candidates(width, gram, bits, sketch), "h1 long, h2 long, a long, b int, at int")
+    found = one.mapInArrow(_candidates(width, gram, bits, sketch), "h1 long, h2 long, a long, b long, at int")
     exact = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("at").alias("at"))
     once = exact.where("n = 1").groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.collect_list("at").alias("_once"))
 
@@ -190,7 +222,7 @@ def remove_repeats(
     key_col, text_col = spare[docs.columns.index(key)], spare[docs.columns.index(text)]
     rows = docs.toDF(*spare)
     rows = rows if carry else rows.select(key_col, text_col)
-    rows = rows.withColumn("_x", F.xxhash64(text_col)).withColumn("_y", F.octet_length(text_col))
+    rows = rows.withColumn("_x", F.xxhash64(text_col)).withColumn("_y", F.xxhash64(F.lit(_SEED), F.col(text_col)))
     rows = rows.join(once, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left").drop("_x", "_y", "_a", "_b")
     fields = [f for f in rows.schema.fields if f.name != "_once"]
     more = [T.StructField("_words", T.LongType()), T.StructField("_gone", T.LongType()), T.StructField("_kept", T.StringType())]

@@ -12,6 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 U = np.uint64
@@ -20,12 +21,15 @@ CACHE_WORDS = 300_000
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, computed when it is first asked for."""
+    """64-bit hash of each word, computed when it is first asked for. Hashes of another seed are independent."""
+
+    def __init__(self, seed: int = 0) -> None:
+        self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -54,11 +58,23 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+#: Rows and bytes of text that are held as Python objects at a time; a longer text is held alone.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 22
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Shorter batches, so that few texts are held as Python objects at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            held = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+            to = max(at + 1, min(at + rows, held))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
