@@ -1,27 +1,60 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Every source has a weight schedule: knots (t, w) over the training time
-t in [0, 1], linear in between. Its integral is the source's share; shares are
+t in [0, 1], linear in between. Its integral is the source's weight; shares are
 filled up to a cap of `max_epochs` times a source's size and the excess is dealt
 again by weight. Documents of a source lie one after another on its token axis
 in a seeded order, epoch after epoch. The position of a copy is the time at
 which the source's cumulative demand reaches the copy's middle, found by
 inverting the integrated schedule. Documents are then range-sorted by position.
 
-Everything is DataFrame functions. Prefix sums over a source are taken in two
-levels, so that a source with a third of all rows is spread over many tasks.
+Everything is DataFrame functions. Positions are found on rows without their
+texts. Prefix sums over a source are taken in levels, so that a source with a
+third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.functions.frames import running
 from lodestream.llm.scratch import masked, save, unmasked, without
 
 #: Documents of one source that are ordered within one task, on average.
 BUCKET_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
+#: Knots (t, w) of a weight over the training time, or one number for a weight that stays.
+Schedule = float | Sequence[tuple[float, float]]
+
+
+def knots(schedule: Schedule) -> list[tuple[float, float]]:
+    """The knots from t = 0 to t = 1: before the first and after the last the weight stays."""
+    if isinstance(schedule, int | float):
+        schedule = [(0.0, float(schedule))]
+    found = sorted(((float(t), float(w)) for t, w in schedule), key=lambda k: k[0])  # a step has two knots at one time
+    if not found or found[0][0] < 0 or found[-1][0] > 1 or any(w < 0 for _, w in found) or not any(w for _, w in found):
+        raise ValueError(f"a schedule has knots in [0, 1] with weights of 0 or more, not all 0: {schedule}")
+    first, last = found[0], found[-1]
+    return [(0.0, first[1])] * (first[0] > 0) + found + [(1.0, last[1])] * (last[0] < 1)
+
+
+def pieces(schedule: Schedule) -> list[tuple[float, float, float, float, float]]:
+    """(t, length, w at its start, change of w, integral before it) for each linear piece of a schedule."""
+    out, before, points = [], 0.0, knots(schedule)
+    for (t, w), (u, v) in zip(points, points[1:], strict=False):
+        if u > t:
+            out.append((t, u - t, w, v - w, before))
+            before += (u - t) * (w + v) / 2
+    return out
+
+
+def weight_of(schedule: Schedule) -> float:
+    """Its integral."""
+    t, length, w, change, before = pieces(schedule)[-1]
+    return before + length * (w + change / 2)
 
 
 def word_count(text: Column) -> Column:
@@ -63,20 +96,21 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: list[float
     return per.select(source, "source_size", "source_rows", "slot", "target")
 
 
-def time_of(share: Column, ramp: Column) -> Column:
-    """Invert the integral of the schedule 1 + ramp * (2t - 1), |ramp| <= 1.
-
-    The integral from 0 is (1 - ramp) t + ramp t^2; share is in [0, 1].
-    """
-    b = 1 - ramp
-    root = F.sqrt(F.greatest(b * b + 4 * ramp * share, F.lit(0.0)))
-    return F.when(share <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 2 * share / (b + root)))
+def time_of(share: Column, schedules: Sequence[Schedule], slot: Column) -> Column:
+    """The time by which a schedule has had this share of its integral: the integral inverted, piece by piece."""
+    tables = F.array(*[F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("t", "length", "w", "change", "before"), p, strict=True)]) for p in pieces(s)]) for s in schedules])
+    demand = share * pick([weight_of(s) for s in schedules], slot)
+    piece = F.element_at(F.filter(F.get(tables, slot), lambda p: p["before"] <= demand), -1)
+    # w x + change x^2 / (2 length) = rest
+    rest, w, slope = demand - piece["before"], piece["w"], piece["change"] / piece["length"]
+    root = w + F.sqrt(F.greatest(w * w + 2 * slope * rest, F.lit(0.0)))
+    step = F.when(root > 0, F.least(2 * rest / root, piece["length"])).otherwise(0.0)
+    return F.when(share <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), piece["t"] + step))
 
 
 def mix(
     docs: DataFrame,
-    weights: list[float],
-    ramps: list[float] | None = None,
+    schedules: Sequence[Schedule],
     max_epochs: float = 3.0,
     text: str = "text",
     source: str = "source",
@@ -87,9 +121,8 @@ def mix(
     """Adds size, source_size, target, taken and positions to every document.
 
     positions holds a training time in [0, 1] for each copy that the mix takes,
-    none to ceil(max_epochs); taken is size times their number. ramps[i] tilts
-    the schedule of the sources with weights[i] from 1 - ramp at the start to
-    1 + ramp at the end; the integral stays the weight. A copy is taken if its
+    none to ceil(max_epochs); taken is size times their number. Sources in code
+    point order, null last, get the schedules in turn. A copy is taken if its
     middle lies under the target, so a source misses its target by at most half
     its longest document.
 
@@ -99,44 +132,47 @@ def mix(
     output are replaced. Without rows the result is empty. carry=False returns
     the key and the new columns alone, range-sorted by first position.
     """
-    out = ["size", "source_size", "target", "taken", "positions"]
-    docs = without(docs, *out)
-    ramps = ramps or [0.0] * len(weights)
+    docs = without(docs, "size", "source_size", "target", "taken", "positions")
+    weights = [weight_of(s) for s in schedules]
     rows, names = masked(docs)
     key, text, source = names[key], names[text], names[source]
-    h, b, s, size = "_hash", "_bucket", "_source", "_size"
+    h, b, s, size, row = "_hash", "_bucket", "_source", "_size", "_row"
     # The order within a source: a hash of key and text, so that reruns agree.
-    narrow = rows.select(
+    base = rows.select(
         *(names.values() if carry else [key]),
         F.col(source).alias(s),
         word_count(F.col(text)).alias(size),
-        F.xxhash64(F.lit("mix"), F.col(key), F.col(text)).alias(h),
+        F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(key), F.col(text)), 1).alias(h),
+        F.monotonically_increasing_id().alias(row),
     )
-    narrow = save(narrow, "mix-sizes")
-    targets = save(source_targets(narrow.select(s, size), s, size, weights, max_epochs), "mix-targets")
-    targets = targets.withColumn("ramp", pick(ramps, F.col("slot")))
-    targets = targets.withColumnRenamed(s, "_of")
+    base = save(base, "mix-sizes")
+    targets = source_targets(base.select(s, size), s, size, weights, max_epochs)
+    targets = targets.withColumn("_sid", F.row_number().over(Window.orderBy(F.col(s).asc_nulls_last())))  # one row per source
+    targets = save(targets, "mix-targets").withColumnRenamed(s, "_of")
     # First level: buckets of a source by hash range, summed before any shuffle of rows.
     spread = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / bucket_rows)).cast("long")
-    bucket = F.floor((F.shiftrightunsigned(F.col(h), 33) / F.lit(float(1 << 31))) * spread)
-    rows = narrow.join(targets, F.col(s).eqNullSafe(F.col("_of"))).withColumn(b, bucket)
-    buckets = rows.groupBy(s, b).agg(F.sum(size).alias("_in"))
-    offset = Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(F.col(s).alias("_bs"), F.col(b).alias("_bb"), F.coalesce(F.sum("_in").over(offset), F.lit(0)).alias("_start"))
+    bucket = F.floor((F.shiftright(F.col(h), 32) / F.lit(float(1 << 31))) * spread)
+    placed = base.select(*([] if carry else [key]), s, size, h, row).join(targets, F.col(s).eqNullSafe(F.col("_of"))).withColumn(b, bucket).drop(s, "_of")
+    buckets = placed.groupBy("_sid", b).agg(F.sum(size).alias("_in"))
+    buckets = running(buckets, b, {"_start": "_in"}, ["_sid"]).select(F.col("_sid").alias("_bs"), F.col(b).alias("_bb"), F.col("_start_before").alias("_start"))
     # Second level: the order within a bucket.
-    inside = Window.partitionBy(s, b).orderBy(h, size).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    rows = rows.join(buckets, F.col(s).eqNullSafe(F.col("_bs")) & (F.col(b) == F.col("_bb")))
+    inside = Window.partitionBy("_sid", b).orderBy(h, size).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_before", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    placed = placed.join(buckets, (F.col("_sid") == F.col("_bs")) & (F.col(b) == F.col("_bb")))
     middle = F.col("_start") + F.col("_before") + F.col(size) / 2
     copies = F.when(F.col(size) > 0, F.greatest(F.lit(0.0), F.ceil((F.col("target") - F.col("_middle")) / F.col("source_size")))).otherwise(0)
-    rows = rows.withColumn("_middle", middle).withColumn("_copies", F.least(copies, F.lit(float(max_epochs))).cast("int"))
+    placed = placed.withColumn("_middle", middle).withColumn("_copies", F.least(copies, F.lit(float(max_epochs))).cast("int"))
     share = lambda k: (F.col("_middle") + k * F.col("source_size")) / F.col("target")
     epochs = F.when(F.col("_copies") > 0, F.sequence(F.lit(0), F.col("_copies") - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("positions", F.transform(epochs, lambda k: time_of(share(k), F.col("ramp"))))
-    rows = rows.withColumn("taken", F.col(size) * F.col("_copies"))
-    kept = unmasked(names) if carry else [F.col(key).alias(next(old for old, new in names.items() if new == key))]
-    rows = rows.select(*kept, F.col(size).alias("size"), "source_size", "target", "taken", "positions")
-    return rows if carry else in_order(rows, F.get("positions", F.lit(0)))
+    placed = placed.withColumn("positions", F.transform(epochs, lambda k: time_of(share(k), schedules, F.col("slot"))))
+    placed = placed.withColumn("taken", F.col(size) * F.col("_copies"))
+    found = [F.col(size).alias("size"), "source_size", "target", "taken", "positions"]
+    if not carry:
+        own = F.col(key).alias(next(old for old, new in names.items() if new == key))
+        return in_order(placed.select(own, *found), F.get("positions", F.lit(0)))
+    # Rows meet their texts again; always by a sort-merge join, as both sides grow with the corpus.
+    placed = placed.select(F.col(row).alias("_place"), *found)
+    return base.drop(s, size, h).join(placed.hint("merge"), F.col(row) == F.col("_place")).select(*unmasked(names), "size", "source_size", "target", "taken", "positions")
 
 
 def in_order(rows: DataFrame, position: Column) -> DataFrame:

@@ -13,9 +13,13 @@ another cut of the domain.
 Nearly all signatures belong to one set only, so they are moved as cheaply as
 can be: a task sorts what it signed, joins sets with equal signatures on the
 spot, and sends one packed block for each range of signatures. Sets of a band
-that share signatures form clusters. A cluster's sets are sent to one task once,
-where links are tested exactly; clusters beyond a bound are cut into blocks, and
-every pair of blocks is one task. No pairs are written anywhere.
+that share signatures form clusters. Passages that many documents share make
+signatures meet by chance, so clusters are refined first: each set is present
+with a byte for each second-level part, linked sets differ in at most k of them,
+and the components of that relation are what is left to compare. Only their
+texts are moved, once, and links are tested exactly. Clusters beyond a bound are
+cut into blocks, and every pair of blocks is one task. No pairs are written
+anywhere.
 """
 
 from __future__ import annotations
@@ -46,17 +50,17 @@ EXTRA_SHARE = 0.08
 CUTS = 6
 #: Ratio of the largest to the smallest size of a band.
 BAND = 1.3
-#: Shingles of a cluster's block: 8 bytes each, and some ten times that in work.
-BLOCK_SHINGLES = 1_500_000
-#: Sets of a cluster that are simply compared with each other.
-FEW = 6
+#: Shingles of a cluster's block: 8 bytes each, and some ten times that in work; and bytes of its sets' cells.
+BLOCK_SHINGLES, BLOCK_BYTES = 1_500_000, 8_000_000
+#: Sets of a cluster that are simply compared with each other, in full and by their cells.
+FEW, MANY = 6, 3_000
 #: Signatures that a task sorts and packs at a time, those of a range, and bytes of text for each.
 FLUSH, RANGE_SIGNS, SIGN_BYTES = 2_000_000, 2_000_000, 5
 #: Bits of a signature beyond the logarithm of their number: one pair in 2^15 signatures meets by chance.
 SPARE_BITS = 15
-#: Bytes of a node's id, and bits below its band: 7 bits hold all bands.
-NODE_BYTES = 6
-NODE_HASH = 8 * NODE_BYTES - 7
+#: Bytes of a node's id, and its bits above and below the start of its band.
+NODE_BYTES, BAND_BITS = 6, 7
+NODE_HASH = 8 * NODE_BYTES - BAND_BITS
 #: Sets that a task remembers so as not to sign their copies.
 SEEN = 1_000_000
 
@@ -193,28 +197,50 @@ class Cells(NamedTuple):
         sums[cell[first]] = np.add.reduceat(scramble(placed + odd(3)), first)
         return cls(sums, np.bincount(cell, minlength=ends[-1]), ends)
 
+    def told(self) -> np.ndarray:
+        """A byte for each cell: 0 if it is empty, else from the hash of its elements."""
+        return np.where(self.counts > 0, np.maximum(scramble(self.sums) >> U(56), U(1)), U(0)).astype(np.uint8)
 
-def signatures(sets: Sets, at: np.ndarray, band: np.ndarray, bands: Bands, cut: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(64-bit signatures, place in `at` of each one's set) of sets at[i] in bands band[i], without repeats."""
-    if not len(at):
-        return
-    cells = bands._parts[band] * THIRDS
-    sums, counts, ends = Cells.of(sets, at, cells, cut)
-    sums, counts = sums.reshape(-1, THIRDS), counts.reshape(-1, THIRDS)
+
+class Signed(NamedTuple):
+    """Signatures (64 bits) and the place in `at` of each one's set, and the cells of every at[i] as bytes; 0 is an empty cell."""
+
+    signs: np.ndarray
+    owner: np.ndarray
+    cells: list[bytes]
+
+
+def _of_cut(sets: Sets, at: np.ndarray, band: np.ndarray, bands: Bands, cut: int) -> tuple[Cells, np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, signatures, owners, which of `at` must be signed under another cut)."""
+    parts = bands._parts[band] * THIRDS
+    cells = Cells.of(sets, at, parts, cut)
+    sums, counts = cells.sums.reshape(-1, THIRDS), cells.counts.reshape(-1, THIRDS)
     own = sums.sum(axis=1, dtype=U, keepdims=True) - sums
     held = counts.sum(axis=1, keepdims=True) - counts > 0
-    name = (spans(np.zeros(len(at), np.int64), cells) + np.repeat((band << 40) + (cut << 36), cells)).astype(U)
+    name = (spans(np.zeros(len(at), np.int64), parts) + np.repeat((band << 40) + (cut << 36), parts)).astype(U)
     signs = scramble(own.ravel() ^ scramble(name + odd(5)))
     # extra + 1 parts have a subset in common: if no more than extra parts have an empty subset, one
     # that is common and not empty remains.
-    bare = np.add.reduceat((~held.all(axis=1)).astype(np.int64), (ends - cells) // THIRDS)
+    bare = np.add.reduceat((~held.all(axis=1)).astype(np.int64), (cells.ends - parts) // THIRDS)
     unsure = bare > bands._extra[band]
-    keep = held.ravel() | np.repeat(unsure & (cut == CUTS - 1), cells)
-    yield signs[keep], np.repeat(np.arange(len(at)), cells)[keep]
-    if unsure.any() and cut < CUTS - 1:
-        rest = np.flatnonzero(unsure)
-        for s, i in signatures(sets, at[rest], band[rest], bands, cut + 1):
-            yield s, rest[i]
+    keep = held.ravel() | np.repeat(unsure & (cut == CUTS - 1), parts)
+    return cells, signs[keep], np.repeat(np.arange(len(at)), parts)[keep], np.flatnonzero(unsure)
+
+
+def signatures(sets: Sets, at: np.ndarray, band: np.ndarray, bands: Bands) -> Signed:
+    """Of the sets at[i] in bands band[i]; a set's signatures do not repeat."""
+    if not len(at):
+        return Signed(np.empty(0, U), np.empty(0, np.int64), [])
+    cells, signs, owner, rest = _of_cut(sets, at, band, bands, 0)
+    told = cells.told()
+    found, owners, cut = [signs], [owner], 1
+    while len(rest) and cut < CUTS:
+        _, signs, owner, more = _of_cut(sets, at[rest], band[rest], bands, cut)
+        found.append(signs)
+        owners.append(rest[owner])
+        rest, cut = rest[more], cut + 1
+    ends = cells.ends.tolist()
+    return Signed(np.concatenate(found), np.concatenate(owners), [told[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)])
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -280,7 +306,7 @@ class Packing(NamedTuple):
 
 
 #: What a task sends: blocks of a range (from 0 on), edges, and one row for each document (range below 0).
-_MOVED = "range int, steps binary, width int, nodes binary, places binary, a long, b long, x long, n long, name binary, own array<long>"
+_MOVED = "range int, steps binary, width int, nodes binary, places binary, a long, b long, x long, n long, name binary, own array<struct<node: bigint, cells: binary>>"
 #: Ranges over which edges and documents are spread.
 _SPREAD = 4096
 
@@ -301,7 +327,10 @@ def _sign(n: int, bands: Bands, packing: Packing, schema: pa.Schema):
         hashes, seen, held, count, dealt = WordHashes(), set(), [], 0, 0
 
         def flush():
-            signs, nodes, a, b = _stars(np.concatenate([s for s, _ in held]) >> U(64 - packing.bits), np.concatenate([v for _, v in held]))
+            nodes = np.concatenate([v for _, v in held])
+            # The last bits kept are the band, so that sets of two bands never meet.
+            signs = ((np.concatenate([s for s, _ in held]) >> U(64 - packing.bits + BAND_BITS)) << U(BAND_BITS)) + (nodes >> U(NODE_HASH))
+            signs, nodes, a, b = _stars(signs, nodes)
             packed = list(zip(*packing.pack(signs, nodes), strict=True))
             names = ("range", "steps", "width", "nodes", "places")
             yield _rows(schema, len(packed[0]), **{k: pa.array(v, schema.field(k).type) for k, v in zip(names, packed, strict=True)})
@@ -313,23 +342,23 @@ def _sign(n: int, bands: Bands, packing: Packing, schema: pa.Schema):
             at, band = bands.of(sets.sizes)
             sums = sets.sums()
             nodes = nodes_of(sums[at], band)
+            signed = signatures(sets, at, band, bands)
             offsets = np.searchsorted(at, np.arange(batch.num_rows + 1))
-            own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(nodes.astype(np.int64)))
+            held_by = pa.StructArray.from_arrays([pa.array(nodes.astype(np.int64)), pa.array(signed.cells, pa.binary())], fields=list(schema.field("own").type.value_type))
+            own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held_by, type=schema.field("own").type)
             dealt += batch.num_rows
             where = -1 - (np.arange(dealt, dealt + batch.num_rows) % _SPREAD)
             yield _rows(schema, batch.num_rows, range=pa.array(where, pa.int32()), key=batch.column(0), x=batch.column(1), n=pa.array(sets.sizes, pa.int64()), name=pa.array(sets.names(), pa.binary()), own=own)
-            new = []
+            fresh = np.zeros(len(sums), bool)
             for i, s in enumerate(sums.tolist()):
                 if s not in seen:
                     seen.add(s)
-                    new.append(i)
+                    fresh[i] = True
             if len(seen) >= SEEN:
                 seen.clear()
-            chosen = np.isin(at, new)
-            own_nodes = nodes[chosen]
-            for signs, i in signatures(sets, at[chosen], band[chosen], bands):
-                held.append((signs, own_nodes[i]))
-                count += len(signs)
+            kept = fresh[at][signed.owner]
+            held.append((signed.signs[kept], nodes[signed.owner[kept]]))
+            count += int(kept.sum())
             if count >= FLUSH:
                 yield from flush()
                 held, count = [], 0
@@ -368,72 +397,153 @@ def _meet(packing: Packing, schema: pa.Schema):
     return run
 
 
-def _links(names: list[bytes], own: list[np.ndarray], blocks: list[int], band: int, bands: Bands) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links between sets of a band; pairs that are joined already are not tested.
+class Labels:
+    """Which sets are joined already, and the edges that joined them."""
 
-    blocks: with two blocks, only pairs across them. Linked sets of a band differ
-    in at most k cells, so most pairs fall by a comparison of bytes; the rest are
-    compared in full.
-    """
-    order = sorted(range(len(own)), key=lambda i: (len(own[i]), names[i]))
-    own, names, block = [own[i] for i in order], [names[i] for i in order], np.array([blocks[i] for i in order])
-    sizes = np.array([len(s) for s in own])
-    mixed = block.min() != block.max()
-    label = np.arange(len(own))
-    found = []
+    def __init__(self, names: list[bytes]) -> None:
+        self.names, self.label, self.found = names, np.arange(len(names)), []
+
+    def join(self, i: int, j: int) -> None:
+        self.label[self.label == self.label[j]] = self.label[i]
+        self.found.append((self.names[i], self.names[j]))
 
-    def test(i: int, j: int) -> None:
-        if label[i] != label[j] and bands.linked(len(np.intersect1d(own[i], own[j], assume_unique=True)), int(sizes[i]), int(sizes[j])):
-            label[label == label[j]] = label[i]
-            found.append((names[i], names[j]))
 
+def _near(labels: Labels, cells: np.ndarray, inside: np.ndarray, sizes: np.ndarray, low: int, k: int, bands: Bands, test, across: np.ndarray | None) -> None:
+    """Join sets of one band whose cells differ in k places or fewer, if test(i, j) agrees.
+
+    cells: a row for each of the sets `inside`, which rise in size. Pairs that
+    are joined are passed over, and with `across` (blocks) those of one block.
+    Up to MANY sets are compared with each other. Beyond, only those that share a
+    subset of a part: linked sets share one that is not empty, unless both have
+    too many empty ones, and those are compared with each other.
+    """
+    least = np.searchsorted(sizes, -(-sizes * bands.num // bands.den))
+
+    def compare(j: int, rest: np.ndarray) -> None:
+        rest = rest[(rest >= least[j]) & (labels.label[inside[rest]] != labels.label[inside[j]])]
+        if across is not None:
+            rest = rest[across[rest] != across[j]]
+        if len(rest):
+            for i in rest[np.count_nonzero(cells[rest] != cells[j], axis=1) <= k].tolist():
+                if labels.label[inside[i]] != labels.label[inside[j]] and test(inside[i], inside[j]):
+                    labels.join(inside[i], inside[j])
+
+    own = sizes >= low  # the larger set of a pair is in its own band
+    if len(inside) <= MANY:
+        for j in np.flatnonzero(own).tolist():
+            compare(j, np.arange(j))
+        return
+    wide = cells.reshape(len(inside), -1, THIRDS).astype(np.uint16)
+    bare = ((np.count_nonzero(wide, axis=2) <= 1).sum(axis=1) > bands._extra[int(np.searchsorted(bands.lows, low, "right")) - 1]).nonzero()[0]
+    for at, j in enumerate(bare.tolist()):
+        if own[j]:
+            compare(j, bare[:at])
+    for part in range(wide.shape[1]):
+        for out in range(THIRDS):
+            a, b = (wide[:, part, i] for i in range(THIRDS) if i != out)
+            code = (a << 8) + b
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+                members = order[x:y]
+                if y - x > 1 and code[x] and (labels.label[inside[members]] != labels.label[inside[members[0]]]).any():
+                    for at in range(1, y - x):
+                        if own[members[at]]:
+                            compare(int(members[at]), members[:at])
+
+
+def _refined(names: list[bytes], cells: list[bytes], sizes: list[int], blocks: list[int], band: int, bands: Bands) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the sets of a band whose cells differ in k places or fewer."""
+    order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
+    labels = Labels([names[i] for i in order])
+    table = np.frombuffer(b"".join(cells[i] for i in order), np.uint8).reshape(len(order), -1)
+    block = np.array([blocks[i] for i in order])
+    across = block if block.min() != block.max() else None
+    _near(labels, table, np.arange(len(order)), np.array([sizes[i] for i in order]), bands.lows[band], bands.differences(band), bands, lambda i, j: True, across)
+    return labels.found
+
+
+def _links(names: list[bytes], own: list[np.ndarray], blocks: list[int], bands: Bands) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between sets; pairs that are joined already are not tested.
+
+    blocks: with two blocks, only pairs across them. Most pairs fall by their
+    cells; the rest are compared in full.
+    """
+    order = sorted(range(len(own)), key=lambda i: (len(own[i]), names[i]))
+    own, block = [own[i] for i in order], np.array([blocks[i] for i in order])
+    labels, sizes = Labels([names[i] for i in order]), np.array([len(s) for s in own])
+    across = block if block.min() != block.max() else None
+    linked = lambda i, j: bands.linked(len(np.intersect1d(own[i], own[j], assume_unique=True)), int(sizes[i]), int(sizes[j]))
     if len(own) <= FEW:
         for i, j in combinations(range(len(own)), 2):
-            if not (mixed and block[i] == block[j]):
-                test(i, j)
-        return found
+            if labels.label[i] != labels.label[j] and (across is None or block[i] != block[j]) and linked(i, j):
+                labels.join(i, j)
+        return labels.found
     sets = Sets(np.concatenate(own), np.concatenate(([0], np.cumsum(sizes))))
-    parts = np.full(len(own), bands.parts(band) * THIRDS)
-    cells = (scramble(Cells.of(sets, np.arange(len(own)), parts).sums) >> U(56)).astype(np.uint8).reshape(len(own), -1)
-    for i in np.flatnonzero(sizes >= bands.lows[band]):  # the larger set of a pair is in its own band
-        first = int(np.searchsorted(sizes, -(-int(sizes[i]) * bands.num // bands.den)))
-        open_ = label[first:i] != label[i]
-        if mixed:
-            open_ &= block[first:i] != block[i]
-        if open_.any():
-            rest = np.arange(first, i)[open_]
-            near = np.count_nonzero((cells[first:i] if open_.all() else cells[rest]) != cells[i], axis=1) <= bands.differences(band)
-            for j in rest[near]:
-                test(j, i)
-    return found
+    at, band = bands.of(sizes)
+    for b in np.unique(band).tolist():
+        inside = at[band == b]
+        if len(inside) > 1:
+            cells = Cells.of(sets, inside, np.full(len(inside), bands.parts(b) * THIRDS)).told().reshape(len(inside), -1)
+            _near(labels, cells, inside, sizes[inside], bands.lows[b], bands.differences(b), bands, linked, None if across is None else across[inside])
+    return labels.found
 
 
-def _verify(n: int, bands: Bands):
-    """Rows sorted by task (cluster and pair of blocks) as links between sets."""
+def _by_task(keys: int, read, solve):
+    """Rows sorted by task (the first `keys` columns, then block and name) as edges: solve(key, names, values, blocks) for each task.
+
+    read(batch) gives a value for each row, from the columns after these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, key, names, sets, blocks = WordHashes(), None, [], [], []
+        key, names, values, blocks = None, [], [], []
 
         def flush():
-            found = _links(names, sets, blocks, key[0] >> NODE_HASH, bands) if len(names) > 1 else []
+            found = solve(key, names, values, blocks) if len(names) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
         for batch in slices(batches):
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            told = shingle_sets(texts(batch.column(5)), n, hashes)
-            for i, (k, block, name) in enumerate(zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            told = read(batch)
+            for k, block, name, value in zip(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True), batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist(), told, strict=True):
                 if k != key:
                     yield flush()
-                    key, names, sets, blocks = k, [], [], []
+                    key, names, values, blocks = k, [], [], []
                 if not names or names[-1] != name:  # sorted by set: repeats follow each other
                     names.append(name)
-                    sets.append(told.of(i))
+                    values.append(value)
                     blocks.append(block)
         yield flush()
 
     return run
 
 
+def _refine(bands: Bands):
+    def solve(key, names, values, blocks):
+        return _refined(names, [c for c, _ in values], [n for _, n in values], blocks, key[0] >> NODE_HASH, bands)
+
+    return _by_task(3, lambda batch: list(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)), solve)
+
+
+def _verify(n: int, bands: Bands):
+    hashes = WordHashes()
+
+    def read(batch: pa.RecordBatch) -> list[np.ndarray]:
+        sets = shingle_sets(texts(batch.column(5)), n, hashes)
+        return [sets.of(i) for i in range(batch.num_rows)]
+
+    return _by_task(3, read, lambda key, names, values, blocks: _links(names, values, blocks, bands))
+
+
+def _tasks(members: DataFrame, size: str, bound: int) -> DataFrame:
+    """members with i, j and block: a row for each pair of blocks of its cluster that it takes part in; a single block meets itself."""
+    held = members.groupBy(F.col("cluster").alias("_of")).agg(F.sum(F.expr(size)).alias("_all"))
+    members = members.join(held, F.col("cluster") == F.col("_of")).withColumn("_blocks", F.greatest(F.ceil(F.col("_all") / bound), F.lit(1)).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("name"), F.col("_blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    return members.withColumn("_pair", F.explode(others)).select("*", "_pair.i", "_pair.j").drop("_of", "_all", "_blocks", "_pair")
+
+
 def jaccard_components(
     docs: DataFrame,
     words: int = 5,
@@ -443,6 +553,7 @@ def jaccard_components(
     text: str = "text",
     carry: bool = True,
     block_shingles: int = BLOCK_SHINGLES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Adds n_shingles and component_id to every document.
 
@@ -473,26 +584,26 @@ def jaccard_components(
     sets = told.where("a is null").select("key", "x", "n", "name", "own")
     clusters = save(components(told.where("a is not null").select("a", "b")), "ngram-clusters")
 
-    # One document of each set of a cluster; copies are combined before the shuffle.
-    members = sets.select("key", "x", "n", "name", F.explode("own").alias("node")).join(clusters, "node")
-    members = members.groupBy(F.col("root").alias("cluster"), "name", "n").agg(F.min(F.struct("x", "key")).alias("of"))
-    members = save(members.select("cluster", "name", "n", F.col("of.key").alias("key"), F.col("of.x").alias("x")), "ngram-members")
-    spent(clusters)
-    held = members.groupBy("cluster").agg(F.sum("n").alias("all"))
-    members = members.join(held, "cluster").withColumn("blocks", F.ceil(F.col("all") / block_shingles).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    wanted = members.select(F.col("key").alias("_key"), F.col("x").alias("_x"), "cluster", "blocks", "block", "name")
-    found = narrow.join(wanted, (F.col("x") == F.col("_x")) & F.col("key").eqNullSafe(F.col("_key")))
-    # Every pair of blocks once; a single block meets itself.
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    found = found.withColumn("pair", F.explode(others)).select("cluster", "pair.i", "pair.j", "block", "name", "text")
+    # The sets of each cluster, once each, with their cells; copies are combined before the shuffle.
+    spread = sets.select("name", "n", F.explode("own").alias("own")).join(clusters, F.col("own.node") == F.col("node"))
+    members = spread.groupBy(F.col("root").alias("cluster"), "name", "n").agg(F.min("own.cells").alias("cells"))
+    members = save(members, "ngram-members")
+    tasks = _tasks(members, "octet_length(cells)", block_bytes).select("cluster", "i", "j", "block", "name", "cells", "n")
+    tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "name")
+    near = save(components(tasks.mapInArrow(_refine(bands), "a binary, b binary")), "ngram-near")
+    spent(clusters, members)
+
+    # The text of one document of each set that is left. Always by a sort-merge join: both sides grow with the corpus.
+    one = sets.where("name is not null").groupBy("name").agg(F.min(F.struct("x", "key")).alias("of"), F.min("n").alias("n"), F.min("key").alias("least"))
+    wanted = one.select(F.col("of.key").alias("_key"), F.col("of.x").alias("_x"), "name", "n").join(near, F.col("name") == F.col("node"))
+    wanted = _tasks(wanted.select("_key", "_x", "name", "n", F.col("root").alias("cluster")), "n", block_shingles)
+    found = narrow.join(wanted.hint("merge"), (F.col("x") == F.col("_x")) & F.col("key").eqNullSafe(F.col("_key"))).select("cluster", "i", "j", "block", "name", "text")
     found = found.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "name")
     links = save(found.mapInArrow(_verify(words, bands), "a binary, b binary"), "ngram-links")
 
     # By sets first, so that copies of one text are counted before they meet.
-    of_set = sets.where("name is not null").groupBy("name").agg(F.min("key").alias("least"))
     roots = components(links).select(F.col("node").alias("_linked"), F.col("root").alias("_root"))
-    of_set = of_set.join(roots, F.col("name") == F.col("_linked"), "left").select(F.col("name").alias("_name"), "least", F.coalesce("_root", "name").alias("_group"))
+    of_set = one.join(roots, F.col("name") == F.col("_linked"), "left").select(F.col("name").alias("_name"), "least", F.coalesce("_root", "name").alias("_group"))
     least = of_set.groupBy(F.col("_group").alias("_of")).agg(F.min("least").alias("_least"))
     of_set = of_set.join(least, F.col("_group") == F.col("_of")).select("_name", "_least")
     own = F.when(F.col("_name").isNull(), F.col("key")).otherwise(F.col("_least"))

@@ -16,7 +16,8 @@ from lodestream.llm.substring_dedup import remove_repeats
 from lodestream.llm.topk_search import top_k
 from lodestream.llm.url_filter import url_filter
 
-WEIGHTS, RAMPS, MAX_EPOCHS = [1.0, 2.0, 3.0], [-0.5, 0.0, 0.5], 3.0
+#: Weight schedules of the sources in turn, with the integrals 1, 2 and 3.
+SCHEDULES, MAX_EPOCHS = [[(0.0, 1.5), (1.0, 0.5)], 2.0, [(0.0, 1.5), (0.5, 3.0), (1.0, 4.5)]], 3.0
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, WEIGHTS, RAMPS, MAX_EPOCHS, carry=False)
+    return mixing.mix(docs, SCHEDULES, MAX_EPOCHS, carry=False)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def test_jaccard_components(spark, n, num, den):
     rows = near_copies(n)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = expected_components(rows, n, num, den)
-    for options in ({}, {"block_shingles": 60}):
+    for options in ({}, {"block_shingles": 60, "block_bytes": 100}):
         got = ngram_join.jaccard_components(frame, n, num, den, **options).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
@@ -123,7 +123,7 @@ def test_partenum_loses_no_link():
 
         def signs(elements, bands=bands):
             sets = ngram_join.Sets(elements, np.array([0, len(elements)]))
-            return np.concatenate([s for s, _ in ngram_join.signatures(sets, *bands.of(sets.sizes), bands)] or [elements[:0]])
+            return ngram_join.signatures(sets, *bands.of(sets.sizes), bands).signs
 
         for size in (1, 2, 5, 6, 7, 11, 20, 57, 200, 1500):
             for _ in range(30):
@@ -135,6 +135,39 @@ def test_partenum_loses_no_link():
                     assert len(np.intersect1d(signs(base), signs(other)))
 
 
+def test_refinement_keeps_links(monkeypatch):
+    """Sets that are linked stay together when only those with a common subset of a part are compared."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    bands = ngram_join.Bands(4, 5)
+    own = []
+    for size in (4, 9, 40, 150):
+        for _ in range(12):
+            base = rng.integers(0, 2**64, size, dtype=np.uint64, endpoint=False)
+            own += [np.unique(np.concatenate((base[rng.random(size) > 0.05], rng.integers(0, 2**64, size // 20, dtype=np.uint64)))) for _ in range(5)]
+    names = [b"%04d" % i for i in range(len(own))]
+    forest = lambda edges: {frozenset(g) for g in _groups(names, edges)}
+    want = forest(ngram_join._links(names, own, [0] * len(own), bands))
+    monkeypatch.setattr(ngram_join, "MANY", 1)
+    assert forest(ngram_join._links(names, own, [0] * len(own), bands)) == want and max(map(len, want)) > 3
+    halves = [i % 2 for i in range(len(own))]
+    parts = [ngram_join._links([n for n, h in zip(names, halves, strict=True) if h == side], [s for s, h in zip(own, halves, strict=True) if h == side], [side] * halves.count(side), bands) for side in (0, 1)]
+    assert forest([*parts[0], *parts[1], *ngram_join._links(names, own, halves, bands)]) == want
+
+
+def _groups(names, edges):
+    forest = components.Forest()
+    for n in names:
+        forest.up.setdefault(n, n)
+    for a, b in edges:
+        forest.join(a, b)
+    out = defaultdict(set)
+    for n in names:
+        out[forest.find(n)].add(n)
+    return out.values()
+
+
 @given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**48 - 1)), min_size=1, max_size=200, unique_by=lambda x: x[0]), st.integers(0, 10**12))
 def test_packing(rows, size):
     """What is packed comes back, whatever the number of ranges."""
@@ -209,7 +242,7 @@ def test_mix(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(40))), f"s{rng.randrange(5)}" if i % 2 else "s0") for i in range(600)] + [(900, "a b", None), (901, None, "s1"), (902, "x y z", "tiny")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    options = {"weights": [1.0, 2.0, 3.0], "ramps": [-0.5, 0.0, 0.5]}
+    options = {"schedules": [[(0, 1.5), (1, 0.5)], 2.0, [(0, 1.5), (0.5, 3), (1, 4.5)]]}
     got = mixing.mix(frame, **options, carry=False, bucket_rows=20).collect()
     again = mixing.mix(frame, **options, bucket_rows=20).collect()
     assert {(r.doc_id, r.taken, tuple(r.positions)) for r in got} == {(r.doc_id, r.taken, tuple(r.positions)) for r in again}
@@ -245,7 +278,7 @@ def test_mix(spark):
 def test_mix_schedule_and_emit(spark):
     """With a rising schedule the first quarter of the time holds less than a quarter of the tokens."""
     frame = spark.createDataFrame([(i, "w " * 10, "a") for i in range(400)], "doc_id long, text string, source string")
-    mixed = mixing.mix(frame, [1.0], [1.0])
+    mixed = mixing.mix(frame, [[(0, 0), (1, 2)]])
     stream = mixing.emit(mixed)
     assert stream.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken", "position"]
     places = [r.position for r in stream.collect()]
@@ -253,6 +286,41 @@ def test_mix_schedule_and_emit(spark):
     assert sum(p < 0.25 for p in places) == pytest.approx(400 / 16, abs=3)
 
 
+def test_mix_of_every_document(spark):
+    """Each document's positions against prefix sums in plain order and an integral taken in small steps."""
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(i // 2 * 2, " ".join("w" for _ in range(rng.randrange(30))), rng.choice(["a", "b", "b", "c", None])) for i in range(300)] + [(1, "same text", "a")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    schedules = [[(0.1, 0.2), (0.4, 2), (0.4, 0.5), (0.9, 0.0)], [(0, 1), (1, 3)]]
+    got = mixing.mix(frame, schedules, 2.0, bucket_rows=7).collect()
+    assert len(got) == len(rows)
+    hashes = {(r.doc_id, r.text): r.h for r in frame.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 1).alias("h")).collect()}
+    grid = np.linspace(0, 1, 200_001)
+    weight = lambda s: np.interp(grid, *zip(*s, strict=True)) if s is not schedules[0] else np.where(grid < 0.4, np.interp(grid, [0.1, 0.4], [0.2, 2]), np.interp(grid, [0.4, 0.9], [0.5, 0.0]))
+    cumulative = [np.concatenate(([0], np.cumsum((w[1:] + w[:-1]) / 2))) / (len(grid) - 1) for w in map(weight, schedules)]
+    assert [mixing.weight_of(s) for s in schedules] == pytest.approx([c[-1] for c in cumulative], abs=1e-4)
+    order = ["a", "b", "c", None]
+    for i, source in enumerate(order):
+        c = cumulative[i % 2]
+        mine = sorted((r for r in got if r.source == source), key=lambda r: hashes[r.doc_id, r.text])
+        whole, at, want = sum(r.size for r in mine), 0, defaultdict(list)
+        for r in mine:
+            middle = at + r.size / 2
+            places = [] if not r.size else [np.interp((middle + k * whole) / r.target * c[-1], c, grid) for k in range(2) if middle + k * whole < r.target]
+            want[r.doc_id, r.text].append(places)
+            at += r.size
+        have = defaultdict(list)
+        for r in mine:
+            assert r.source_size == whole and r.taken == r.size * len(r.positions)
+            have[r.doc_id, r.text].append(r.positions)
+        assert have.keys() == want.keys()
+        for k in want:  # repeated rows are interchangeable
+            for a, b in zip(sorted(have[k]), sorted(want[k]), strict=True):
+                assert a == pytest.approx(b, abs=2e-3)
+
+
 def test_mix_troubles(docs, clashing, no_docs):
     got = mixing.mix(docs, [1.0, 2.0, 3.0]).collect()
     assert len(got) == len(ROWS) and all(r.taken <= 3 * r.size for r in got)
