@@ -13,7 +13,7 @@ from lodestream.llm import bpe, mixing, toxicity
 from lodestream.llm.exact_dedup import exact_dedup
 from lodestream.llm.labelled import fold
 from lodestream.llm.ngram_join import jaccard_components
-from lodestream.llm.queries import MAX_EPOCHS, RAMPS, TOKENIZER, WEIGHTS
+from lodestream.llm.queries import MAX_EPOCHS, SCHEDULES, TOKENIZER
 from lodestream.llm.scratch import delete, mark, save, since, spent
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -68,7 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are never taken; a null source is one source.
     """
     rows, columns = hidden(docs)
-    return mixing.emit(mixing.mix(rows, WEIGHTS, RAMPS, MAX_EPOCHS)).select(columns)
+    return mixing.emit(mixing.mix(rows, SCHEDULES, MAX_EPOCHS)).select(columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
