@@ -78,6 +78,15 @@ class Keyed:
         """value where the trailing n rows have `least` values of x (n if not given)."""
         return F.when(F.count(col(x)).over(self.trailing(n)) >= (n if least is None else least), value)
 
+    def ripe(self, value: Column, x: Column | str, n: int, least: int | None = None) -> Column:
+        """value from the n-th row of a key on, where the trailing n rows have `least` values of x (half of them if not given)."""
+        enough = F.count(col(x)).over(self.trailing(n)) >= (n // 2 if least is None else least)
+        return F.when((self.number() >= n) & enough, value)
+
+    def both(self, x: Column | str, y: Column | str) -> Column:
+        """1 where both are there."""
+        return F.when(col(x).isNotNull() & col(y).isNotNull(), 1)
+
     def avg(self, x: Column | str, n: int, least: int | None = None) -> Column:
         return self.full(F.avg(col(x)).over(self.trailing(n)), x, n, least)
 
@@ -115,6 +124,19 @@ class Keyed:
         sd = self.sd_pop(x, n)
         return F.when(sd > 1e-12, div(col(x) - self.avg(x, n), sd)).when(sd.isNotNull(), F.lit(0.0))
 
+    def skewness(self, x: Column | str, n: int) -> Column:
+        """Sample skewness of a full window; 0 for equal values."""
+        w = self.trailing(n)
+        flat = F.max(col(x)).over(w) == F.min(col(x)).over(w)
+        return self.full(F.when(flat, 0.0).otherwise(F.skewness(col(x)).over(w) * (n * (n - 1)) ** 0.5 / (n - 2)), x, n)
+
+    def kurtosis(self, x: Column | str, n: int) -> Column:
+        """Sample excess kurtosis of a full window; -3 for equal values."""
+        w = self.trailing(n)
+        flat = F.max(col(x)).over(w) == F.min(col(x)).over(w)
+        whole = ((n + 1) * F.kurtosis(col(x)).over(w) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
+        return self.full(F.when(flat, -3.0).otherwise(whole), x, n)
+
     def fill(self, x: Column | str) -> Column:
         """The last value that is not null."""
         return F.last(col(x), ignorenulls=True).over(self.so_far)
@@ -128,20 +150,59 @@ def _micros(interval: str) -> int:
     return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s").lower()] * 1_000_000
 
 
-def with_warm_up(df: DataFrame, keyed: Keyed, chunk: str, overlap: int, lead: str = "warm_up") -> tuple[DataFrame, Keyed]:
-    """Cut a long key into calendar chunks, each led by the last rows of the one before.
+def with_warm_up(df: DataFrame, keyed: Keyed, rows: int, overlap: int, ahead: int = 0, piece: str = "month", lead: str = "warm_up") -> tuple[DataFrame, Keyed]:
+    """Cut long keys into chunks of so many rows, each led by the last `overlap` rows before it and followed by the `ahead` rows after it.
 
-    chunk is a unit of date_trunc. Windows that look back at most `overlap`
-    rows give the same results over the returned frame as over whole keys, but
-    in one task per (key, chunk) instead of one per key; rows whose `lead`
-    column is true belong to the chunk before and are to be dropped afterwards.
-    A chunk hands on its own rows only, so chunks must be longer than the
-    longest window.
+    Windows that look back and ahead no further give the same results over the
+    returned frame as over whole keys, but in one task per (key, chunk) instead
+    of one per key; rows whose `lead` column is true belong to other chunks and
+    are to be dropped afterwards. Rows are numbered in two levels, within pieces
+    of the calendar (a unit of date_trunc) and by the counts of the pieces before,
+    so that no task has a whole key. Chunks are made no shorter than the overlap.
+    Times are unique within a key, or made so by keyed.more.
+    """
+    rows, on = max(rows, overlap, ahead, 1), list(keyed.keys)
+    names = [f"_k{i}" for i in range(len(on))]
+    base = df.withColumn("_piece", F.coalesce(F.date_trunc(piece, keyed.time).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")))
+    counts = base.groupBy(*[F.col(k).alias(n) for k, n in zip(on, names, strict=True)], F.col("_piece").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*names).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*names, "_of", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_piece") == F.col("_of")
+    for k, n in zip(on, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    inside = Window.partitionBy(*on, "_piece").orderBy(keyed.time, *keyed.more)
+    placed = base.withColumn("_in", F.row_number().over(inside) - 1).join(counts, same).withColumn("_at", F.col("_before") + F.col("_in"))
+    own, place = F.floor(F.col("_at") / rows), F.col("_at") % rows
+    chunks = [F.array(own), F.when(place >= rows - overlap, F.array(own + 1)), F.when((place < ahead) & (own > 0), F.array(own - 1))]
+    chunks = F.concat(chunks[0], *[F.coalesce(c, F.array().cast("array<bigint>")) for c in chunks[1:]])
+    out = placed.withColumn("_own", own).withColumn("chunk", F.explode(chunks)).withColumn(lead, F.col("chunk") != F.col("_own"))
+    return out.drop("_piece", "_of", "_before", "_in", "_at", "_own", *names), Keyed([*on, "chunk"], keyed.time, keyed.more)
+
+
+#: Pieces that a running total is cut into.
+PIECES = 256
+
+
+def running(df: DataFrame, by: str, totals: dict[str, str], keys: Sequence[str] = (), descending: bool = False, pieces: int = PIECES) -> DataFrame:
+    """Adds, for each total {name: column}, name_before (over rows with lesser `by`) and name_all (over all), per key or for the whole table.
+
+    Sums in two levels, so that no task has a whole key: rows are dealt to pieces
+    by approximate quantiles of `by`, the pieces are summed, and a window runs
+    within each piece. The middle table has `pieces` rows for a key. Values of
+    `by` are numbers, and rows with equal values are summed up first by the
+    caller: each value may come once.
     """
-    base = df.withColumn("chunk", F.date_trunc(chunk, keyed.time).cast("timestamp_ntz"))
-    inner = Keyed([*keyed.keys, "chunk"], keyed.time, keyed.more)
-    tail = base.withColumn("_n", F.row_number().over(Window.partitionBy(*inner.keys).orderBy(F.col(keyed.time).desc(), *[F.col(c).desc() for c in keyed.more])))
-    after = Window.partitionBy(*keyed.keys).orderBy("chunk")
-    following = base.select(*inner.keys).distinct().withColumn("_next", F.lead("chunk").over(after)).where("_next is not null")
-    tail = tail.where(F.col("_n") <= overlap).drop("_n").join(following, list(inner.keys)).withColumn("chunk", F.col("_next")).drop("_next")
-    return base.withColumn(lead, F.lit(False)).unionByName(tail.withColumn(lead, F.lit(True))), inner
+    on = list(keys)
+    sign = -1 if descending else 1
+    at = F.col(by) * sign
+    edges = df.groupBy(*on).agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_edges"))
+    joined = df.join(edges, on) if on else df.crossJoin(F.broadcast(edges))  # one row
+    placed = joined.withColumn("_piece", F.size(F.filter("_edges", lambda e: e < at))).drop("_edges")
+    sums = placed.groupBy(*on, "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
+    before = Window.partitionBy(*on).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*on)
+    sums = sums.select(*on, "_piece", *[c for n in totals for c in (F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}"), F.sum(f"_t_{n}").over(every).alias(f"{n}_all"))])
+    inside = Window.partitionBy(*on, "_piece").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(sums, [*on, "_piece"])
+    out = out.select("*", *[(F.col(f"_b_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{n}_before") for n, c in totals.items()])
+    return out.drop("_piece", *[f"_b_{n}" for n in totals])
