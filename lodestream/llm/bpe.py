@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 from lodestream.llm.scratch import without
-from lodestream.llm.words import slices
+from lodestream.llm.words import lean, slices
 
 #: Words and stretches whose ids a worker keeps, their greatest length, and pairs whose compatibility it keeps.
 CACHE_WORDS, CACHE_CHUNKS, CACHE_LETTERS, CACHE_PAIRS = 500_000, 200_000, 64, 400_000
@@ -195,6 +195,11 @@ class Bpe:
             at = m.end()
         return b"".join([*out, *self._plain(text[at:])])
 
+    def forget(self) -> None:
+        """Drop what was kept of words and pairs, at the end of a task."""
+        for kept in (self.words, self.chunks, self.pairs, *self.spines):
+            kept.clear()
+
     def decode(self, packed: bytes) -> str:
         """The tokens' names, special ones too, with a space between."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -226,14 +231,17 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(described.value)
-        for batch in slices(batches, 64):
-            packed = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
-            more = [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
-            more += [pa.array([bpe.decode(p) for p in packed], pa.string())] * decode
-            old = batch if carry else batch.select([key_col])
-            yield pa.RecordBatch.from_arrays([*old.columns, *more], names=[*old.schema.names, "_n", "_ids", "_decoded"][: len(old.columns) + len(more)])
+        try:
+            for batch in slices(batches, 64):
+                packed = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
+                more = [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+                more += [pa.array([bpe.decode(p) for p in packed], pa.string())] * decode
+                old = batch if carry else batch.select([key_col])
+                yield pa.RecordBatch.from_arrays([*old.columns, *more], names=[*old.schema.names, "_n", "_ids", "_decoded"][: len(old.columns) + len(more)])
+        finally:
+            bpe.forget()
 
     more = [T.StructField("_n", T.LongType()), T.StructField("_ids", T.BinaryType())] + [T.StructField("_decoded", T.StringType())] * decode
-    result = rows.mapInArrow(run, T.StructType([*fields, *more]))
+    result = rows.mapInArrow(lean(run), T.StructType([*fields, *more]))
     kept = list(zip(spare, docs.columns, strict=True)) if carry else [(key_col, key)]
     return result.select(*[F.col(s).alias(c) for s, c in kept], F.col("_n").alias("n_tokens"), F.col("_ids").alias("ids"), *([F.col("_decoded").alias("decoded")] if decode else []))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.scratch import save, spent
+from lodestream.llm.words import lean
 
 
 class Forest:
@@ -98,7 +99,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     schema = edges.schema
-    edges = save(edges.mapInArrow(_contract, schema), "components")
+    edges = save(edges.mapInArrow(lean(_contract), schema), "components")
 
     def state(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()

@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestream.llm.components import components
 from lodestream.llm.scratch import save, spent, without
-from lodestream.llm.words import U, WordHashes, odd, scramble, slices, spans, texts
+from lodestream.llm.words import U, WordHashes, lean, odd, scramble, slices, spans, texts
 
 #: Second-level parts of a first-level part; subsets of all but one are enumerated.
 THIRDS = 3
@@ -55,14 +55,14 @@ BLOCK_SHINGLES, BLOCK_BYTES = 1_500_000, 8_000_000
 #: Sets of a cluster that are simply compared with each other, in full and by their cells.
 FEW, MANY = 6, 3_000
 #: Signatures that a task sorts and packs at a time, those of a range, and bytes of text for each.
-FLUSH, RANGE_SIGNS, SIGN_BYTES = 2_000_000, 2_000_000, 5
+FLUSH, RANGE_SIGNS, SIGN_BYTES = 1_000_000, 2_000_000, 5
 #: Bits of a signature beyond the logarithm of their number: one pair in 2^15 signatures meets by chance.
 SPARE_BITS = 15
 #: Bytes of a node's id, and its bits above and below the start of its band.
 NODE_BYTES, BAND_BITS = 6, 7
 NODE_HASH = 8 * NODE_BYTES - BAND_BITS
 #: Sets that a task remembers so as not to sign their copies.
-SEEN = 1_000_000
+SEEN = 300_000
 
 
 class Sets(NamedTuple):
@@ -579,8 +579,8 @@ def jaccard_components(
 
     moved = T.StructType([*T.StructType.fromDDL(_MOVED).fields, T.StructField("key", narrow.schema["key"].dataType)])
     met = T.StructType([f for f in moved.fields if f.name in ("a", "b", "x", "n", "name", "own", "key")])
-    signed = narrow.mapInArrow(_sign(words, bands, packing, _arrow(moved)), moved)
-    told = save(signed.repartition("range").sortWithinPartitions("range").mapInArrow(_meet(packing, _arrow(met)), met), "ngram-told")
+    signed = narrow.mapInArrow(lean(_sign(words, bands, packing, _arrow(moved))), moved)
+    told = save(signed.repartition("range").sortWithinPartitions("range").mapInArrow(lean(_meet(packing, _arrow(met))), met), "ngram-told")
     sets = told.where("a is null").select("key", "x", "n", "name", "own")
     clusters = save(components(told.where("a is not null").select("a", "b")), "ngram-clusters")
 
@@ -590,7 +590,7 @@ def jaccard_components(
     members = save(members, "ngram-members")
     tasks = _tasks(members, "octet_length(cells)", block_bytes).select("cluster", "i", "j", "block", "name", "cells", "n")
     tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "name")
-    near = save(components(tasks.mapInArrow(_refine(bands), "a binary, b binary")), "ngram-near")
+    near = save(components(tasks.mapInArrow(lean(_refine(bands)), "a binary, b binary")), "ngram-near")
     spent(clusters, members)
 
     # The text of one document of each set that is left. Always by a sort-merge join: both sides grow with the corpus.
@@ -599,7 +599,7 @@ def jaccard_components(
     wanted = _tasks(wanted.select("_key", "_x", "name", "n", F.col("root").alias("cluster")), "n", block_shingles)
     found = narrow.join(wanted.hint("merge"), (F.col("x") == F.col("_x")) & F.col("key").eqNullSafe(F.col("_key"))).select("cluster", "i", "j", "block", "name", "text")
     found = found.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "name")
-    links = save(found.mapInArrow(_verify(words, bands), "a binary, b binary"), "ngram-links")
+    links = save(found.mapInArrow(lean(_verify(words, bands)), "a binary, b binary"), "ngram-links")
 
     # By sets first, so that copies of one text are counted before they meet.
     roots = components(links).select(F.col("node").alias("_linked"), F.col("root").alias("_root"))

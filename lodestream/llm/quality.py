@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from lodestream.llm.labelled import SAMPLE_ROWS, logistic, sample, sigmoid
 from lodestream.llm.scratch import save, without
-from lodestream.llm.words import slices
+from lodestream.llm.words import lean, slices
 
 #: Bins of a pass over the scores.
 BINS = 4096
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     the scores are then all equal and at the threshold or below it, as the
     labels are.
     """
-    got = sample(docs, labels, "quality", train, key, text, rows).mapInArrow(_featured, "x array<double>, y int").collect()
+    got = sample(docs, labels, "quality", train, key, text, rows).mapInArrow(lean(_featured), "x array<double>, y int").collect()
     width = len(features(""))
     x, y = np.array([r["x"] for r in got]).reshape(-1, width), np.array([r["y"] for r in got])
     # in an order of their own, so that a rerun draws the same pairs
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     apart = z[drawn.choice(good, pairs)] - z[drawn.choice(bad, pairs)]
     weights = logistic(apart, np.ones(pairs), 1e-3)
     model = Model(mean, scale, weights, 0.0, 1.0)
-    model.cut = quantile(save(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(_raw(model), "raw double"), "quality-raw"), "raw", len(bad) / len(y))
+    model.cut = quantile(save(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(lean(_raw(model)), "raw double"), "quality-raw"), "raw", len(bad) / len(y))
     # a little lower, so that rounding does not part texts that meet the cut
     model.cut -= 1e-9 * max(1.0, abs(model.cut))
     return model
@@ -172,6 +172,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
             found = own.scores([t or "" for t in batch.column(text_col).to_pylist()], threshold)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "_score"])
 
-    result = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
+    result = rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
     result = result.select(*[F.col(s).alias(c) for s, c in zip(spare, docs.columns, strict=True)], F.col("_score").alias("score"))
     return result.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestream.llm.scratch import without
-from lodestream.llm.words import U, WordHashes, odd, scramble, slices, spans, texts
+from lodestream.llm.words import U, WordHashes, lean, odd, scramble, slices, spans, texts
 
 GRAM = 12
 DEPTH = 2
@@ -207,14 +207,14 @@ def remove_repeats(
     grams = size / 6.5 * 2 / (width - gram + 2)
     bits = int(np.clip(np.ceil(np.log2(CELLS_PER_GRAM * grams + 1)), MIN_BITS, max_bits))
     one = docs.select(F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(_SEED), F.col(text)).alias("b"))
-    counted = one.select("_text").mapInArrow(_sketch(width, gram, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = one.select("_text").mapInArrow(lean(_sketch(width, gram, bits)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
     blocks = counted.groupBy(F.shiftright("cell", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(32767)).alias("bits"))
     table = np.zeros(max(1, (DEPTH << bits) >> 15) * 4096, np.uint8)  # the merged sketch: a bit for a count of two or more
     for row in blocks.toLocalIterator():
         table[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
     sketch = spark.sparkContext.broadcast(table.tobytes())
 
-    found = one.mapInArrow(_candidates(width, gram, bits, sketch), "h1 long, h2 long, a long, b long, at int")
+    found = one.mapInArrow(lean(_candidates(width, gram, bits, sketch)), "h1 long, h2 long, a long, b long, at int")
     exact = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("at").alias("at"))
     once = exact.where("n = 1").groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.collect_list("at").alias("_once"))
 
@@ -226,6 +226,6 @@ def remove_repeats(
     rows = rows.join(once, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left").drop("_x", "_y", "_a", "_b")
     fields = [f for f in rows.schema.fields if f.name != "_once"]
     more = [T.StructField("_words", T.LongType()), T.StructField("_gone", T.LongType()), T.StructField("_kept", T.StringType())]
-    result = rows.mapInArrow(_remove(width, gram, bits, sketch, text_col), T.StructType([*fields, *more]))
+    result = rows.mapInArrow(lean(_remove(width, gram, bits, sketch, text_col)), T.StructType([*fields, *more]))
     kept = list(zip(spare, docs.columns, strict=True)) if carry else [(key_col, key)]
     return result.select(*[F.col(s).alias(c) for s, c in kept], F.col("_words").alias("n_words"), F.col("_gone").alias("n_removed"), F.col("_kept").alias("kept_text"))

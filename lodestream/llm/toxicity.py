@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lodestream.llm.labelled import SAMPLE_ROWS, logistic, sample, sigmoid
 from lodestream.llm.scratch import save, without
-from lodestream.llm.words import slices
+from lodestream.llm.words import lean, slices
 
 #: Entries of the lexicon, at most.
 ENTRIES = 20_000
@@ -171,7 +171,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
     """Entries with weights from (_text, _label), and words near to an entry that clean documents use; at most ENTRIES of each."""
-    words = labelled.mapInArrow(_terms, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    words = labelled.mapInArrow(lean(_terms), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     words = save(words, "toxic-words")
     # Of so many words, some are in toxic documents alone by chance, unless there are enough of these.
     rate = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("toxic")).first()
@@ -188,7 +188,7 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], frozenset[str]
     best = found.orderBy(F.col("toxic").desc(), "term").limit(ENTRIES).collect()
     # Words that a stem covers stay: only words are looked for with an edit.
     entries = {r["term"]: math.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5)) for r in best}  # log odds
-    near = words.where("n > toxic").select("term", "n").mapInArrow(_near(entries), "term string, n long")
+    near = words.where("n > toxic").select("term", "n").mapInArrow(lean(_near(entries)), "term string, n long")
     proper = near.orderBy(F.col("n").desc(), "term").limit(ENTRIES).collect()
     return entries, frozenset(r["term"] for r in proper)
 
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     """
     labelled = save(sample(docs, labels, "toxic", train, key, text, rows).dropDuplicates(["_text"]), "toxic-sample")
     entries, proper = learn_lexicon(labelled)
-    got = labelled.mapInArrow(_featured(entries, proper), "x array<double>, y int").collect()
+    got = labelled.mapInArrow(lean(_featured(entries, proper)), "x array<double>, y int").collect()
     if not got:
         return Model({}, frozenset(), [-3.0] + [0.0] * 4)
     x, y = np.array([[1.0, *r["x"]] for r in got]), np.array([float(r["y"]) for r in got])
@@ -280,6 +280,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
             found = own.scores([t or "" for t in batch.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "_score"])
 
-    result = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
+    result = rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
     result = result.select(*[F.col(s).alias(c) for s, c in zip(spare, docs.columns, strict=True)], F.col("_score").alias("score"))
     return result.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
