@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.frames import Keyed, col, div, ln
@@ -27,42 +27,67 @@ def imbalance(beta: str, volume: str = "volume") -> Column:
 
 
 def cumulative_delta(k: Keyed, delta: str, n: int = 20) -> Column:
-    return k.sum(delta, n, n // 2)
+    return k.ripe(F.sum(delta).over(k.trailing(n)), delta, n)
 
 
 def vpin(k: Keyed, delta: str, n: int = 50, volume: str = "volume") -> Column:
-    """Absolute imbalance over volume, from half a window on."""
-    share = div(F.sum(F.abs(F.col(delta))).over(k.trailing(n)), F.sum(volume).over(k.trailing(n)))
-    return k.full(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), delta, n, n // 2)
+    """Absolute imbalance over volume; from the n-th bar on, half of the window must be there."""
+    held = F.when(F.col(delta).isNotNull(), F.col(volume))
+    total = F.sum(held).over(k.trailing(n))
+    share = F.when(total > 0, div(F.sum(F.abs(F.col(delta))).over(k.trailing(n)), total))
+    return k.ripe(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), delta, n)
 
 
-def weighted_by_volume(k: Keyed, x: Column | str, n: int, volume: str = "volume", least: int | None = None) -> Column:
-    v = F.col(volume)
-    return k.full(div(F.sum(col(x) * v).over(k.trailing(n)), F.sum(v).over(k.trailing(n))), volume, n, least)
+def weighted_by_volume(k: Keyed, x: Column | str, n: int, volume: str = "volume") -> Column:
+    one = F.when(col(x).isNotNull(), F.col(volume))
+    total = F.sum(one).over(k.trailing(n))
+    return k.ripe(F.when(total > 0, div(F.sum(col(x) * one).over(k.trailing(n)), total)), col(x) * one, n)
 
 
 def concentration(k: Keyed, n: int = 20, volume: str = "volume") -> Column:
-    return k.full(div(F.max(volume).over(k.trailing(n)), F.avg(volume).over(k.trailing(n))), volume, n)
+    total = F.sum(volume).over(k.trailing(n))
+    return k.ripe(F.when(total > 0, div(F.max(volume).over(k.trailing(n)), F.avg(volume).over(k.trailing(n)))), volume, n)
 
 
 def trade_intensity(k: Keyed, n: int = 20, high: str = "high", low: str = "low", volume: str = "volume") -> Column:
     """Mean of volume per range and mid price; bars without range are left out."""
     h, l = F.col(high), F.col(low)
-    one = F.when(h > l, div(volume, (h - l) * (h + l) / 2))
-    return F.when(F.count(one).over(k.trailing(n)) >= n // 2, F.avg(one).over(k.trailing(n)))
+    one = F.when((h > l) & (h + l > 0), div(volume, (h - l) * (h + l) / 2))
+    return k.ripe(F.avg(one).over(k.trailing(n)), one, n)
 
 
 def vwap_band(k: Keyed, tp: str, vwap: str, n: int = 20, width: float = 2.0) -> Column:
     """Half width of the band around the VWAP."""
     square, mean = F.avg(F.col(tp) * F.col(tp)).over(k.trailing(n)), F.avg(tp).over(k.trailing(n))
     v = F.col(vwap)
-    return k.full(width * F.sqrt(F.greatest(square - 2 * v * mean + v * v, F.lit(0.0))), tp, n)
+    return k.ripe(width * F.sqrt(F.greatest(square - 2 * v * mean + v * v, F.lit(0.0))), tp, n)
+
+
+def vwap_accumulation(k: Keyed, vwap: str, n: int = 10, close: str = "close", volume: str = "volume") -> Column:
+    """Volume signed by the side of the VWAP that the close is on, over volume."""
+    v = F.when(F.col(vwap).isNotNull() & F.col(close).isNotNull(), F.col(volume))
+    total = F.sum(v).over(k.trailing(n))
+    return k.ripe(F.when(total > 0, div(F.sum(F.signum(F.col(close) - F.col(vwap)) * v).over(k.trailing(n)), total)), v, n)
+
+
+def vwap_anchored(k: Keyed, anchor: Column | str, tp: str, volume: str = "volume") -> Column:
+    """VWAP since the last bar at which `anchor` holds, that bar included; since the first bar before any does.
+
+    anchor is a column that numbers the sessions, such as a date or a running
+    count of resets: sums run within one session of a key.
+    """
+    session = Window.partitionBy(*k.keys, col(anchor)).orderBy(k.time, *k.more).rowsBetween(Window.unboundedPreceding, 0)
+    v = F.when(F.col(tp).isNotNull(), F.col(volume))
+    total = F.sum(v).over(session)
+    return F.when(total > 0, div(F.sum(F.col(tp) * v).over(session), total))
 
 
 def kyles_lambda(k: Keyed, r: str, delta: str, n: int = 20) -> Column:
     """Slope of returns on signed volume; 0 where signed volume does not vary."""
-    both = F.count(F.when(F.col(r).isNotNull() & F.col(delta).isNotNull(), 1)).over(k.trailing(n)) >= n
-    return F.when(both, F.coalesce(k.slope(r, delta, n), F.lit(0.0)))
+    w, both = k.trailing(n), k.both(r, delta)
+    d = F.when(both.isNotNull(), F.col(delta))
+    squares = F.var_pop(d).over(w) * F.count(both).over(w)
+    return k.ripe(F.when(squares > 1e-20, div(F.covar_pop(r, delta).over(w), F.var_pop(d).over(w))).otherwise(0.0), both, n)
 
 
 # liquidity
@@ -78,15 +103,28 @@ def corwin_schultz(k: Keyed, beta: str, gamma: str, n: int = 2) -> Column:
 
 
 def roll_spread(k: Keyed, step: str, before: str, n: int = 20, close: str = "close") -> Column:
-    """Relative spread from the covariance of successive price changes."""
-    both = F.count(F.when(F.col(step).isNotNull() & F.col(before).isNotNull(), 1)).over(k.trailing(n)) >= n
+    """Relative spread from the covariance of successive price changes, of which max(n // 2, 5) pairs must be there."""
+    enough = F.count(k.both(step, before)).over(k.trailing(n)) >= max(n // 2, 5)
     cov = F.covar_samp(step, before).over(k.trailing(n))
-    return F.when(both, div(2 * F.sqrt(F.greatest(-cov, F.lit(0.0))), F.avg(close).over(k.trailing(n))))
+    return F.when(enough, div(2 * F.sqrt(F.greatest(-cov, F.lit(0.0))), F.avg(close).over(k.trailing(n))))
 
 
 def amihud(k: Keyed, r: str, n: int = 20, close: str = "close", volume: str = "volume") -> Column:
-    impact = div(F.abs(F.col(r)), F.col(volume) * F.col(close))
-    return F.log(F.when(F.count(impact).over(k.trailing(n)) >= n, F.avg(impact).over(k.trailing(n))) + 1e-10)
+    impact = F.when((F.col(volume) > 0) & (F.col(close) > 0), div(F.abs(F.col(r)), F.col(volume) * F.col(close)))
+    return F.log(k.ripe(F.avg(impact).over(k.trailing(n)), impact, n) + 1e-10)
+
+
+def intrabar_efficiency(k: Keyed, n: int = 20, open_: str = "open", high: str = "high", low: str = "low", close: str = "close") -> Column:
+    """Body over range, of the window's bars with a range."""
+    span = F.when(F.col(high) > F.col(low), F.col(high) - F.col(low))
+    body = F.when(F.col(high) > F.col(low), F.abs(F.col(close) - F.col(open_)))
+    return k.ripe(div(F.sum(body).over(k.trailing(n)), F.sum(span).over(k.trailing(n))), span, n)
+
+
+def distance_to_extremes(k: Keyed, vol: str, n: int = 20, high: str = "high", low: str = "low", close: str = "close") -> Column:
+    """The close less the middle of the window's range, in units of a yearly volatility brought to a day."""
+    mid = (F.max(high).over(k.trailing(n)) + F.min(low).over(k.trailing(n))) / 2
+    return k.ripe((F.col(close) - mid) / (F.col(vol) / YEAR * F.col(close) + 1e-10), vol, n, 1)
 
 
 def half_life(phi: Column) -> Column:

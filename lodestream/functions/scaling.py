@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.functions.frames import running
+
 
 def standardise(df: DataFrame, x: str, out: str) -> DataFrame:
     """(x - mean) / sd over the whole column; null where the column does not vary."""
@@ -56,10 +58,9 @@ def tied_bins(df: DataFrame, x: str, bins: int, out: str) -> DataFrame:
     """Bins of about equal counts that never split equal values.
 
     Values are counted first; a value's bin is that of the middle of its rows in
-    the order of all. The running sum goes over one row per distinct value.
+    the order of all. The running sum is taken in two levels.
     """
     counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    placed = counts.withColumn(out, F.floor((before + (F.col("_n") - 1) / 2) * bins / F.sum("_n").over(whole)).cast("int")).drop("_n")
+    middle = F.col("_n_before") + (F.col("_n") - 1) / 2
+    placed = running(counts, "_v", {"_n": "_n"}).select("_v", F.floor(middle * bins / F.col("_n_all")).cast("int").alias(out))
     return df.join(placed, F.col(x) == F.col("_v"), "left").drop("_v")

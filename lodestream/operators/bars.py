@@ -51,10 +51,17 @@ def fill_gaps(bars: DataFrame, seconds: int, key: str = "symbol", time: str = "t
 
 
 def clean(bars: DataFrame, key: str = "symbol", time: str = "ts", volume: str = "volume", keep: str = "first", order: str | None = None) -> DataFrame:
-    """Weekday bars with volume and without nulls, one per time: the first or the last by `order`."""
-    sound = bars.where((F.col(volume) > 0) & (F.weekday(time) < 5)).dropna()
-    place = F.col(order or volume)
-    return one_per(sound, [key, time], place.asc() if keep == "first" else place.desc())
+    """One bar per time, the first or last that arrived; of these the weekday bars with volume and without a null price or volume.
+
+    `order` is a column that tells the order of arrival; without it the order in
+    which rows are read counts, which only files keep. A bar that is kept and
+    then found unsound is not replaced by a later one. Other columns may be null.
+    """
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    one = bars.withColumn("_at", place)
+    one = one_per(one, [key, time], F.col("_at").asc() if keep == "first" else F.col("_at").desc()).drop("_at")
+    needed = [c for c in (*PRICES, volume) if c in bars.columns]
+    return one.where((F.col(volume) > 0) & (F.weekday(time) < 5)).dropna(subset=needed)
 
 
 def one_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -69,6 +76,32 @@ def upsert(stored: DataFrame, fetched: DataFrame, keys: Sequence[str] = ("symbol
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("_v")).select(*keys, "_v.*")
 
 
+def merge_report(stored: DataFrame, fetched: DataFrame, merged: DataFrame, key: str = "symbol", time: str = "ts") -> DataFrame:
+    """Per key: rows of each table, repeated times of the merged one, and fault: why the merge is unsound, or null.
+
+    A merged table has no repeated time and no fewer rows than either source.
+    """
+    tagged = [t.select(key, F.col(time).alias("_at"), F.lit(i).alias("_of")) for i, t in enumerate((stored, fetched, merged))]
+    counted = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy(key, "_of", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    rows = lambda i: F.sum(F.when(F.col("_of") == i, F.col("_n")).otherwise(0))
+    found = counted.groupBy(key).agg(rows(0).alias("stored"), rows(1).alias("fetched"), rows(2).alias("merged"), F.sum(F.when(F.col("_of") == 2, F.col("_n") - 1).otherwise(0)).alias("repeated"))
+    fault = F.when(F.col("repeated") > 0, "repeated times").when(F.col("merged") < F.col("stored"), "stored rows lost").when(F.col("merged") < F.col("fetched"), "fetched rows lost")
+    return found.withColumn("fault", fault)
+
+
+def plausibility(bars: DataFrame, minutes: int, start: Column, end: Column, all_week: Column, least: float = 0.1, hours: float = 20.0, key: str = "symbol") -> DataFrame:
+    """Per key: rows, expected rows of a period, their ratio and whether it is at least `least`.
+
+    Markets trade five days of seven and `hours` of a day, or always where
+    all_week holds (a condition on the key). Nothing expected is plausible.
+    """
+    span = (F.unix_micros(F.to_timestamp(end)) - F.unix_micros(F.to_timestamp(start))) / 60e6
+    share = F.when(all_week, 1.0).otherwise(5 / 7 * hours / 24)
+    found = bars.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).withColumn("expected", F.floor(span * share / minutes))
+    found = found.withColumn("ratio", F.when(F.col("expected") > 0, F.col("rows") / F.col("expected")))
+    return found.withColumn("plausible", F.coalesce(F.col("ratio") >= least, F.lit(True)))
+
+
 def drop_sparse_columns(df: DataFrame, most: float = 0.2, keep: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     """Without the columns that are null in more than a share of the rows; then without rows with a null."""
     rate = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in df.columns if c not in keep]).first().asDict()

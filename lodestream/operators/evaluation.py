@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.functions import posterior
+from lodestream.functions.frames import PIECES, Keyed, div, ln, running
+from lodestream.operators.rolling_kernels import beta_cdf, rolling, rolling_rank_correlation
+
 
 def runs(df: DataFrame, label: str, key: str = "symbol", time: str = "ts") -> DataFrame:
     """Rows with the number of their run of equal labels (gaps and islands)."""
@@ -28,10 +34,28 @@ def transition_matrix(df: DataFrame, label: str, key: str = "symbol", time: str
 
 
 def quantile(x: str, p, accuracy: int | None = None) -> Column:
-    """Quantiles as an aggregate: exact, which holds every distinct value of a group, or within 1 / accuracy of the rank."""
+    """Quantiles as an aggregate: exact, which holds every distinct value of a group, or within 1 / accuracy of the rank.
+
+    Exact ones are for many small groups; exact_quantiles takes large ones.
+    """
     return F.percentile(x, p) if accuracy is None else F.percentile_approx(x, p, accuracy)
 
 
+def exact_quantiles(df: DataFrame, x: str, shares: Sequence[float], groups: Sequence[str] = (), out: str = "quantiles") -> DataFrame:
+    """One row per group (one in all without groups) with the exact quantiles of x, interpolated between neighbours.
+
+    Distinct values are counted and placed by running totals, so no task holds a
+    group's values. Nulls are left out; a group without values gives no row.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(*groups, F.col(x).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(counts, "_v", {"_n": "_n"}, groups)
+    at = [F.lit(float(p)) * (F.col("_n_all") - 1) for p in shares]
+    here = lambda place: F.max(F.when((place >= F.col("_n_before")) & (place < F.col("_n_before") + F.col("_n")), F.col("_v")))
+    found = placed.groupBy(*groups).agg(F.max("_n_all").alias("_n_all"), *[e for i, a in enumerate(at) for e in (here(F.floor(a)).alias(f"_lo{i}"), here(F.ceil(a)).alias(f"_hi{i}"))])
+    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]
+    return found.where("_n_all is not null").select(*groups, F.array(*between).alias(out))
+
+
 def state_statistics(df: DataFrame, label: str, value: str, accuracy: int | None = None) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles of a value per state; see quantile for accuracy."""
     q = lambda p: quantile(value, p, accuracy)
@@ -54,17 +78,72 @@ def average_rank(x: str, groups: Sequence[str] = ()) -> Column:
     return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*groups, x)) - 1) / 2
 
 
-def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str]) -> DataFrame:
-    """Rank correlation of x and y per group, ties at their mean rank; null for a flat side."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.select(*groups, average_rank(x, groups).alias("_x"), average_rank(y, groups).alias("_y"))
+def counted_ranks(df: DataFrame, x: str, groups: Sequence[str], out: str) -> DataFrame:
+    """(groups, x, out): average rank of each distinct value, by counts and running totals, for groups of any size."""
+    counts = df.groupBy(*groups, x).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counts, x, {"_n": "_n"}, groups)
+    return ranked.select(*groups, x, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(out))
+
+
+def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str], least: int = 1, large: bool = False) -> DataFrame:
+    """Rank correlation of x and y per group, ties at their mean rank; null for a flat side or fewer rows than `least`.
+
+    Ranks are windows over a group, which meets in one task: right for many
+    groups. For a few large ones ask for large, which ranks by running totals.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, F.col(x).cast("double").alias("_a"), F.col(y).cast("double").alias("_b"))
+    if large:
+        ranked = both.join(counted_ranks(both, "_a", groups, "_x"), [*groups, "_a"]).join(counted_ranks(both, "_b", groups, "_y"), [*groups, "_b"])
+    else:
+        ranked = both.select(*groups, average_rank("_a", groups).alias("_x"), average_rank("_b", groups).alias("_y"))
     sx, sy = F.stddev_pop("_x"), F.stddev_pop("_y")
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.when(F.least(sx, sy) > 1e-12, F.try_divide(F.covar_pop("_x", "_y"), sx * sy)).alias("ic"))
+    enough = (F.least(sx, sy) > 1e-12) & (F.count(F.lit(1)) >= least)
+    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.when(enough, F.try_divide(F.covar_pop("_x", "_y"), sx * sy)).alias("ic"))
+
+
+def conditional_ic(df: DataFrame, features: Sequence[str], target: str, condition: str, least: int = 1000) -> DataFrame:
+    """(feature, condition, n, ic): rank correlation of each feature with the target in each condition.
+
+    Rows without the feature, the target or the condition are left out of that
+    pair only. ic is null below `least` rows and for a flat side. Groups may be
+    as large as the table: ranks are running totals.
+    """
+    long = df.where(F.col(condition).isNotNull()).select(F.col(condition).alias("condition"), F.col(target).alias("_target"), F.explode(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))])).alias("feature", "_value"))
+    return spearman(long, "_value", "_target", ["feature", "condition"], least, large=True)
+
+
+def p_value(ic: str, n: str) -> Column:
+    """Two-sided chance of a rank correlation this far from 0, by Student's t; for tables of a few rows."""
+
+    @F.pandas_udf("double")
+    def chance(r: pd.Series, rows: pd.Series) -> pd.Series:
+        def one(r: float, n: float) -> float | None:
+            if r is None or not math.isfinite(r) or n < 3:
+                return None
+            if abs(r) >= 1:
+                return 0.0
+            return beta_cdf((n - 2) / 2, 0.5, 1 - r * r)  # of t = r sqrt((n - 2) / (1 - r^2))
+
+        return pd.Series([one(a, b) for a, b in zip(r, rows, strict=True)], dtype="float64")
+
+    return chance(F.col(ic), F.col(n).cast("double"))
+
+
+def rolling_ic(df: DataFrame, x: str, y: str, n: int, key: str = "symbol", time: str = "ts") -> DataFrame:
+    """Rank correlation over the trailing n rows of a key, from the n-th row on; 0 where a side is flat.
+
+    Pairs with a null are left out of a window, of which half must be there.
+    """
+    return rolling(df, n, rolling_rank_correlation(n), "ic double", (x, y), (key,), time).where("ic is not null")
 
 
 def quantile_bins(df: DataFrame, x: str, bins: int, out: str = "bin", accuracy: int | None = None) -> DataFrame:
-    """Bin 0 to bins - 1 by edges at equal quantiles of the whole column; the edges are one row. See quantile for accuracy."""
-    edges = df.agg(quantile(x, [i / bins for i in range(1, bins)], accuracy).alias("_edges"))
+    """Bin 0 to bins - 1 by edges at equal quantiles of the whole column; the edges are one row.
+
+    They are exact unless an accuracy is given, as for quantile.
+    """
+    shares = [i / bins for i in range(1, bins)]
+    edges = exact_quantiles(df, x, shares, out="_edges") if accuracy is None else df.agg(quantile(x, shares, accuracy).alias("_edges"))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
 
 
@@ -111,13 +190,231 @@ def profit_factor_sweep(df: DataFrame, x: str, ret: str, thresholds: Sequence[fl
     )
 
 
+def roc_table(df: DataFrame, x: str, ret: str, shares: Sequence[float]) -> DataFrame:
+    """Profit factors above and below the cut of each share, from the highest x down.
+
+    The cut of a share p of n rows is row int(p (n + 1)) - 1 in falling order of
+    x, from 0, within the table; where it falls among equal values it moves to
+    the first of them. Rows before it are above. Cuts at the first or last row
+    give no row. A profit factor is gains over losses plus 1e-30; short ones are
+    the other way round. Values are summed up before they are put in order, and
+    the order is taken by running totals: no task sees all of them.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(ret).isNotNull()).select(F.col(x).cast("double").alias("_x"), F.col(ret).alias("_r"))
+    gain, loss = F.sum(F.when(F.col("_r") > 0, F.col("_r")).otherwise(0.0)), F.sum(F.when(F.col("_r") < 0, -F.col("_r")).otherwise(0.0))
+    counts = rows.groupBy("_x").agg(F.count(F.lit(1)).alias("n"), gain.alias("g"), loss.alias("l"))
+    placed = running(counts, "_x", {"n": "n", "g": "g", "l": "l"}, descending=True)
+    cuts = placed.withColumn("share", F.explode(F.array(*[F.lit(float(p)) for p in shares])))
+    k = F.greatest(F.lit(0), F.least(F.floor(F.col("share") * (F.col("n_all") + 1)) - 1, F.col("n_all") - 1))
+    cuts = cuts.where((k >= F.col("n_before")) & (k < F.col("n_before") + F.col("n")) & (F.col("n_before") > 0) & (F.col("n_before") < F.col("n_all") - 1))
+    over = lambda a, b: a / (b + 1e-30)
+    rest = lambda c: F.greatest(F.round(F.col(f"{c}_all") - F.col(f"{c}_before"), 12), F.lit(0.0))  # noqa: E731  (what rounding leaves of nothing is nothing)
+    g, l = rest("g"), rest("l")
+    return cuts.select(
+        "share",
+        F.col("_x").alias("threshold"),
+        (F.col("n_before") / F.col("n_all")).alias("frac_above"),
+        over(F.col("g_before"), F.col("l_before")).alias("pf_long_above"),
+        over(F.col("l_before"), F.col("g_before")).alias("pf_short_above"),
+        over(g, l).alias("pf_long_below"),
+        over(l, g).alias("pf_short_below"),
+    )
+
+
+def best_thresholds(df: DataFrame, x: str, ret: str, least: int) -> DataFrame:
+    """One row: the profit factor of all rows, and the thresholds of x with the best long and short ones.
+
+    Long is every row with x at or below a cut in falling order, short every row
+    before it, each with at least so many rows. Of equal factors the earlier cut
+    counts. Without a better cut long is the whole table, from the highest x.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(ret).isNotNull()).select(F.col(x).cast("double").alias("_x"), F.col(ret).alias("_r"))
+    gain, loss = F.sum(F.when(F.col("_r") > 0, F.col("_r")).otherwise(0.0)), F.sum(F.when(F.col("_r") < 0, -F.col("_r")).otherwise(0.0))
+    counts = rows.groupBy("_x").agg(F.count(F.lit(1)).alias("n"), gain.alias("g"), loss.alias("l"))
+    placed = running(counts, "_x", {"n": "n", "g": "g", "l": "l"}, descending=True)
+    rest = F.col("n_all") - F.col("n_before")
+    long = F.when((F.col("n_before") == 0) | (rest >= least), (F.col("g_all") - F.col("g_before")) / (F.col("l_all") - F.col("l_before") + 1e-30))
+    # The other side of a cut wins where it loses: its gains are the losses of the rows before the cut.
+    short = F.when((F.col("n_before") > 0) & (F.col("n_before") >= least), F.col("l_before") / (F.col("g_before") + 1e-30))
+    best = lambda pf, n: F.max(F.when(pf.isNotNull(), F.struct(pf.alias("pf"), F.col("_x").alias("x"), n.alias("n"))))
+    found = placed.agg(F.max(F.col("g_all") / (F.col("l_all") + 1e-30)).alias("pf_all"), best(long, rest).alias("a"), best(short, F.col("n_before")).alias("b"))
+    parts = [F.col("a.pf").alias("long_pf"), F.col("a.x").alias("long_threshold"), F.col("a.n").alias("n_long"), F.col("b.pf").alias("short_pf"), F.col("b.x").alias("short_threshold"), F.col("b.n").alias("n_short")]
+    return found.select("pf_all", *parts)
+
+
+def dominated(df: DataFrame, more: str, less: str) -> DataFrame:
+    """Adds dominated: some row has strictly more of one and strictly less of the other.
+
+    Values of `more` are taken once, with their least `less`; the least over all
+    higher values is a running minimum in two levels, over pieces and within
+    them, so that no task has the whole table.
+    """
+    best = df.where(F.col(more).isNotNull() & F.col(less).isNotNull()).groupBy(F.col(more).alias("_m")).agg(F.min(less).alias("_l"))
+    edges = best.agg(F.percentile_approx(F.col("_m").cast("double"), [i / PIECES for i in range(1, PIECES)], 20 * PIECES).alias("_edges"))
+    placed = best.crossJoin(F.broadcast(edges)).withColumn("_piece", F.size(F.filter("_edges", lambda e: e < F.col("_m")))).drop("_edges")
+    higher = Window.orderBy(F.col("_piece").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over PIECES rows
+    pieces = placed.groupBy("_piece").agg(F.min("_l").alias("_pl")).select("_piece", F.min("_pl").over(higher).alias("_above"))
+    inside = Window.partitionBy("_piece").orderBy(F.col("_m").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = placed.join(pieces, "_piece").select("_m", F.least("_above", F.min("_l").over(inside)).alias("_least"))
+    found = df.join(least, F.col(more) == F.col("_m"), "left")
+    return found.withColumn("dominated", F.coalesce(F.col("_least") < F.col(less), F.lit(False))).drop("_m", "_least")
+
+
 def pareto_front(df: DataFrame, name: str, more: str, less: str) -> DataFrame:
-    """Rows with dominated: some row has more of one and less of the other.
+    """Rows with dominated: some row has more of one and less of the other; see dominated."""
+    return dominated(df, more, less)
+
+
+def pareto_status(df: DataFrame, more: str, less: str, trap: float) -> DataFrame:
+    """Adds status: 'trap' where `less` is above the limit, else 'dominated' by another row that is no trap, else 'candidate'."""
+    sound = dominated(df.where(F.col(less) <= trap), more, less)
+    status = F.when(F.col("dominated"), "dominated").otherwise("candidate")
+    rest = df.where(~F.coalesce(F.col(less) <= trap, F.lit(False)))
+    return sound.withColumn("status", status).drop("dominated").unionByName(rest.withColumn("status", F.lit("trap")))
+
+
+def net_bar_returns(df: DataFrame, position: str, ret: str, half_spread: str | Column, key: str = "symbol", time: str = "ts") -> Column:
+    """What the position of the bar before earns, less the half spread on each change of position at this bar.
+
+    A null return earns nothing but a change is paid for; a null position is flat.
+    """
+    w = Window.partitionBy(key).orderBy(time)
+    now = F.coalesce(F.col(position), F.lit(0.0))
+    before = F.coalesce(F.lag(now).over(w), F.lit(0.0))
+    cost = half_spread if isinstance(half_spread, Column) else F.col(half_spread)
+    return before * F.coalesce(F.col(ret), F.lit(0.0)) - F.abs(now - before) * F.coalesce(cost, F.lit(0.0))
+
+
+def regime_runs(df: DataFrame, label: str, confirm: int = 1, penalty: float = 0.0, key: str = "symbol", time: str = "ts") -> DataFrame:
+    """Per run of a label that was traded: its return, rows, trades, purity and deepest drawdown.
 
-    One sort instead of a join of all pairs: by falling `more`, a row is
-    dominated if an earlier one (strictly more) has less. The window runs over
-    one row per candidate.
+    label is -1, 0 or 1 and is known at a bar's end: a bar is traded in the
+    direction of the label before it, if the last `confirm` labels are equal and
+    not 0, and earns direction * ln(close / open). Runs are of the shifted label;
+    the first bar of a key, which has none, is a run of its own. Losses are
+    multiplied by 1 + penalty. Bars without a label, open or close are left out.
+    A run without a trade gives no row. purity is the share of trades that gain;
+    the drawdown is that of the running return, which is 0 at bars not traded.
     """
-    best = Window.orderBy(F.col("_rank")).rangeBetween(Window.unboundedPreceding, -1)
-    ranked = df.withColumn("_rank", F.dense_rank().over(Window.orderBy(F.col(more).desc())))
-    return ranked.withColumn("dominated", F.coalesce(F.min(less).over(best) < F.col(less), F.lit(False))).drop("_rank")
+    w = Window.partitionBy(key).orderBy(time)
+    rows = df.where(F.col(label).isNotNull() & F.col("open").isNotNull() & F.col("close").isNotNull())
+    rows = rows.withColumn("_side", F.lag(label).over(w))
+    past = [F.lag(label, i + 1).over(w) for i in range(max(1, confirm))]
+    sure = past[0] != 0
+    for p in past[1:]:
+        sure &= p == past[0]
+    rows = rows.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+    raw = F.when(F.col("_sure"), F.col("_side") * ln(div("close", "open")))
+    rows = rows.withColumn("_r", F.when(raw < 0, raw * (1 + penalty)).otherwise(raw))
+    turn = ~F.col("_side").eqNullSafe(F.lag("_side").over(w)) | F.lag("_side").over(w).isNull()
+    rows = rows.withColumn("_run", F.sum(turn.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    path = Window.partitionBy(key, "_run").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.when(F.col("_r").isNotNull(), F.sum("_r").over(path)).otherwise(0.0))
+    rows = rows.withColumn("_fall", F.col("_sum") - F.max("_sum").over(path))
+    found = rows.groupBy(key, F.col("_run").alias("run")).agg(
+        F.first("_side", ignorenulls=True).alias("side"),
+        F.min_by(label, time).alias("label"),
+        F.count(F.lit(1)).alias("length"),
+        F.count("_r").alias("trades"),
+        F.sum("_r").alias("total"),
+        F.sum((F.col("_r") > 0).cast("long")).alias("gains"),
+        F.min("_fall").alias("max_drawdown"),
+    )
+    return found.where("trades > 0").withColumn("purity", F.col("gains") / F.col("trades")).drop("gains")
+
+
+def regime_potential(runs: DataFrame, by: Sequence[str] = ("label",), whipsaw: float = 0.0) -> DataFrame:
+    """Per label: runs, their returns, win rate, profit factor, dwell, purity and drawdown, and the total less whipsaw * (runs - 1)."""
+    gains, losses = F.sum(F.when(F.col("total") > 0, F.col("total")).otherwise(0.0)), F.sum(F.when(F.col("total") < 0, -F.col("total")).otherwise(0.0))
+    wins = F.sum((F.col("total") > 0).cast("long"))
+    found = runs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.sum("total").alias("total_return"),
+        F.avg("total").alias("mean"),
+        F.stddev_samp("total").alias("sd"),
+        wins.alias("wins"),
+        F.sum((F.col("total") < 0).cast("long")).alias("losses"),
+        F.try_divide(gains, losses).alias("profit_factor"),
+        F.avg("length").alias("avg_dwell"),
+        F.avg("purity").alias("purity"),
+        F.min("max_drawdown").alias("max_drawdown"),
+    )
+    found = found.withColumn("win_rate", F.col("wins") / F.col("runs")).withColumn("persistence", F.col("avg_dwell") * F.col("win_rate"))
+    return found.withColumn("net_return", F.col("total_return") - whipsaw * F.greatest(F.col("runs") - 1, F.lit(0)))
+
+
+#: What the forward axes are: trend, momentum, volatility, path and liquidity.
+AXES = ("trend", "momentum", "volatility", "path", "liquidity")
+
+
+def forward_axes(df: DataFrame, horizon: int, key: str = "symbol", time: str = "ts", volume: str = "volume") -> DataFrame:
+    """Adds forward_* over (t, t + horizon] and baseline_*, the same over the horizon that ends at t, for every axis.
+
+    Trend is the log return; momentum the log return in the direction of the one
+    before it; volatility the root of the mean squared log return; path the net
+    change over the sum of changes, null where that is 0; liquidity the volume.
+    Null where a horizon is not there in full.
+    """
+    k, h = Keyed((key,), time), horizon
+    c = F.col("close")
+    df = df.withColumn("_l", ln("close")).withColumn("_d", F.abs(c - k.lag("close")))
+    df = df.withColumn("_s", F.pow(F.col("_l") - k.lag("_l"), 2))
+    ret = F.col("_l") - k.lag("_l", h)
+    df = df.withColumn("_past", ret).withColumn("_next", k.lead("_l", h) - F.col("_l"))
+    whole = lambda x, frame: F.when(F.count(x).over(frame) >= h, F.sum(x).over(frame))
+    back, ahead = k.trailing(h), k.ahead(h)
+    named = {
+        "trend": (F.col("_next"), F.col("_past")),
+        "momentum": (F.signum("_past") * F.col("_next"), F.signum(k.lag("_past", h)) * F.col("_past")),
+        "volatility": (F.sqrt(whole("_s", ahead) / h), F.sqrt(whole("_s", back) / h)),
+        "path": (div(F.abs(k.lead("close", h) - c), whole("_d", ahead)), div(F.abs(c - k.lag("close", h)), whole("_d", back))),
+        "liquidity": (whole(volume, ahead), whole(volume, back)),
+    }
+    return df.select("*", *[e.alias(f"{side}_{axis}") for axis, pair in named.items() for side, e in zip(("forward", "baseline"), pair, strict=True)]).drop("_l", "_d", "_s", "_past", "_next")
+
+
+def overlap(df: DataFrame, value: str, group: str, a, b, bins: int = 80) -> DataFrame:
+    """One row: how much the histograms of a value in two groups overlap, 0 to 1; 1 where the values do not differ.
+
+    Null if a group has fewer than two values.
+    """
+    rows = df.where(F.col(group).isin([a, b]) & F.col(value).isNotNull()).select(F.col(value).alias("_v"), (F.col(group) == a).alias("_a"))
+    ends = rows.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.when(F.col("_a"), 1)).alias("_na"), F.count(F.when(~F.col("_a"), 1)).alias("_nb"))
+    place = F.least(F.floor(F.try_divide((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(bins - 1))
+    counts = rows.crossJoin(F.broadcast(ends)).groupBy(F.coalesce(place, F.lit(0)).alias("_bin")).agg(F.count(F.when(F.col("_a"), 1)).alias("x"), F.count(F.when(~F.col("_a"), 1)).alias("y"))
+    shared = counts.crossJoin(F.broadcast(ends)).agg(F.sum(F.least(F.try_divide("x", "_na"), F.try_divide("y", "_nb"))).alias("s"), F.min(F.least("_na", "_nb")).alias("n"))
+    return shared.select(F.when(F.col("n") >= 2, F.col("s")).alias("overlap"))
+
+
+def calibration_report(df: DataFrame, probs: str, state: str, bins: int = 10) -> DataFrame:
+    """One row of chances against the true state (from 0): ECE of the top chance, Brier score, its parts, and cross-entropy.
+
+    Rows with a null, or a state that has no chance, are left out.
+    """
+    p, y = F.col(probs), F.col(state).cast("int")
+    rows = df.where(p.isNotNull() & y.between(0, F.size(p) - 1)).select(
+        F.array_max(p).alias("top"),
+        (posterior.argmax(p) == y).cast("double").alias("hit"),
+        posterior.total(F.transform(p, lambda x, i: F.pow(x - (i == y).cast("double"), 2))).alias("square"),
+        (-F.log(F.least(F.greatest(F.get(p, y), F.lit(1e-12)), F.lit(1.0)))).alias("nll"),
+    )
+    place = F.greatest(F.least(F.floor(F.col("top") * bins), F.lit(bins - 1)), F.lit(0))
+    table = rows.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("top").alias("t"), F.sum("hit").alias("h"), F.sum("square").alias("q"), F.sum("nll").alias("l"))
+    whole = table.agg(F.sum("n").alias("_n"), F.sum("h").alias("_h"))
+    gap, apart = F.col("t") - F.col("h"), F.col("h") / F.col("n") - F.col("_h") / F.col("_n")
+    return table.crossJoin(F.broadcast(whole)).agg(
+        F.max("_n").alias("n"),
+        (F.sum(F.abs(gap)) / F.max("_n")).alias("ece"),
+        (F.sum("q") / F.max("_n")).alias("brier"),
+        (F.sum(gap * gap / F.col("n")) / F.max("_n")).alias("reliability"),
+        (F.sum(F.col("n") * apart * apart) / F.max("_n")).alias("resolution"),
+        F.max(F.col("_h") / F.col("_n") * (1 - F.col("_h") / F.col("_n"))).alias("uncertainty"),
+        (F.sum("l") / F.max("_n")).alias("nll"),
+    )
+
+
+def rank_bins(x: str, bins: int, key: str = "symbol", time: str = "ts") -> Column:
+    """Bin 0 to bins - 1 by equal parts of a key's ranks of x, earlier rows first among equals."""
+    w = Window.partitionBy(key)
+    rank = F.row_number().over(w.orderBy(F.col(x), F.col(time)))
+    return F.greatest(F.ceil((rank - 1) * bins / F.greatest(F.count(x).over(w) - 1, F.lit(1))) - 1, F.lit(0)).cast("int")

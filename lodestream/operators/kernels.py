@@ -9,7 +9,9 @@ kept between micro-batches.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ class Machine:
 
     inputs: Sequence[str] = ("close",)
     outputs: str = ""
+    #: Whether it has a rule of its own for rows that come late or twice, and so sees them in a stream.
+    own_time: bool = False
 
     def step(self, *values: float) -> list[tuple]:
         raise NotImplementedError
@@ -124,19 +128,59 @@ class CusumEvents(Machine):
         return [(side,)] if side else []
 
 
+class Reference(Protocol):
+    """What a CUSUM takes for normal: a score for each direction, from which the sums rise."""
+
+    def score(self, x: float) -> Sequence[float]:
+        """Scores of x, one for each direction, from the values before it."""
+        ...
+
+    def update(self, x: float) -> None:
+        """Learn from x, after it was scored."""
+        ...
+
+
+class NormalReference:
+    """Two directions: standardised values less a slack, up and down."""
+
+    def __init__(self, mean: float, sd: float, slack: float) -> None:
+        self.mean, self.sd, self.slack = mean, sd, slack
+
+    def score(self, x: float) -> Sequence[float]:
+        z = (x - self.mean) / self.sd
+        return z - self.slack, -z - self.slack
+
+    def update(self, x: float) -> None:
+        pass
+
+
+class AdaptiveReference(NormalReference):
+    """The same against an exponential mean and deviation of the values so far."""
+
+    def __init__(self, mean: float, sd: float, slack: float, weight: float = 0.02) -> None:
+        super().__init__(mean, sd, slack)
+        self.weight, self.variance = weight, sd * sd
+
+    def update(self, x: float) -> None:
+        gap = x - self.mean
+        self.mean += self.weight * gap
+        self.variance = (1 - self.weight) * (self.variance + self.weight * gap * gap)
+        self.sd = math.sqrt(max(self.variance, 1e-24))
+
+
 class CusumStatistic(Machine):
-    """Two-sided CUSUM of standardised inputs less a slack."""
+    """One-sided sums of a reference's scores, which never fall below 0."""
 
     inputs = ("ret",)
     outputs = "s_up double, s_down double"
 
-    def __init__(self, mean: float, sd: float, slack: float) -> None:
-        self.mean, self.sd, self.slack, self.up, self.down = mean, sd, slack, 0.0, 0.0
+    def __init__(self, reference: Reference) -> None:
+        self.reference, self.sums = reference, [0.0, 0.0]
 
     def step(self, x: float) -> list[tuple]:
-        z = (x - self.mean) / self.sd
-        self.up, self.down = max(0.0, self.up + z - self.slack), max(0.0, self.down - z - self.slack)
-        return [(self.up, self.down)]
+        self.sums = [max(0.0, s + v) for s, v in zip(self.sums, self.reference.score(x), strict=True)]
+        self.reference.update(x)
+        return [tuple(self.sums)]
 
 
 class Means(Machine):
@@ -192,6 +236,26 @@ class Wilder(Machine):
         return [(tr / self.n, rsi, p, m, self.dx if self.dx_rows >= self.n else None)]
 
 
+class SeededStrength(Machine):
+    """Relative strength whose sums start from the mean of the first n - 1 changes; null for the first n rows."""
+
+    outputs = "rsi double"
+
+    def __init__(self, n: int = 14) -> None:
+        self.n, self.rows, self.before, self.up, self.down = n, 0, 0.0, 0.0, 0.0
+
+    def step(self, price: float) -> list[tuple]:
+        change, self.before, self.rows = price - self.before if self.rows else 0.0, price, self.rows + 1
+        up, down, n = max(change, 0.0), max(-change, 0.0), self.n
+        if self.rows <= n:
+            self.up, self.down = self.up + up, self.down + down
+            if self.rows == n and n > 1:
+                self.up, self.down = self.up / (n - 1), self.down / (n - 1)
+            return [(None,)]
+        self.up, self.down = self.up * (n - 1) / n + up / n, self.down * (n - 1) / n + down / n
+        return [(100 * self.up / (self.up + self.down + 1e-60),)]
+
+
 class EwmaVolatility(Machine):
     """Root of the exponential mean of squared log returns; starts at 0, null for the first half span."""
 
@@ -229,66 +293,174 @@ class Kalman(Machine):
 
 
 class Bricks(Machine):
-    """Renko: a row for each brick of fixed size; a turn takes two bricks from the last close."""
+    """Renko: a row for each brick of a fixed size that a bar's high or low fills, upward ones first.
+
+    The first level is the first close, rounded to a brick (half to even). The
+    volume since the last brick goes to the first brick of a bar.
+    """
 
-    outputs = "direction int, brick_open double, brick_close double"
+    inputs = ("high", "low", "close", "volume")
+    outputs = "brick_num long, direction int, brick_open double, brick_close double, brick_volume double"
 
     def __init__(self, size: float) -> None:
-        self.size, self.top, self.bottom = size, None, None
+        self.size, self.level, self.made, self.volume = size, None, 0, 0.0
 
-    def step(self, price: float) -> list[tuple]:
-        if self.top is None:
-            self.top = self.bottom = round(price / self.size) * self.size
-            return []
+    def step(self, high: float, low: float, close: float, volume: float) -> list[tuple]:
+        if self.level is None:
+            self.level = round(close / self.size)
+        self.volume += volume
+        top = max(self.level, math.floor(high / self.size))
+        bottom = min(top, math.ceil(low / self.size))
+        moves = [(1, i) for i in range(self.level, top)] + [(-1, i) for i in range(top, bottom, -1)]
         out = []
-        while price >= self.top + self.size:
-            out.append((1, self.top, self.top + self.size))
-            self.bottom, self.top = self.top, self.top + self.size
-        while price <= self.bottom - self.size:
-            out.append((-1, self.bottom, self.bottom - self.size))
-            self.top, self.bottom = self.bottom, self.bottom - self.size
+        for side, i in moves:
+            out.append((self.made, side, i * self.size, (i + side) * self.size, self.volume))
+            self.made, self.volume = self.made + 1, 0.0
+        self.level = bottom
         return out
 
 
+class GapBars(Machine):
+    """Bars of a period from bars of a shorter one; given out when the next period opens.
+
+    A repeated time is passed over. After a gap of more than `gap` seconds, or a
+    time before the last one, what was gathered is dropped and a new bar begun.
+    samples counts the short bars; partial tells that there were fewer than
+    expected.
+    """
+
+    inputs = ("epoch", "open", "high", "low", "close", "volume")
+    own_time = True
+    outputs = "bar_start long, bar_open double, bar_high double, bar_low double, bar_close double, bar_volume double, samples int, partial boolean"
+
+    def __init__(self, seconds: int, every: int, gap: int = 60) -> None:
+        self.seconds, self.expected, self.gap = seconds, seconds // every, max(gap, 10)
+        self.last: int | None = None
+        self.held: list | None = None
+
+    def step(self, epoch: float, open_: float, high: float, low: float, close: float, volume: float) -> list[tuple]:
+        now, out = int(epoch), []
+        if self.last is not None:
+            if now == self.last:
+                return []
+            if now < self.last or now - self.last > self.gap:
+                self.held = None
+        self.last = now
+        start = now // self.seconds * self.seconds
+        if self.held and self.held[0] != start:
+            out.append((*self.held, self.held[-1] < self.expected))
+            self.held = None
+        if self.held is None:
+            self.held = [start, open_, high, low, close, volume, 1]
+        else:
+            _, first, top, bottom, _, traded, n = self.held
+            self.held = [start, first, max(top, high), min(bottom, low), close, traded + volume, n + 1]
+        return out
+
+
+def window_volatility(prices: Sequence[float], theta: float) -> float:
+    """Population deviation of the log returns of a window; 0 for fewer than two returns."""
+    r = np.diff(np.log(np.asarray(prices, dtype=float)))
+    return float(r.std()) if len(r) > 1 else 0.0
+
+
+class AdaptiveChange(Machine):
+    """Directional change whose threshold follows a metric of the last prices.
+
+    Every `every` rows, once there are `lookback`, the threshold moves to
+    theta * (1 + rate * (metric - baseline) / (abs(baseline) + 1e-10)), within
+    its bounds; the baseline is the first metric that is not 0. metric(prices,
+    theta) is the caller's. Gives the completed trends of DirectionalChange and
+    the threshold that confirmed them.
+    """
+
+    outputs = DirectionalChange.outputs + ", theta double"
+
+    def __init__(self, theta: float, lookback: int, every: int, rate: float, least: float, most: float, alpha: float = 1.0, metric: Callable[[Sequence[float], float], float] = window_volatility) -> None:
+        self.change, self.alpha, self.metric = DirectionalChange(theta, alpha), alpha, metric
+        self.prices: deque[float] = deque(maxlen=lookback)
+        self.every, self.rate, self.bounds, self.n, self.baseline = every, rate, (least, most), 0, 0.0
+
+    def step(self, price: float) -> list[tuple]:
+        self.prices.append(price)
+        self.n += 1
+        theta = self.change.theta
+        out = [(*row, theta) for row in self.change.step(price)]
+        if len(self.prices) == self.prices.maxlen and self.n % self.every == 0:
+            value = self.metric(list(self.prices), theta)
+            self.baseline = self.baseline or value
+            moved = theta * (1 + self.rate * (value - self.baseline) / (abs(self.baseline) + 1e-10))
+            self.change.theta = min(max(moved, self.bounds[0]), self.bounds[1])
+            self.change.down = self.alpha * self.change.theta
+        return out
+
+
+class Observations(Protocol):
+    """Conjugate model of a run's values, for every run length at once."""
+
+    def log_chances(self, x: float) -> np.ndarray:
+        """Log chance of x for each run length, from the values of the run before it."""
+        ...
+
+    def update(self, x: float) -> None:
+        """Take x into every run; run length 0 starts from the prior."""
+        ...
+
+
+class NormalGamma:
+    """Normal data with unknown mean and variance. Run length i has seen i values, so only mean and beta change."""
+
+    def __init__(self, most: int, mean: float = 0.0, kappa: float = 1.0, alpha: float = 1.0, beta: float = 1.0) -> None:
+        n = np.arange(most)
+        self.prior = mean, beta
+        self.mean, self.beta = np.full(most, float(mean)), np.full(most, float(beta))
+        self.kappa, freedom = kappa + n, 2 * alpha + n  # twice alpha
+        lgamma = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) for v in freedom])
+        self.scale = 2 * (self.kappa + 1) / self.kappa  # 2 alpha * spread / beta
+        self.head = lgamma - 0.5 * np.log(math.pi * self.scale)
+        self.power = -(freedom + 1) / 2
+        self.shift = 0.5 * self.kappa / (self.kappa + 1)
+
+    def log_chances(self, x: float) -> np.ndarray:
+        gap = x - self.mean
+        return self.head - 0.5 * np.log(self.beta) + self.power * np.log1p(gap * gap / (self.beta * self.scale))
+
+    def update(self, x: float) -> None:
+        gap = x - self.mean
+        mean, beta = self.mean + gap / (self.kappa + 1), self.beta + self.shift * gap * gap
+        self.mean[1:], self.beta[1:] = mean[:-1], beta[:-1]
+
+
 class RunLength(Machine):
-    """Bayesian online change points: constant hazard, normal data with unknown mean and variance.
+    """Bayesian online change points with a constant hazard.
 
     The state is a posterior over run lengths 0 to most - 1; the last one holds
     all longer runs. Gives the chance of a new run, the likeliest and the
-    expected run length.
+    expected run length. The model of observations is normal with unknown mean
+    and variance unless the caller gives another.
     """
 
     inputs = ("ret",)
     outputs = "change_prob double, map_run int, mean_run double"
 
-    def __init__(self, hazard: float = 0.01, most: int = 200, mean: float = 0.0, kappa: float = 1.0, alpha: float = 1.0, beta: float = 1.0) -> None:
-        self.hazard, self.prior = hazard, (mean, kappa, alpha, beta)
+    def __init__(self, hazard: float = 0.01, most: int = 500, model: Observations | None = None) -> None:
+        self.hazard, self.model = hazard, model or NormalGamma(most)
+        self.runs = np.arange(most)
         self.chance = np.zeros(most)
         self.chance[0] = 1.0
-        self.params = [np.full(most, float(p)) for p in self.prior]
-        counts = np.arange(most)
-        self.gamma = np.array([math.lgamma(alpha + n / 2 + 0.5) - math.lgamma(alpha + n / 2) for n in counts])
-        self.filled = 1
 
     def step(self, x: float) -> list[tuple]:
-        mean, kappa, alpha, beta = self.params
-        # Student's t with 2 alpha degrees of freedom
-        spread = beta * (kappa + 1) / (alpha * kappa)
-        steps = np.rint((alpha - self.prior[2]) * 2).astype(int)
-        log_p = self.gamma[np.minimum(steps, len(self.gamma) - 1)] - 0.5 * np.log(2 * alpha * math.pi * spread) - (alpha + 0.5) * np.log1p((x - mean) ** 2 / (2 * alpha * spread))
-        joint = self.chance * np.exp(log_p - log_p[self.chance > 0].max())
-        grown = (1 - self.hazard) * joint
+        logs = self.model.log_chances(x)
+        joint = self.chance * np.exp(logs - logs[self.chance > 0].max())
+        total = joint.sum()
         new = np.empty_like(joint)
-        new[0], new[1:] = self.hazard * joint.sum(), grown[:-1]
-        new[-1] += grown[-1]
-        self.chance = new / new.sum()
-        after = [(kappa * mean + x) / (kappa + 1), kappa + 1, alpha + 0.5, beta + kappa * (x - mean) ** 2 / (2 * (kappa + 1))]
-        for i, (old, updated) in enumerate(zip(self.params, after, strict=True)):
-            shifted = np.empty_like(old)
-            shifted[0], shifted[1:] = self.prior[i], updated[:-1]
-            self.params[i] = shifted
-        runs = np.arange(len(new))
-        return [(float(self.chance[0]), int(self.chance.argmax()), float(self.chance @ runs))]
+        new[0] = self.hazard * total
+        np.multiply(joint[:-1], 1 - self.hazard, out=new[1:])
+        new[-1] += (1 - self.hazard) * joint[-1]
+        new /= total
+        self.chance = new
+        self.model.update(x)
+        return [(float(new[0]), int(new.argmax()), float(new @ self.runs))]
 
 
 class ForwardFilter(Machine):

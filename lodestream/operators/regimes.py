@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import posterior
-from lodestream.functions.frames import Keyed
+from lodestream.functions.frames import Keyed, running
 from lodestream.operators.kernels import Machine
 
 # native: arrays and windows
@@ -65,13 +65,13 @@ def calibration(df: DataFrame, chance: str, hit: str, bins: int) -> DataFrame:
 def kolmogorov_smirnov(df: DataFrame, value: str, group: str, a, b, keys: Sequence[str] = ()) -> DataFrame:
     """Largest distance between the distributions of a value in two groups, per key.
 
-    Values are counted before the running sums, so ties and repeats cost nothing.
+    Values are counted before the running sums, which are taken in two levels:
+    ties and repeats cost nothing, and no task has all values of a key.
     """
     counts = df.where(F.col(group).isin([a, b]) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.when(F.col(group) == a, 1)).alias("na"), F.count(F.when(F.col(group) == b, 1)).alias("nb"))
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    gap = F.abs(F.try_divide(F.sum("na").over(run), F.sum("na").over(every)) - F.try_divide(F.sum("nb").over(run), F.sum("nb").over(every)))
-    return counts.select(*keys, gap.alias("gap")).groupBy(*keys).agg(F.max("gap").alias("ks"))
+    placed = running(counts, value, {"na": "na", "nb": "nb"}, keys)
+    share = lambda n: F.try_divide(F.col(f"{n}_before") + F.col(n), F.col(f"{n}_all"))
+    return placed.select(*keys, F.abs(share("na") - share("nb")).alias("gap")).groupBy(*keys).agg(F.max("gap").alias("ks"))
 
 
 def hac_variance(df: DataFrame, x: str, k: Keyed, bandwidth: int) -> DataFrame:

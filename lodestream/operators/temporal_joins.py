@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, values: Sequence[str], forward: bool = False, max_age: str | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, values: Sequence[str], forward: bool = False, max_age: str | None = None, last: str | None = None) -> DataFrame:
     """Each left row with the latest right row at or before its time (forward: the first at or after).
 
     Both sides are unioned and the values carried along the time order: one
     exchange and one sort on the keys, and no row is multiplied. Times are
     inclusive. With max_age (an interval such as '1 HOUR') older matches are
     null. Values are carried as one struct, so that a null value of the matched
-    row stays null. Right rows with a null time never match; left rows with a
+    row stays null. `last` names a column for the latest right time of the key.
+    Right rows with a null time never match; left rows with a
     null time keep null values. Right rows with equal times: the one with the
     greatest values wins.
     """
@@ -33,12 +34,13 @@ def as_of(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str,
     else:
         w = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         match = F.last(held, ignorenulls=True).over(w)
-    out = both.withColumn("_m", match).where(F.col(mine).isNotNull())
+    ends = [F.max("_t2").over(Window.partitionBy(*on)).alias(last)] if last else []
+    out = both.select("*", match.alias("_m"), *ends).where(F.col(mine).isNotNull())
     valid = F.col(time).isNotNull()
     if max_age:
         age = F.col(time) - F.col("_m._t2") if not forward else F.col("_m._t2") - F.col(time)
         valid = valid & (age <= F.expr(f"INTERVAL {max_age}"))
-    return out.select(f"{mine}.*", *[F.when(valid, F.col(f"_m._v_{v}")).alias(v) for v in values], F.when(valid, F.col("_m._t2")).alias("matched_time"))
+    return out.select(f"{mine}.*", *[F.when(valid, F.col(f"_m._v_{v}")).alias(v) for v in values], F.when(valid, F.col("_m._t2")).alias("matched_time"), *([last] if last else []))
 
 
 def range_join(intervals: DataFrame, points: DataFrame, on: Sequence[str], start: str, end: str, time: str, bucket_seconds: int) -> DataFrame:
@@ -56,10 +58,9 @@ def range_join(intervals: DataFrame, points: DataFrame, on: Sequence[str], start
 
 def vertical_barriers(events: DataFrame, bars: DataFrame, after: str, key: str = "symbol", t0: str = "t0", time: str = "ts") -> DataFrame:
     """Events with t1, the first bar at or after t0 plus an interval, or else the last bar of the key."""
-    ends = bars.groupBy(key).agg(F.max(time).alias("_last"))
     due = events.withColumn("_due", F.col(t0) + F.expr(f"INTERVAL {after}"))
-    found = as_of(due, bars.select(key, F.col(time).alias("_bar")), [key], "_due", "_bar", [], forward=True)
-    return found.join(ends, key).withColumn("t1", F.coalesce("matched_time", "_last")).drop("_due", "matched_time", "_last")
+    found = as_of(due, bars.select(key, F.col(time).alias("_bar")), [key], "_due", "_bar", [], forward=True, last="_last")
+    return found.where("_last is not null").withColumn("t1", F.coalesce("matched_time", "_last")).drop("_due", "matched_time", "_last")
 
 
 def triple_barrier(events: DataFrame, bars: DataFrame, pt: float, sl: float, tie: str = "stop", bucket_seconds: int = 86400, key: str = "symbol") -> DataFrame:
@@ -92,6 +93,13 @@ def triple_barrier(events: DataFrame, bars: DataFrame, pt: float, sl: float, tie
     )
 
 
+def min_return(labels: DataFrame, least: float, ret: str = "ret", label: str = "label") -> DataFrame:
+    """Labels of a smaller absolute return become 0; other columns, the barrier among them, stay. least <= 0 changes nothing."""
+    if least <= 0:
+        return labels
+    return labels.withColumn(label, F.when(F.abs(ret) < least, 0).otherwise(F.col(label)))
+
+
 def purge(train: DataFrame, test_start: Column, embargo_end: Column | None = None, t0: str = "t0", t1: str = "t1") -> DataFrame:
     """Train events that end before the test begins, or begin after the embargo."""
     before = F.col(t1) < test_start

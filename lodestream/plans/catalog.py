@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.plans import relational, research  # noqa: F401  (registers its queries)
+from lodestream.plans import machines, relational, research, trading  # noqa: F401  (register their queries)
 from lodestream.plans.compressed import compressed
 from lodestream.plans.features import SUITES as FEATURES
 

@@ -8,7 +8,7 @@ import pyspark.sql.functions
 from lodestream.functions import flow as flow_functions
 from lodestream.functions import frames, price
 from lodestream.plans.lazy import held
-from lodestream.plans.suite import P, SO_FAR, Suite, s_agg, s_both, s_corr, s_div, s_full, s_lag, s_ln, s_slope, s_z, w
+from lodestream.plans.suite import P, SO_FAR, Suite, s_agg, s_both, s_corr, s_div, s_full, s_lag, s_ln, s_ripe, s_slope, s_z, w
 
 # Noted down here, built when there is a session.
 F, flow, Keyed, div, ln = map(held, (pyspark.sql.functions, flow_functions, frames.Keyed, frames.div, frames.ln))
@@ -37,7 +37,7 @@ def fir_sql(x: str, weights: list[float]) -> str:
 flagship = Suite(
     [
         {"parkinson": (flow.parkinson(K, 20), park(20)), "_tp": (pf.typical_price(), TP)},
-        {"vwap": (flow.weighted_by_volume(K, "_tp", 20), s_full(f"sum(_tp * volume) {w(20)} / sum(volume) {w(20)}", "volume", 20)), "close_z": (K.zscore("close", 20), s_z("close", 20))},
+        {"vwap": (flow.weighted_by_volume(K, "_tp", 20), s_ripe(f"sum(_tp * volume) {w(20)} / nullif(sum(volume) {w(20)}, 0)", "volume", 20)), "close_z": (K.zscore("close", 20), s_z("close", 20))},
     ]
 )
 
@@ -71,29 +71,28 @@ order_flow = Suite(
             "buy_volume": (C("_beta") * C("volume"), "_beta * volume"),
             "sell_volume": ((1 - C("_beta")) * C("volume"), "(1 - _beta) * volume"),
             "vir": (F.coalesce(div("_delta", "volume"), F.lit(0.0)), "coalesce(_delta / nullif(volume, 0), 0)"),
-            "cvd": (flow.cumulative_delta(K, "_delta", 20), s_agg("sum", "_delta", 20, 10)),
-            "vwcl": (flow.weighted_by_volume(K, "_beta", 20, least=10), s_full(f"sum(_beta * volume) {w(20)} / sum(volume) {w(20)}", "volume", 20, 10)),
-            "volume_concentration": (flow.concentration(K, 20), s_full(f"max(volume) {w(20)} / avg(volume) {w(20)}", "volume", 20)),
-            "vpin": (flow.vpin(K, "_delta", 50), s_full(f"least(greatest(sum(abs(_delta)) {w(50)} / nullif(sum(volume) {w(50)}, 0), 0.0), 1.0)", "_delta", 50, 25)),
+            "cvd": (flow.cumulative_delta(K, "_delta", 20), s_ripe(f"sum(_delta) {w(20)}", "_delta", 20)),
+            "vwcl": (flow.weighted_by_volume(K, "_beta", 20), s_ripe(f"sum(_beta * volume) {w(20)} / nullif(sum(volume) {w(20)}, 0)", "volume", 20)),
+            "volume_concentration": (flow.concentration(K, 20), s_ripe(f"max(volume) {w(20)} / nullif(avg(volume) {w(20)}, 0)", "volume", 20)),
+            "vpin": (flow.vpin(K, "_delta", 50), s_ripe(f"least(greatest(sum(abs(_delta)) {w(50)} / nullif(sum(volume) {w(50)}, 0), 0.0), 1.0)", "_delta", 50)),
             "trade_intensity": (
                 flow.trade_intensity(K, 20),
-                f"CASE WHEN count(CASE WHEN high > low THEN 1 END) {w(20)} >= 10 THEN avg(CASE WHEN high > low THEN volume / ((high - low) * (high + low) / 2) END) {w(20)} END",
+                s_ripe(f"avg(CASE WHEN high > low AND high + low > 0 THEN volume / ((high - low) * (high + low) / 2) END) {w(20)}", "CASE WHEN high > low AND high + low > 0 THEN 1 END", 20),
             ),
-            "vwap": (flow.weighted_by_volume(K, "_tp", 20), s_full(f"sum(_tp * volume) {w(20)} / sum(volume) {w(20)}", "volume", 20)),
-            "kyles_lambda": (flow.kyles_lambda(K, "_r", "_delta", 20), f"CASE WHEN count({s_both('_r', '_delta')}) {w(20)} >= 20 THEN coalesce({s_slope('_r', '_delta', 20)}, 0.0) END"),
+            "vwap": (flow.weighted_by_volume(K, "_tp", 20), s_ripe(f"sum(_tp * volume) {w(20)} / nullif(sum(volume) {w(20)}, 0)", "volume", 20)),
+            "kyles_lambda": (flow.kyles_lambda(K, "_r", "_delta", 20), s_ripe(f"CASE WHEN regr_sxx(_r, _delta) {w(20)} > 1e-20 THEN regr_slope(_r, _delta) {w(20)} ELSE 0.0 END", s_both("_r", "_delta"), 20)),
             "_delta_before": (K.lag("_delta"), s_lag("_delta")),
-            "_sign": (F.signum(C("_delta")), "CAST(sign(_delta) AS DOUBLE)"),
         },
         {
             "vir_z": (K.zscore("vir", 20), s_z("vir", 20)),
             "delta_vpin": (C("vpin") - K.lag("vpin", 5), f"vpin - {s_lag('vpin', 5)}"),
             "vwap_half_band": (
                 flow.vwap_band(K, "_tp", "vwap", 20, 2.0),
-                s_full(f"2.0 * sqrt(greatest(avg(_tp * _tp) {w(20)} - 2 * vwap * avg(_tp) {w(20)} + vwap * vwap, 0.0))", "_tp", 20),
+                s_ripe(f"2.0 * sqrt(greatest(avg(_tp * _tp) {w(20)} - 2 * vwap * avg(_tp) {w(20)} + vwap * vwap, 0.0))", "_tp", 20),
             ),
             "vwap_accumulation": (
-                K.full(div(F.sum(F.signum(C("close") - C("vwap")) * C("volume")).over(K.trailing(10)), F.sum("volume").over(K.trailing(10))), "vwap", 10),
-                s_full(f"sum(sign(close - vwap) * volume) {w(10)} / sum(volume) {w(10)}", "vwap", 10),
+                flow.vwap_accumulation(K, "vwap", 10),
+                s_ripe(f"sum(sign(close - vwap) * volume) {w(10)} / nullif(sum(CASE WHEN vwap IS NOT NULL THEN volume END) {w(10)}, 0)", "vwap", 10),
             ),
             "order_flow_persistence": (K.corr("_delta", "_delta_before", 20), s_corr("_delta", "_delta_before", 20)),
             "cvd_price_divergence": (
@@ -101,14 +100,6 @@ order_flow = Suite(
                 f"CAST(sign(cvd - {s_lag('cvd', 10)}) - sign(close - {s_lag('close', 10)}) AS DOUBLE)",
             ),
             "kyles_lambda_z": (K.zscore("kyles_lambda", 20), s_z("kyles_lambda", 20)),
-            "_turn": (F.when(C("_sign") != K.lag("_sign"), 1).otherwise(0), f"CASE WHEN _sign <> {s_lag('_sign')} THEN 1 ELSE 0 END"),
-        },
-        {"_run": (F.sum("_turn").over(K.so_far), f"sum(_turn) {SO_FAR}")},
-        {
-            "signed_run_length": (
-                C("_sign") * F.row_number().over(Keyed(("symbol", "_run")).ordered),
-                "_sign * row_number() OVER (PARTITION BY symbol, _run ORDER BY ts)",
-            )
         },
     ]
 )
@@ -146,10 +137,10 @@ liquidity = Suite(
             ),
             "roll_spread": (
                 flow.roll_spread(K, "_step", "_step_before", 20),
-                f"CASE WHEN count({s_both('_step', '_step_before')}) {w(20)} >= 20 THEN 2 * sqrt(greatest(-covar_samp(_step, _step_before) {w(20)}, 0.0)) / avg(close) {w(20)} END",
+                f"CASE WHEN count({s_both('_step', '_step_before')}) {w(20)} >= 10 THEN 2 * sqrt(greatest(-covar_samp(_step, _step_before) {w(20)}, 0.0)) / avg(close) {w(20)} END",
             ),
             "effective_tick_ratio": (K.avg("_eff", 20), s_agg("avg", "_eff", 20)),
-            "amihud": (flow.amihud(K, "_r", 20), f"ln(CASE WHEN count(_r) {w(20)} >= 20 THEN avg(abs(_r) / (volume * close)) {w(20)} END + 1e-10)"),
+            "amihud": (flow.amihud(K, "_r", 20), f"ln({s_ripe(f'avg(abs(_r) / nullif(volume * close, 0)) {w(20)}', '_r', 20)} + 1e-10)"),
             "realized_liquidity_premium": (K.corr("_abs_r", "_s", 20), s_corr("_abs_r", "_s", 20)),
             "spread_z": (K.zscore("_s", 20), s_z("_s", 20)),
             "spread_volume_ratio": (C("_s") / F.log(C("volume") + 1), "_s / ln(volume + 1)"),
@@ -266,7 +257,7 @@ path_structure = Suite(
         {
             "_r1": (K.lag("_r"), s_lag("_r")),
             "_r2": (C("_r") + K.lag("_r"), f"_r + {s_lag('_r')}"),
-            "_cum": (F.sum("_r").over(K.so_far), f"sum(_r) {SO_FAR}"),
+            "_cum": (ln("close"), s_ln("close")),  # the running sum of returns but for a constant
             "_signs": (F.collect_list(F.signum(C("_r"))).over(K.trailing(10)), f"list(CAST(sign(_r) AS DOUBLE)) FILTER (WHERE _r IS NOT NULL) {w(10)}"),
         },
         {
@@ -304,9 +295,7 @@ volume = Suite(
             "volume_profile": (F.stddev_samp("volume").over(K.trailing(20)), f"stddev_samp(volume) {w(20)}"),
             "return_divergence": (F.when(C("_vol") > 1e-9, C("_r") * C("volume") / (C("_vol") + 1e-10)), "CASE WHEN _vol > 1e-9 THEN _r * volume / (_vol + 1e-10) END"),
             "abnormal_volume": (K.zscore("volume", 50), s_z("volume", 50)),
-            "ad_line": (F.sum("_raw").over(K.so_far), f"sum(_raw) {SO_FAR}"),
             "vwroc": (div("_cv", K.lag("_cv", 14)) - 1, f"_cv / {s_lag('_cv', 14)} - 1"),
-            "_cum_vwap": (div(F.sum(C("_tp") * C("volume")).over(K.so_far), F.sum("volume").over(K.so_far)), f"sum(_tp * volume) {SO_FAR} / sum(volume) {SO_FAR}"),
             "surge_roc": (
                 F.when(C("volume") > K.avg("volume", 14) * 1.5, 100 * (div("close", K.lag("close", 14)) - 1)).otherwise(0.0),
                 f"CASE WHEN volume > {s_agg('avg', 'volume', 14)} * 1.5 THEN 100 * (close / {s_lag('close', 14)} - 1) ELSE 0.0 END",
@@ -326,9 +315,7 @@ volume = Suite(
                     f"sum(CASE WHEN _tp > tp_before THEN _tp * volume ELSE 0.0 END) {w(14)}", f"sum(CASE WHEN _tp < tp_before THEN _tp * volume ELSE 0.0 END) {w(14)}"
                 ),
             ),
-            "vwap_adjusted_roc": (div("close", K.lag("close", 14)) - div("_cum_vwap", K.lag("_cum_vwap", 14)), f"close / {s_lag('close', 14)} - _cum_vwap / {s_lag('_cum_vwap', 14)}"),
             "delta_obv": (C("obv") - K.lag("obv", 5), f"obv - {s_lag('obv', 5)}"),
-            "ad_z": (F.least(F.greatest(K.zscore("ad_line", 24), F.lit(-5.0)), F.lit(5.0)), f"least(greatest({s_z('ad_line', 24)}, -5.0), 5.0)"),
         },
     ],
     digits=5,
@@ -387,7 +374,60 @@ transforms = Suite(
     ]
 )
 
+
+_FLAT = f"max(_r) {w(20)} = min(_r) {w(20)}"
+
+price_structure = Suite(
+    [
+        {"_r": (pf.log_return(K), RETURN), "_park": (flow.parkinson(K, 20), park(20))},
+        {
+            "intrabar_efficiency": (flow.intrabar_efficiency(K, 20), s_ripe(f"sum(CASE WHEN high > low THEN abs(close - open) END) {w(20)} / sum(CASE WHEN high > low THEN high - low END) {w(20)}", "CASE WHEN high > low THEN 1 END", 20)),
+            "realized_skewness": (K.skewness("_r", 20), s_full(f"CASE WHEN {_FLAT} THEN 0.0 ELSE skewness(_r) {w(20)} END", "_r", 20)),
+            "realized_kurtosis": (K.kurtosis("_r", 20), s_full(f"CASE WHEN {_FLAT} THEN -3.0 ELSE kurtosis(_r) {w(20)} END", "_r", 20)),
+            "distance_to_extremes": (
+                flow.distance_to_extremes(K, "_park", 20),
+                s_ripe(f"(close - (max(high) {w(20)} + min(low) {w(20)}) / 2) / (_park / sqrt(252) * close + 1e-10)", "_park", 20, 1),
+            ),
+        },
+    ],
+    digits=5,
+)
+
+_DAY = "PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts"
+
+#: Columns that look back without bound, or to the start of a session.
+cumulative = Suite(
+    [
+        *_FLOW.stages,
+        {
+            "vwap_anchored": (flow.vwap_anchored(K, F.to_date("ts"), "_tp"), f"sum(_tp * volume) OVER ({_DAY} ROWS UNBOUNDED PRECEDING) / nullif(sum(volume) OVER ({_DAY} ROWS UNBOUNDED PRECEDING), 0)"),
+            "realized_6h_daily": (
+                F.sqrt(F.sum(C("_r") * C("_r")).over(Keyed(("symbol", F.to_date("ts"))).span("6 hours"))),
+                f"sqrt(sum(_r * _r) OVER ({_DAY} RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW))",
+            ),
+            "ad_line": (F.sum("_delta").over(K.so_far), f"sum(_delta) {SO_FAR}"),
+            "_cum_vwap": (div(F.sum(C("_tp") * C("volume")).over(K.so_far), F.sum("volume").over(K.so_far)), f"sum(_tp * volume) {SO_FAR} / sum(volume) {SO_FAR}"),
+            "_sign": (F.signum(C("_delta")), "CAST(sign(_delta) AS DOUBLE)"),
+        },
+        {
+            "vwap_adjusted_roc": (div("close", K.lag("close", 14)) - div("_cum_vwap", K.lag("_cum_vwap", 14)), f"close / {s_lag('close', 14)} - _cum_vwap / {s_lag('_cum_vwap', 14)}"),
+            "ad_z": (F.least(F.greatest(K.zscore("ad_line", 24), F.lit(-5.0)), F.lit(5.0)), f"least(greatest({s_z('ad_line', 24)}, -5.0), 5.0)"),
+            "_turn": (F.when(C("_sign") != K.lag("_sign"), 1).otherwise(0), f"CASE WHEN _sign <> {s_lag('_sign')} THEN 1 ELSE 0 END"),
+        },
+        {"_run": (F.sum("_turn").over(K.so_far), f"sum(_turn) {SO_FAR}")},
+        {
+            "signed_run_length": (
+                C("_sign") * F.row_number().over(Keyed(("symbol", "_run")).ordered),
+                "_sign * row_number() OVER (PARTITION BY symbol, _run ORDER BY ts)",
+            )
+        },
+    ],
+    digits=5,
+)
+
 SUITES = {
+    "features_price_structure": price_structure,
+    "features_cumulative": cumulative,
     "flagship_hourly_features": flagship,
     "features_candles": candles,
     "features_order_flow": order_flow,

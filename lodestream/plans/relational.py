@@ -11,7 +11,6 @@ from lodestream.functions import posterior
 from lodestream.functions.frames import Keyed, div, ln
 from lodestream.operators import bars as B
 from lodestream.operators import evaluation as V
-from lodestream.operators import kernels as M
 from lodestream.operators import temporal_joins as J
 from lodestream.plans.suite import BARS_SQL, P, SO_FAR, events, hourly, tidy, tidy_sql, w
 
@@ -76,9 +75,46 @@ def bars_without_gaps(spark, sf_dir):
     return B.fill_gaps(hourly(spark, sf_dir), 3600)
 
 
-@query(f"WITH {BARS_SQL} SELECT * FROM bars WHERE volume > 0 AND isodow(ts) <= 5")
+@query("""WITH raw AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, event_id, value AS open, value + 1 AS high, value - 1 AS low, CASE WHEN minute(ts) BETWEEN 10 AND 19 THEN NULL ELSE value END AS close, CAST(greatest(minute(ts) - 5, 0) AS DOUBLE) AS volume, nullif(value, 1) AS note FROM events),
+one AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY event_id) AS n FROM raw)
+SELECT symbol, ts, event_id, open, high, low, close, volume, note FROM one
+WHERE n = 1 AND volume > 0 AND isodow(ts) <= 5 AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL""")
 def bars_clean(spark, sf_dir):
-    return B.clean(hourly(spark, sf_dir))
+    """A feed with repeated times, nulls and bars without volume: every event, as if it were a bar of its hour."""
+    v, minute = C("value"), F.minute("ts")
+    raw = events(spark, sf_dir).select(
+        C("event_type").alias("symbol"),
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
+        "event_id",
+        v.alias("open"),
+        (v + 1).alias("high"),
+        (v - 1).alias("low"),
+        F.when(~minute.between(10, 19), v).alias("close"),
+        F.greatest(minute - 5, F.lit(0)).cast("double").alias("volume"),
+        F.nullif(v, F.lit(1.0)).alias("note"),
+    )
+    return B.clean(raw, order="event_id")
+
+
+MERGED = """s AS (SELECT * FROM bars WHERE hour(ts) <> 3), f AS (SELECT * FROM bars WHERE hour(ts) >= 2),
+m AS (SELECT symbol, ts FROM s UNION SELECT symbol, ts FROM f)"""
+
+
+@query(f"""WITH {BARS_SQL}, {MERGED}, c AS (SELECT symbol, sum(s) AS stored, sum(f) AS fetched, sum(m) AS merged FROM (
+  SELECT symbol, 1 AS s, 0 AS f, 0 AS m FROM s UNION ALL SELECT symbol, 0, 1, 0 FROM f UNION ALL SELECT symbol, 0, 0, 1 FROM m) GROUP BY symbol)
+SELECT symbol, CAST(stored AS BIGINT) AS stored, CAST(fetched AS BIGINT) AS fetched, CAST(merged AS BIGINT) AS merged, CAST(0 AS BIGINT) AS repeated,
+  CASE WHEN merged < stored THEN 'stored rows lost' WHEN merged < fetched THEN 'fetched rows lost' END AS fault FROM c""")
+def bars_merge_report(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    stored, fetched = bars.where(F.hour("ts") != 3), bars.where(F.hour("ts") >= 2)
+    return B.merge_report(stored, fetched, B.upsert(stored, fetched))
+
+
+@query(f"""WITH {BARS_SQL}, e AS (SELECT symbol, count(*) AS rows, CAST(floor(30 * 24 * 60 * CASE WHEN symbol = 'view' THEN 1.0 ELSE 5.0 / 7 * 20 / 24 END / 60) AS BIGINT) AS expected FROM bars GROUP BY symbol)
+SELECT symbol, rows, expected, {r("rows / expected", "ratio")}, rows / expected >= 0.1 AS plausible FROM e""")
+def bars_plausibility(spark, sf_dir):
+    at = lambda d: F.lit(d).cast("timestamp_ntz")
+    return tidied(B.plausibility(hourly(spark, sf_dir), 60, at("2024-01-01"), at("2024-01-31"), C("symbol") == "view"), "ratio")
 
 
 @query(f"""WITH {BARS_SQL}, n AS (SELECT symbol, ts, open, high, low, close + 1 AS close, volume FROM bars WHERE hour(ts) = 12)
@@ -146,56 +182,48 @@ def _bar_events(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", C("ts").alias("t0"), C("close").alias("price"), (div(C("high") - C("low"), "close") + 0.05).alias("vol"))
 
 
-def _label_events(bars: DataFrame) -> DataFrame:
-    """An event at every tenth bar, as the SQL has them; the queries *_whole take every bar."""
-    return _bar_events(bars.withColumn("n", K.number()).where(C("n") % 10 == 0))
-
-
-LABEL_EVENTS = f"""ev AS (SELECT symbol, ts AS t0, close AS price, (high - low) / close + 0.05 AS vol FROM (SELECT *, row_number() {P} AS n FROM bars) WHERE n % 10 = 0),
-v AS (SELECT ev.*, coalesce((SELECT min(ts) FROM bars b WHERE b.symbol = ev.symbol AND b.ts >= ev.t0 + INTERVAL '12 hours'), (SELECT max(ts) FROM bars b WHERE b.symbol = ev.symbol)) AS t1 FROM ev)"""
+LABEL_EVENTS = """ev AS (SELECT symbol, ts AS t0, close AS price, (high - low) / close + 0.05 AS vol FROM bars),
+ends AS (SELECT symbol, max(ts) AS last FROM bars GROUP BY 1),
+w AS (SELECT ev.*, b.ts AS due FROM ev ASOF LEFT JOIN bars b ON b.symbol = ev.symbol AND ev.t0 + INTERVAL '12 hours' <= b.ts),
+v AS (SELECT w.* EXCLUDE (due), coalesce(due, ends.last) AS t1 FROM w JOIN ends ON ends.symbol = w.symbol)"""
+LABELS = f"""{LABEL_EVENTS},
+s AS (SELECT *, price * (1 + 1.5 * vol) AS upper, price * (1 - 0.8 * vol) AS lower FROM v WHERE 0.8 * vol < 1 AND vol > 0),
+x AS (SELECT s.*, b.ts, b.close, CASE WHEN b.low <= lower THEN -1 WHEN b.high >= upper THEN 1 END AS touch FROM s JOIN bars b ON b.symbol = s.symbol AND b.ts > t0 AND b.ts <= t1),
+f AS (SELECT symbol, t0, any_value(price) AS price, any_value(upper) AS upper, any_value(lower) AS lower, min(ts) FILTER (WHERE touch IS NOT NULL) AS hit, arg_min(touch, ts) FILTER (WHERE touch IS NOT NULL) AS label, max(ts) AS last, arg_max(close, ts) AS close FROM x GROUP BY 1, 2),
+lab AS (SELECT symbol, t0, coalesce(hit, last) AS exit_ts, ln(CASE WHEN label = 1 THEN upper WHEN label = -1 THEN lower ELSE close END / price) AS ret, CAST(coalesce(label, 0) AS INTEGER) AS label,
+  CASE label WHEN 1 THEN 'upper' WHEN -1 THEN 'lower' ELSE 'vertical' END AS barrier FROM f)"""
 
 
-@query(f"WITH {BARS_SQL}, {LABEL_EVENTS} SELECT symbol, t0, t1 FROM v")
-def label_vertical_barriers(spark, sf_dir):
+def _barriers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     bars = hourly(spark, sf_dir)
-    return J.vertical_barriers(_label_events(bars), bars, "12 HOURS").select("symbol", "t0", "t1")
+    return J.vertical_barriers(_bar_events(bars), bars, "12 HOURS"), bars
 
 
-@query(f"""WITH {BARS_SQL}, {LABEL_EVENTS},
-s AS (SELECT *, price * (1 + 1.5 * vol) AS upper, price * (1 - 0.8 * vol) AS lower FROM v WHERE 0.8 * vol < 1 AND vol > 0),
-x AS (SELECT s.*, b.ts, b.close, CASE WHEN b.low <= lower THEN -1 WHEN b.high >= upper THEN 1 END AS touch FROM s JOIN bars b ON b.symbol = s.symbol AND b.ts > t0 AND b.ts <= t1),
-f AS (SELECT symbol, t0, any_value(price) AS price, any_value(upper) AS upper, any_value(lower) AS lower, min(ts) FILTER (WHERE touch IS NOT NULL) AS hit, arg_min(touch, ts) FILTER (WHERE touch IS NOT NULL) AS label, max(ts) AS last, arg_max(close, ts) AS close FROM x GROUP BY 1, 2)
-SELECT symbol, t0, coalesce(hit, last) AS exit_ts, {r("ln(CASE WHEN label = 1 THEN upper WHEN label = -1 THEN lower ELSE close END / price)", "ret")}, CAST(coalesce(label, 0) AS INTEGER) AS label,
-  CASE label WHEN 1 THEN 'upper' WHEN -1 THEN 'lower' ELSE 'vertical' END AS barrier FROM f""")
-def label_triple_barrier(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    found = J.triple_barrier(J.vertical_barriers(_label_events(bars), bars, "12 HOURS"), bars, 1.5, 0.8)
-    return tidied(found, "ret")
+def _labels(spark, sf_dir) -> DataFrame:
+    return J.triple_barrier(*_barriers(spark, sf_dir), 1.5, 0.8)
 
 
-@query(f"""WITH {BARS_SQL}, {LABEL_EVENTS} SELECT symbol, t0, t1 FROM v WHERE t1 < TIMESTAMP '2024-01-15' OR t0 > TIMESTAMP '2024-01-18'""")
-def label_purged_train(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    at = lambda d: F.lit(d).cast("timestamp_ntz")
-    return J.purge(J.vertical_barriers(_label_events(bars), bars, "12 HOURS"), at("2024-01-15"), at("2024-01-18")).select("symbol", "t0", "t1")
+@query(f"WITH {BARS_SQL}, {LABEL_EVENTS} SELECT symbol, t0, t1 FROM v")
+def label_vertical_barriers(spark, sf_dir):
+    return _barriers(spark, sf_dir)[0].select("symbol", "t0", "t1")
 
 
-@query()
-def label_vertical_barriers_whole(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    return J.vertical_barriers(_bar_events(bars), bars, "12 HOURS").select("symbol", "t0", "t1")
+@query(f"WITH {BARS_SQL}, {LABELS} SELECT symbol, t0, exit_ts, {r('ret')}, label, barrier FROM lab")
+def label_triple_barrier(spark, sf_dir):
+    return tidied(_labels(spark, sf_dir), "ret")
 
 
-@query()
-def label_triple_barrier_whole(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    return tidied(J.triple_barrier(J.vertical_barriers(_bar_events(bars), bars, "12 HOURS"), bars, 1.5, 0.8), "ret")
+@query(f"WITH {BARS_SQL}, {LABELS} SELECT symbol, t0, exit_ts, {r('ret')}, CASE WHEN round(abs(ret), 9) < 0.1 THEN 0 ELSE label END AS label, barrier FROM lab")
+def label_min_return(spark, sf_dir):
+    """Labels of moves under a tenth become 0; their barrier stays."""
+    found = J.min_return(_labels(spark, sf_dir).withColumn("_r", F.round("ret", 9)), 0.1, "_r")
+    return tidied(found.drop("_r"), "ret")
 
 
-@query()
-def label_purged_train_whole(spark, sf_dir):
+@query(f"""WITH {BARS_SQL}, {LABEL_EVENTS} SELECT symbol, t0, t1 FROM v WHERE t1 < TIMESTAMP '2024-01-15' OR t0 > TIMESTAMP '2024-01-18'""")
+def label_purged_train(spark, sf_dir):
     at = lambda d: F.lit(d).cast("timestamp_ntz")
-    return J.purge(label_vertical_barriers_whole(spark, sf_dir), at("2024-01-15"), at("2024-01-18"))
+    return J.purge(_barriers(spark, sf_dir)[0], at("2024-01-15"), at("2024-01-18")).select("symbol", "t0", "t1")
 
 
 @query(f"""WITH {STATES_SQL}, f AS (SELECT symbol, ts, CASE WHEN close > 0 THEN ln(lead(close, 5) {P} / close) END AS fwd, stddev_samp(ret) {w(20)} AS sd, count(ret) {w(20)} AS n FROM states),
@@ -203,7 +231,7 @@ z AS (SELECT symbol, ts, CASE WHEN n >= 20 AND sd > 1e-12 THEN fwd / sd END AS z
 SELECT symbol, ts, {r("greatest(least(z, m), -m)", "label")} FROM z, lim WHERE z IS NOT NULL""")
 def label_forward_return(spark, sf_dir):
     bars = states(spark, sf_dir).withColumn("z", div(ln(div(K.lead("close", 5), "close")), F.when(K.sd("ret", 20) > 1e-12, K.sd("ret", 20)))).where("z is not null")
-    limit = bars.agg(F.percentile(F.abs("z"), 0.9).alias("m"))  # one row
+    limit = V.exact_quantiles(bars.select(F.abs("z").alias("size")), "size", [0.9]).select(F.get("quantiles", F.lit(0)).alias("m"))  # one row
     return bars.crossJoin(F.broadcast(limit)).select("symbol", "ts", tidy(F.greatest(F.least("z", "m"), -C("m"))).alias("label"))
 
 
@@ -222,12 +250,18 @@ def cross_section_momentum(spark, sf_dir):
     return rows.select("symbol", "ts", tidy(z).alias("z"), tidy(rank).alias("pct_rank"))
 
 
-@query(f"""WITH {BARS_SQL}, m AS (SELECT symbol, ts, close / lag(close, 20) {P} - 1 AS mom FROM bars)
-SELECT ts, count(*) AS markets, {r("quantile_cont(mom, 0.5)", "median")}, {r("max(mom) - min(mom)", "spread")}, {r("quantile_cont(mom, 0.75) - quantile_cont(mom, 0.25)", "iqr")} FROM m WHERE mom IS NOT NULL GROUP BY ts""")
+@query(f"""WITH {BARS_SQL}, m AS (SELECT symbol, ts, close / lag(close, 20) {P} - 1 AS mom FROM bars),
+g AS (SELECT ts, count(*) AS markets, quantile_cont(mom, 0.5) AS median, max(mom) - min(mom) AS spread, quantile_cont(mom, 0.75) - quantile_cont(mom, 0.25) AS iqr, list_sort(list(mom)) AS x, greatest(CAST(floor(0.4 * (count(*) + 1)) AS BIGINT) - 1, 0) AS k FROM m WHERE mom IS NOT NULL GROUP BY ts)
+SELECT ts, markets, {r("median")}, {r("spread")}, {r("iqr")}, {r("CASE WHEN x[k + 1] > 0 THEN x[k + 1] WHEN x[markets - k] < 0 THEN x[markets - k] ELSE 0.0 END", "clump")} FROM g""")
 def cross_section_summary(spark, sf_dir):
+    """Median, range, quartile distance and clump of the markets' momentum: the 40th fractile if above 0, the 60th if below, else 0."""
     rows = hourly(spark, sf_dir).withColumn("mom", div("close", K.lag("close", 20)) - 1).where("mom is not null")
     q = lambda p: F.percentile("mom", p)
-    return rows.groupBy("ts").agg(F.count(F.lit(1)).alias("markets"), tidy(q(0.5)).alias("median"), tidy(F.max("mom") - F.min("mom")).alias("spread"), tidy(q(0.75) - q(0.25)).alias("iqr"))
+    found = rows.groupBy("ts").agg(F.count(F.lit(1)).alias("markets"), q(0.5).alias("median"), (F.max("mom") - F.min("mom")).alias("spread"), (q(0.75) - q(0.25)).alias("iqr"), F.sort_array(F.collect_list("mom")).alias("x"))
+    k = F.greatest(F.floor(0.4 * (C("markets") + 1)) - 1, F.lit(0)).cast("int")
+    low, high = F.get("x", k), F.get("x", C("markets").cast("int") - k - 1)
+    clump = F.when(low > 0, low).when(high < 0, high).otherwise(0.0)
+    return tidied(found.withColumn("clump", clump).drop("x"), "median", "spread", "iqr", "clump")
 
 
 @query(f"""WITH {STATES_SQL}, p AS (SELECT a.symbol, a.ts, a.ret - b.ret AS excess FROM states a JOIN states b ON a.ts = b.ts WHERE a.symbol <> b.symbol AND b.symbol = (SELECT min(symbol) FROM bars) AND a.ret IS NOT NULL AND b.ret IS NOT NULL)
@@ -240,15 +274,13 @@ def peer_excess_return(spark, sf_dir):
     return both.select("symbol", "ts", tidy(K.avg("excess", 10)).alias("excess"))
 
 
-@query(f"WITH {BARS_SQL} SELECT ts, {', '.join(f'''max(close) FILTER (WHERE symbol = '{s}') AS close_{s}''' for s in ('click', 'purchase', 'view'))} FROM bars GROUP BY ts")
-def panel_pivot(spark, sf_dir):
-    wide = hourly(spark, sf_dir).groupBy("ts").pivot("symbol", ["click", "purchase", "view"]).agg(F.max("close"))
-    return wide.select("ts", *[C(s).alias(f"close_{s}") for s in ("click", "purchase", "view")])
+#: The markets of the test tables.
+PIVOT = ", ".join(f"max(close) FILTER (WHERE symbol = '{m}') AS close_{m}" for m in ("click", "error", "purchase", "signup", "view"))
 
 
-@query()
-def panel_pivot_whole(spark, sf_dir):
-    """A column for each market that there is."""
+@query(f"WITH {BARS_SQL} SELECT ts, {PIVOT} FROM bars GROUP BY ts")
+def panel_pivot(spark, sf_dir):
+    """A column for each market that there is; the SQL names those of the test tables."""
     wide = hourly(spark, sf_dir).groupBy("ts").pivot("symbol").agg(F.max("close"))
     return wide.select("ts", *[C(f"`{c}`").alias(f"close_{c}") for c in wide.columns if c != "ts"])
 
@@ -369,22 +401,23 @@ def grid_search(spark, sf_dir):
 # arrays, JSON, strings
 
 
-@query(f"""WITH p AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: greatest(CAST(x AS DOUBLE), 0.0)) AS v FROM embeddings),
-n AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM p WHERE list_sum(v) > 0),
-k AS (SELECT *, lag(p) OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS q FROM n)
+#: Chances from all components of a vector; even ones where none is positive.
+CHANCES_SQL = """c0 AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN greatest(CAST(x AS DOUBLE), 0.0) ELSE 0.0 END) AS v FROM embeddings WHERE len(embedding) > 0),
+c1 AS (SELECT vec_id, v, list_sum(v) AS t FROM c0),
+pr AS (SELECT vec_id, vec_id // 100 AS block, list_transform(v, lambda x: CASE WHEN t > 0 THEN x / t ELSE 1.0 / len(v) END) AS p FROM c1)"""
+_FLOOR = "greatest({}, 1e-12) * ln(greatest({}, 1e-12) / greatest({}, 1e-12))"
+KL, MID = _FLOOR.format("z[1]", "z[1]", "z[2]"), "(z[1] + z[2]) / 2"
+JS = f"({_FLOOR.format('z[1]', 'z[1]', MID)} + {_FLOOR.format('z[2]', 'z[2]', MID)}) / 2"
+
+
+@query(f"""WITH {CHANCES_SQL}, k AS (SELECT *, lag(p) OVER (PARTITION BY block ORDER BY vec_id) AS q FROM pr)
 SELECT vec_id, {r("list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0.0 END))", "entropy")}, {r("list_sort(p, 'DESC')[1] - list_sort(p, 'DESC')[2]", "margin")}, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS state,
   {r("list_sum(list_transform(p, lambda x, i: x * (i - 1)))", "expected")}, {r("p[1] + p[2] + p[3]", "mass_below_3")},
-  {r("CASE WHEN q IS NOT NULL THEN list_sum(list_transform(list_zip(p, q), lambda z: greatest(z[1], 1e-12) * ln(greatest(z[1], 1e-12) / greatest(z[2], 1e-12)))) END", "step_kl", 5)},
-  CAST(CASE WHEN list_max(p) >= 0.4 THEN list_position(p, list_max(p)) - 1 ELSE -1 END AS INTEGER) AS gated FROM k""")
+  {r(f"CASE WHEN q IS NOT NULL THEN list_sum(list_transform(list_zip(p, q), lambda z: {KL})) END", "step_kl", 5)},
+  {r(f"CASE WHEN q IS NOT NULL THEN list_sum(list_transform(list_zip(p, q), lambda z: {JS})) END", "step_js", 5)},
+  CAST(CASE WHEN list_max(p) >= 0.1 THEN list_position(p, list_max(p)) - 1 ELSE -1 END AS INTEGER) AS gated FROM k""")
 def posterior_features(spark, sf_dir):
-    """Of the first eight components, as the SQL has them; posterior_features_whole takes all."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", posterior.normalise(F.slice("embedding", 1, 8)).alias("p")).where("p is not null")
-    return _posterior_features(rows)
-
-
-@query()
-def posterior_features_whole(spark, sf_dir):
-    return _posterior_features(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", posterior.normalise_or_even("embedding").alias("p")))
+    return _posterior_features(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", posterior.normalise_or_even("embedding").alias("p")).where("p is not null"))
 
 
 def _posterior_features(rows: DataFrame) -> DataFrame:
@@ -398,7 +431,8 @@ def _posterior_features(rows: DataFrame) -> DataFrame:
         tidy(posterior.expected(p)).alias("expected"),
         tidy(posterior.mass_below(p, 3)).alias("mass_below_3"),
         tidy(F.when(C("q").isNotNull(), posterior.kl(p, C("q"))), 5).alias("step_kl"),
-        posterior.gated_label(p, 0.4).alias("gated"),
+        tidy(F.when(C("q").isNotNull(), posterior.js(p, C("q"))), 5).alias("step_js"),
+        posterior.gated_label(p, 0.1).alias("gated"),
     )
 
 
@@ -410,85 +444,3 @@ def scalar_json_hash(spark, sf_dir):
         F.sha2(F.concat_ws(":", "event_type", C("user_id").cast("string")), 256).alias("window_hash"),
         F.upper(F.substring("event_type", 1, 3)).alias("code"),
     )
-
-
-# machines
-
-NUMBERED = f"n AS (SELECT *, row_number() {P} AS i FROM bars)"
-
-
-@query(f"""WITH RECURSIVE {BARS_SQL}, {NUMBERED}, e AS (
-  SELECT symbol, ts, i, close AS f, close AS s, 0.0::DOUBLE AS g FROM n WHERE i = 1 UNION ALL
-  SELECT symbol, ts, i, f, s, g + 0.2 * (f - s - g) AS g FROM (SELECT n.symbol, n.ts, n.i, e.f + 2.0 / 13 * (n.close - e.f) AS f, e.s + 2.0 / 27 * (n.close - e.s) AS s, e.g FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1))
-SELECT symbol, ts, {r("f", "fast", 5)}, {r("s", "slow", 5)}, {r("f - s", "macd", 5)}, {r("g", "signal", 5)} FROM e""")
-def machine_macd(spark, sf_dir):
-    return tidied(M.run(hourly(spark, sf_dir), M.Means), "fast", "slow", "macd", "signal", digits=5)
-
-
-@query(f"""WITH RECURSIVE {BARS_SQL}, {NUMBERED}, e AS (
-  SELECT symbol, ts, i, close AS start, close AS x, 0 AS side FROM n WHERE i = 1 UNION ALL
-  SELECT symbol, ts, i, start, CASE WHEN now <> side THEN p WHEN (p - x) * side > 0 THEN p ELSE x END AS x, now AS side FROM (
-    SELECT n.symbol, n.ts, n.i, e.start, e.x, e.side, n.close AS p,
-      CASE WHEN e.side = 0 THEN CASE WHEN n.close - e.start > e.start * 0.5 THEN 1 WHEN e.start - n.close > e.start * 0.5 THEN -1 ELSE 0 END
-           WHEN (n.close - e.x) * e.side <= 0 AND (e.x - n.close) * e.side > e.x * 0.5 THEN -e.side ELSE e.side END AS now
-    FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1))
-SELECT symbol, ts, CAST(side AS INTEGER) AS label FROM e""")
-def machine_trend_labels(spark, sf_dir):
-    return M.run(hourly(spark, sf_dir), lambda: M.TrendFlip(0.5))
-
-
-def _returns(spark, sf_dir):
-    return hourly(spark, sf_dir).withColumn("ret", ln(div("close", K.lag("close"))))
-
-
-@query(f"""WITH RECURSIVE {BARS_SQL}, rets AS (SELECT *, ln(close / lag(close) {P}) AS ret FROM bars), n AS (SELECT symbol, ts, ret, row_number() {P} AS i FROM rets WHERE ret IS NOT NULL), e AS (
-  SELECT symbol, ts, 0::BIGINT AS i, 0.0::DOUBLE AS u, 0.0::DOUBLE AS d, 0 AS side FROM n WHERE i = 1 UNION ALL
-  SELECT symbol, ts, i, CASE WHEN side = 0 THEN u ELSE 0.0 END, CASE WHEN side = 0 THEN d ELSE 0.0 END, side FROM (
-    SELECT *, CASE WHEN u >= 2.0 THEN 1 WHEN d <= -2.0 THEN -1 ELSE 0 END AS side FROM (
-      SELECT n.symbol, n.ts, n.i, greatest(0.0, e.u + n.ret) AS u, least(0.0, e.d + n.ret) AS d FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1)))
-SELECT symbol, ts, CAST(side AS INTEGER) AS side FROM e WHERE side <> 0""")
-def machine_cusum_events(spark, sf_dir):
-    return M.run(_returns(spark, sf_dir), lambda: M.CusumEvents(2.0))
-
-
-@query(f"""WITH RECURSIVE {BARS_SQL}, {NUMBERED}, e AS (
-  SELECT symbol, ts, i, close AS p, 0.0::DOUBLE AS v FROM n WHERE i = 1 UNION ALL
-  SELECT n.symbol, n.ts, n.i, n.close, e.v + 2.0 / 51 * (pow(ln(n.close / e.p), 2) - e.v) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1)
-SELECT symbol, ts, {r("CASE WHEN i > 25 THEN sqrt(v) END", "vol")} FROM e""")
-def machine_ewma_volatility(spark, sf_dir):
-    return tidied(M.run(hourly(spark, sf_dir), lambda: M.EwmaVolatility(50)), "vol")
-
-
-@query()
-def machine_directional_change(spark, sf_dir):
-    return M.run(hourly(spark, sf_dir), lambda: M.DirectionalChange(0.5))
-
-
-@query()
-def machine_wilder(spark, sf_dir):
-    return M.run(hourly(spark, sf_dir), M.Wilder)
-
-
-@query()
-def machine_renko(spark, sf_dir):
-    return M.run(hourly(spark, sf_dir), lambda: M.Bricks(25.0))
-
-
-@query()
-def machine_kalman(spark, sf_dir):
-    return M.run(hourly(spark, sf_dir), M.Kalman)
-
-
-@query()
-def machine_change_points(spark, sf_dir):
-    return M.run(_returns(spark, sf_dir), M.RunLength)
-
-
-@query()
-def machine_cusum_statistic(spark, sf_dir):
-    return M.run(_returns(spark, sf_dir), lambda: M.CusumStatistic(0.0, 1.0, 0.5))
-
-
-@query()
-def machine_hidden_states(spark, sf_dir):
-    return M.run(_returns(spark, sf_dir), lambda: M.ForwardFilter([0.5, 0.5], [[0.95, 0.05], [0.1, 0.9]], [0.0, 0.0], [0.5, 1.5]))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.functions.frames import Keyed, with_warm_up
+
 from lodestream.operators.bars import ticks_to_bars
 from lodestream.plans.lazy import Lazy, real
 
@@ -53,6 +56,10 @@ def s_agg(f: str, x: str, n: int, least: int | None = None) -> str:
     return s_full(f"{f}({x}) {w(n)}", x, n, least)
 
 
+def s_ripe(value: str, x: str, n: int, least: int | None = None) -> str:
+    return f"(CASE WHEN row_number() {P} >= {n} AND count({x}) {w(n)} >= {n // 2 if least is None else least} THEN {value} END)"
+
+
 def s_lag(x: str, n: int = 1) -> str:
     return f"lag({x}, {n}) {P}"
 
@@ -87,6 +94,16 @@ def s_z(x: str, n: int) -> str:
 Stage = dict[str, tuple[Lazy, str]]
 
 
+#: Rows of a key that are taken by one task.
+CHUNK_ROWS = 50_000
+_BACK = re.compile(r"(\d+) PRECEDING|lag\(.*?, (\d+)\) OVER")
+_AHEAD = re.compile(r"(\d+) FOLLOWING|lead\(.*?, (\d+)\) OVER")
+
+
+def _reach(stage: Stage, found: re.Pattern) -> int:
+    return max((int(n) for _, sql in stage.values() for hit in found.findall(sql) for n in hit if n), default=0)
+
+
 @dataclass
 class Suite:
     """Stages of columns: each sees the columns of those before it. Names with a leading _ are not returned."""
@@ -97,9 +114,26 @@ class Suite:
     def outputs(self) -> list[str]:
         return [name for stage in self.stages for name in stage if not name.startswith("_")]
 
-    def over(self, bars: DataFrame) -> DataFrame:
+    def reach(self) -> tuple[int, int] | None:
+        """Rows that the columns look back and ahead, stage by stage; None if a column looks back without bound.
+
+        A window over a span of time counts by its rows: spans here are shorter
+        than the longest window of rows beside them.
+        """
+        if any("UNBOUNDED" in sql for stage in self.stages for _, sql in stage.values()):
+            return None
+        return sum(_reach(s, _BACK) for s in self.stages), sum(_reach(s, _AHEAD) for s in self.stages)
+
+    def over(self, bars: DataFrame, rows: int | None = CHUNK_ROWS) -> DataFrame:
+        """The columns over bars, a task for each chunk of so many rows of a key; whole keys where a column has no bounded reach."""
+        reach = self.reach() if rows else None
+        if reach and any(reach):
+            bars, _ = with_warm_up(bars, Keyed(), rows, *reach)
+            bars = bars.withColumn("symbol", F.struct("symbol", "chunk"))  # what the windows are partitioned by
         for stage in self.stages:
             bars = bars.select("*", *[real(c).alias(name) for name, (c, _) in stage.items()])
+        if reach and any(reach):
+            bars = bars.where("not warm_up").withColumn("symbol", F.col("symbol.symbol")).drop("chunk", "warm_up")
         return bars
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:

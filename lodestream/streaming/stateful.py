@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestream.functions.frames import Keyed
+from lodestream.operators import gates
 from lodestream.operators.kernels import Machine
 
 
@@ -33,7 +35,8 @@ def stream_machine(df: DataFrame, make: Callable[[], Machine], keys: Sequence[st
     """A machine over a stream: rows of a micro-batch in time order, its state kept per key.
 
     Rows at or before the last time that a key has seen are passed over, as a
-    late or repeated bar would bend the state; the batch twin is kernels.run.
+    late or repeated bar would bend the state; a machine with own_time, such as
+    GapBars, is given them and has a rule for them. The batch twin is kernels.run.
     """
     probe = make()
     columns = [*keys, time, *probe.inputs]
@@ -44,7 +47,7 @@ def stream_machine(df: DataFrame, make: Callable[[], Machine], keys: Sequence[st
         out: list[tuple[Any, ...]] = []
         rows = pd.concat(list(frames)).sort_values([time, *probe.inputs], kind="stable")
         for at, *values in rows[[time, *probe.inputs]].itertuples(index=False, name=None):
-            if (seen is None or at > seen) and not any(pd.isna(v) for v in values):
+            if (seen is None or at > seen or machine.own_time) and not any(pd.isna(v) for v in values):
                 out += [(*key, at, *made) for made in machine.step(*values)]
                 seen = at
         state.update((pickle.dumps((machine, seen)),))
@@ -53,6 +56,49 @@ def stream_machine(df: DataFrame, make: Callable[[], Machine], keys: Sequence[st
     return df.select(*columns).groupBy(*keys).applyInPandasWithState(update, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_keep_last(df: DataFrame, keys: Sequence[str], time: str, order: str, lateness: str) -> DataFrame:
+    """One row per key and time: of repeated ones that with the greatest `order`, such as the time of arrival.
+
+    Kept as a running aggregate until the watermark has passed, so a corrected
+    row replaces the one before it: write in update mode to a sink that upserts,
+    or in append mode to have each row once, when it is final.
+    """
+    rest = [c for c in df.columns if c not in (*keys, time)]
+    last = df.withWatermark(time, lateness).groupBy(*keys, time).agg(F.max_by(F.struct(*rest), order).alias("_v"))
+    return last.select(*keys, time, "_v.*")
+
+
+class StreamGates:
+    """For foreachBatch: checks the last rows of every key against a baseline after each micro-batch.
+
+    The last rows are kept as a table under `folder`, one version per batch; a
+    batch that is run again starts from the version before it, so its result is
+    the same. sink(report, batch) takes the report of gates.check.
+    """
+
+    def __init__(self, folder: str, baseline: DataFrame, keyed: Keyed, rows: int, probs: str, loglik: str, sink: Callable[[DataFrame, int], None], limits: gates.Limits | None = None) -> None:
+        self.folder, self.baseline, self.keyed, self.rows, self.probs, self.loglik, self.sink, self.limits = folder, baseline, keyed, rows, probs, loglik, sink, limits
+
+    def _versions(self, spark: SparkSession) -> list[tuple[int, str]]:
+        Path = spark._jvm.org.apache.hadoop.fs.Path
+        place = Path(self.folder)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in system.listStatus(place)] if system.exists(place) else []
+        return sorted((int(p.getName().removeprefix("batch-")), p.toString()) for p in found if system.exists(Path(f"{p.toString()}/_SUCCESS")))
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = [v for v in self._versions(spark) if v[0] < number]
+        log = spark.read.parquet(before[-1][1]).unionByName(batch) if before else batch
+        path = f"{self.folder}/batch-{number}"
+        gates.last_rows(log, self.rows, self.keyed).write.mode("overwrite").parquet(path)
+        recent = gates.profile(spark.read.parquet(path), self.probs, self.loglik, self.keyed)
+        self.sink(gates.check(recent, self.baseline, self.keyed.keys, self.limits), number)
+        Path = spark._jvm.org.apache.hadoop.fs.Path
+        for _, old in before[:-1]:  # the version before this one stays, for a batch that is run again
+            Path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(Path(old), True)
+
+
 class ViolationCounter(Machine):
     """Consecutive rows beyond a limit; an alert when there are so many."""
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import glob
 import math
 import os
+import random
 from collections import Counter
 
 import duckdb
 import pytest
-from lodestream.functions.frames import Keyed, with_warm_up
+import numpy as np
+from lodestream.functions.frames import Keyed, running, with_warm_up
+from lodestream.operators import evaluation as V
 from lodestream.plans import catalog
 from lodestream.plans.features import SUITES
-from lodestream.plans.suite import hourly
+from lodestream.plans.suite import hourly, tidy
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -46,7 +49,7 @@ def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() >= 0
 
 
-@pytest.mark.parametrize("name", ["features_order_flow", "features_path_structure", "features_volume"])
+@pytest.mark.parametrize("name", ["features_order_flow", "features_path_structure", "features_volume", "features_cumulative"])
 def test_no_look_ahead(spark, name):
     """Cutting off the future changes nothing before the cut."""
     suite, bars = SUITES[name], hourly(spark, DATA).cache()
@@ -59,11 +62,50 @@ def test_no_look_ahead(spark, name):
 
 
 def test_warm_up_chunks_equal_whole_keys(spark):
-    """Chunks led by the rows before them give the windows of whole keys."""
-    bars = hourly(spark, "/root/testdata/sf0.01")
+    """Chunks led by the rows before them, and followed by those after, give the windows of whole keys."""
+    bars = hourly(spark, "/root/testdata/sf0.01").where("symbol <> 'view'").unionByName(hourly(spark, DATA).where("symbol = 'view'").withColumn("symbol", F.lit(None).cast("string")))
     k = Keyed()
-    whole = bars.select("symbol", "ts", F.round(F.avg("close").over(k.trailing(24)), 9).alias("m"), F.count("close").over(k.trailing(24)).alias("n"))
-    chunked, inner = with_warm_up(bars, k, "week", 23)
-    parts = chunked.select("symbol", "ts", "warm_up", F.round(F.avg("close").over(inner.trailing(24)), 9).alias("m"), F.count("close").over(inner.trailing(24)).alias("n"))
-    parts = parts.where("not warm_up").drop("warm_up")
-    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
+    ahead = lambda w: F.round(F.sum("volume").over(w.ahead(3)), 9).alias("next")
+    whole = bars.select("symbol", "ts", F.round(F.avg("close").over(k.trailing(24)), 9).alias("m"), F.count("close").over(k.trailing(24)).alias("n"), ahead(k))
+    for rows in (24, 100, 10_000):
+        chunked, inner = with_warm_up(bars, k, rows, 23, 3)
+        parts = chunked.select("symbol", "ts", "warm_up", F.round(F.avg("close").over(inner.trailing(24)), 9).alias("m"), F.count("close").over(inner.trailing(24)).alias("n"), ahead(inner))
+        parts = parts.where("not warm_up").drop("warm_up")
+        assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
+
+
+@pytest.mark.parametrize("name", ["features_order_flow", "features_liquidity", "features_transforms", "features_price_structure"])
+def test_suites_in_chunks(spark, name):
+    """A suite over short chunks gives what it gives over whole keys."""
+    suite, bars = SUITES[name], hourly(spark, DATA).cache()
+    back, _ = suite.reach()
+    columns = ["symbol", "ts", *[tidy(c, 4).alias(c) for c in suite.outputs()]]
+    key = lambda r: Counter(str(x) for x in r)
+    assert key(suite.over(bars, back).select(columns).collect()) == key(suite.over(bars, None).select(columns).collect())
+
+
+def test_running_totals(spark):
+    """Sums over lesser values, per key and for the table, in pieces of any number."""
+    rows = [(k, float(v), (v * 7) % 5) for k in ("a", "b") for v in range(60) if (v + len(k)) % 3]
+    df = spark.createDataFrame(rows, "k string, v double, n long")
+    for keys in ([], ["k"]):
+        for descending in (False, True):
+            frame = df if keys else df.where("k = 'a'")
+            got = running(frame, "v", {"n": "n"}, keys, descending, 7).collect()
+            assert len(got) == frame.count()
+            for r in got:
+                mine = [n for k, v, n in rows if k == r.k]
+                assert r.n_before == sum(n for k, v, n in rows if k == r.k and (v > r.v if descending else v < r.v)) and r.n_all == sum(mine)
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice([rng.gauss(0, 1), 1.0, None])) for k in ("a", "b", "c") for _ in range(200)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    shares = [0.0, 0.1, 0.5, 0.93, 1.0]
+    got = {r.k: r.quantiles for r in V.exact_quantiles(df, "x", shares, ["k"]).collect()}
+    assert got.keys() == {"a", "b", "c"}
+    for k, found in got.items():
+        assert found == pytest.approx(np.quantile([x for s, x in rows if s == k and x is not None], shares).tolist())
+    assert V.exact_quantiles(df, "x", [0.5]).first()[0] == pytest.approx([np.median([x for _, x in rows if x is not None])])
+    assert V.exact_quantiles(df.limit(0), "x", [0.5]).collect() == []

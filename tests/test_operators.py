@@ -114,8 +114,13 @@ def test_change_points_against_plain_recursion(spark):
 
 def test_bricks(spark):
     rows = [("a", START + timedelta(hours=i), p, p, p, 0.0) for i, p in enumerate([100.0, 104.0, 111.0, 131.0, 125.0, 109.0, 90.0])]
-    got = M.run(spark.createDataFrame(rows, SCHEMA), lambda: M.Bricks(10.0)).orderBy("ts").collect()
-    assert [(r.direction, r.brick_open, r.brick_close) for r in got] == [(1, 100, 110), (1, 110, 120), (1, 120, 130), (-1, 120, 110), (-1, 110, 100), (-1, 100, 90)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("volume", F.lit(1.0))
+    got = M.run(frame, lambda: M.Bricks(10.0)).orderBy("brick_num").collect()
+    assert [(r.direction, r.brick_open, r.brick_close) for r in got] == [(1, 100, 110), (1, 110, 120), (1, 120, 130), (-1, 130, 120), (-1, 120, 110), (-1, 110, 100), (-1, 100, 90)]
+    assert [r.brick_num for r in got] == list(range(7)) and [r.brick_volume for r in got] == [3, 1, 0, 2, 0, 1, 0]
+    wide = spark.createDataFrame([("a", START, 100.0, 100.0, 100.0, 1.0), ("a", START + timedelta(hours=1), 125.0, 85.0, 90.0, 2.0)], "symbol string, ts timestamp_ntz, high double, low double, close double, volume double")
+    got = M.run(wide, lambda: M.Bricks(10.0)).orderBy("brick_num").collect()
+    assert [(r.direction, r.brick_close) for r in got] == [(1, 110), (1, 120), (-1, 110), (-1, 100), (-1, 90)] and got[0].brick_volume == 3
 
 
 def test_wilder_warm_up(spark):
@@ -187,6 +192,10 @@ def test_clean_upsert_and_columns(spark):
     bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, volume double")
     assert [r.close for r in B.clean(bars, keep="first").collect()] == [1.0]
     assert [r.close for r in B.clean(bars, keep="last").collect()] == [2.0]
+    # the bar that is kept is judged, not the next one; other columns may be null
+    late = spark.createDataFrame([("a", START, None, 5.0, 2, None), ("a", START, 2.0, 6.0, 3, "x"), ("b", START, 1.0, 9.0, 7, None), ("b", START, 2.0, 3.0, 1, None)], "symbol string, ts timestamp_ntz, close double, volume double, at int, note string")
+    assert [(r.symbol, r.close) for r in B.clean(late, order="at").collect()] == [("b", 2.0)]
+    assert sorted((r.symbol, r.close) for r in B.clean(late, keep="last", order="at").collect()) == [("a", 2.0), ("b", 1.0)]
     wide = bars.withColumn("sparse", F.when(F.col("close") == 1, 1.0))
     assert B.drop_sparse_columns(wide).columns == bars.columns
 

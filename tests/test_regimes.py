@@ -33,28 +33,61 @@ def test_chances():
 def test_ranks_and_correlation():
     assert W.ranks(np.array([3.0, 1.0, 3.0, 2.0])).tolist() == [3.5, 1.0, 3.5, 2.0]
     x = np.array([[1.0, 9.0], [2.0, 7.0], [3.0, 7.0], [4.0, 1.0]])
-    assert W.rank_correlation(x)[0] == pytest.approx(-0.9486832980505138)
-    assert W.rank_correlation(np.ones((5, 2))) == (None,)
+    assert W.rank_correlation(x[None])[0, 0] == pytest.approx(-0.9486832980505138)
+    assert np.isnan(W.rank_correlation(np.ones((1, 5, 2)))).all()
 
 
 def test_hurst_tells_trend_from_noise():
     rng = np.random.default_rng(0)
     noise = rng.normal(size=(1024, 1))
     trend = np.cumsum(noise, axis=0)
-    assert 0.4 < W.hurst(noise)[0] < 0.7 < 0.85 < W.hurst(trend)[0]
+    assert 0.4 < W.hurst(noise[None])[0, 0] < 0.7 < 0.85 < W.hurst(trend[None])[0, 0]
 
 
 def test_series_tests():
     rng = np.random.default_rng(1)
     noise, wave = rng.normal(size=(200, 1)), np.sin(np.arange(200) / 3)[:, None]
     run = W.ljung_box(5)
-    assert run(noise)[1] > 0.01 and run(wave)[1] < 1e-6
-    assert abs(W.runs_test(noise)[0]) < 3 and W.runs_test(wave)[0] < -5 and W.runs_test(np.ones((9, 1))) == (None,)
+    assert run(noise[None])[0, 1] > 0.01 and run(wave[None])[0, 1] < 1e-6
+    assert abs(W.runs_test(noise[None])[0, 0]) < 3 and W.runs_test(wave[None])[0, 0] < -5 and np.isnan(W.runs_test(np.ones((1, 9, 1)))).all()
     steps = np.cumsum(np.tile([1.0, 1.0, -1.0], 40))[:, None]
-    entropy, shared = W.word_entropy(2)(steps)
+    entropy, shared = W.word_entropy(2)(steps[None])[0]
     assert entropy < 0.8 and shared > 0.5
-    assert W.zigzag_density(0.5)(np.array([[1.0], [2.0], [0.9], [2.0], [0.9]])) == (3 / 5,)
-    assert W.savitzky_golay(2)((np.arange(9.0) ** 2)[:, None])[0] == pytest.approx(64)
+    assert W.zigzag_density(0.5)(np.array([[[1.0], [2.0], [0.9], [2.0], [0.9]]]))[0, 0] == 3 / 5
+    assert np.arange(9.0) ** 2 @ W.savitzky_golay(9, 2) == pytest.approx(64)
+
+
+def plain_runs(x):
+    s = [v for v in np.sign(x) if v]
+    up, down = sum(v > 0 for v in s), sum(v < 0 for v in s)
+    n = up + down
+    if not up or not down or n < 3:
+        return math.nan
+    spread = 2 * up * down * (2 * up * down - n) / (n * n * (n - 1))
+    runs = 1 + sum(a != b for a, b in itertools.pairwise(s))
+    return (runs - 1 - 2 * up * down / n) / math.sqrt(spread) if spread > 0 else math.nan
+
+
+def test_kernels_take_many_windows(spark):
+    """Windows together give what each gives alone, over keys, batches and chunks, with values to pass over."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(40, 9, 1)), 1)
+    x[3], x[4, :5] = 1.0, 0.0
+    for kernel in (W.hurst, W.ljung_box(2), W.runs_test, W.word_entropy(2), W.zigzag_density(0.5)):
+        whole = kernel(np.abs(x) + 0.1 if kernel is not W.runs_test else x)
+        alone = np.concatenate([kernel(np.abs(w[None]) + 0.1 if kernel is not W.runs_test else w[None]) for w in x])
+        assert np.allclose(whole, alone, equal_nan=True)
+    assert np.allclose(W.runs_test(x)[:, 0], [plain_runs(w[:, 0]) for w in x], equal_nan=True)
+    series = [(k, START + timedelta(hours=i), None if i % 11 == 5 else float(rng.normal())) for k in ("a", "b") for i in range(120)] + [("short", START, 1.0)]
+    frame = spark.createDataFrame(series, "symbol string, ts timestamp_ntz, ret double")
+    for rows in (8, 50, 1000):
+        got = {(r.symbol, r.ts): r.z for r in W.rolling(frame, 9, W.runs_test, "z double", ("ret",), rows=rows).collect()}
+        for k in ("a", "b", "short"):
+            there = [(t, v) for s, t, v in series if s == k and v is not None]
+            for i, (t, _) in enumerate(there):
+                want = plain_runs([v for _, v in there[i - 8 : i + 1]]) if i >= 8 else math.nan
+                assert got[k, t] == (None if math.isnan(want) else pytest.approx(want)), (k, i, rows)
+        assert len(got) == sum(v is not None for *_, v in series)
 
 
 def test_panel_risk_and_strength():
@@ -63,7 +96,8 @@ def test_panel_risk_and_strength():
     tight = np.exp(common + np.cumsum(rng.normal(size=(80, 4)) * 0.0005, axis=0))
     loose = np.exp(np.cumsum(rng.normal(size=(80, 4)) * 0.01, axis=0))
     run = W.panel_risk(0.25)
-    assert run(tight)[0] > 0.95 > run(loose)[0] and run(tight)[1] > run(loose)[1]
+    tight_, loose_ = run(tight[None])[0], run(loose[None])[0]
+    assert tight_[0] > 0.95 > loose_[0] and tight_[1] > loose_[1]
     machine = W.RelativeStrength(["a", "b", "c"], 3)
     out = rows_of(machine, [(1.01**i, 1.0, 0.99**i) for i in range(8)])
     assert all(o[0][1:3] == ("a", "c") for o in out if o) and len([o for o in out if o]) == 5
