@@ -10,6 +10,7 @@ payload digest.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -19,16 +20,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.scratch import new_path, save
+from lodestream.llm.words import lean
 
 #: Payloads of fewer bytes are always stored.
 LEAST_BYTES = 100
-#: Records of an archive: files are read whole.
-FILE_RECORDS = 1000
-#: Repeated digests that may be broadcast, about 100 bytes each.
-BROADCAST_DIGESTS = 100_000
+#: Records of an archive, and bytes of payload that they may have together: files are read whole.
+FILE_RECORDS, FILE_BYTES = 1000, 256 << 20
+#: Records that are handed on together.
+PARSED_ROWS = 100
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SCHEMA = "record_id string, record_type string, page_id long, uri string, digest string, refers_to_id string, payload_bytes long, payload_digest string, payload binary"
+HEADERS = "record_id string, record_type string, page_id long, uri string, digest string, refers_to_id string, payload_bytes long, payload_digest string"
+SCHEMA = HEADERS + ", payload binary"
 
 
 def _record_id(row: Column, salt: str) -> Column:
@@ -42,7 +45,7 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(END)), F.lit(""))
 
 
-def classify(pages: DataFrame, least_bytes: int = LEAST_BYTES, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+def classify(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """pages (page_id, url, payload) with row, digest, size and the row that holds the payload.
 
     Of equal payloads of least_bytes or more, the record with the least page_id
@@ -52,14 +55,18 @@ def classify(pages: DataFrame, least_bytes: int = LEAST_BYTES, broadcast_digests
     base = save(base, "warc-pages")
     same = base.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.min_by("row", "page_id"), F.min("row")).alias("_holder"))
     same = save(same.where("_n > 1").drop("_n"), "warc-digests")
-    held = base.join(F.broadcast(same) if same.count() <= broadcast_digests else same, F.col("digest") == F.col("_of"), "left")
+    held = base.join(same, F.col("digest") == F.col("_of"), "left")
     return held.withColumn("holder", F.when(F.col("size") >= least_bytes, F.coalesce("_holder", F.col("row"))).otherwise(F.col("row"))).drop("_of", "_holder")
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", records: int = FILE_RECORDS, date: datetime | None = None) -> None:
-    """Write a record for every page, with fresh headers; null html is an empty payload.
+def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES, date: datetime | None = None) -> None:
+    """Write a record for every page, with fresh headers, into packed archives; null html is an empty payload.
 
-    A null page_id or url has no header. Equal payloads are stored once.
+    A null page_id or url has no header. Equal payloads are stored once; repeated
+    rows each have a record. Archives have at most so many records and bytes of
+    payload, but for a single larger payload: pages fall into classes by size,
+    each with its own number of records. Other columns are ignored; without pages
+    there is no record.
     """
     rows = classify(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload")))
     stamp = (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -81,7 +88,12 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         F.lit(END),
     )
     # The writer ends every row with the two empty lines that end a record.
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", records).text(path)
+    held = F.when(revisit, 0).otherwise(F.col("size"))
+    lines = rows.select(F.concat(head, block).alias("value"), held.alias("held"))
+    edges = [-1, *[file_bytes // n for n in (records, max(1, records // 30), 1) if n], 1 << 62]
+    for i, most in enumerate((records, max(1, records // 30), 1, 1)):
+        part = lines.where((F.col("held") > edges[i]) & (F.col("held") <= edges[i + 1])).select("value")
+        part.write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -110,25 +122,45 @@ def parse(data: bytes) -> Iterator[tuple]:
         )
 
 
-def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
-    types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]] for f in SCHEMA.split(", ")]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            if rows := list(parse(batch.column(0)[i].as_py())):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+def _parse_files(schema: str):
+    """Archives, packed or not, as records; without the payload where the schema has none."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]] for f in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch.column(0)[i].as_py()
+                data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
+                rows: list[tuple] = []
+                for record in parse(data):
+                    rows.append(record[: len(names)])
+                    if len(rows) == PARSED_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under path: its headers, and the payload of those that hold one."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse_files, SCHEMA)
+    return run
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Every record under path: its headers, the size and digest of its payload, and the payload unless it is not asked for.
+
+    A file is one task's to read, with the memory of its bytes; a folder without
+    archives has no record.
+    """
+    schema = SCHEMA if payloads else HEADERS
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lean(_parse_files(schema)), schema)
 
 
 def resolve(records: DataFrame) -> DataFrame:
     """Headers of all records, revisits with the payload's facts from the response they refer to.
 
     A revisit is joined to its response on the payload digest and the record's
-    id; one whose response is missing keeps nulls.
+    id; one whose response is missing keeps nulls. A null page_id or uri stays
+    null; repeated pages each have a row; columns beyond the headers are left out.
+    Without records the result is empty.
     """
     heads = records.drop("payload")
     held = heads.where("record_type = 'response'").select(F.col("digest").alias("_d"), F.col("record_id").alias("_id"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_sha"))
@@ -139,7 +171,14 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, **names: str) -> DataFrame:
-    """Write the pages as archives in the shared folder, read them back and resolve them."""
+    """Write the pages as archives in the shared folder, read them back and resolve them.
+
+    One row per page: record_id, record_type, page_id, uri, payload_bytes,
+    payload_digest and refers_to. Null html is an empty payload, a null id or url
+    stays null; repeated rows each have a record, of which one holds the payload;
+    other columns of pages are ignored, whatever their names. Without pages the
+    result is empty.
+    """
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path, **names)
-    return resolve(save(read_archives(pages.sparkSession, path).drop("payload"), "warc-heads"))
+    return resolve(save(read_archives(pages.sparkSession, path, payloads=False), "warc-heads"))
