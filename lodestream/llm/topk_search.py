@@ -3,7 +3,9 @@
 Vectors are dealt to shards of bounded size, queries to blocks. In the first
 round each query searches one shard; its k-th best score there is what the
 second round starts from in all other shards, so that whole balls fall away. A
-ball with centre c and radius r holds no score above q.c + |q| r.
+ball with centre c and radius r holds no score above q.c + |q| r. Vectors whose
+lengths and directions hardly differ leave nothing to prune; the search then
+reads every leaf, and stays exact.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from lodestream.llm.scratch import save
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 LEAF = 64
-_LONG = (1 << 63) - 1
 _OUT = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -54,9 +55,9 @@ class BallTree:
             self.nodes[me] = (lo, hi, left, right)
         return me
 
-    def search(self, q: np.ndarray, k: int, floor: int | None, scores, ids: np.ndarray, own: int) -> list[tuple[int, int]]:
-        """The k best (score, id) of score floor or more; smaller ids first among equals."""
-        norm = float(np.sqrt((q * q).sum()))
+    def search(self, q: np.ndarray, k: int, floor: int | None, scores, ids: np.ndarray, rows: np.ndarray, own: int) -> list[tuple[int, int]]:
+        """The k best (score, id) of score floor or more, without the row `own`; smaller ids first among equals."""
+        norm = float(np.linalg.norm(q))
         bounds = self.centres @ q + norm * self.radii
         bounds += 1e-9 * np.abs(bounds) + 1e-6 * (1 + norm)  # rounding must not hide a candidate
         heap, best = [(-bounds[0], 0)], []
@@ -68,7 +69,7 @@ class BallTree:
             if left < 0:
                 at = self.order[lo:hi]
                 got = scores(at, q)
-                best += [(-int(s), int(i)) for s, i in zip(got, ids[at], strict=True) if i != own and (floor is None or s >= floor)]
+                best += [(-int(s), int(i)) for s, i, r in zip(got, ids[at], rows[at], strict=True) if r != own and (floor is None or s >= floor)]
                 if len(best) >= k:
                     best = sorted(best)[:k]
                     floor = -best[-1][0]
@@ -81,7 +82,7 @@ class BallTree:
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = column.combine_chunks()
     flat = flat.values if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.values for c in flat.chunks])
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _search(k: int):
@@ -90,27 +91,35 @@ def _search(k: int):
             return _OUT.empty_table()
         dim = left.column("dim")[0].as_py()
         whole, asked = (_matrix(t.column("v"), dim) for t in (left, right))
-        ids = left.column("vec_id").to_numpy()
-        points = whole.astype(np.float64)
-        most = float(np.abs(points).max(initial=0)) * float(np.abs(asked.astype(np.float64)).max(initial=0)) * dim
+        ids, rows = left.column("vec_id").to_numpy(), left.column("row").to_numpy()
+        most = float(np.abs(whole).max(initial=0)) * float(np.abs(asked).max(initial=0)) * dim
         if most < 2**53:  # sums of doubles are exact
-            scores = lambda at, q: (points[at] @ q).astype(np.int64)
+            scores = lambda at, q: (whole[at] @ q).astype(np.int64)
         else:
-            scores = lambda at, q: np.array([max(-_LONG, min(_LONG, sum(int(a) * int(b) for a, b in zip(x, q, strict=True)))) for x in whole[at]], object)
-        tree, out = BallTree(points), []
+            scores = lambda at, q: np.array([sum(int(a) * int(b) for a, b in zip(x, q, strict=True)) for x in whole[at].tolist()], object)
+        # Bounds are taken on a scale on which squares stay finite.
+        scale = max(1.0, float(np.abs(whole).max(initial=0)), float(np.abs(asked).max(initial=0)))
+        scale = scale if scale > 1e100 else 1.0
+        tree, out = BallTree(whole / scale), []
         for q, own, row, floor in zip(asked, right.column("vec_id").to_pylist(), right.column("row").to_pylist(), right.column("floor").to_pylist(), strict=True):
-            out += [(own, row, i, s) for s, i in tree.search(q.astype(np.float64), k, floor, scores, ids, own)]
+            for s, i in tree.search(q, k, floor, scores, ids, rows, row):
+                if not -(1 << 63) <= s < 1 << 63:
+                    raise OverflowError(f"the score of {own} and {i} is beyond a long: {s}")
+                out.append((own, row, i, s))
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], schema=_OUT)
 
     return run
 
 
 def as_integers(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component; null if the vector is null or has a null or non-finite one."""
-    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    edge = float(1 << 52)
-    whole = lambda x: F.floor(F.greatest(F.lit(-edge), F.least(F.lit(edge), x.cast("double") * scale))).cast("long")
-    return F.when(sound & (F.size(vector) > 0), F.transform(vector, whole))
+    """floor(scale * x) of every component, as doubles, which hold it exactly; null if the vector is null or has a null or non-finite one.
+
+    A component whose product is beyond a double counts as not finite.
+    """
+    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * scale) < float("inf")))
+    # Doubles from 2^52 on are integers; the rest fit a long on the way.
+    whole = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+    return F.when(sound & (F.size(vector) > 0), F.transform(vector, lambda x: whole(x.cast("double") * scale)))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -119,10 +128,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     Vectors are taken as integers (as_integers); scores are their inner products.
     Rows with a null key, a null or empty vector or one with a null or non-finite
     component take no part. Only vectors of equal length are compared. A row is
-    never its own candidate, nor are rows with the same key; repeated rows are
-    candidates each, and a query that is repeated is asked once. Components stop
-    at 2^52, scores at the range of a long. Queries with fewer candidates have
-    fewer rows; without rows the result is empty.
+    never its own candidate; other rows with its key are, and repeated rows are
+    queries and candidates each. Scores are exact, whatever the size of the
+    components; one that is returned and beyond a long raises OverflowError.
+    Queries with fewer candidates have fewer rows; other columns are ignored;
+    without rows the result is empty.
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), as_integers(F.col(vector)).alias("v"), is_query.alias("asks"))
     rows = rows.where("vec_id is not null and v is not null").withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id())
@@ -130,18 +140,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     n, asking = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asking / block_queries))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    queries = rows.where("asks").groupBy("vec_id", "v", "dim").agg(F.min("row").alias("row")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    queries = rows.where("asks").select("vec_id", "v", "dim", "row", "shard")
     queries = save(queries, "queries")  # columns of its own, for the cogroup
     out = "query_id long, query long, vec_id long, score long"
 
-    first = rows.drop("asks", "row").groupBy("dim", "shard").cogroup(queries.withColumn("floor", F.lit(None).cast("long")).groupBy("dim", "shard")).applyInArrow(_search(k), out)
+    first = rows.drop("asks").groupBy("dim", "shard").cogroup(queries.withColumn("floor", F.lit(None).cast("long")).groupBy("dim", "shard")).applyInArrow(_search(k), out)
     first = save(first, "topk-first")
     floors = first.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("query", "floor")
     asked = queries.join(floors, F.col("row") == F.col("query"), "left").drop("query")
     # Every block of queries meets every shard, but for the one that a query has seen.
     asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("at <> shard")
     asked = asked.select("vec_id", "v", "dim", "row", "floor", "block", F.col("at").alias("shard"))
-    spread = rows.drop("asks", "row").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = rows.drop("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ("dim", "shard", "block")
     second = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(k), out)
     place = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
