@@ -2,7 +2,7 @@
 
 Each URL is expanded into expressions: its host and the suffixes of it that
 start after a dot, each with prefixes of its path. Expressions meet rules in an
-equi-join on a short hash prefix; the full digest confirms a match. Only
+equi-join on a short hash prefix; the full digest then confirms a match. Only
 lengths that some rule has are expanded, so that hosts with thousands of labels
 and paths of any length stay cheap.
 """
@@ -76,7 +76,8 @@ def url_filter(pages: DataFrame, rules: DataFrame | None = None, url: str = "url
     known = known.withColumn("_rs", F.substring("_rd", 1, 2 * PREFIX_BYTES))
     if lengths["n"] <= BROADCAST_RULES:
         known = F.broadcast(known)
-    hits = asked.join(known, (F.col("_short") == F.col("_rs")) & (F.col("_d") == F.col("_rd")))
+    # The join is on the prefix alone; digests are compared as a condition that is no key, like rule and URL that met by chance.
+    hits = asked.join(known, (F.col("_short") == F.col("_rs")) & F.startswith("_d", F.col("_rd")))
     rank = F.struct(F.length("_rule").alias("a"), F.length("_rh").alias("b"), (F.col("_v") == "block").alias("c"), F.col("_rule").alias("d"))
     best = hits.groupBy("_h", "_p").agg(F.max_by(F.struct("_rule", "_v"), rank).alias("_best"))
     result = parts.join(best, (F.col(h) == F.col("_h")) & (F.col(p) == F.col("_p")), "left")
