@@ -26,8 +26,6 @@ from lodestream.llm.labelled import SAMPLE_ROWS, logistic, sample, sigmoid
 from lodestream.llm.scratch import save, without
 from lodestream.llm.words import lean, slices
 
-#: Entries of the lexicon, at most.
-ENTRIES = 20_000
 #: Toxic documents that an entry must be in, the share of its documents that must be toxic, letters of a stem, words that show
 #: it, and letters of an entry that may be misspelled, unless the caller says.
 LEAST_DOCS, LEAST_SHARE, STEMS, STEM_WORDS, EDITABLE = 4, 0.8, (3, 4, 5, 6, 7, 8), 4, 5
@@ -170,7 +168,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
-    """Entries with weights from (_text, _label), and words near to an entry that clean documents use; at most ENTRIES of each."""
+    """Entries with weights from (_text, _label), and words near to an entry that clean documents use: words of the bounded sample."""
     words = labelled.mapInArrow(lean(_terms), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     words = save(words, "toxic-words")
     # Of so many words, some are in toxic documents alone by chance, unless there are enough of these.
@@ -185,11 +183,11 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], frozenset[str]
     # A stem is a sign of its own only if several words that begin with it are.
     stems = stems.where(sure & (F.col("toxic") >= STEM_SHARE * F.col("n")) & (F.col("words") >= STEM_WORDS)).select(F.concat("stem", F.lit("*")).alias("term"), "n", "toxic")
     found = words.where(sure).unionByName(stems)
-    best = found.orderBy(F.col("toxic").desc(), "term").limit(ENTRIES).collect()
+    best = found.orderBy(F.col("toxic").desc(), "term").collect()
     # Words that a stem covers stay: only words are looked for with an edit.
     entries = {r["term"]: math.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5)) for r in best}  # log odds
     near = words.where("n > toxic").select("term", "n").mapInArrow(lean(_near(entries)), "term string, n long")
-    proper = near.orderBy(F.col("n").desc(), "term").limit(ENTRIES).collect()
+    proper = near.orderBy("term").collect()
     return entries, frozenset(r["term"] for r in proper)
 
 
@@ -243,9 +241,11 @@ def _featured(entries: dict[str, float], proper: frozenset[str]):
 def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most `rows` labelled documents for which train (a condition on _key) holds.
 
-    Without labelled documents the lexicon is empty and every score is low.
+    Of equal texts one counts, as toxic if one of its labels is. Without labelled
+    documents the lexicon is empty and every score is low.
     """
-    labelled = save(sample(docs, labels, "toxic", train, key, text, rows).dropDuplicates(["_text"]), "toxic-sample")
+    labelled = sample(docs, labels, "toxic", train, key, text, rows).groupBy("_text").agg(F.max("_label").alias("_label"))
+    labelled = save(labelled, "toxic-sample")
     entries, proper = learn_lexicon(labelled)
     got = labelled.mapInArrow(lean(_featured(entries, proper)), "x array<double>, y int").collect()
     if not got:
@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
     are replaced. Without rows the result is empty.
     """
     docs = without(docs, "score", "predicted")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ENTRIES
+    held = docs.sparkSession.sparkContext.broadcast(model)  # words of the bounded sample
     spare = [f"_c{i}" for i in range(len(docs.columns))]
     rows, text_col = docs.toDF(*spare), spare[docs.columns.index(text)]
 
