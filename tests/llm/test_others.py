@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -74,8 +76,28 @@ def test_warc_files(spark):
     assert {r.uri for r in found if r.page_id == 3} == {"http://a.org/3%20%20X-Evil:%201"}
     files = spark.read.format("binaryFile").load(path).collect()
     for f in files:
-        data = bytes(f.content)
-        assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
+        data = gzip.decompress(bytes(f.content))
+        assert not data or data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
+        assert len(list(warc.parse(data))) <= 4
+    heads = warc.read_archives(spark, path, payloads=False)
+    assert "payload" not in heads.columns and sorted((r.record_id, r.payload_digest) for r in heads.collect()) == sorted((r.record_id, r.payload_digest) for r in found) if None not in [r.payload_digest for r in found] else heads.count() == len(PAGES)
+
+
+def test_warc_archives_are_bounded_by_bytes(spark):
+    """Large payloads are cut into more archives, a payload above the bound has one of its own."""
+    rows = [(i, None, "x" * n + str(i)) for i, n in enumerate([100] * 30 + [900] * 10 + [5_000] * 3)]
+    path = scratch.new_path(spark, "warc-test")
+    warc.write_archives(pages(spark, rows).coalesce(1), path, records=30, file_bytes=4_000)
+    found = [list(warc.parse(gzip.decompress(bytes(f.content)))) for f in spark.read.format("binaryFile").load(path).collect()]
+    assert sorted(r[2] for part in found for r in part) == list(range(43))
+    for part in found:
+        assert len(part) <= 30 and (sum(r[6] for r in part) <= 4_000 or len(part) == 1)
+
+
+def test_warc_clashes(spark):
+    frame = pages(spark).selectExpr("*", "1 AS row", "2 AS digest", "3 AS size", "4 AS payload", "5 AS holder", "'r' AS record_type")
+    plain, clashing = (Counter(tuple(r)[1:] for r in warc.archive_round_trip(f).collect()) for f in (pages(spark), frame))
+    assert plain == clashing
 
 
 def test_warc_empty(spark):
@@ -106,13 +128,24 @@ def test_top_k(spark, shard, block):
 
 
 def test_top_k_large_values_repeats_and_empty(spark):
-    rows = [(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 0.5]), (3, [2.0**40, 2.0**39])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk_search.top_k(frame, F.col("vec_id") % 100 == 0).collect()
-    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1), (2, 3), (3, 2)]
-    twice = spark.createDataFrame([(100, [1.0]), (100, [1.0]), (7, [2.0]), (7, [2.0])], "vec_id long, embedding array<float>")
-    got = topk_search.top_k(twice, F.col("vec_id") % 100 == 0).collect()
-    assert sorted((r.rank, r.vec_id) for r in got) == [(1, 7), (2, 7)]
+    asks = F.col("vec_id") % 100 == 0
+    # products beyond what doubles add exactly
+    rows = [(0, [2.0**20 + 0.5, 2.0**-10]), (1, [2.0**21, 3.0]), (2, [-(2.0**21), 0.5]), (3, [2.0**21, 3.001])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), asks).collect()
+    assert {tuple(r) for r in got} == expected_top(rows, 10)
+    # a score that no long holds is an error, and no other score; 1e30 is no trouble where it meets 0
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="beyond a long"):
+        topk_search.top_k(huge, asks).collect()
+    apart = [(0, [1e30, 0.0]), (1, [0.0, 1e30]), (2, [0.0, -1e300])]
+    assert {tuple(r) for r in topk_search.top_k(spark.createDataFrame(apart, "vec_id long, embedding array<double>"), asks).collect()} == {(0, 1, 1, 0), (0, 2, 2, 0)}
+    # rows are known by themselves, not by their keys: other rows with the key of a query are its candidates
+    twice = spark.createDataFrame([(100, [1.0]), (100, [3.0]), (7, [2.0]), (7, [2.0])], "vec_id long, embedding array<float>")
+    got = topk_search.top_k(twice, asks).collect()
+    mega = 1024 * 1024
+    assert Counter(tuple(r) for r in got) == Counter([(100, 1, 100, 3 * mega), (100, 2, 7, 2 * mega), (100, 3, 7, 2 * mega), (100, 1, 7, 6 * mega), (100, 2, 7, 6 * mega), (100, 3, 100, 3 * mega)])
+    clashing = twice.selectExpr("*", "1 AS row", "2 AS v", "3 AS dim", "4 AS shard", "5 AS score", "6 AS query")
+    assert Counter(tuple(r) for r in topk_search.top_k(clashing, asks).collect()) == Counter(tuple(r) for r in got)
     assert topk_search.top_k(twice.limit(0), F.col("vec_id") % 100 == 0).collect() == []
 
 
@@ -151,6 +184,17 @@ def test_url_filter(spark, broadcast, monkeypatch):
     assert {r.verdict for r in none.collect()} == {"allow"}
 
 
+def test_url_filter_repeats_clashes_and_prefixes(spark, monkeypatch):
+    """Repeated pages keep their rows, columns of any name stay, and digests decide where prefixes meet by chance."""
+    rows = [(1, "http://a.com/fr/", "p", 1, 2, 3)] * 3 + [(1, "http://a.com/fr/", "q", 1, 2, 3), (None, None, "r", 1, 2, 3), (None, None, "r", 1, 2, 3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, path string, _h int, _short int, Rule int")
+    monkeypatch.setattr(url_filter, "PREFIX_BYTES", 0)  # every expression meets every rule
+    got = Counter(tuple(r) for r in url_filter.url_filter(frame).collect())
+    assert got == Counter({(1, "http://a.com/fr/", 1, 2, "a.com", "/fr/", "com/fr/", "allow"): 4, (None, None, 1, 2, "", "", None, "allow"): 2})
+    frame = spark.createDataFrame([(i, u, 1) for i, u in enumerate(URLS)], "page_id long, url string, host int")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(frame).collect()} == {i: expected_verdict(u) for i, u in enumerate(URLS)}
+
+
 # classifiers
 
 
@@ -203,6 +247,93 @@ def test_classifiers_on_held_out(spark, module, label, folds, held):
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def plain_hits(text, entries, proper, letters):
+    """Weights of a text's words: spelled as an entry, or one edit from a whole one."""
+    out = {}
+    for w in set(re.findall(r"[^\W\d_]+", text.lower())):
+        if len(w) < 3:
+            continue
+        right = max([v for e, v in entries.items() if (w.startswith(e[:-1]) if e.endswith("*") else w == e)], default=0.0)
+        near = [v for e, v in entries.items() if not e.endswith("*") and len(e) >= letters and e != w and (w in edits_of(e) or e in edits_of(w))]
+        out[w] = (right, 0.0 if right or w in proper else max(near, default=0.0))
+    return {w: v for w, v in out.items() if v != (0.0, 0.0)}
+
+
+def edits_of(word):
+    letters = set("abcdefghijklmnopqrstuvwxyz") | set(word)
+    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    return {a + b[1:] for a, b in cuts if b} | {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + c + b for a, b in cuts for c in letters}
+
+
+def test_toxicity_scores_against_plain_windows(spark):
+    """The score of a text from edits, context windows and the logistic formula, all taken the long way."""
+    rng = random.Random(11)
+    calm = ["tree", "river", "said", "you", "the", "walks", "green", "scout", "stone", '"', "your"]
+    rude = ["scum", "vermin", "vermins", "idiot"]
+    texts = [" ".join(rng.choice(calm) for _ in range(30)) for _ in range(120)]
+    texts += [" ".join([*(rng.choice(calm[:8]) for _ in range(20)), rng.choice(rude), "you", *(rng.choice(calm[:8]) for _ in range(9))]) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 120)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert {"scum", "vermin", "idiot"} <= set(model.entries)
+    asked = [*texts[:5], *texts[-10:], 'He said "what a vermon" to the tree', "you verminn , you scum", "scums idiots", "", "tree " * 40 + "scum"]
+    told = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(told, model).collect()}
+    for i, text in enumerate(asked):
+        lower = text.lower()
+        spans = list(re.finditer(r"[^\W\d_]+", lower))
+        weights = plain_hits(text, model.entries, model.proper, toxicity.LEARNED_LETTERS)
+        sums = [0.0] * 4
+        for j, m in enumerate(spans):
+            if m[0] not in weights:
+                continue
+            first, last = max(0, j - toxicity.WINDOW), min(len(spans) - 1, j + toxicity.WINDOW)
+            around = {spans[x][0] for x in range(first, last + 1)}
+            left, right = lower[spans[first].start() : m.start()], lower[m.end() : spans[last].end() + 2]
+            weight = weights[m[0]][0] or toxicity.MISSPELLED * weights[m[0]][1]
+            if (any(q in left for q in toxicity.QUOTES) and any(q in right for q in toxicity.QUOTES)) or around & toxicity.REPORT:
+                sums[3] += weight
+            else:
+                sums[0] += weight
+                sums[2] += weight * bool(around & toxicity.ADDRESS)
+        sums[1] = float(sums[0] > 0)
+        x = [1.0, min(sums[0], toxicity.MOST), sums[1], min(sums[2], toxicity.MOST), min(sums[3], toxicity.MOST)]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))), text
+
+
+def test_conflicting_labels_of_equal_texts(spark):
+    """Equal texts count once, as toxic if one label is, in whatever order they come."""
+    rows = [(i, f"vermin scum tree{i % 6} leaf") for i in range(60)] + [(100 + i, f"calm river tree{i % 6} leaf") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)] + [(100 + i, 0) for i in range(60)], "doc_id long, toxic int")
+    models = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, F.lit(True)) for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert models[0].entries == models[1].entries and models[0].weights == pytest.approx(models[1].weights)
+
+
+def test_quality_fit_is_the_optimum_of_the_pairs(spark):
+    """Features differ as counted here; the weights are where the ridge and the pairs' pull are even; scores follow from them."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    known = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, known, F.lit(True), pairs=3_000)
+    text = dict(docs.collect())
+    told = sorted((quality.features(text[r.doc_id] or ""), r.quality) for r in known.where("quality is not null").collect() if r.doc_id in text)
+    x, y = np.array([f for f, _ in told]), np.array([v for _, v in told])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-9)
+    z = (x - model.mean) / model.scale
+    order = np.lexsort((y, *x.T))
+    z, y = z[order], y[order]
+    drawn = np.random.default_rng(0)
+    apart = z[drawn.choice(np.flatnonzero(y == 1), 3_000)] - z[drawn.choice(np.flatnonzero(y == 0), 3_000)]
+    pull = apart.T @ (1 / (1 + np.exp(apart @ model.weights))) / 3_000
+    assert np.allclose(pull, 1e-3 * model.weights, atol=1e-6)
+    assert (apart @ model.weights > 0).mean() > 0.9
+    raw = {i: float((np.array(quality.features(t or "")) - model.mean) / model.scale @ model.weights) for i, t in text.items()}
+    for r in quality.score(docs, model, 0.3).collect():
+        want = 1 / (1 + math.exp(-(model.slope * (raw[r.doc_id] - model.cut) + math.log(0.3 / 0.7))))
+        assert r.score == pytest.approx(want) and r.predicted == int(r.score >= 0.3)
+    share = np.mean([v < model.cut for v in raw.values()])
+    assert share == pytest.approx(np.mean(y == 0), abs=0.02)
+
+
 def test_quality_threshold_is_of_all_documents(spark):
     """Also where labels cover a part of the corpus that is unlike the rest."""
     rng = random.Random(5)
