@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestream.functions import posterior
 from lodestream.functions.frames import PIECES, Keyed, div, ln, running
@@ -172,6 +174,124 @@ def backtest_summary(tested: DataFrame, key: str = "symbol") -> DataFrame:
     )
 
 
+def backtest_by_regime(tested: DataFrame, regime: str, key: str = "symbol", time: str = "ts", year: float = 252.0) -> DataFrame:
+    """What a tested path earned under each regime; a bar without one counts for the last that there was, and before the first as null."""
+    k = Keyed((key,), time)
+    rows = tested.withColumn("_g", k.fill(regime))
+    sd, net = F.stddev_samp("net"), F.col("net")
+    down = F.sqrt(F.avg(F.pow(F.least(net, F.lit(0.0)), 2)))
+    return rows.groupBy(F.col("_g").alias("regime")).agg(
+        F.count(F.lit(1)).alias("bars"),
+        F.avg((F.col("position") != 0).cast("double")).alias("exposure"),
+        F.sum("net").alias("total"),
+        F.when(sd > 1e-12, F.avg("net") / sd * math.sqrt(year)).alias("sharpe"),
+        F.when(down > 1e-12, F.avg("net") / down * math.sqrt(year)).alias("sortino"),
+        F.try_divide(F.sum((net > 0).cast("double")), F.sum((net != 0).cast("double"))).alias("win_rate"),
+        F.try_divide(F.sum(F.greatest(net, F.lit(0.0))), -F.sum(F.least(net, F.lit(0.0)))).alias("profit_factor"),
+        F.min("net").alias("worst"),
+    )
+
+
+#: The first hour (UTC) of each session, and the first minute of each class of duration.
+SESSIONS = ((0, "Asian"), (8, "London"), (13, "NY–London OL"), (16, "New York"), (21, "Off-hours"))
+DURATIONS = ((0, "Scalp (<1h)"), (60, "Intraday (1–8h)"), (480, "Swing (8h–3d)"), (4320, "Position (>3d)"))
+
+
+def _class_of(x: Column, classes: Sequence[tuple[int, str]]) -> Column:
+    out = F.when(x.isNull() | (x < 0), "Unknown")
+    for least, name in reversed(classes):
+        out = out.when(x >= least, name)
+    return out
+
+
+def session(time: str) -> Column:
+    """The market session of a UTC time; Unknown for null."""
+    return _class_of(F.hour(time), SESSIONS)
+
+
+def duration_class(start: str, end: str) -> Column:
+    """Scalp, intraday, swing or position by the minutes between two times; Unknown for null and backwards."""
+    return _class_of((F.unix_micros(F.to_timestamp(end)) - F.unix_micros(F.to_timestamp(start))) / 60e6, DURATIONS)
+
+
+def trades(tested: DataFrame, key: str = "symbol", time: str = "ts") -> DataFrame:
+    """One row per stretch of one position that is not 0: entry, exit (the bar after it, or its last), side, bars and pnl."""
+    w = Window.partitionBy(key).orderBy(time)
+    rows = runs(tested, "position", key, time).withColumn("_next", F.lead(time).over(w))
+    held = rows.where("position <> 0").groupBy(key, "run")
+    return held.agg(F.min(time).alias("entry"), F.coalesce(F.max_by("_next", time), F.max(time)).alias("exit"), F.first("position").alias("side"), F.count(F.lit(1)).alias("bars"), F.sum("net").alias("pnl")).drop("run")
+
+
+def state_report(df: DataFrame, label: str, ret: str, key: str = "symbol", time: str = "ts") -> DataFrame:
+    """Per state: return statistics, run lengths and the chance to stay, merged by left joins from the states that there are."""
+    rows = df.where(F.col(label).isNotNull())
+    lengths = run_lengths(rows, label, key, time).groupBy(label).agg(F.count(F.lit(1)).alias("runs"), F.avg("length").alias("mean_length"), F.max("length").alias("longest"))
+    stay = transition_matrix(rows, label, key, time).where("state = next_state").select(F.col("state").alias("_s"), F.col("share").alias("stay"))
+    base = state_statistics(rows, label, ret)
+    return base.join(F.broadcast(lengths), label, "left").join(F.broadcast(stay), F.col(label) == F.col("_s"), "left").drop("_s")  # a row for each state
+
+
+def filter_and_rank(results: DataFrame, criteria: dict[str, float | tuple[float, float]], by: str, top: int, higher: bool = True, ties: Sequence[str] = ()) -> DataFrame:
+    """The best results of those that meet the criteria: a number is the least value, a pair the range, ends included.
+
+    A null meets no criterion. Results without the ranked value come last; ties
+    go by the columns `ties`.
+    """
+    kept = F.lit(True)
+    for name, limit in criteria.items():
+        if isinstance(limit, tuple):
+            if limit[0] > limit[1]:
+                raise ValueError(f"the range of {name} runs backwards: {limit}")
+            kept &= F.col(name).between(*limit)
+        else:
+            kept &= F.col(name) >= limit
+    order = F.col(by).desc_nulls_last() if higher else F.col(by).asc_nulls_last()
+    return results.where(kept).orderBy(order, *ties).limit(top)
+
+
+def threshold_null(df: DataFrame, x: str, ret: str, least: int, shuffles: int, key: str = "symbol", seed: int = 0, block: int = 50) -> DataFrame:
+    """Per key: the best long and short profit factors over thresholds of x, and the share of shuffles of the returns that do as well.
+
+    A share counts the data themselves as one shuffle, so it is never 0; best is
+    for the better of the two. Shuffles are dealt out in blocks, a task each,
+    which takes all rows of its key.
+    """
+    sound = df.where(F.col(x).isNotNull() & F.col(ret).isNotNull()).select(key, F.col(x).cast("double").alias("_x"), F.col(ret).cast("double").alias("_r"))
+    dealt = sound.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-shuffles // block)))))
+
+    def test(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows["_b"].iloc[0])
+        rows = rows.sort_values(["_x", "_r"], ascending=[False, True])
+        values, r = rows["_x"].to_numpy(), rows["_r"].to_numpy()
+        long, short = best_factors(values, r, least)
+        out = []
+        if number == 0:
+            out.append((rows[key].iloc[0], True, long, short))
+        drawn = np.random.default_rng([seed, number])
+        for _ in range(min(block, shuffles - (number - 1) * block) if number else 0):
+            out.append((rows[key].iloc[0], False, *best_factors(values, drawn.permutation(r), least)))
+        return pd.DataFrame(out, columns=[key, "own", "long", "short"])
+
+    found = dealt.groupBy(key, "_b").applyInPandas(test, T.StructType([df.schema[key], *T._parse_datatype_string("own boolean, long double, short double").fields]))
+    own = found.where("own").select(F.col(key).alias("_k"), F.col("long").alias("long_pf"), F.col("short").alias("short_pf"))
+    both = found.where("not own").join(own, F.col(key).eqNullSafe(F.col("_k")), "right")
+    share = lambda hit: (F.lit(1) + F.count(F.when(hit, 1))) / (F.lit(1) + F.lit(shuffles))
+    best = F.greatest("long", "short") >= F.greatest("long_pf", "short_pf")
+    return both.groupBy(F.col("_k").alias(key), "long_pf", "short_pf").agg(share(F.col("long") >= F.col("long_pf")).alias("p_long"), share(F.col("short") >= F.col("short_pf")).alias("p_short"), share(best).alias("p_best"))
+
+
+def best_factors(x: np.ndarray, r: np.ndarray, least: int) -> tuple[float, float]:
+    """The best long and short profit factor over the cuts of x, which falls: see best_thresholds."""
+    gain, loss = np.concatenate(([0.0], np.cumsum(np.maximum(r, 0)))), np.concatenate(([0.0], np.cumsum(np.maximum(-r, 0))))
+    cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    rest = len(x) - cut
+    left = lambda v: np.maximum(np.round(v[-1] - v[cut], 12), 0)
+    long = left(gain) / (left(loss) + 1e-30)
+    short = loss[cut] / (gain[cut] + 1e-30)
+    may_long, may_short = (cut == 0) | (rest >= least), (cut > 0) & (cut >= least)
+    return float(long[may_long].max()), float(short[may_short].max()) if may_short.any() else -1.0
+
+
 def walk_forward_folds(df: DataFrame, folds: int, key: str = "symbol", time: str = "ts") -> DataFrame:
     """The fold of each row: equal parts of a key's rows in time order, the first ones longer by one."""
     return df.withColumn("fold", F.ntile(folds).over(Window.partitionBy(key).orderBy(time)) - 1)
@@ -233,7 +353,8 @@ def best_thresholds(df: DataFrame, x: str, ret: str, least: int) -> DataFrame:
     counts = rows.groupBy("_x").agg(F.count(F.lit(1)).alias("n"), gain.alias("g"), loss.alias("l"))
     placed = running(counts, "_x", {"n": "n", "g": "g", "l": "l"}, descending=True)
     rest = F.col("n_all") - F.col("n_before")
-    long = F.when((F.col("n_before") == 0) | (rest >= least), (F.col("g_all") - F.col("g_before")) / (F.col("l_all") - F.col("l_before") + 1e-30))
+    left = lambda c: F.greatest(F.round(F.col(f"{c}_all") - F.col(f"{c}_before"), 12), F.lit(0.0))
+    long = F.when((F.col("n_before") == 0) | (rest >= least), left("g") / (left("l") + 1e-30))
     # The other side of a cut wins where it loses: its gains are the losses of the rows before the cut.
     short = F.when((F.col("n_before") > 0) & (F.col("n_before") >= least), F.col("l_before") / (F.col("g_before") + 1e-30))
     best = lambda pf, n: F.max(F.when(pf.isNotNull(), F.struct(pf.alias("pf"), F.col("_x").alias("x"), n.alias("n"))))

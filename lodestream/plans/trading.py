@@ -13,10 +13,9 @@ from lodestream.functions.frames import Keyed, div
 from lodestream.operators import columns as S
 from lodestream.operators import condition_map, filters, gates
 from lodestream.operators import evaluation as V
-from lodestream.operators.bars import temporal_features
+from lodestream.operators.bars import fill_gaps, temporal_features
 from lodestream.plans.features import candles, volatility, volume
-from lodestream.plans.machines import returns
-from lodestream.plans.relational import CHANCES_SQL, STATES_SQL, query, r, states, tidied
+from lodestream.plans.relational import BACKTEST, CHANCES_SQL, RUNS, STAT, STATES_SQL, _tested, query, r, states, tidied
 from lodestream.plans.research import probs
 from lodestream.plans.suite import BARS_SQL, SO_FAR, P, events, hourly, tidy, w
 
@@ -295,3 +294,73 @@ def monitoring_gates(spark, sf_dir):
     recent, before = gates.last_rows(log, 30, k), log.withColumn("n", place).where("n > 30").drop("n")
     found = gates.check(gates.profile(recent, "p", "loglik", k), gates.profile(before, "p", "loglik", k).select("*"), ["block"], gates.Limits(occupancy=1.5))
     return tidied(found.join(before.select("block").distinct(), "block", "left_semi"), "entropy_z", "occupancy_drift", "flip_drift", "loglik_z")
+
+
+# what is left of selections, sets, sessions and slices
+
+
+@query(f"WITH {BARS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars) SELECT symbol, ts, open, high, low, close, volume FROM t WHERE n <= 24")
+def bars_tail(spark, sf_dir):
+    """The last 24 bars of every symbol."""
+    return gates.last_rows(hourly(spark, sf_dir), 24, K)
+
+
+@query(f"""WITH {BARS_SQL}, ends AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY 1), spine AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL '1 hour')) AS ts FROM ends)
+SELECT symbol, ts, last_value(close IGNORE NULLS) {SO_FAR} AS close, coalesce(volume, 0.0) AS volume FROM spine LEFT JOIN bars USING (symbol, ts)""")
+def bars_forward_filled(spark, sf_dir):
+    """Bars on every hour, the close carried on where there is none."""
+    return fill_gaps(hourly(spark, sf_dir), 3600).select("symbol", "ts", K.fill("close").alias("close"), "volume")
+
+
+@query(f"WITH {BARS_SQL} SELECT ts FROM bars WHERE symbol = 'view' INTERSECT SELECT ts FROM bars WHERE symbol = 'click'")
+def set_common_times(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return bars.where("symbol = 'view'").select("ts").intersect(bars.where("symbol = 'click'").select("ts"))
+
+
+@query(f"""WITH {BACKTEST}, g AS (SELECT *, last_value(state IGNORE NULLS) {SO_FAR} AS regime FROM e)
+SELECT regime, count(*) AS bars, {r("avg(CASE WHEN position <> 0 THEN 1.0 ELSE 0.0 END)", "exposure", 5)}, {r("sum(net)", "total", 5)}, {r("CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * sqrt(252) END", "sharpe", 5)},
+  {r("CASE WHEN sqrt(avg(pow(least(net, 0), 2))) > 1e-12 THEN avg(net) / sqrt(avg(pow(least(net, 0), 2))) * sqrt(252) END", "sortino", 5)}, {r("sum(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN net <> 0 THEN 1.0 ELSE 0 END), 0)", "win_rate", 5)},
+  {r("sum(greatest(net, 0)) / nullif(-sum(least(net, 0)), 0)", "profit_factor", 5)}, {r("min(net)", "worst", 5)} FROM g GROUP BY regime""")
+def backtest_by_regime(spark, sf_dir):
+    return tidied(V.backtest_by_regime(_tested(spark, sf_dir), "state"), "exposure", "total", "sharpe", "sortino", "win_rate", "profit_factor", "worst", digits=5)
+
+
+def _classes(x: str, classes) -> str:
+    return f"CASE WHEN {x} IS NULL OR {x} < 0 THEN 'Unknown' " + " ".join(f"WHEN {x} >= {least} THEN '{name}'" for least, name in reversed(classes)) + " END"
+
+
+@query(f"""WITH {BACKTEST}, cc AS (SELECT *, lead(ts) {P} AS nxt, CASE WHEN position <> lag(position) {P} THEN 1 ELSE 0 END AS c FROM e), nn AS (SELECT *, sum(c) {SO_FAR} AS run FROM cc),
+tt AS (SELECT symbol, run, min(ts) AS a, coalesce(arg_max(nxt, ts) FILTER (WHERE nxt IS NOT NULL AND ts = last), max(ts)) AS b, any_value(position) AS side, sum(net) AS pnl FROM (SELECT *, max(ts) OVER (PARTITION BY symbol, run) AS last FROM nn) WHERE position <> 0 GROUP BY symbol, run),
+kk AS (SELECT {_classes("hour(a)", V.SESSIONS)} AS session, {_classes("date_diff('second', a, b) / 60.0", V.DURATIONS)} AS duration, side, pnl FROM tt)
+SELECT session, duration, CAST(side AS INTEGER) AS side, count(*) AS trades, {r("sum(pnl)", "pnl", 5)}, {r("avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END)", "win_rate", 5)} FROM kk GROUP BY ALL""")
+def trades_by_session(spark, sf_dir):
+    """Trades by the session that they begin in, how long they last and their side."""
+    rows = V.trades(_tested(spark, sf_dir)).select(V.session("entry").alias("session"), V.duration_class("entry", "exit").alias("duration"), C("side").cast("int").alias("side"), "pnl")
+    found = rows.groupBy("session", "duration", "side").agg(F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("pnl"), F.avg((C("pnl") > 0).cast("double")).alias("win_rate"))
+    return tidied(found, "pnl", "win_rate", digits=5)
+
+
+@query(f"""WITH {STATES_SQL}, {RUNS}, l AS (SELECT symbol, run, state, count(*) AS n FROM runs GROUP BY 1, 2, 3), k AS (SELECT state, count(*) AS runs, avg(n) AS mean_length, max(n) AS longest FROM l GROUP BY state),
+m AS (SELECT state, lead(state) {P} AS nxt FROM states WHERE state IS NOT NULL), y AS (SELECT state, CASE WHEN sum(CASE WHEN nxt = state THEN 1 ELSE 0 END) > 0 THEN sum(CASE WHEN nxt = state THEN 1.0 ELSE 0 END) / count(nxt) END AS stay FROM m WHERE nxt IS NOT NULL GROUP BY state),
+s AS (SELECT state, count(ret) AS n, sum(ret) AS total, avg(ret) AS mean, stddev_samp(ret) AS sd, min(ret) AS least, max(ret) AS most, quantile_cont(ret, 0.25) AS q1, quantile_cont(ret, 0.5) AS median, quantile_cont(ret, 0.75) AS q3 FROM states WHERE state IS NOT NULL GROUP BY state)
+SELECT s.state, n, {", ".join(r(c) for c in STAT)}, runs, {r("mean_length")}, longest, {r("stay")} FROM s LEFT JOIN k ON k.state = s.state LEFT JOIN y ON y.state = s.state""")
+def state_report(spark, sf_dir):
+    return tidied(V.state_report(states(spark, sf_dir), "state", "ret"), *STAT, "mean_length", "stay")
+
+
+@query(f"""WITH {STATES_SQL}, g AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS n), s AS (SELECT n, symbol, sum(ret) FILTER (WHERE volume > n) AS total, stddev_samp(ret) FILTER (WHERE volume > n) AS sd, count(ret) FILTER (WHERE volume > n) AS bars FROM states, g GROUP BY 1, 2),
+k AS (SELECT * FROM s WHERE bars >= 20 AND sd BETWEEN 0.1 AND 50) SELECT symbol, n, {r("total")}, {r("sd")}, bars FROM k ORDER BY round(total, 6) DESC NULLS LAST, symbol, n LIMIT 5""")
+def screen_ranked(spark, sf_dir):
+    """The best five of a grid's results among those that meet criteria."""
+    grid = spark.createDataFrame([(n,) for n in range(1, 7)], "n int")
+    held = F.when(C("volume") > C("n"), C("ret"))
+    scored = states(spark, sf_dir).crossJoin(F.broadcast(grid)).groupBy("symbol", "n").agg(F.sum(held).alias("total"), F.stddev_samp(held).alias("sd"), F.count(held).alias("bars"))
+    best = V.filter_and_rank(scored.withColumn("rank", F.round("total", 6)), {"bars": 20, "sd": (0.1, 50.0)}, "rank", 5, ties=("symbol", "n"))
+    return tidied(best.select("symbol", "n", "total", "sd", "bars"), "total", "sd")
+
+
+@query()
+def roc_threshold_null(spark, sf_dir):
+    """Thresholds against shuffled returns; held to a plain loop over the same draws by a test."""
+    return V.threshold_null(_next(spark, sf_dir), "x", "y", 50, 200)

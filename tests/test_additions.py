@@ -146,6 +146,29 @@ def test_thresholds_against_loops(spark):
     assert (r.long_pf, r.long_threshold, r.n_long) == pytest.approx(long) and (r.short_pf, r.short_threshold, r.n_short) == pytest.approx(short) and r.pf_all == pytest.approx(pf(sound))
 
 
+def test_threshold_null_against_a_loop(spark):
+    rng = random.Random(13)
+    rows = [(k, rng.choice([0.0, rng.random(), rng.random()]), rng.gauss(0, 1) + (0.4 if k == "told" else 0)) for k in ("told", "blind") for _ in range(90)] + [("blind", None, 1.0)]
+    got = {r.symbol: r for r in V.threshold_null(spark.createDataFrame(rows, "symbol string, x double, y double"), "x", "y", 10, 120, block=50).collect()}
+    assert got.keys() == {"told", "blind"}
+    for key, r in got.items():
+        mine = sorted([(x, y) for k, x, y in rows if k == key and x is not None], key=lambda v: (-v[0], v[1]))
+        x, y = np.array([v for v, _ in mine]), np.array([v for _, v in mine])
+
+        def best(y, x=x):
+            cuts = [0, *[i for i in range(1, len(x)) if x[i] != x[i - 1]]]
+            pf = lambda part: part[part > 0].sum() / (-part[part < 0].sum() + 1e-30)
+            return max(pf(y[c:]) for c in cuts if not c or len(x) - c >= 10), max(pf(-y[:c]) for c in cuts if c >= 10)
+
+        own, hits = best(y), np.zeros(3)
+        for block in range(1, 4):
+            drawn = np.random.default_rng([0, block])
+            for _ in range(min(50, 120 - (block - 1) * 50)):
+                found = best(drawn.permutation(y))
+                hits += [found[0] >= own[0], found[1] >= own[1], max(found) >= max(own)]
+        assert (r.long_pf, r.short_pf) == pytest.approx(own) and (r.p_long, r.p_short, r.p_best) == pytest.approx(tuple((1 + hits) / 121))
+
+
 def test_dominated_against_pairs(spark):
     rng = random.Random(4)
     rows = [(i, rng.randrange(40), rng.randrange(20)) for i in range(300)]
