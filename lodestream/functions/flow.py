@@ -127,6 +127,23 @@ def distance_to_extremes(k: Keyed, vol: str, n: int = 20, high: str = "high", lo
     return k.ripe((F.col(close) - mid) / (F.col(vol) / YEAR * F.col(close) + 1e-10), vol, n, 1)
 
 
+def resilience(k: Keyed, x: str, before: str, n: int = 40) -> Column:
+    """AR(1) coefficient of a spread over n pairs, of which half must be there; 1 for a constant spread."""
+    w, both = k.trailing(n), k.both(x, before)
+    b = F.when(both.isNotNull(), F.col(before))
+    squares = F.var_pop(b).over(w) * F.count(both).over(w)
+    slope = F.when(squares > 1e-10, div(F.covar_pop(x, before).over(w), F.var_pop(b).over(w))).otherwise(1.0)
+    return F.when((k.number() >= n + 1) & (F.count(both).over(w) >= n // 2), slope)
+
+
+def elasticity(k: Keyed, y: str, x: str, n: int = 40) -> Column:
+    """Slope of y on x over the n rows before this one, of which half must be there; null where x does not vary."""
+    w, both = k.before(n), k.both(y, x)
+    b = F.when(both.isNotNull(), F.col(x))
+    squares = F.var_pop(b).over(w) * F.count(both).over(w)
+    return F.when((k.number() >= n + 2) & (F.count(both).over(w) >= n // 2) & (squares > 1e-10), div(F.covar_pop(y, x).over(w), F.var_pop(b).over(w)))
+
+
 def half_life(phi: Column) -> Column:
     """Rows until a deviation has halved under an AR(1) coefficient; null where it does not decay."""
     size = F.abs(phi)

@@ -83,6 +83,23 @@ class Keyed:
         enough = F.count(col(x)).over(self.trailing(n)) >= (n // 2 if least is None else least)
         return F.when((self.number() >= n) & enough, value)
 
+    def ripe_z(self, x: Column | str, n: int) -> Column:
+        """Against the mean and population deviation of half a window or more, from the n-th row on; 0 where it does not vary."""
+        w = self.trailing(n)
+        sd = F.stddev_pop(col(x)).over(w)
+        return self.ripe(F.when(col(x).isNotNull(), F.when(sd > 1e-10, div(col(x) - F.avg(col(x)).over(w), sd)).otherwise(0.0)), x, n)
+
+    def sample_z(self, x: Column | str, n: int) -> Column:
+        """(x - mean) / (sample deviation + 1e-10) of a full window."""
+        return (col(x) - self.avg(x, n)) / (self.sd(x, n) + 1e-10)
+
+    def ripe_corr(self, x: str, y: str, n: int, least: int | None = None, first: int | None = None, flat: float | None = None) -> Column:
+        """Correlation of the pairs of a window, of which `least` (half) must be there, from row `first` (n) on; `flat` where a side does not vary."""
+        w, both = self.trailing(n), self.both(x, y)
+        sx, sy = (F.stddev_pop(F.when(both.isNotNull(), F.col(c))).over(w) for c in (x, y))
+        enough = (F.count(both).over(w) >= (n // 2 if least is None else least)) & (self.number() >= (first or n))
+        return F.when(enough, F.when(F.least(sx, sy) > 1e-10, div(F.covar_pop(x, y).over(w), sx * sy)).otherwise(F.lit(flat).cast("double")))
+
     def both(self, x: Column | str, y: Column | str) -> Column:
         """1 where both are there."""
         return F.when(col(x).isNotNull() & col(y).isNotNull(), 1)

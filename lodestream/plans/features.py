@@ -8,7 +8,7 @@ import pyspark.sql.functions
 from lodestream.functions import flow as flow_functions
 from lodestream.functions import frames, price
 from lodestream.plans.lazy import held
-from lodestream.plans.suite import P, SO_FAR, Suite, s_agg, s_both, s_corr, s_div, s_full, s_lag, s_ln, s_ripe, s_slope, s_z, w
+from lodestream.plans.suite import P, SO_FAR, Suite, s_agg, s_both, s_corr, s_div, s_full, s_lag, s_ln, s_ripe, s_ripe_corr, s_ripe_z, s_sample_z, s_slope, s_z, w
 
 # Noted down here, built when there is a session.
 F, flow, Keyed, div, ln = map(held, (pyspark.sql.functions, flow_functions, frames.Keyed, frames.div, frames.ln))
@@ -84,7 +84,7 @@ order_flow = Suite(
             "_delta_before": (K.lag("_delta"), s_lag("_delta")),
         },
         {
-            "vir_z": (K.zscore("vir", 20), s_z("vir", 20)),
+            "vir_z": (K.ripe_z("vir", 20), s_ripe_z("vir", 20)),
             "delta_vpin": (C("vpin") - K.lag("vpin", 5), f"vpin - {s_lag('vpin', 5)}"),
             "vwap_half_band": (
                 flow.vwap_band(K, "_tp", "vwap", 20, 2.0),
@@ -94,12 +94,12 @@ order_flow = Suite(
                 flow.vwap_accumulation(K, "vwap", 10),
                 s_ripe(f"sum(sign(close - vwap) * volume) {w(10)} / nullif(sum(CASE WHEN vwap IS NOT NULL THEN volume END) {w(10)}, 0)", "vwap", 10),
             ),
-            "order_flow_persistence": (K.corr("_delta", "_delta_before", 20), s_corr("_delta", "_delta_before", 20)),
+            "order_flow_persistence": (K.ripe_corr("_delta", "_delta_before", 20, first=21), s_ripe_corr("_delta", "_delta_before", 20, first=21)),
             "cvd_price_divergence": (
                 F.signum(C("cvd") - K.lag("cvd", 10)) - F.signum(C("close") - K.lag("close", 10)),
                 f"CAST(sign(cvd - {s_lag('cvd', 10)}) - sign(close - {s_lag('close', 10)}) AS DOUBLE)",
             ),
-            "kyles_lambda_z": (K.zscore("kyles_lambda", 20), s_z("kyles_lambda", 20)),
+            "kyles_lambda_z": (K.ripe_z("kyles_lambda", 20), s_ripe_z("kyles_lambda", 20)),
         },
     ]
 )
@@ -115,6 +115,8 @@ _SPREAD = {
     "_beta": (flow.close_location(), BETA),
 }
 
+_BEFORE40 = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)"
+
 liquidity = Suite(
     [
         _SPREAD,
@@ -124,8 +126,8 @@ liquidity = Suite(
             "_step_before": (K.lag("_step"), s_lag("_step")),
             "_s_before": (K.lag("_s"), s_lag("_s")),
             "_abs_r": (F.abs(C("_r")), "abs(_r)"),
-            "_dls": (ln(div("_s", K.lag("_s"))), s_ln(s_div("_s", s_lag("_s")))),
-            "_vol": (flow.parkinson(K, 5), park(5)),
+            "_dls": (F.log(C("_s") + 1e-10) - F.log(K.lag("_s") + 1e-10), f"ln(_s + 1e-10) - ln({s_lag('_s')} + 1e-10)"),
+            "_vol": (flow.parkinson(K, 20), park(20)),
             "_eff": ((C("high") - C("low")) / C("volume"), "(high - low) / volume"),
         },
         {
@@ -141,19 +143,25 @@ liquidity = Suite(
             ),
             "effective_tick_ratio": (K.avg("_eff", 20), s_agg("avg", "_eff", 20)),
             "amihud": (flow.amihud(K, "_r", 20), f"ln({s_ripe(f'avg(abs(_r) / nullif(volume * close, 0)) {w(20)}', '_r', 20)} + 1e-10)"),
-            "realized_liquidity_premium": (K.corr("_abs_r", "_s", 20), s_corr("_abs_r", "_s", 20)),
-            "spread_z": (K.zscore("_s", 20), s_z("_s", 20)),
+            "realized_liquidity_premium": (K.ripe_corr("_abs_r", "_s", 20, flat=0.0), s_ripe_corr("_abs_r", "_s", 20, flat=0.0)),
+            "spread_z": (K.sample_z("_s", 20), s_sample_z("_s", 20)),
             "spread_volume_ratio": (C("_s") / F.log(C("volume") + 1), "_s / ln(volume + 1)"),
             "depth_imbalance": ((2 * C("_beta") - 1) * (1 - div("_s", K.avg("_s", 20))), f"(2 * _beta - 1) * (1 - _s / {s_agg('avg', '_s', 20)})"),
-            "resilience": (K.slope("_s", "_s_before", 40), s_slope("_s", "_s_before", 40)),
-            "_dlv": (ln(div("_vol", K.lag("_vol"))), s_ln(s_div("_vol", s_lag("_vol")))),
+            "resilience": (
+                flow.resilience(K, "_s", "_s_before", 40),
+                f"CASE WHEN row_number() {P} >= 41 AND count({s_both('_s', '_s_before')}) {w(40)} >= 20 THEN CASE WHEN regr_sxx(_s, _s_before) {w(40)} > 1e-10 THEN regr_slope(_s, _s_before) {w(40)} ELSE 1.0 END END",
+            ),
+            "_dlv": (F.log(C("_vol") + 1e-10) - F.log(K.lag("_vol") + 1e-10), f"ln(_vol + 1e-10) - ln({s_lag('_vol')} + 1e-10)"),
         },
         {
             "half_life": (
                 flow.half_life(C("resilience")),
                 f"CASE WHEN abs(resilience) > 1e-9 AND abs(resilience) < 1 - 1e-9 THEN {-LN2!r} / ln(abs(resilience)) END",
             ),
-            "spread_volatility_elasticity": (K.slope("_dls", "_dlv", 40), s_slope("_dls", "_dlv", 40)),
+            "spread_volatility_elasticity": (
+                flow.elasticity(K, "_dls", "_dlv", 40),
+                f"CASE WHEN row_number() {P} >= 42 AND count({s_both('_dls', '_dlv')}) {_BEFORE40} >= 20 AND regr_sxx(_dls, _dlv) {_BEFORE40} > 1e-10 THEN regr_slope(_dls, _dlv) {_BEFORE40} END",
+            ),
         },
     ],
     digits=5,
@@ -425,7 +433,123 @@ cumulative = Suite(
     digits=5,
 )
 
+_RANGE = C("high") - C("low")
+_BODY = F.abs(C("close") - C("open"))
+_GAP = f"open - {s_lag('close')}"
+
+
+def _xcorr(lag: int):
+    return K.ripe_corr("_r", f"_ds{lag}", 20, first=21 + lag, flat=0.0), s_ripe_corr("_r", f"_ds{lag}", 20, first=21 + lag, flat=0.0)
+
+
+microstructure = Suite(
+    [
+        _SPREAD,
+        {
+            "_delta": (flow.imbalance("_beta"), "((2 * _beta - 1) * volume)"),
+            "wick_imbalance": (
+                F.when(_RANGE > 1e-10, (F.least("open", "close") - C("low") - C("high") + F.greatest("open", "close")) / _RANGE).otherwise(0.0),
+                "CASE WHEN high - low > 1e-10 THEN (least(open, close) - low - high + greatest(open, close)) / (high - low) ELSE 0.0 END",
+            ),
+            "gap": (C("open") - K.lag("close"), _GAP),
+            "gap_fill_ratio": (
+                F.when(K.lag("close").isNotNull(), F.when(F.abs(C("open") - K.lag("close")) > 1e-10, (C("close") - C("open")) / (K.lag("close") - C("open"))).otherwise(0.0)),
+                f"CASE WHEN {s_lag('close')} IS NOT NULL THEN CASE WHEN abs({_GAP}) > 1e-10 THEN (close - open) / -({_GAP}) ELSE 0.0 END END",
+            ),
+            "fractal_dimension": (
+                F.when(_RANGE > 0, F.log2(2 * _RANGE / F.greatest(_BODY, F.lit(1e-10)))).otherwise(1.0),
+                "CASE WHEN high > low THEN log2(2 * (high - low) / greatest(abs(close - open), 1e-10)) ELSE 1.0 END",
+            ),
+            "range_volume_depth": (F.when(_RANGE > 1e-10, C("volume") / _RANGE), "CASE WHEN high - low > 1e-10 THEN volume / (high - low) END"),
+            "_abs_r": (F.abs(C("_r")), "abs(_r)"),
+            "_savg": (K.avg("_s", 20), s_agg("avg", "_s", 20)),
+            "_rvol": (C("volume") / (K.avg("volume", 20) + 1e-10), f"volume / ({s_agg('avg', 'volume', 20)} + 1e-10)"),
+            "_rv": (K.sd("_r", 20) * math.sqrt(252), f"{s_agg('stddev_samp', '_r', 20)} * sqrt(252)"),
+            "_mom": (pf.log_return(K, "close", 20), s_ln(s_div("close", s_lag("close", 20)))),
+            "_park10": (flow.parkinson(K, 10), park(10)),
+            "_ds": (C("_s") - K.lag("_s"), f"_s - {s_lag('_s')}"),
+            "_illiq": (flow.amihud(K, "_r", 20), f"ln({s_ripe(f'avg(abs(_r) / nullif(volume * close, 0)) {w(20)}', '_r', 20)} + 1e-10)"),
+            "_svr": (C("_s") / F.log(C("volume") + 1), "_s / ln(volume + 1)"),
+            "_dollar": (C("volume") * C("close"), "volume * close"),
+            "_r1": (K.lag("_r"), s_lag("_r")),
+            "_v1": (K.lag("volume"), s_lag("volume")),
+        },
+        {
+            "_sign": (F.signum(C("_delta")), "CAST(sign(_delta) AS DOUBLE)"),
+            "vpin": (flow.vpin(K, "_delta", 20), s_ripe(f"least(greatest(sum(abs(_delta)) {w(20)} / nullif(sum(volume) {w(20)}, 0), 0.0), 1.0)", "_delta", 20)),
+            "volume_price_divergence": (F.signum(C("_step")) * (1 - C("_rvol")), "sign(_step) * (1 - _rvol)"),
+            "liquidity_adjusted_momentum": (C("_mom") / (C("_s") * C("_rv") + 1e-10), "_mom / (_s * _rv + 1e-10)"),
+            "volatility_volume_corr": (K.ripe_corr("_park10", "volume", 20), s_ripe_corr("_park10", "volume", 20)),
+            "spread_volume_corr": (K.corr("_s", "volume", 20), s_corr("_s", "volume", 20)),
+            "volume_return_asymmetry": (K.corr("_r1", "volume", 40) - K.corr("_r", "_v1", 40), f"{s_corr('_r1', 'volume', 40)} - {s_corr('_r', '_v1', 40)}"),
+            "liquidity_drought": (
+                (K.sample_z("_illiq", 20) + K.sample_z("_s", 20) + K.sample_z("_svr", 20) - K.sample_z("_dollar", 20)) / 4,
+                f"({s_sample_z('_illiq', 20)} + {s_sample_z('_s', 20)} + {s_sample_z('_svr', 20)} - {s_sample_z('_dollar', 20)}) / 4",
+            ),
+            "_smart": (F.when((C("_rvol") > 2) & (C("_s") < C("_savg")), 1.0).otherwise(0.0), "CASE WHEN _rvol > 2 AND _s < _savg THEN 1.0 ELSE 0.0 END"),
+            **{f"_ds{i}": (K.lag("_ds", i), s_lag("_ds", i)) for i in (1, 2, 3)},
+        },
+        {
+            "pin_proxy": (C("vpin") / (1 + C("_s") / (C("_savg") + 1e-10)), "vpin / (1 + _s / (_savg + 1e-10))"),
+            "adverse_selection": (K.ripe_corr("_r", "_sign", 20, flat=0.0), s_ripe_corr("_r", "_sign", 20, flat=0.0)),
+            "smart_money_confidence": (
+                K.ripe(F.coalesce(div(F.sum(C("_smart") * C("_delta")).over(K.trailing(20)), F.sum(C("_smart") * C("volume")).over(K.trailing(20))), F.lit(0.0)), "volume", 20, 0),
+                s_ripe(f"coalesce(sum(_smart * _delta) {w(20)} / nullif(sum(_smart * volume) {w(20)}, 0), 0.0)", "volume", 20, 0),
+            ),
+            **{f"return_spread_xcorr_{i}": _xcorr(i) for i in (1, 2, 3)},
+        },
+    ],
+    digits=5,
+)
+
+trend = Suite(
+    [
+        {
+            "_r": (pf.log_return(K), RETURN),
+            "_mid": (K.avg("close", 20), s_agg("avg", "close", 20)),
+            "_sd": (K.sd_pop("close", 20), s_agg("stddev_pop", "close", 20)),
+            "_wma": (pf.weighted_mean(K, "close", 20), fir_sql("close", [(i + 1) / 210 for i in range(20)])),
+            "_vwap": (flow.weighted_by_volume(K, "close", 20), s_ripe(f"sum(close * volume) {w(20)} / nullif(sum(volume) {w(20)}, 0)", "volume", 20)),
+            "_change": (div("close", K.lag("close")) - 1, f"close / {s_lag('close')} - 1"),
+            "_past": (K.lag("close", 20), s_lag("close", 20)),
+            "_tr": (pf.true_range(K), TR),
+        },
+        {
+            "band_upper": (C("_mid") + 2 * C("_sd"), "_mid + 2 * _sd"),
+            "band_lower": (C("_mid") - 2 * C("_sd"), "_mid - 2 * _sd"),
+            "percent_b": ((C("close") - C("_mid") + 2 * C("_sd")) / (4 * C("_sd") + 1e-8), "(close - _mid + 2 * _sd) / (4 * _sd + 1e-8)"),
+            "band_width": (div(4 * C("_sd"), "_mid"), "4 * _sd / nullif(_mid, 0)"),
+            "norm_sma": (ln(div("close", "_mid")), s_ln("close / _mid")),
+            "norm_lwma": (ln(div("close", "_wma")), s_ln("close / _wma")),
+            "norm_vwap": (ln(div("close", "_vwap")), s_ln("close / _vwap")),
+            "_z": ((C("_r") - K.avg("_r", 30)) / (K.sd("_r", 30) + 1e-8), f"(_r - {s_agg('avg', '_r', 30)}) / ({s_agg('stddev_samp', '_r', 30)} + 1e-8)"),
+            "_score": ((C("close") - C("_past")) / (C("_past") * (K.sd("_change", 20) + 1e-12)), f"(close - _past) / (_past * ({s_agg('stddev_samp', '_change', 20)} + 1e-12))"),
+            "_atr": (K.avg("_tr", 14), s_agg("avg", "_tr", 14)),
+            "_slope": ((C("_mid") - K.lag("_mid", 5)) / 5, f"(_mid - {s_lag('_mid', 5)}) / 5"),
+        },
+        {
+            "return_z": (C("_z") + 0.0, "_z + 0.0"),
+            "_dz": (C("_z") - K.lag("_z"), f"_z - {s_lag('_z')}"),
+            "_scored": ((C("_score") - K.avg("_score", 20)) / (K.sd("_score", 20) + 1e-12), f"(_score - {s_agg('avg', '_score', 20)}) / ({s_agg('stddev_samp', '_score', 20)} + 1e-12)"),
+            "mean_slope": (div("_slope", "_atr"), "_slope / nullif(_atr, 0)"),
+        },
+        {
+            "return_z_change": (K.avg("_dz", 5), s_agg("avg", "_dz", 5)),
+            "_even": (F.round(F.avg("_scored").over(K.trailing(5)), 9), f"round(avg(_scored) {w(5)}, 9)"),
+        },
+        {
+            "persistence_label": (
+                F.when(C("_even") >= 0.25, 1.0).when(C("_even") <= -0.25, -1.0).when(C("_even").isNotNull(), 0.0),
+                "CASE WHEN _even >= 0.25 THEN 1.0 WHEN _even <= -0.25 THEN -1.0 WHEN _even IS NOT NULL THEN 0.0 END",
+            )
+        },
+    ],
+    digits=5,
+)
+
 SUITES = {
+    "features_microstructure": microstructure,
+    "features_trend": trend,
     "features_price_structure": price_structure,
     "features_cumulative": cumulative,
     "flagship_hourly_features": flagship,

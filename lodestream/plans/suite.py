@@ -91,6 +91,21 @@ def s_z(x: str, n: int) -> str:
     return f"(CASE WHEN {sd} > 1e-12 THEN ({x} - {s_agg('avg', x, n)}) / {sd} WHEN {sd} IS NOT NULL THEN 0.0 END)"
 
 
+def s_ripe_z(x: str, n: int) -> str:
+    sd = f"stddev_pop({x}) {w(n)}"
+    return s_ripe(f"CASE WHEN {x} IS NOT NULL THEN CASE WHEN {sd} > 1e-10 THEN ({x} - avg({x}) {w(n)}) / {sd} ELSE 0.0 END END", x, n)
+
+
+def s_sample_z(x: str, n: int) -> str:
+    return f"(({x} - {s_agg('avg', x, n)}) / ({s_agg('stddev_samp', x, n)} + 1e-10))"
+
+
+def s_ripe_corr(x: str, y: str, n: int, least: int | None = None, first: int | None = None, flat: float | None = None) -> str:
+    one = lambda c: f"stddev_pop(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {c} END) {w(n)}"
+    inner = f"CASE WHEN least({one(x)}, {one(y)}) > 1e-10 THEN corr({x}, {y}) {w(n)} ELSE {'NULL' if flat is None else flat} END"
+    return f"(CASE WHEN count({s_both(x, y)}) {w(n)} >= {n // 2 if least is None else least} AND row_number() {P} >= {first or n} THEN {inner} END)"
+
+
 Stage = dict[str, tuple[Lazy, str]]
 
 
