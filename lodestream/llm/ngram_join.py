@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestream.llm.components import components
 from lodestream.llm.scratch import save, spent, without
-from lodestream.llm.words import U, WordHashes, lean, odd, scramble, slices, spans, texts
+from lodestream.llm.words import U, WordHashes, blank, lean, numbers, odd, planes, scramble, slices, spans, texts, width_of
 
 #: Second-level parts of a first-level part; subsets of all but one are enumerated.
 THIRDS = 3
@@ -243,18 +243,6 @@ def signatures(sets: Sets, at: np.ndarray, band: np.ndarray, bands: Bands) -> Si
     return Signed(np.concatenate(found), np.concatenate(owners), [told[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)])
 
 
-def _planes(x: np.ndarray, n: int) -> bytes:
-    """The n low bytes of each number, plane by plane, so that planes of zeros pack well."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
-
-
-def _numbers(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(n, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :n] = planes.T
-    return out.view("<u8").ravel()
-
-
 def _stars(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct signatures, the least node of each) and (hub, node): edges from it to the others, without repeats."""
     order = np.argsort(signs, kind="stable")
@@ -291,18 +279,18 @@ class Packing(NamedTuple):
             if not len(s):
                 continue
             steps = np.diff(s, prepend=U(r) << rest)
-            width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+            width = width_of(int(steps.max()))
             own, place = np.unique(v, return_inverse=True)
-            at = (len(own).bit_length() + 7) // 8
+            at = width_of(len(own))
             if len(own) * NODE_BYTES + len(v) * at < len(v) * NODE_BYTES:
-                yield r, _planes(steps, width), width, _planes(own, NODE_BYTES), _planes(place, at)
+                yield r, planes(steps, width), width, planes(own, NODE_BYTES), planes(place, at)
             else:
-                yield r, _planes(steps, width), width, _planes(v, NODE_BYTES), b""
+                yield r, planes(steps, width), width, planes(v, NODE_BYTES), b""
 
     def unpack(self, r: int, steps: bytes, width: int, nodes: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
-        signs = np.cumsum(_numbers(steps, width), dtype=U) + (U(r) << U(self.bits - self.range_bits))
-        own = _numbers(nodes, NODE_BYTES)
-        return signs, own[_numbers(places, len(places) // len(signs)).astype(np.int64)] if places else own
+        signs = np.cumsum(numbers(steps, width), dtype=U) + (U(r) << U(self.bits - self.range_bits))
+        own = numbers(nodes, NODE_BYTES)
+        return signs, own[numbers(places, len(places) // len(signs)).astype(np.int64)] if places else own
 
 
 #: What a task sends: blocks of a range (from 0 on), edges, and one row for each document (range below 0).
@@ -311,11 +299,6 @@ _MOVED = "range int, steps binary, width int, nodes binary, places binary, a lon
 _SPREAD = 4096
 
 
-def _rows(schema: pa.Schema, rows: int, /, **columns: pa.Array) -> pa.RecordBatch:
-    """A batch of so many rows with these columns; the others are null."""
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
-
-
 def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
@@ -333,9 +316,9 @@ def _sign(n: int, bands: Bands, packing: Packing, schema: pa.Schema):
             signs, nodes, a, b = _stars(signs, nodes)
             packed = list(zip(*packing.pack(signs, nodes), strict=True))
             names = ("range", "steps", "width", "nodes", "places")
-            yield _rows(schema, len(packed[0]), **{k: pa.array(v, schema.field(k).type) for k, v in zip(names, packed, strict=True)})
+            yield blank(schema, len(packed[0]), **{k: pa.array(v, schema.field(k).type) for k, v in zip(names, packed, strict=True)})
             if len(a):
-                yield _rows(schema, len(a), range=pa.array(-1 - (a % U(_SPREAD)).astype(np.int32)), a=pa.array(a.astype(np.int64)), b=pa.array(b.astype(np.int64)))
+                yield blank(schema, len(a), range=pa.array(-1 - (a % U(_SPREAD)).astype(np.int32)), a=pa.array(a.astype(np.int64)), b=pa.array(b.astype(np.int64)))
 
         for batch in slices(batches):
             sets = shingle_sets(texts(batch.column(2)), n, hashes)
@@ -348,7 +331,7 @@ def _sign(n: int, bands: Bands, packing: Packing, schema: pa.Schema):
             own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held_by, type=schema.field("own").type)
             dealt += batch.num_rows
             where = -1 - (np.arange(dealt, dealt + batch.num_rows) % _SPREAD)
-            yield _rows(schema, batch.num_rows, range=pa.array(where, pa.int32()), key=batch.column(0), x=batch.column(1), n=pa.array(sets.sizes, pa.int64()), name=pa.array(sets.names(), pa.binary()), own=own)
+            yield blank(schema, batch.num_rows, range=pa.array(where, pa.int32()), key=batch.column(0), x=batch.column(1), n=pa.array(sets.sizes, pa.int64()), name=pa.array(sets.names(), pa.binary()), own=own)
             fresh = np.zeros(len(sums), bool)
             for i, s in enumerate(sums.tolist()):
                 if s not in seen:
@@ -379,7 +362,7 @@ def _meet(packing: Packing, schema: pa.Schema):
                 signs, nodes = (np.concatenate(c) for c in zip(*held, strict=True))
                 _, _, a, b = _stars(signs, nodes)
                 if len(a):
-                    yield _rows(schema, len(a), a=pa.array(a.astype(np.int64)), b=pa.array(b.astype(np.int64)))
+                    yield blank(schema, len(a), a=pa.array(a.astype(np.int64)), b=pa.array(b.astype(np.int64)))
 
         for batch in batches:
             blocks = np.flatnonzero(batch.column(0).to_numpy() >= 0)

@@ -102,3 +102,26 @@ def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The integers of all ranges [start, start + count), one range after another."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def planes(x: np.ndarray, n: int) -> bytes:
+    """The n low bytes of each number, plane by plane, so that planes of zeros pack well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def numbers(data: bytes, n: int) -> np.ndarray:
+    """What planes() packed."""
+    rows = np.frombuffer(data, np.uint8).reshape(n, -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, :n] = rows.T
+    return out.view("<u8").ravel()
+
+
+def width_of(most: int) -> int:
+    """Bytes that hold the numbers up to `most`."""
+    return max(1, (most.bit_length() + 7) // 8)
+
+
+def blank(schema: pa.Schema, rows: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of so many rows with these columns; the others are null."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)

@@ -219,7 +219,7 @@ def expected_removal(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_bits": 4}, {"gram": 1}])
+@pytest.mark.parametrize("options", [{}, {"range_grams": 5, "cells_per_gram": 0.05}, {"gram": 1, "range_grams": 40}])
 @pytest.mark.parametrize("width", [3, 13])
 def test_remove_repeats(docs, spark, width, options):
     rng = random.Random(width)
@@ -229,6 +229,25 @@ def test_remove_repeats(docs, spark, width, options):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == expected_removal(rows, width)
 
 
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 6)), min_size=1, max_size=200), st.integers(0, 10**9))
+def test_sketch_never_falls_short(rows, n):
+    """What is packed comes back, and merged sketches estimate no gram below its count."""
+    import numpy as np
+
+    ranges = substring_dedup.Ranges.for_grams(n, 50_000_000, 8.0)
+    grams = ranges.short(np.sort(np.array([g for g, _ in rows], np.uint64)))
+    docs, ids = np.array([d for _, d in rows]), np.arange(14).reshape(7, 2)
+    back = [ranges.unpack(*block) for block in ranges.pack(grams, docs, ids)]
+    assert np.array_equal(np.concatenate([g for g, _, _ in back]), grams)
+    assert np.array_equal(np.concatenate([own[place] for _, place, own in back]), ids[docs])
+    for counters in (1, 7, 4000):
+        sketch = substring_dedup.Sketch(counters)
+        sketch.merge(grams[::2])
+        sketch.merge(grams[1::2])
+        for g, estimate in zip(grams.tolist(), sketch.estimates(grams).tolist(), strict=True):
+            assert estimate >= min(int((grams == g).sum()), 255)
+
+
 def test_remove_repeats_clashes_and_empty(clashing, no_docs):
     got = substring_dedup.remove_repeats(clashing, 4)
     assert got.columns == [*clashing.columns, "n_words", "n_removed", "kept_text"] and got.count() == len(ROWS)
