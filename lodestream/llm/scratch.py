@@ -27,14 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
         base = spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{base.rstrip('/')}/lodestream/{spark.sparkContext.applicationId}"
     if not getattr(spark.sparkContext, "_lodestream_scratch", False):
-        path, system = _hadoop(spark, folder)
+        path, system = hadoop(spark, folder)
         system.mkdirs(path)
         system.deleteOnExit(path)
         spark.sparkContext._lodestream_scratch = True
     return folder
 
 
-def _hadoop(spark: SparkSession, name: str):
+def hadoop(spark: SparkSession, name: str):
+    """The path of that name and the file system that it is on."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -61,7 +62,7 @@ def since(point: int) -> list[str]:
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Delete written tables that no result needs any more."""
     for name in paths:
-        path, system = _hadoop(spark, name)
+        path, system = hadoop(spark, name)
         system.delete(path, True)
 
 
@@ -83,7 +84,7 @@ def spent(*saved: DataFrame) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete all that this application wrote so far; for a driver that goes on once its results are stored."""
-    system_path, system = _hadoop(spark, shared_folder(spark))
+    system_path, system = hadoop(spark, shared_folder(spark))
     system.delete(system_path, True)
 
 

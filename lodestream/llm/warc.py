@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.scratch import new_path, save
+from lodestream.llm.scratch import hadoop, new_path, save
 from lodestream.llm.words import lean
 
 #: Payloads of fewer bytes are always stored.
@@ -66,7 +66,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     rows each have a record. Archives have at most so many records and bytes of
     payload, but for a single larger payload: pages fall into classes by size,
     each with its own number of records. Other columns are ignored; without pages
-    there is no record.
+    there is no record and no folder.
     """
     rows = classify(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload")))
     stamp = (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -90,10 +90,11 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     # The writer ends every row with the two empty lines that end a record.
     held = F.when(revisit, 0).otherwise(F.col("size"))
     lines = rows.select(F.concat(head, block).alias("value"), held.alias("held"))
-    edges = [-1, *[file_bytes // n for n in (records, max(1, records // 30), 1) if n], 1 << 62]
-    for i, most in enumerate((records, max(1, records // 30), 1, 1)):
-        part = lines.where((F.col("held") > edges[i]) & (F.col("held") <= edges[i + 1])).select("value")
-        part.write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    most = (records, max(1, records // 30), 1)
+    of_class = F.when(held <= file_bytes // most[0], 0).when(held <= file_bytes // most[1], 1).otherwise(2)
+    for i in sorted(r[0] for r in rows.select(of_class).distinct().collect()):  # at most three
+        part = lines.where(F.when(F.col("held") <= file_bytes // most[0], 0).when(F.col("held") <= file_bytes // most[1], 1).otherwise(2) == i).select("value")
+        part.write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most[i]).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -181,4 +182,6 @@ def archive_round_trip(pages: DataFrame, **names: str) -> DataFrame:
     """
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path, **names)
+    system_path, system = hadoop(pages.sparkSession, path)
+    system.mkdirs(system_path)
     return resolve(save(read_archives(pages.sparkSession, path, payloads=False), "warc-heads"))
