@@ -203,6 +203,23 @@ class Means(Machine):
         return [(f, s, f - s, g)]
 
 
+class Exponential(Machine):
+    """Exponential means {name: (column, span)}, each starting from its column's first value."""
+
+    def __init__(self, means: dict[str, tuple[str, int]]) -> None:
+        self.inputs = list(dict.fromkeys(column for column, _ in means.values()))
+        self.outputs = ", ".join(f"{name} double" for name in means)
+        self.steps = [(self.inputs.index(column), 2 / (span + 1)) for column, span in means.values()]
+        self.values: list[float] | None = None
+
+    def step(self, *x: float) -> list[tuple]:
+        if self.values is None:
+            self.values = [x[i] for i, _ in self.steps]
+        else:
+            self.values = [v + a * (x[i] - v) for v, (i, a) in zip(self.values, self.steps, strict=True)]
+        return [tuple(self.values)]
+
+
 class Wilder(Machine):
     """Average true range, relative strength and directional index by Wilder's smoothing; null while they warm up."""
 

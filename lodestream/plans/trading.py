@@ -8,16 +8,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestream.extension import CrossingMeans, Recipe, Registry, generated, with_positions
-from lodestream.functions import flow, price
+from lodestream.functions import flow, price, special
 from lodestream.functions.frames import Keyed, div
 from lodestream.operators import columns as S
 from lodestream.operators import condition_map, filters, gates
 from lodestream.operators import evaluation as V
+from lodestream.operators import kernels as M
 from lodestream.operators.bars import fill_gaps, temporal_features
+from lodestream.plans.features import BETA as BETA_SQL
 from lodestream.plans.features import candles, volatility, volume
 from lodestream.plans.relational import BACKTEST, CHANCES_SQL, RUNS, STAT, STATES_SQL, _tested, query, r, states, tidied
 from lodestream.plans.research import probs
 from lodestream.plans.suite import BARS_SQL, SO_FAR, P, events, hourly, tidy, w
+from lodestream.sources.files import business_days_later
 
 K = Keyed()
 C = F.col
@@ -364,3 +367,72 @@ def screen_ranked(spark, sf_dir):
 def roc_threshold_null(spark, sf_dir):
     """Thresholds against shuffled returns; held to a plain loop over the same draws by a test."""
     return V.threshold_null(_next(spark, sf_dir), "x", "y", 50, 200)
+
+
+@query(f"""WITH {BARS_SQL}, x AS (SELECT symbol, ts, close / 50 AS x FROM bars)
+SELECT symbol, ts, {r("1 - exp(-x / 2) * (1 + x / 2 + pow(x / 2, 2) / 2 + pow(x / 2, 3) / 6 + pow(x / 2, 4) / 24)", "chi2_10")}, {r("1 - exp(-x) * (1 + x)", "gamma_2")}, {r("1 - pow(1 + 2 * x / 7, -3.5)", "f_2_7")},
+  {r("6 * pow(x / 10, 2) - 8 * pow(x / 10, 3) + 3 * pow(x / 10, 4)", "beta_2_3")}, {r("0.5 + (x - 5) / (2 * sqrt(2 + pow(x - 5, 2)))", "t_2")} FROM x""")
+def scalar_distributions(spark, sf_dir):
+    """Distribution functions whose parameters here have closed forms."""
+    x = C("close") / 50
+    found = {"chi2_10": special.chi2_cdf(10, x), "gamma_2": special.gamma_cdf(2.0, x), "f_2_7": special.f_cdf(2, 7, x), "beta_2_3": special.beta_cdf(2, 3, x / 10), "t_2": special.t_cdf(2, x - 5)}
+    return hourly(spark, sf_dir).select("symbol", "ts", *[tidy(c).alias(name) for name, c in found.items()])
+
+
+@query("""WITH s AS (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL '1 hour']) AS start, value FROM events)
+SELECT event_type, start, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM s GROUP BY 1, 2""")
+def window_sliding(spark, sf_dir):
+    """Windows of two hours, one an hour."""
+    found = events(spark, sf_dir).groupBy("event_type", F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
+    return found.select("event_type", C("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
+
+
+@query("""WITH g AS (SELECT event_type, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, sum(c) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT event_type, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n FROM s GROUP BY event_type, k""")
+def window_sessions(spark, sf_dir):
+    """Sessions that end after half an hour without an event."""
+    found = events(spark, sf_dir).groupBy("event_type", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select("event_type", C("w.start").cast("timestamp_ntz").alias("start"), C("w.end").cast("timestamp_ntz").alias("end"), "n")
+
+
+_WEEKDAYS = "list_filter(list_transform(range(1, 20), lambda i: date + CAST(i AS INTEGER)), lambda d: isodow(d) <= 5)"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)
+SELECT CAST(date AS VARCHAR) AS date, CAST({_WEEKDAYS}[1] AS VARCHAR) AS next, CAST({_WEEKDAYS}[6] AS VARCHAR) AS later FROM d""")
+def business_days(spark, sf_dir):
+    """One and six business days after each date on which there are orders."""
+    dates = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return dates.select(C("date").cast("string").alias("date"), business_days_later("date", 1).cast("string").alias("next"), business_days_later("date", 6).cast("string").alias("later"))
+
+
+#: Exponential means by span of some columns, with their SQL.
+EXPONENTIAL = {"range_5": ("range", 5), "range_20": ("range", 20), "volume_20": ("volume", 20), "close_10": ("close", 10)}
+_STEPS = ", ".join(f"e.{name} + 2.0 / {span + 1} * (n.{column} - e.{name}) AS {name}" for name, (column, span) in EXPONENTIAL.items())
+
+
+@query(f"""WITH RECURSIVE {BARS_SQL}, n AS (SELECT *, high - low AS range, ln(close / lag(close) {P}) AS ret, {BETA_SQL} AS beta, row_number() {P} AS i FROM bars),
+e AS (SELECT symbol, ts, i, {", ".join(f"{column} AS {name}" for name, (column, _) in EXPONENTIAL.items())} FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.ts, n.i, {_STEPS} FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1),
+j AS (SELECT n.*, range_5, range_20, volume_20, close_10, (2 * beta - 1) * n.volume AS delta FROM n JOIN e ON e.symbol = n.symbol AND e.i = n.i),
+k AS (SELECT *, CASE WHEN volume > 0.5 * volume_20 AND volume < 2 * volume_20 THEN 1.0 ELSE 0.0 END AS medium FROM j)
+SELECT symbol, ts, {r("range_5 / (range_20 + 1e-10)", "range_compression", 5)}, {r("ln(close / close_10)", "norm_ema", 5)},
+  {r(f"CASE WHEN row_number() {P} >= 20 AND sum(abs(delta) * abs(ret)) {w(20)} > 1e-10 THEN sum(medium * delta * abs(ret)) {w(20)} / sum(abs(delta) * abs(ret)) {w(20)} END", "stealth_trading", 5)},
+  {r(f"CASE WHEN count(*) {w(20)} >= 20 THEN sign(round(sum(medium * delta) {w(20)}, 9)) END", "stealth_direction", 5)} FROM k""")
+def features_exponential(spark, sf_dir):
+    """Features of exponential means: range compression, the distance from a mean, and stealth trading."""
+    bars = hourly(spark, sf_dir).withColumn("range", C("high") - C("low"))
+    means = M.run(bars, lambda: M.Exponential(EXPONENTIAL))
+    rows = bars.join(means, ["symbol", "ts"]).withColumn("_r", price.log_return(K)).withColumn("_beta", flow.close_location()).withColumn("_delta", flow.imbalance("_beta"))
+    medium = F.when((C("volume") > 0.5 * C("volume_20")) & (C("volume") < 2 * C("volume_20")), 1.0).otherwise(0.0)
+    rows = rows.withColumn("_medium", medium)
+    moved, every = (F.sum(x).over(K.trailing(20)) for x in (C("_medium") * C("_delta") * F.abs("_r"), F.abs("_delta") * F.abs("_r")))
+    found = rows.select(
+        "symbol",
+        "ts",
+        (C("range_5") / (C("range_20") + 1e-10)).alias("range_compression"),
+        F.log(C("close") / C("close_10")).alias("norm_ema"),
+        F.when((K.number() >= 20) & (every > 1e-10), moved / every).alias("stealth_trading"),
+        K.full(F.signum(F.round(F.sum(C("_medium") * C("_delta")).over(K.trailing(20)), 9)), "_delta", 20).alias("stealth_direction"),
+    )
+    return tidied(found, "range_compression", "norm_ema", "stealth_trading", "stealth_direction", digits=5)

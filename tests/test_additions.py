@@ -11,12 +11,14 @@ from datetime import datetime, time, timedelta
 import numpy as np
 import pytest
 from lodestream import extension as X
+from lodestream.functions import special
 from lodestream.functions.frames import Keyed
 from lodestream.operators import bars as B
 from lodestream.operators import columns as S
 from lodestream.operators import condition_map, filters, gates
 from lodestream.operators import evaluation as V
 from lodestream.operators import kernels as M
+from lodestream.operators import rolling_kernels as W
 from lodestream.operators import temporal_joins as J
 from lodestream.sources import files
 from lodestream.streaming import stateful
@@ -296,6 +298,21 @@ def test_condition_map(spark, tmp_path):
     assert {r.feature: r.bucket for r in back.buckets().collect()} == {"f": "ensemble", "g": "stable", "h": "unclassified", "i": "specific"}
 
 
+def test_distributions(spark):
+    """In the JVM as in plain Python, for parameters without a closed form."""
+    xs = [-1.0, 0.0, 1e-6, 0.03, 0.4, 0.77, 0.999, 1.0, 1.7, 4.4, 9.0, 31.0, 80.0, None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for a, b in ((0.3, 4.0), (2.5, 0.5), (40.0, 17.0)):
+        got = df.select("x", special.gamma_cdf(a, F.col("x")).alias("g"), special.beta_cdf(a, b, F.col("x")).alias("b"), special.f_cdf(a, b, F.col("x")).alias("f"), special.t_cdf(a, F.col("x")).alias("t")).collect()
+        for r in got:
+            if r.x is None:
+                assert (r.g, r.b, r.f, r.t) == (None,) * 4
+                continue
+            t = W.beta_cdf(a / 2, 0.5, a / (a + r.x**2)) / 2
+            want = (W.gamma_cdf(a, r.x), W.beta_cdf(a, b, r.x) if 0 < r.x < 1 else float(r.x >= 1), W.f_cdf(r.x, a, b), 1 - t if r.x > 0 else t)
+            assert (r.g, r.b, r.f, r.t) == pytest.approx(want, abs=1e-9), (a, b, r.x)
+
+
 # models of the machines
 
 
