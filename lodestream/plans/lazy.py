@@ -11,6 +11,9 @@ from collections.abc import Callable
 from functools import wraps
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 class Lazy:
     def __init__(self, make: Callable[[], Any]) -> None:
@@ -39,10 +42,16 @@ def _turned(f: Callable) -> Callable:
     return lambda self, other: Lazy(lambda: f(real(other), real(self)))
 
 
-for _name in ("add", "sub", "mul", "truediv", "pow", "mod", "and", "or"):
+def _divided(a: Any, b: Any) -> Any:
+    """a / b; of columns null where b is 0."""
+    return F.try_divide(*[x if isinstance(x, Column) else F.lit(x) for x in (a, b)]) if isinstance(a, Column) or isinstance(b, Column) else a / b
+
+
+for _name in ("add", "sub", "mul", "pow", "mod", "and", "or"):
     _f = getattr(operator, _name + "_" if _name in ("and", "or") else _name)
     setattr(Lazy, f"__{_name}__", _both(_f))
     setattr(Lazy, f"__r{_name}__", _turned(_f))
+Lazy.__truediv__, Lazy.__rtruediv__ = _both(_divided), _turned(_divided)
 for _name in ("eq", "ne", "lt", "le", "gt", "ge"):
     setattr(Lazy, f"__{_name}__", _both(getattr(operator, _name)))
 for _name in ("neg", "invert"):
