@@ -52,6 +52,8 @@ CUTS = 6
 BAND = 1.3
 #: Shingles of a cluster's block: 8 bytes each, and some ten times that in work; and bytes of its sets' cells.
 BLOCK_SHINGLES, BLOCK_BYTES = 1_500_000, 8_000_000
+#: Sets of a block of a cluster that fits one task, so that more tasks share its work, and the most such blocks.
+BLOCK_SETS, MOST_BLOCKS = 500, 16
 #: Sets of a cluster that are simply compared with each other, in full and by their cells.
 FEW, MANY = 6, 3_000
 #: Signatures that a task sorts and packs at a time, those of a range, and bytes of text for each.
@@ -518,10 +520,15 @@ def _verify(n: int, bands: Bands):
     return _by_task(3, read, lambda key, names, values, blocks: _links(names, values, blocks, bands))
 
 
-def _tasks(members: DataFrame, size: str, bound: int) -> DataFrame:
-    """members with i, j and block: a row for each pair of blocks of its cluster that it takes part in; a single block meets itself."""
-    held = members.groupBy(F.col("cluster").alias("_of")).agg(F.sum(F.expr(size)).alias("_all"))
-    members = members.join(held, F.col("cluster") == F.col("_of")).withColumn("_blocks", F.greatest(F.ceil(F.col("_all") / bound), F.lit(1)).cast("int"))
+def _tasks(members: DataFrame, size: str, bound: int, sets: int, most: int) -> DataFrame:
+    """members with i, j and block: a row for each pair of blocks of its cluster that it takes part in; a single block meets itself.
+
+    Blocks are no larger than the bound; smaller clusters are cut into blocks of
+    so many sets, at most so many of them.
+    """
+    held = members.groupBy(F.col("cluster").alias("_of")).agg(F.sum(F.expr(size)).alias("_all"), F.count(F.lit(1)).alias("_sets"))
+    blocks = F.greatest(F.ceil(F.col("_all") / bound), F.least(F.ceil(F.col("_sets") / sets), F.lit(most)), F.lit(1))
+    members = members.join(held, F.col("cluster") == F.col("_of")).withColumn("_blocks", blocks.cast("int")).drop("_sets")
     members = members.withColumn("block", F.pmod(F.xxhash64("name"), F.col("_blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     return members.withColumn("_pair", F.explode(others)).select("*", "_pair.i", "_pair.j").drop("_of", "_all", "_blocks", "_pair")
@@ -537,6 +544,7 @@ def jaccard_components(
     carry: bool = True,
     block_shingles: int = BLOCK_SHINGLES,
     block_bytes: int = BLOCK_BYTES,
+    block_sets: int = BLOCK_SETS,
 ) -> DataFrame:
     """Adds n_shingles and component_id to every document.
 
@@ -571,7 +579,7 @@ def jaccard_components(
     spread = sets.select("name", "n", F.explode("own").alias("own")).join(clusters, F.col("own.node") == F.col("node"))
     members = spread.groupBy(F.col("root").alias("cluster"), "name", "n").agg(F.min("own.cells").alias("cells"))
     members = save(members, "ngram-members")
-    tasks = _tasks(members, "octet_length(cells)", block_bytes).select("cluster", "i", "j", "block", "name", "cells", "n")
+    tasks = _tasks(members, "octet_length(cells)", block_bytes, block_sets, MOST_BLOCKS).select("cluster", "i", "j", "block", "name", "cells", "n")
     tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "name")
     near = save(components(tasks.mapInArrow(lean(_refine(bands)), "a binary, b binary")), "ngram-near")
     spent(clusters, members)
@@ -579,7 +587,7 @@ def jaccard_components(
     # The text of one document of each set that is left. Always by a sort-merge join: both sides grow with the corpus.
     one = sets.where("name is not null").groupBy("name").agg(F.min(F.struct("x", "key")).alias("of"), F.min("n").alias("n"), F.min("key").alias("least"))
     wanted = one.select(F.col("of.key").alias("_key"), F.col("of.x").alias("_x"), "name", "n").join(near, F.col("name") == F.col("node"))
-    wanted = _tasks(wanted.select("_key", "_x", "name", "n", F.col("root").alias("cluster")), "n", block_shingles)
+    wanted = _tasks(wanted.select("_key", "_x", "name", "n", F.col("root").alias("cluster")), "n", block_shingles, block_sets, MOST_BLOCKS // 2)
     found = narrow.join(wanted.hint("merge"), (F.col("x") == F.col("_x")) & F.col("key").eqNullSafe(F.col("_key"))).select("cluster", "i", "j", "block", "name", "text")
     found = found.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "name")
     links = save(found.mapInArrow(lean(_verify(words, bands)), "a binary, b binary"), "ngram-links")

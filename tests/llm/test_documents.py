@@ -99,7 +99,7 @@ def test_jaccard_components(spark, n, num, den):
     rows = near_copies(n)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = expected_components(rows, n, num, den)
-    for options in ({}, {"block_shingles": 60, "block_bytes": 100}):
+    for options in ({}, {"block_shingles": 60, "block_bytes": 100}, {"block_sets": 3}):
         got = ngram_join.jaccard_components(frame, n, num, den, **options).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
