@@ -186,9 +186,15 @@ def volume_weighted_volatility(k: Keyed, r: str, n: int = 20, volume: str = "vol
 
 
 def jump(k: Keyed, r: str, n: int = 20, sigmas: float = 3.0) -> Column:
-    """1 where a return is more than so many population deviations from the window's mean."""
-    sd = k.sd_pop(r, n)
-    return F.when(sd > 1e-12, (F.abs(div(F.col(r) - k.avg(r, n), sd)) > sigmas).cast("int")).when(sd.isNotNull(), F.lit(0))
+    """1 where a return is more than so many sample deviations from the window's mean; else, and before there is a window, 0."""
+    sd = k.sd(r, n)
+    return F.when((sd > 1e-12) & (F.abs(div(F.col(r) - k.avg(r, n), sd)) > sigmas), 1).otherwise(0)
+
+
+def realized(k: Keyed, r: str, interval: str) -> Column:
+    """Root of the sum of squared returns over a span of time; null where a return of the span is."""
+    w = k.span(interval)
+    return F.when(F.count(r).over(w) == F.count(F.lit(1)).over(w), F.sqrt(F.sum(F.col(r) * F.col(r)).over(w)))
 
 
 # volume
@@ -199,11 +205,11 @@ def money_flow_raw(high: str = "high", low: str = "low", close: str = "close", v
 
 
 def money_flow_index(k: Keyed, tp: str, n: int = 14, before: str = "tp_before", volume: str = "volume") -> Column:
-    """Share of money that flowed at rising typical prices, times 100."""
+    """Share of money that flowed at rising typical prices, times 100; 0 where less than 1 flowed either way."""
     flow, t, b = F.col(tp) * F.col(volume), F.col(tp), F.col(before)
     up = F.sum(F.when(t > b, flow).otherwise(0.0)).over(k.trailing(n))
     down = F.sum(F.when(t < b, flow).otherwise(0.0)).over(k.trailing(n))
-    return F.when(F.count(before).over(k.trailing(n)) >= n, 100 * div(up, up + down))
+    return F.when(F.count(before).over(k.trailing(n)) >= n, F.when(up + down < 1, 0.0).otherwise(100 * div(up, up + down)))
 
 
 def obv(k: Keyed, step: str, n: int = 20, volume: str = "volume") -> Column:

@@ -67,18 +67,18 @@ def momentum_acceleration(k: Keyed, x: str = "close", short: int = 5, long: int
 
 
 def jerk(k: Keyed, x: str = "close", n: int = 3) -> Column:
-    """Third difference over steps of n rows."""
-    return F.col(x) - 3 * k.lag(x, n) + 3 * k.lag(x, 2 * n) - k.lag(x, 3 * n)
+    """The change over n rows of the change by one row of the momentum over n rows."""
+    return F.col(x) - k.lag(x) - 2 * k.lag(x, n) + 2 * k.lag(x, n + 1) + k.lag(x, 2 * n) - k.lag(x, 2 * n + 1)
 
 
 def stochastic_k(k: Keyed, n: int = 14, high: str = "high", low: str = "low", close: str = "close") -> Column:
     low_n, high_n = k.min(low, n), k.max(high, n)
-    return 100 * div(F.col(close) - low_n, high_n - low_n)
+    return F.when(high_n == low_n, 0.0).otherwise(100 * div(F.col(close) - low_n, high_n - low_n))
 
 
 def williams_r(k: Keyed, n: int = 14, high: str = "high", low: str = "low", close: str = "close") -> Column:
     low_n, high_n = k.min(low, n), k.max(high, n)
-    return -100 * div(high_n - F.col(close), high_n - low_n)
+    return F.when(high_n == low_n, 0.0).otherwise(-100 * div(high_n - F.col(close), high_n - low_n))
 
 
 def high_proximity(k: Keyed, x: str = "close", n: int = 60) -> Column:
@@ -92,8 +92,8 @@ def detrended_price(k: Keyed, mean: str, x: str = "close", n: int = 20) -> Colum
 
 
 def return_skip(k: Keyed, x: str = "close", lag: int = 12, skip: int = 1) -> Column:
-    """Return from lag to skip rows ago, the latest left out."""
-    return div(k.lag(x, skip), k.lag(x, lag)) - 1
+    """Return over lag + skip rows, as it was skip rows ago."""
+    return div(k.lag(x, skip), k.lag(x, lag + 2 * skip)) - 1
 
 
 # path structure
@@ -114,8 +114,8 @@ def efficiency_ratio(k: Keyed, step: str, x: str = "close", n: int = 10) -> Colu
 
 
 def trend_strength(k: Keyed, x: str, number: str, n: int = 20) -> Column:
-    """R squared of x on time."""
-    return F.pow(k.corr(x, number, n), 2)
+    """R squared of x on time; 0 where x does not vary."""
+    return k.full(F.coalesce(F.pow(k.corr(x, number, n), 2), F.lit(0.0)), x, n)
 
 
 def variance_ratio(k: Keyed, r: str, summed: str, n: int = 40, q: int = 2) -> Column:
@@ -158,7 +158,8 @@ def percentile_rank(k: Keyed, x: str, n: int) -> Column:
 
 
 def volatility_scale(k: Keyed, x: str, n: int) -> Column:
-    return div(x, k.sd_pop(x, n))
+    sd = k.sd_pop(x, n)
+    return F.when(sd > 1e-12, div(x, sd)).when(sd.isNotNull(), 0.0)
 
 
 def persistence(k: Keyed, x: str, n: int, threshold: float = 0.0, above: bool = True) -> Column:

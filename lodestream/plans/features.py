@@ -170,6 +170,8 @@ liquidity = Suite(
 _RS = f"({s_ln('high / close')} * {s_ln('high / open')} + {s_ln('low / close')} * {s_ln('low / open')})"
 _YZ = 0.34 / (1.34 + 21 / 19)
 
+_SIX = "OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW)"
+
 volatility = Suite(
     [
         {
@@ -198,15 +200,20 @@ volatility = Suite(
             "vov": (K.sd_pop("parkinson", 20), s_agg("stddev_pop", "parkinson", 20)),
             "_mean_park": (K.avg("parkinson", 20), s_agg("avg", "parkinson", 20)),
             "term_structure": (F.when(C("parkinson") > 1e-10, C("_short") / C("parkinson")), "CASE WHEN parkinson > 1e-10 THEN _short / parkinson END"),
-            "jump": (flow.jump(K, "_r", 20, 3.0).cast("double"), f"CAST(CASE WHEN abs({s_z('_r', 20)}) > 3 THEN 1 WHEN {s_agg('stddev_pop', '_r', 20)} IS NOT NULL THEN 0 END AS DOUBLE)"),
-            "realized_6h": (
-                F.sqrt(F.sum(C("_r") * C("_r")).over(K.span("6 hours"))),
-                "sqrt(sum(_r * _r) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW))",
+            "jump": (
+                flow.jump(K, "_r", 20, 3.0).cast("double"),
+                f"CAST(CASE WHEN {s_agg('stddev_samp', '_r', 20)} > 1e-12 AND abs(_r - {s_agg('avg', '_r', 20)}) / {s_agg('stddev_samp', '_r', 20)} > 3 THEN 1 ELSE 0 END AS DOUBLE)",
             ),
+            "realized_6h": (flow.realized(K, "_r", "6 hours"), f"CASE WHEN count(_r) {_SIX} = count(*) {_SIX} THEN sqrt(sum(_r * _r) {_SIX}) END"),
+            "_squares": (F.when(C("_r").isNotNull(), F.sum(C("_r") * C("_r")).over(K.span("6 hours"))), f"CASE WHEN _r IS NOT NULL THEN sum(_r * _r) {_SIX} END"),
             "_product": (F.abs(C("_r")) * F.abs(K.lag("_r")), f"abs(_r) * abs({s_lag('_r')})"),
         },
         {
-            "bipower": (K.avg("_product", 20) * (math.pi / 2), f"{s_agg('avg', '_product', 20)} * {math.pi / 2!r}"),
+            "bipower_6h": (F.sqrt(F.avg("_product").over(K.span("6 hours")) * (math.pi / 2)), f"sqrt(avg(_product) {_SIX} * {math.pi / 2!r})"),
+            "jump_variation_6h": (
+                F.sqrt(F.greatest(C("_squares") - F.avg("_product").over(K.span("6 hours")) * (math.pi / 2), F.when(F.avg("_product").over(K.span("6 hours")).isNotNull() & C("_squares").isNotNull(), 0.0))),
+                f"CASE WHEN avg(_product) {_SIX} IS NOT NULL AND _squares IS NOT NULL THEN sqrt(greatest(_squares - avg(_product) {_SIX} * {math.pi / 2!r}, 0.0)) END",
+            ),
             "vov_normalized": (div("vov", "_mean_park"), "vov / nullif(_mean_park, 0)"),
             "gap_risk_ratio": (F.when(C("parkinson") > 1e-10, C("yang_zhang") / C("parkinson")), "CASE WHEN parkinson > 1e-10 THEN yang_zhang / parkinson END"),
             "trend_quality_ratio": (F.when(C("parkinson") > 1e-10, C("rogers_satchell") / C("parkinson")), "CASE WHEN parkinson > 1e-10 THEN rogers_satchell / parkinson END"),
@@ -223,6 +230,7 @@ momentum = Suite(
             "_n": (K.number().cast("double"), f"CAST(row_number() {P} AS DOUBLE)"),
             "roc": (pf.rate_of_change(K, "close", 14), f"100 * (close / {s_lag('close', 14)} - 1)"),
             "_mean20": (K.avg("close", 20), s_agg("avg", "close", 20)),
+            "_change": (div("close", K.lag("close")) - 1, f"close / {s_lag('close')} - 1"),
         },
         {
             "sharpe": (pf.rolling_sharpe(K, "log_return", 20), f"{s_agg('avg', 'log_return', 20)} / ({s_agg('stddev_samp', 'log_return', 20)} + 1e-8)"),
@@ -230,27 +238,29 @@ momentum = Suite(
             "mean_adjusted_ratio": (pf.mean_adjusted_ratio(K, "close", 20), "close / _mean20 - 1"),
             "momentum": (pf.momentum(K, "close", 10), f"close - {s_lag('close', 10)}"),
             "acceleration": (pf.momentum_acceleration(K), f"{s_lag('close', 10)} - {s_lag('close', 5)}"),
-            "jerk": (pf.jerk(K, "close", 3), f"close - 3 * {s_lag('close', 3)} + 3 * {s_lag('close', 6)} - {s_lag('close', 9)}"),
+            "jerk": (pf.jerk(K, "close", 3), f"close - {s_lag('close')} - 2 * {s_lag('close', 3)} + 2 * {s_lag('close', 4)} + {s_lag('close', 6)} - {s_lag('close', 7)}"),
             "slope": (div(K.slope("close", "_n", 20), "_mean20"), f"{s_slope('close', '_n', 20)} / _mean20"),
-            "stochastic": (pf.stochastic_k(K, 14), "100 * " + s_div(f"close - {s_agg('min', 'low', 14)}", f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}")),
-            "williams_r": (pf.williams_r(K, 14), "-100 * " + s_div(f"{s_agg('max', 'high', 14)} - close", f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}")),
+            "_fast": (pf.stochastic_k(K, 14), f"CASE WHEN {s_agg('max', 'high', 14)} = {s_agg('min', 'low', 14)} THEN 0.0 ELSE 100 * " + s_div(f"close - {s_agg('min', 'low', 14)}", f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}") + " END"),
+            "williams_r": (pf.williams_r(K, 14), f"CASE WHEN {s_agg('max', 'high', 14)} = {s_agg('min', 'low', 14)} THEN 0.0 ELSE -100 * " + s_div(f"{s_agg('max', 'high', 14)} - close", f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}") + " END"),
             "detrended": (pf.detrended_price(K, "_mean20", "close", 20), f"close - {s_lag('_mean20', 11)}"),
             "high_proximity": (pf.high_proximity(K, "close", 60), f"(close - {s_agg('min', 'close', 60)}) / ({s_agg('max', 'close', 60)} - {s_agg('min', 'close', 60)} + {EPS})"),
-            "return_12_1": (pf.return_skip(K, "close", 12, 1), f"{s_lag('close')} / {s_lag('close', 12)} - 1"),
-            "return_change": (C("log_return") - K.lag("log_return"), f"log_return - {s_lag('log_return')}"),
+            "return_12_1": (pf.return_skip(K, "close", 12, 1), f"{s_lag('close')} / {s_lag('close', 14)} - 1"),
+            "return_13": (div("close", K.lag("close", 13)) - 1, f"close / {s_lag('close', 13)} - 1"),
+            "return_change": (C("_change") - K.lag("_change"), f"_change - {s_lag('_change')}"),
             "sustained_velocity": (K.avg("log_return", 10), s_agg("avg", "log_return", 10)),
             "_tps": (F.collect_list("_tp").over(K.trailing(20)), f"list(_tp) {w(20)}"),
             "_tp_mean": (K.avg("_tp", 20), s_agg("avg", "_tp", 20)),
         },
         {
-            "stochastic_d": (K.avg("stochastic", 3), s_agg("avg", "stochastic", 3)),
+            "stochastic": (K.avg("_fast", 3), s_agg("avg", "_fast", 3)),
             "_mad": (F.aggregate("_tps", F.lit(0.0), lambda a, v: a + F.abs(v - C("_tp_mean"))) / 20, "list_sum(list_transform(_tps, lambda v: abs(v - _tp_mean))) / 20"),
         },
         {
             "cci": (
                 F.when(C("_mad") > 1e-12, (C("_tp") - C("_tp_mean")) / (0.015 * C("_mad"))).when(C("_tp_mean").isNotNull(), F.lit(0.0)),
                 "CASE WHEN _mad > 1e-12 THEN (_tp - _tp_mean) / (0.015 * _mad) WHEN _tp_mean IS NOT NULL THEN 0.0 END",
-            )
+            ),
+            "stochastic_d": (K.avg("stochastic", 3), s_agg("avg", "stochastic", 3)),
         },
     ]
 )
@@ -258,24 +268,25 @@ path_structure = Suite(
     [
         {
             "_r": (pf.log_return(K), RETURN),
-            "_tr": (pf.true_range(K), TR),
+            "_tr": (F.when(K.lag("close").isNotNull(), pf.true_range(K)), f"CASE WHEN {s_lag('close')} IS NOT NULL THEN {TR} END"),
             "_abs_step": (F.abs(C("close") - K.lag("close")), f"abs(close - {s_lag('close')})"),
             "_n": (K.number().cast("double"), f"CAST(row_number() {P} AS DOUBLE)"),
         },
         {
             "_r1": (K.lag("_r"), s_lag("_r")),
             "_r2": (C("_r") + K.lag("_r"), f"_r + {s_lag('_r')}"),
-            "_cum": (ln("close"), s_ln("close")),  # the running sum of returns but for a constant
+            "_cum": (F.when(C("_r").isNotNull(), ln("close")), f"CASE WHEN _r IS NOT NULL THEN {s_ln('close')} END"),  # the running sum of returns but for a constant
             "_signs": (F.collect_list(F.signum(C("_r"))).over(K.trailing(10)), f"list(CAST(sign(_r) AS DOUBLE)) FILTER (WHERE _r IS NOT NULL) {w(10)}"),
         },
         {
             "auto_corr": (K.corr("_r", "_r1", 36), s_corr("_r", "_r1", 36)),
             "choppiness": (pf.choppiness(K, "_tr", 14), "100 * " + s_ln(s_div(s_agg("sum", "_tr", 14), f"{s_agg('max', 'high', 14)} - {s_agg('min', 'low', 14)}")) + f" / {math.log(14)!r}"),
             "efficiency_ratio": (pf.efficiency_ratio(K, "_abs_step", "close", 10), s_div(f"abs(close - {s_lag('close', 10)})", s_agg("sum", "_abs_step", 10))),
-            "trend_strength": (pf.trend_strength(K, "_cum", "_n", 20), f"pow({s_corr('_cum', '_n', 20)}, 2)"),
-            "detrended_strength": (pf.trend_strength(K, "_r", "_n", 20), f"pow({s_corr('_r', '_n', 20)}, 2)"),
+            "trend_strength": (pf.trend_strength(K, "_cum", "_n", 20), s_full(f"coalesce(pow({s_corr('_cum', '_n', 20)}, 2), 0.0)", "_cum", 20)),
+            "detrended_strength": (pf.trend_strength(K, "_r", "_n", 20), s_full(f"coalesce(pow({s_corr('_r', '_n', 20)}, 2), 0.0)", "_r", 20)),
             "variance_ratio": (pf.variance_ratio(K, "_r", "_r2", 40, 2), f"CASE WHEN count(_r2) {w(40)} >= 40 AND var_samp(_r) {w(40)} > 1e-12 THEN var_samp(_r2) {w(40)} / (2 * var_samp(_r) {w(40)}) END"),
             "velocity": (F.abs(K.avg("_r", 10)), f"abs({s_agg('avg', '_r', 10)})"),
+            "velocity_consistency": (div(K.sd("_r", 10), F.when(F.abs(K.avg("_r", 10)) > 1e-12, F.abs(K.avg("_r", 10)))), f"{s_agg('stddev_samp', '_r', 10)} / (CASE WHEN abs({s_agg('avg', '_r', 10)}) > 1e-12 THEN abs({s_agg('avg', '_r', 10)}) END)"),
             "sign_persistence": (
                 F.when(F.size("_signs") >= 10, F.size(F.filter("_signs", lambda s: s == F.get("_signs", F.lit(0)))) / 10.0),
                 "CASE WHEN len(_signs) >= 10 THEN len(list_filter(_signs, lambda s: s = _signs[1])) / 10.0 END",
@@ -301,8 +312,11 @@ volume = Suite(
             "volume_momentum": (div(F.avg("volume").over(K.trailing(5)), F.avg("volume").over(K.trailing(20))), f"avg(volume) {w(5)} / avg(volume) {w(20)}"),
             "volume_volatility_corr": (K.corr("volume", "_vol", 20), s_corr("volume", "_vol", 20)),
             "volume_profile": (F.stddev_samp("volume").over(K.trailing(20)), f"stddev_samp(volume) {w(20)}"),
-            "return_divergence": (F.when(C("_vol") > 1e-9, C("_r") * C("volume") / (C("_vol") + 1e-10)), "CASE WHEN _vol > 1e-9 THEN _r * volume / (_vol + 1e-10) END"),
-            "abnormal_volume": (K.zscore("volume", 50), s_z("volume", 50)),
+            "return_divergence": (C("_r") * C("volume") / (C("_vol") + 1e-10), "_r * volume / (_vol + 1e-10)"),
+            "abnormal_volume": (
+                (C("volume") - F.avg("volume").over(K.trailing(50))) / F.when(F.stddev_samp("volume").over(K.trailing(50)) > 0, F.stddev_samp("volume").over(K.trailing(50))).when(F.count("volume").over(K.trailing(50)) > 1, 1e-10),
+                f"(volume - avg(volume) {w(50)}) / CASE WHEN stddev_samp(volume) {w(50)} > 0 THEN stddev_samp(volume) {w(50)} WHEN count(volume) {w(50)} > 1 THEN 1e-10 END",
+            ),
             "vwroc": (div("_cv", K.lag("_cv", 14)) - 1, f"_cv / {s_lag('_cv', 14)} - 1"),
             "surge_roc": (
                 F.when(C("volume") > K.avg("volume", 14) * 1.5, 100 * (div("close", K.lag("close", 14)) - 1)).otherwise(0.0),
@@ -319,7 +333,7 @@ volume = Suite(
         {
             "mfi": (
                 flow.money_flow_index(K, "_tp", 14),
-                (lambda up, down: f"CASE WHEN count(tp_before) {w(14)} >= 14 THEN 100 * {s_div(up, f'{up} + {down}')} END")(
+                (lambda up, down: f"CASE WHEN count(tp_before) {w(14)} >= 14 THEN CASE WHEN {up} + {down} < 1 THEN 0.0 ELSE 100 * {s_div(up, f'{up} + {down}')} END END")(
                     f"sum(CASE WHEN _tp > tp_before THEN _tp * volume ELSE 0.0 END) {w(14)}", f"sum(CASE WHEN _tp < tp_before THEN _tp * volume ELSE 0.0 END) {w(14)}"
                 ),
             ),
@@ -341,7 +355,7 @@ transforms = Suite(
         },
         {
             "zscore": (K.zscore("close", 20), s_z("close", 20)),
-            "volatility_scale": (pf.volatility_scale(K, "_r", 20), s_div("_r", s_agg("stddev_pop", "_r", 20))),
+            "volatility_scale": (pf.volatility_scale(K, "_r", 20), f"CASE WHEN {s_agg('stddev_pop', '_r', 20)} > 1e-12 THEN _r / {s_agg('stddev_pop', '_r', 20)} WHEN {s_agg('stddev_pop', '_r', 20)} IS NOT NULL THEN 0.0 END"),
             "slope": (K.slope("close", "_n", 20), s_slope("close", "_n", 20)),
             "persistence": (pf.persistence(K, "_r", 20), s_full(f"avg(CASE WHEN _r > 0 THEN 1.0 WHEN _r IS NOT NULL THEN 0.0 END) {w(20)}", "_r", 20)),
             "tanh": (pf.tanh_compress("_r", 0.5), "CASE WHEN abs(_r) < 300 THEN (exp(2 * _r / 0.5) - 1) / (exp(2 * _r / 0.5) + 1) END"),
@@ -402,6 +416,7 @@ price_structure = Suite(
 )
 
 _DAY = "PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts"
+_SIX_DAILY = f"OVER ({_DAY} RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW)"
 
 #: Columns that look back without bound, or to the start of a session.
 cumulative = Suite(
@@ -410,19 +425,23 @@ cumulative = Suite(
         {
             "vwap_anchored": (flow.vwap_anchored(K, F.to_date("ts"), "_tp"), f"sum(_tp * volume) OVER ({_DAY} ROWS UNBOUNDED PRECEDING) / nullif(sum(volume) OVER ({_DAY} ROWS UNBOUNDED PRECEDING), 0)"),
             "realized_6h_daily": (
-                F.sqrt(F.sum(C("_r") * C("_r")).over(Keyed(("symbol", F.to_date("ts"))).span("6 hours"))),
-                f"sqrt(sum(_r * _r) OVER ({_DAY} RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW))",
+                flow.realized(Keyed(("symbol", F.to_date("ts"))), "_r", "6 hours"),
+                f"CASE WHEN count(_r) {_SIX_DAILY} = count(*) {_SIX_DAILY} THEN sqrt(sum(_r * _r) {_SIX_DAILY}) END",
             ),
             "ad_line": (F.sum("_delta").over(K.so_far), f"sum(_delta) {SO_FAR}"),
-            "_cum_vwap": (div(F.sum(C("_tp") * C("volume")).over(K.so_far), F.sum("volume").over(K.so_far)), f"sum(_tp * volume) {SO_FAR} / sum(volume) {SO_FAR}"),
+            "_cum_vwap": (F.sum(C("_tp") * C("volume")).over(K.so_far) / (F.sum("volume").over(K.so_far) + 1e-8), f"sum(_tp * volume) {SO_FAR} / (sum(volume) {SO_FAR} + 1e-8)"),
             "_sign": (F.signum(C("_delta")), "CAST(sign(_delta) AS DOUBLE)"),
         },
         {
-            "vwap_adjusted_roc": (div("close", K.lag("close", 14)) - div("_cum_vwap", K.lag("_cum_vwap", 14)), f"close / {s_lag('close', 14)} - _cum_vwap / {s_lag('_cum_vwap', 14)}"),
-            "ad_z": (F.least(F.greatest(K.zscore("ad_line", 24), F.lit(-5.0)), F.lit(5.0)), f"least(greatest({s_z('ad_line', 24)}, -5.0), 5.0)"),
+            "vwap_adjusted_roc": (100 * (div("close", K.lag("close", 14)) - 1) - (C("_cum_vwap") - K.lag("_cum_vwap", 14)), f"100 * (close / {s_lag('close', 14)} - 1) - (_cum_vwap - {s_lag('_cum_vwap', 14)})"),
+            "_vwap_gap": ((C("close") - C("_cum_vwap")) / (C("_cum_vwap") + 1e-8), "(close - _cum_vwap) / (_cum_vwap + 1e-8)"),
+            "ad_z": (
+                F.when(K.sd("ad_line", 24) > 1e-12, F.least(F.greatest(div(C("ad_line") - K.avg("ad_line", 24), K.sd("ad_line", 24)), F.lit(-5.0)), F.lit(5.0))),
+                f"CASE WHEN {s_agg('stddev_samp', 'ad_line', 24)} > 1e-12 THEN least(greatest((ad_line - {s_agg('avg', 'ad_line', 24)}) / {s_agg('stddev_samp', 'ad_line', 24)}, -5.0), 5.0) END",
+            ),
             "_turn": (F.when(C("_sign") != K.lag("_sign"), 1).otherwise(0), f"CASE WHEN _sign <> {s_lag('_sign')} THEN 1 ELSE 0 END"),
         },
-        {"_run": (F.sum("_turn").over(K.so_far), f"sum(_turn) {SO_FAR}")},
+        {"_run": (F.sum("_turn").over(K.so_far), f"sum(_turn) {SO_FAR}"), "vwap_gap_momentum": (C("_vwap_gap") - K.lag("_vwap_gap", 20), f"_vwap_gap - {s_lag('_vwap_gap', 20)}")},
         {
             "signed_run_length": (
                 C("_sign") * F.row_number().over(Keyed(("symbol", "_run")).ordered),

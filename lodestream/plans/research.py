@@ -102,12 +102,12 @@ def label_volatility_quantiles(spark, sf_dir):
     return rows.select("symbol", "ts", F.when(vol > C("hi"), 1).when(vol < C("lo"), -1).otherwise(0).alias("label"))
 
 
-@query(f"""WITH {BARS_SQL}, p AS (SELECT symbol, ts, volume, hour(ts) AS phase FROM bars), x AS (SELECT symbol, ts, volume, avg(volume) OVER o AS m, stddev_samp(volume) OVER o AS s, count(volume) OVER o AS n FROM p WINDOW o AS (PARTITION BY symbol, phase ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT symbol, ts, {r("CASE WHEN n >= 5 AND s > 1e-12 THEN (volume - m) / s END", "phase_z")} FROM x""")
+@query(f"""WITH {BARS_SQL}, p AS (SELECT symbol, ts, volume, hour(ts) AS phase FROM bars), x AS (SELECT symbol, ts, volume, avg(volume) OVER o AS m, stddev_samp(volume) OVER o AS s, count(volume) OVER o AS n FROM p WINDOW o AS (PARTITION BY symbol, phase ORDER BY ts ROWS UNBOUNDED PRECEDING))
+SELECT symbol, ts, {r("CASE WHEN n >= 5 THEN (volume - m) / (s + 1e-10) END", "phase_z")} FROM x""")
 def volume_phase_zscore(spark, sf_dir):
-    past = Window.partitionBy("symbol", F.hour("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    sd = F.stddev_samp("volume").over(past)
-    z = F.when((F.count("volume").over(past) >= 5) & (sd > 1e-12), div(C("volume") - F.avg("volume").over(past), sd))
+    """Against all bars of the same hour of the day so far, of which there must be five."""
+    past = Window.partitionBy("symbol", F.hour("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    z = F.when(F.count("volume").over(past) >= 5, (C("volume") - F.avg("volume").over(past)) / (F.stddev_samp("volume").over(past) + 1e-10))
     return hourly(spark, sf_dir).select("symbol", "ts", tidy(z).alias("phase_z"))
 
 
