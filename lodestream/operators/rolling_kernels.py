@@ -25,7 +25,7 @@ from lodestream.operators.kernels import Machine
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 #: Windows that a kernel is given at a time, and rows of a key that a task takes.
-BLOCK, CHUNK_ROWS = 1024, 50_000
+BLOCK, CHUNK_ROWS = 1024, 10_000
 
 
 class Rolling(Machine):

@@ -110,7 +110,7 @@ Stage = dict[str, tuple[Lazy, str]]
 
 
 #: Rows of a key that are taken by one task.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 10_000
 _BACK = re.compile(r"(\d+) PRECEDING|lag\(.*?, (\d+)\) OVER")
 _AHEAD = re.compile(r"(\d+) FOLLOWING|lead\(.*?, (\d+)\) OVER")
 

@@ -21,6 +21,7 @@ from lodestream.plans.relational import BACKTEST, CHANCES_SQL, RUNS, STAT, STATE
 from lodestream.plans.research import probs
 from lodestream.plans.suite import BARS_SQL, SO_FAR, P, events, hourly, tidy, w
 from lodestream.sources.files import business_days_later
+from lodestream.streaming.stateful import Health
 
 K = Keyed()
 C = F.col
@@ -436,3 +437,16 @@ def features_exponential(spark, sf_dir):
         K.full(F.signum(F.round(F.sum(C("_medium") * C("_delta")).over(K.trailing(20)), 9)), "_delta", 20).alias("stealth_direction"),
     )
     return tidied(found, "range_compression", "norm_ema", "stealth_trading", "stealth_direction", digits=5)
+
+
+_USER = "OVER (PARTITION BY user_id ORDER BY ts, value ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"""WITH x AS (SELECT user_id, event_id, ts, value, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed FROM events),
+g AS (SELECT *, sum(1 - failed) {_USER} AS island, count(*) {_USER} AS runs, sum(failed) {_USER} AS errors, avg(value) {_USER} AS mean_time FROM x),
+s AS (SELECT *, CASE WHEN failed = 1 THEN sum(failed) OVER (PARTITION BY user_id, island ORDER BY ts, value ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM g)
+SELECT user_id, ts, runs, CAST(errors AS BIGINT) AS errors, CAST(streak AS INTEGER) AS streak, {r("100 * (runs - errors) / runs", "success_rate")}, {r("mean_time", digits=5)}, max(streak) {_USER} < 2 AS enabled FROM s""")
+def machine_health(spark, sf_dir):
+    """Each user's events as runs of a strategy, errors as failures: two in a row disable it."""
+    rows = events(spark, sf_dir).select("user_id", "ts", (C("event_type") == "error").cast("double").alias("failed"), C("value").alias("took"))
+    return tidied(tidied(M.run(rows, lambda: Health(2), ("user_id",)), "success_rate"), "mean_time", digits=5)

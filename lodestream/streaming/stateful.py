@@ -111,3 +111,23 @@ class ViolationCounter(Machine):
     def step(self, value: float) -> list[tuple]:
         self.streak = self.streak + 1 if abs(value) > self.limit else 0
         return [(self.streak, self.streak >= self.rows)]
+
+
+class Health(Machine):
+    """How a strategy runs: failures in a row and in all, share of runs that succeed, mean time, and whether it is still enabled.
+
+    So many failures in a row disable it for good.
+    """
+
+    inputs = ("failed", "took")
+    outputs = "runs long, errors long, streak int, success_rate double, mean_time double, enabled boolean"
+
+    def __init__(self, most: int = 5) -> None:
+        self.most, self.runs, self.errors, self.streak, self.time, self.enabled = most, 0, 0, 0, 0.0, True
+
+    def step(self, failed: float, took: float) -> list[tuple]:
+        self.runs, self.time = self.runs + 1, self.time + took
+        self.errors += failed > 0
+        self.streak = self.streak + 1 if failed > 0 else 0
+        self.enabled = self.enabled and self.streak < self.most
+        return [(self.runs, self.errors, self.streak, 100 * (self.runs - self.errors) / self.runs, self.time / self.runs, self.enabled)]
