@@ -42,6 +42,8 @@ DEPTH, CELLS_PER_GRAM, FULL = 2, 8.0, 255
 FLUSH, RANGE_GRAMS = 500_000, 500_000
 #: Bits of a gram's hash at most: with the number of a text in its slice they make one word.
 MOST_BITS = 55
+#: Copies of a text from which on they are not counted one by one, as a number and as a share of all documents.
+HOT_COPIES, HOT_SHARE = 1000, 1e-3
 #: Bits of a gram's hash beyond the logarithm of their number: one in 2^15 meets another by chance.
 SPARE_BITS = 15
 #: Of the polynomial hashes, and the seed of the second one's word hashes: the two share nothing.
@@ -288,6 +290,22 @@ def _remove(width: int, gram: int, ranges: Ranges, text: str):
     return run
 
 
+def _clear(width: int, text: str):
+    """Rows whose text has copies: all of its words go if it has a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            split = [t.split() for t in texts(batch.column(text))]
+            total = [len(w) for w in split]
+            gone = [n if n >= width else 0 for n in total]
+            kept = [b"" if g else b" ".join(w) for w, g in zip(split, gone, strict=True)]
+            more = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            old = batch.drop_columns(["_x", "_y"])
+            yield pa.RecordBatch.from_arrays([*old.columns, *more], names=[*old.schema.names, "_words", "_gone", "_kept"])
+
+    return run
+
+
 def remove_repeats(
     docs: DataFrame,
     width: int = 50,
@@ -297,6 +315,7 @@ def remove_repeats(
     carry: bool = True,
     range_grams: int = RANGE_GRAMS,
     cells_per_gram: float = CELLS_PER_GRAM,
+    hot_copies: int = HOT_COPIES,
 ) -> DataFrame:
     """Adds n_words, n_removed and kept_text to every document.
 
@@ -315,13 +334,26 @@ def remove_repeats(
     """
     docs = without(docs, "n_words", "n_removed", "kept_text")
     gram = min(gram, width)
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = Ranges.for_grams(int(size / 6.5 * 2 / (width - gram + 2)), range_grams, cells_per_gram)
+    told = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
+    ranges = Ranges.for_grams(int((told[0] or 0) / 6.5 * 2 / (width - gram + 2)), range_grams, cells_per_gram)
     spare = [f"_c{i}" for i in range(len(docs.columns))]
     key_col, text_col = spare[docs.columns.index(key)], spare[docs.columns.index(text)]
     rows = docs.toDF(*spare)
     rows = rows if carry else rows.select(key_col, text_col)
     rows = rows.withColumn("_x", F.xxhash64(text_col)).withColumn("_y", F.xxhash64(F.lit(_SEED), F.col(text_col)))
+    names = rows.columns
+
+    # Every window of a text that occurs twice is repeated. Of a text with very many copies two go on to be counted; the
+    # copies themselves need no count.
+    copies = rows.groupBy(F.col("_x").alias("_hx"), F.col("_y").alias("_hy")).agg(F.count(F.lit(1)).alias("n"))
+    copies = save(copies.where(F.col("n") >= hot_copies), "substring-copies")
+    bound = max(hot_copies, math.ceil(told[1] * HOT_SHARE))
+    hot = F.broadcast(copies.where(F.col("n") >= bound).select("_hx", "_hy"))  # at most 1 / HOT_SHARE rows
+    same = (F.col("_x") == F.col("_hx")) & (F.col("_y") == F.col("_hy"))
+    crowd = rows.join(hot, same, "left_semi")
+    two = crowd.groupBy("_x", "_y").agg(F.min(text_col).alias(text_col)).withColumn("_twin", F.explode(F.array(F.lit(True), F.lit(True))))
+    two = two.select(*[F.col(c) if c in ("_x", "_y", text_col) else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names], "_twin")
+    rows = rows.join(hot, same, "left_anti").withColumn("_twin", F.lit(False)).unionByName(two)
 
     sent = rows.select(text_col, "_x", "_y").mapInArrow(lean(_count(width, gram, ranges)), "range int, steps binary, width int, places binary, ids binary")
     likely = sent.repartition("range").sortWithinPartitions("range").mapInArrow(lean(_answer(ranges)), "a long, b long, grams array<long>")
@@ -335,8 +367,9 @@ def remove_repeats(
     exact = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("at").alias("at"))
     once = exact.where("n = 1").groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.collect_list("at").alias("_once"))
     told = told.join(once.hint("merge"), (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left").drop("_a", "_b")
-    fields = [f for f in told.schema.fields if f.name not in ("_x", "_y", "_grams", "_once")]
     more = [T.StructField("_words", T.LongType()), T.StructField("_gone", T.LongType()), T.StructField("_kept", T.StringType())]
-    result = told.mapInArrow(lean(_remove(width, gram, ranges, text_col)), T.StructType([*fields, *more]))
+    fields = lambda df: [f for f in df.schema.fields if f.name not in ("_x", "_y", "_grams", "_once")]
+    result = told.mapInArrow(lean(_remove(width, gram, ranges, text_col)), T.StructType([*fields(told), *more])).where("not _twin").drop("_twin")
+    result = result.unionByName(crowd.mapInArrow(lean(_clear(width, text_col)), T.StructType([*fields(crowd), *more])))
     kept = list(zip(spare, docs.columns, strict=True)) if carry else [(key_col, key)]
     return result.select(*[F.col(s).alias(c) for s, c in kept], F.col("_words").alias("n_words"), F.col("_gone").alias("n_removed"), F.col("_kept").alias("kept_text"))

@@ -219,7 +219,7 @@ def expected_removal(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"range_grams": 5, "cells_per_gram": 0.05}, {"gram": 1, "range_grams": 40}])
+@pytest.mark.parametrize("options", [{}, {"range_grams": 5, "cells_per_gram": 0.05}, {"gram": 1, "range_grams": 40, "hot_copies": 2}])
 @pytest.mark.parametrize("width", [3, 13])
 def test_remove_repeats(docs, spark, width, options):
     rng = random.Random(width)
