@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -26,6 +27,8 @@ from lodestream.llm.words import lean
 LEAST_BYTES = 100
 #: Records of an archive, and bytes of payload that they may have together: files are read whole.
 FILE_RECORDS, FILE_BYTES = 1000, 256 << 20
+#: Copies of a payload from which on it is met by a broadcast, as a number and as a share of all pages.
+HOT_PAGES, HOT_SHARE = 1000, 1e-3
 #: Records that are handed on together.
 PARSED_ROWS = 100
 END = "\r\n"
@@ -54,8 +57,12 @@ def classify(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     base = pages.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha2(F.col("payload"), 256)).withColumn("size", F.octet_length("payload").cast("long"))
     base = save(base, "warc-pages")
     same = base.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.min_by("row", "page_id"), F.min("row")).alias("_holder"))
-    same = save(same.where("_n > 1").drop("_n"), "warc-digests")
-    held = base.join(same, F.col("digest") == F.col("_of"), "left")
+    same = save(same.where("_n > 1"), "warc-digests")
+    bound = max(HOT_PAGES, math.ceil(base.count() * HOT_SHARE))
+    hot = F.broadcast(same.where(F.col("_n") >= bound).drop("_n"))  # at most 1 / HOT_SHARE rows
+    match = F.col("digest") == F.col("_of")
+    rest = base.join(hot, match, "left_anti").join(same.where(F.col("_n") < bound).drop("_n"), match, "left")
+    held = rest.unionByName(base.join(hot, match))
     return held.withColumn("holder", F.when(F.col("size") >= least_bytes, F.coalesce("_holder", F.col("row"))).otherwise(F.col("row"))).drop("_of", "_holder")
 
 
