@@ -16,6 +16,8 @@ from lodestream.llm.scratch import masked, unmasked, without
 
 #: Bytes of the digest that the join compares first.
 PREFIX_BYTES = 4
+#: Parts that pages without a host are spread over.
+SPREAD = 1024
 #: Rules that may be broadcast, about 100 bytes each.
 BROADCAST_RULES = 100_000
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -80,7 +82,10 @@ def url_filter(pages: DataFrame, rules: DataFrame | None = None, url: str = "url
     hits = asked.join(known, (F.col("_short") == F.col("_rs")) & F.startswith("_d", F.col("_rd")))
     rank = F.struct(F.length("_rule").alias("a"), F.length("_rh").alias("b"), (F.col("_v") == "block").alias("c"), F.col("_rule").alias("d"))
     best = hits.groupBy("_h", "_p").agg(F.max_by(F.struct("_rule", "_v"), rank).alias("_best"))
-    result = parts.join(best, (F.col(h) == F.col("_h")) & (F.col(p) == F.col("_p")), "left")
+    # Pages without a host and a path, null URLs among them, meet no rule unless one has an empty host: they are spread.
+    nowhere = (F.col(h) == "") & (F.col(p) == "") & F.lit(0 not in (lengths["hosts"] or []))
+    parts = parts.withColumn("_spread", F.when(nowhere, 1 + F.monotonically_increasing_id() % SPREAD).otherwise(0))
+    result = parts.join(best.withColumn("_at", F.lit(0)), (F.col(h) == F.col("_h")) & (F.col(p) == F.col("_p")) & (F.col("_spread") == F.col("_at")), "left")
     return result.select(
         *unmasked(names),
         F.col(h).alias("host"),
