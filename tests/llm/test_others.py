@@ -94,6 +94,14 @@ def test_warc_archives_are_bounded_by_bytes(spark):
         assert len(part) <= 30 and (sum(r[6] for r in part) <= 4_000 or len(part) == 1)
 
 
+def test_warc_hot_payloads(spark, monkeypatch):
+    """Payloads of many copies are resolved as the others are."""
+    plain = Counter(tuple(r)[1:] for r in warc.archive_round_trip(pages(spark)).collect())
+    monkeypatch.setattr(warc, "HOT_PAGES", 2)
+    monkeypatch.setattr(warc, "HOT_SHARE", 0.2)  # of the payloads that occur more than once, one is hot
+    assert Counter(tuple(r)[1:] for r in warc.archive_round_trip(pages(spark)).collect()) == plain
+
+
 def test_warc_clashes(spark):
     frame = pages(spark).selectExpr("*", "1 AS row", "2 AS digest", "3 AS size", "4 AS payload", "5 AS holder", "'r' AS record_type")
     plain, clashing = (Counter(tuple(r)[1:] for r in warc.archive_round_trip(f).collect()) for f in (pages(spark), frame))
