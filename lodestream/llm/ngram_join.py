@@ -388,17 +388,19 @@ class Labels:
     def __init__(self, names: list[bytes]) -> None:
         self.names, self.label, self.found = names, np.arange(len(names)), []
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int, told: bool = True) -> None:
+        """told: whether the edge is one to hand on, or is handed on by another task."""
         self.label[self.label == self.label[j]] = self.label[i]
-        self.found.append((self.names[i], self.names[j]))
+        if told:
+            self.found.append((self.names[i], self.names[j]))
 
 
-def _near(labels: Labels, cells: np.ndarray, inside: np.ndarray, sizes: np.ndarray, low: int, k: int, bands: Bands, test, across: np.ndarray | None) -> None:
+def _near(labels: Labels, cells: np.ndarray, inside: np.ndarray, sizes: np.ndarray, low: int, k: int, bands: Bands, test, block: np.ndarray | None, within: bool) -> None:
     """Join sets of one band whose cells differ in k places or fewer, if test(i, j) agrees.
 
     cells: a row for each of the sets `inside`, which rise in size. Pairs that
-    are joined are passed over, and with `across` (blocks) those of one block.
-    Up to MANY sets are compared with each other. Beyond, only those that share a
+    are joined are passed over; with two blocks only pairs within one are taken,
+    whose edges another task hands on, or only pairs across. Up to MANY sets are compared with each other. Beyond, only those that share a
     subset of a part: linked sets share one that is not empty, unless both have
     too many empty ones, and those are compared with each other.
     """
@@ -406,12 +408,12 @@ def _near(labels: Labels, cells: np.ndarray, inside: np.ndarray, sizes: np.ndarr
 
     def compare(j: int, rest: np.ndarray) -> None:
         rest = rest[(rest >= least[j]) & (labels.label[inside[rest]] != labels.label[inside[j]])]
-        if across is not None:
-            rest = rest[across[rest] != across[j]]
+        if block is not None:
+            rest = rest[(block[rest] == block[j]) == within]
         if len(rest):
             for i in rest[np.count_nonzero(cells[rest] != cells[j], axis=1) <= k].tolist():
                 if labels.label[inside[i]] != labels.label[inside[j]] and test(inside[i], inside[j]):
-                    labels.join(inside[i], inside[j])
+                    labels.join(inside[i], inside[j], not within)
 
     own = sizes >= low  # the larger set of a pair is in its own band
     if len(inside) <= MANY:
@@ -438,40 +440,46 @@ def _near(labels: Labels, cells: np.ndarray, inside: np.ndarray, sizes: np.ndarr
                             compare(int(members[at]), members[:at])
 
 
+def _passes(block: np.ndarray) -> list[tuple[np.ndarray | None, bool]]:
+    """One pass over all pairs of a single block; of two blocks those within, so that few edges are found across, and then those."""
+    return [(None, False)] if block.min() == block.max() else [(block, True), (block, False)]
+
+
 def _refined(names: list[bytes], cells: list[bytes], sizes: list[int], blocks: list[int], band: int, bands: Bands) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the sets of a band whose cells differ in k places or fewer."""
     order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
     labels = Labels([names[i] for i in order])
     table = np.frombuffer(b"".join(cells[i] for i in order), np.uint8).reshape(len(order), -1)
     block = np.array([blocks[i] for i in order])
-    across = block if block.min() != block.max() else None
-    _near(labels, table, np.arange(len(order)), np.array([sizes[i] for i in order]), bands.lows[band], bands.differences(band), bands, lambda i, j: True, across)
+    for mixed, within in _passes(block):
+        _near(labels, table, np.arange(len(order)), np.array([sizes[i] for i in order]), bands.lows[band], bands.differences(band), bands, lambda i, j: True, mixed, within)
     return labels.found
 
 
 def _links(names: list[bytes], own: list[np.ndarray], blocks: list[int], bands: Bands) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links between sets; pairs that are joined already are not tested.
 
-    blocks: with two blocks, only pairs across them. Most pairs fall by their
-    cells; the rest are compared in full.
+    blocks: with two blocks, only edges that join what is not joined within them.
+    Most pairs fall by their cells; the rest are compared in full.
     """
     order = sorted(range(len(own)), key=lambda i: (len(own[i]), names[i]))
     own, block = [own[i] for i in order], np.array([blocks[i] for i in order])
     labels, sizes = Labels([names[i] for i in order]), np.array([len(s) for s in own])
-    across = block if block.min() != block.max() else None
     linked = lambda i, j: bands.linked(len(np.intersect1d(own[i], own[j], assume_unique=True)), int(sizes[i]), int(sizes[j]))
     if len(own) <= FEW:
-        for i, j in combinations(range(len(own)), 2):
-            if labels.label[i] != labels.label[j] and (across is None or block[i] != block[j]) and linked(i, j):
-                labels.join(i, j)
+        for mixed, within in _passes(block):
+            for i, j in combinations(range(len(own)), 2):
+                if labels.label[i] != labels.label[j] and (mixed is None or (block[i] == block[j]) == within) and linked(i, j):
+                    labels.join(i, j, not within)
         return labels.found
     sets = Sets(np.concatenate(own), np.concatenate(([0], np.cumsum(sizes))))
     at, band = bands.of(sizes)
-    for b in np.unique(band).tolist():
-        inside = at[band == b]
-        if len(inside) > 1:
-            cells = Cells.of(sets, inside, np.full(len(inside), bands.parts(b) * THIRDS)).told().reshape(len(inside), -1)
-            _near(labels, cells, inside, sizes[inside], bands.lows[b], bands.differences(b), bands, linked, None if across is None else across[inside])
+    for mixed, within in _passes(block):
+        for b in np.unique(band).tolist():
+            inside = at[band == b]
+            if len(inside) > 1:
+                cells = Cells.of(sets, inside, np.full(len(inside), bands.parts(b) * THIRDS)).told().reshape(len(inside), -1)
+                _near(labels, cells, inside, sizes[inside], bands.lows[b], bands.differences(b), bands, linked, None if mixed is None else mixed[inside], within)
     return labels.found
 
 
