@@ -28,7 +28,7 @@ from lodestream.llm.scratch import without
 from lodestream.llm.words import lean, slices
 
 #: Words and stretches whose ids a worker keeps, their greatest length, and pairs whose compatibility it keeps.
-CACHE_WORDS, CACHE_CHUNKS, CACHE_LETTERS, CACHE_PAIRS = 500_000, 200_000, 64, 400_000
+CACHE_WORDS, CACHE_CHUNKS, CACHE_LETTERS, CACHE_PAIRS = 250_000, 60_000, 64, 200_000
 NEVER = 1 << 40
 
 

@@ -57,7 +57,7 @@ BLOCK_SETS, MOST_BLOCKS = 500, 16
 #: Sets of a cluster that are simply compared with each other, in full and by their cells.
 FEW, MANY = 6, 3_000
 #: Signatures that a task sorts and packs at a time, those of a range, and bytes of text for each.
-FLUSH, RANGE_SIGNS, SIGN_BYTES = 1_000_000, 2_000_000, 5
+FLUSH, RANGE_SIGNS, SIGN_BYTES = 500_000, 1_000_000, 5
 #: Bits of a signature beyond the logarithm of their number: one pair in 2^15 signatures meets by chance.
 SPARE_BITS = 15
 #: Bytes of a node's id, and its bits above and below the start of its band.
@@ -589,8 +589,9 @@ def jaccard_components(
     members = save(members, "ngram-members")
     tasks = _tasks(members, "octet_length(cells)", block_bytes, block_sets, MOST_BLOCKS).select("cluster", "i", "j", "block", "name", "cells", "n")
     tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "name")
-    near = save(components(tasks.mapInArrow(lean(_refine(bands)), "a binary, b binary")), "ngram-near")
-    spent(clusters, members)
+    edges = save(tasks.mapInArrow(lean(_refine(bands)), "a binary, b binary"), "ngram-edges")  # so that no task has two Python workers
+    near = save(components(edges), "ngram-near")
+    spent(clusters, members, edges)
 
     # The text of one document of each set that is left. Always by a sort-merge join: both sides grow with the corpus.
     one = sets.where("name is not null").groupBy("name").agg(F.min(F.struct("x", "key")).alias("of"), F.min("n").alias("n"), F.min("key").alias("least"))

@@ -19,7 +19,7 @@ import xxhash
 
 U = np.uint64
 #: Words whose hashes a Python worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 class WordHashes(dict):
