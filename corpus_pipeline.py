@@ -59,7 +59,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     known = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
     found = jaccard_components(known, words=5, num=4, den=5, key="key", carry=False)
     gone = found.where("key <> component_id").select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h")).distinct()
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti").select(columns)
+    # always by a sort-merge join: both sides grow with the corpus
+    return rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti").select(columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +88,8 @@ def tidy(stage: Stage) -> Stage:
     """A stage that first deletes what the stage before it worked with.
 
     A stage's result is written before the next one begins, so the tables that
-    it was made from are no longer needed. Runs in other threads have their own.
+    it was made from are no longer needed. Runs in other threads have their own;
+    in one thread a stage's result is written before another stage is called.
     """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
