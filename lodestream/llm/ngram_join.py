@@ -57,7 +57,7 @@ BLOCK_SETS, MOST_BLOCKS = 500, 16
 #: Sets of a cluster that are simply compared with each other, in full and by their cells.
 FEW, MANY = 6, 3_000
 #: Signatures that a task sorts and packs at a time, those of a range, and bytes of text for each.
-FLUSH, RANGE_SIGNS, SIGN_BYTES = 500_000, 1_000_000, 5
+FLUSH, RANGE_SIGNS, SIGN_BYTES = 500_000, 500_000, 5
 #: Bits of a signature beyond the logarithm of their number: one pair in 2^15 signatures meets by chance.
 SPARE_BITS = 15
 #: Bytes of a node's id, and its bits above and below the start of its band.

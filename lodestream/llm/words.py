@@ -61,7 +61,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 #: Rows and bytes of text that are held as Python objects at a time; a longer text is held alone.
-SLICE_ROWS, SLICE_BYTES = 256, 1 << 22
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 19
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
