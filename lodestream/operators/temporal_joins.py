@@ -27,13 +27,10 @@ def as_of(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str,
         *on, F.col(right_time).alias(time), F.lit(1 if forward else 0).alias(tag), F.lit(None).alias(mine), F.col(right_time).alias("_t2"), *[F.col(v).alias(f"_v_{v}") for v in values]
     )
     both = a.unionByName(b).withColumn(held, F.when(F.col("_t2").isNotNull(), F.struct("_t2", *[f"_v_{v}" for v in values])))
-    order = [F.col(time), F.col(tag), *[F.col(f"_v_{v}") for v in values]]
-    if forward:
-        w = Window.partitionBy(*on).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        match = F.first(held, ignorenulls=True).over(w)
-    else:
-        w = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        match = F.last(held, ignorenulls=True).over(w)
+    # Forward joins read the time order backwards: a frame that ends at the current row takes a step for each row, one that begins there is gone through anew.
+    order = [c.desc() if forward else c for c in (F.col(time), F.col(tag))]
+    w = Window.partitionBy(*on).orderBy(*order, *[F.col(f"_v_{v}") for v in values]).rowsBetween(Window.unboundedPreceding, 0)
+    match = F.last(held, ignorenulls=True).over(w)
     ends = [F.max("_t2").over(Window.partitionBy(*on)).alias(last)] if last else []
     out = both.select("*", match.alias("_m"), *ends).where(F.col(mine).isNotNull())
     valid = F.col(time).isNotNull()

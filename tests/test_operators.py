@@ -158,6 +158,20 @@ def test_stream_bars(spark, tmp_path):
     assert got[0].open == 100 and got[0].close == 100 + 11 % 7
 
 
+def test_forward_as_of_takes_a_step_for_each_row(spark):
+    """No frame that begins at the current row and has no end: it is gone through anew for each row."""
+    rng = random.Random(3)
+    left = [(i % 2, START + timedelta(minutes=rng.randrange(400)), i) for i in range(300)]
+    right = [(i % 2, START + timedelta(minutes=rng.randrange(300)), float(rng.randrange(50))) for i in range(200)]
+    found = J.as_of(spark.createDataFrame([*left, (0, None, 300)], "k int, ts timestamp_ntz, i int"), spark.createDataFrame([*right, (0, None, 99.0)], "k int, at timestamp_ntz, v double"), ["k"], "ts", "at", ["v"], forward=True)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    want = {300: (None, None)}
+    for k, ts, i in left:
+        at = min((t for key, t, _ in right if key == k and t >= ts), default=None)
+        want[i] = (at, max((v for key, t, v in right if key == k and t == at), default=None))
+    assert {r.i: (r.matched_time, r.v) for r in found.collect()} == want
+
+
 def test_as_of_edges(spark):
     at = lambda h, m=0: START + timedelta(hours=h, minutes=m)
     left = spark.createDataFrame([("a", at(1), 1), ("a", at(2), 2), ("a", at(9), 3), ("b", at(1), 4), (None, at(1), 5), ("a", None, 6)], "k string, ts timestamp_ntz, i int")
