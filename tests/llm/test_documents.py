@@ -104,6 +104,23 @@ def test_jaccard_components(spark, n, num, den):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+@pytest.mark.parametrize("held", [500_000, 700, 10])
+def test_components_of_a_group_that_many_tasks_met(spark, monkeypatch, held):
+    """Each of its nodes has an edge or so in the rounds, and not one from each task; results do not hang on how many edges a task holds."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(i), i) for i in range(1, 120) if i % 40] * 24 + [(1000 + i, 1001 + i) for i in range(9)]
+    rng.shuffle(edges)
+    seen, stars = [], components._stars
+    monkeypatch.setattr(components, "LOCAL_EDGES", held)
+    monkeypatch.setattr(components, "_stars", lambda e, ends, large: seen.append(ends) or stars(e, ends, large))
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(24)).collect()
+    forest = components.Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    assert Counter((r.node, r.root) for r in got) == Counter((x, forest.find(x)) for x in {n for edge in edges for n in edge})
+    assert held < 700 or max(seen) <= 3 * len(got)
+
+
 def test_jaccard_troubles(docs, clashing, no_docs):
     want = expected_components(ROWS, 4, 85, 100)
     got = ngram_join.jaccard_components(docs, 4, 85, 100, carry=False).collect()
