@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestream.functions.frames import over
+
 
 class Lazy:
     def __init__(self, make: Callable[[], Any]) -> None:
@@ -43,8 +45,8 @@ def _turned(f: Callable) -> Callable:
 
 
 def _divided(a: Any, b: Any) -> Any:
-    """a / b; of columns null where b is 0."""
-    return F.try_divide(*[x if isinstance(x, Column) else F.lit(x) for x in (a, b)]) if isinstance(a, Column) or isinstance(b, Column) else a / b
+    """a / b; of columns as the SQL beside them has it, see frames.over."""
+    return over(*[x if isinstance(x, Column) else F.lit(x) for x in (a, b)]) if isinstance(a, Column) or isinstance(b, Column) else a / b
 
 
 for _name in ("add", "sub", "mul", "pow", "mod", "and", "or"):
