@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from lodestream.functions import price
-from lodestream.plans.features import F, K, div, fir_sql, ln, pf
+from lodestream.plans.features import F, K, div, fir_sql, ln, over, pf
 from lodestream.plans.lazy import Lazy as Column
 from lodestream.plans.suite import Suite, s_agg, s_div, s_full, s_lag, s_ln, s_slope, w
 
@@ -32,7 +32,7 @@ def known_sql(value: str) -> str:
     return f"(CASE WHEN {s_lag('close')} IS NOT NULL THEN {value} END)"
 
 
-LOG_RANGE = F.greatest(ln(div("high", "low")), F.abs(ln(div("high", K.lag("close")))), F.abs(ln(div(K.lag("close"), "low"))))
+LOG_RANGE = F.greatest(ln(over("high", "low")), F.abs(ln(over("high", K.lag("close")))), F.abs(ln(over(K.lag("close"), "low"))))
 LOG_RANGE_SQL = f"greatest({s_ln('high / low')}, abs({s_ln('high / ' + s_lag('close'))}), abs({s_ln(s_lag('close') + ' / low')}))"
 RANGE_SQL = f"greatest(high - low, abs(high - {s_lag('close')}), abs({s_lag('close')} - low))"
 DAYS = 20

@@ -52,7 +52,7 @@ def free(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["dataset_features", "features_liquidity", "features_microstructure", "features_price_structure", "features_transforms", "features_volatility", "features_volume", "flagship_hourly_features"])
+@pytest.mark.parametrize("name", ["dataset_features", "features_compressed", "features_liquidity", "features_microstructure", "features_price_structure", "features_transforms", "features_volatility", "features_volume", "flagship_hourly_features"])
 def test_lows_of_zero_match_sql(spark, free, name):
     base = duckdb.connect()
     base.execute(f"CREATE VIEW events AS SELECT * FROM '{free}/events.parquet/*.parquet'")
