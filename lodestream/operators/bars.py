@@ -13,10 +13,11 @@ PRICES = ("open", "high", "low", "close")
 def ticks_to_bars(ticks: DataFrame, unit: str = "hour", key: str = "event_type", time: str = "ts", price: str = "value", order: str = "event_id") -> DataFrame:
     """Bars (symbol, ts, open, high, low, close, volume) per calendar unit; volume counts ticks.
 
-    First and last go by (time, order). Every aggregate is combined before the
-    shuffle, so a symbol with most of the ticks does not crowd one task.
+    First and last go by (time, order), of the ticks with a price. Every aggregate
+    is combined before the shuffle, so a symbol with most of the ticks does not
+    crowd one task.
     """
-    at = F.struct(time, order)
+    at = F.when(F.col(price).isNotNull(), F.struct(time, order))
     return ticks.groupBy(F.col(key).alias("symbol"), F.date_trunc(unit, time).cast("timestamp_ntz").alias("ts")).agg(
         F.min_by(price, at).alias("open"),
         F.max(price).alias("high"),

@@ -31,9 +31,14 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tidy(x: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison, without negative zero."""
-    x = F.col(x) if isinstance(x, str) else x
-    return F.round(x + NUDGE, digits) + F.lit(0.0)
+    """Rounded for comparison, without negative zero.
+
+    In the steps of the SQL's round, scaled up and down again: values of more
+    digits than a double has are told apart by them.
+    """
+    x = (F.col(x) if isinstance(x, str) else x) + NUDGE
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(x) + F.lit(0.0)
 
 
 def tidy_sql(x: str, digits: int = 6) -> str:

@@ -65,6 +65,26 @@ def test_lows_of_zero_match_sql(spark, free, name):
     assert not [(k, c, a, b) for k in want for c, a, b in zip(columns[2:], map(plain, got[k]), map(plain, want[k])) if not near(a, b)]
 
 
+#: Columns of events that some ticks have otherwise.
+ODD = {
+    "no price": ("value", lambda: F.lit(None).cast("double")),
+    "no time": ("ts", lambda: F.lit(None).cast("timestamp_ntz")),
+}
+
+
+@pytest.mark.parametrize("name, kind", [("features_price_structure", "no price"), ("features_price_structure", "no time")])
+def test_odd_ticks_match_sql(spark, tmp_path, name, kind):
+    """Equal to the SQL, NaN told from null."""
+    column, value = ODD[kind]
+    spark.read.parquet(f"{DATA}/events.parquet").withColumn(column, F.when(F.col("event_id") % 31 == 5, value()).otherwise(F.col(column))).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = base.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    text = lambda rows: Counter(tuple(map(str, r)) for r in rows)
+    assert text(catalog.queries()[name](spark, str(tmp_path)).select([f"`{c}`" for c in columns]).collect()) == text(want.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() >= 0
