@@ -12,7 +12,7 @@ from lodestream.functions.frames import Keyed, div, ln
 from lodestream.operators import bars as B
 from lodestream.operators import evaluation as V
 from lodestream.operators import temporal_joins as J
-from lodestream.plans.suite import BARS_SQL, P, SO_FAR, events, hourly, tidy, tidy_sql, w
+from lodestream.plans.suite import BARS_SQL, P, SO_FAR, events, gains, hourly, tidy, tidy_sql, w
 
 K = Keyed()
 C = F.col
@@ -370,8 +370,7 @@ def profit_factor_sweep(spark, sf_dir):
 @query("""WITH s AS (SELECT user_id, sum(value) AS gain, count(*) AS trials FROM events GROUP BY user_id), t AS (SELECT user_id, CAST(round(gain) AS BIGINT) AS gain, trials FROM s)
 SELECT user_id, gain, trials, EXISTS (SELECT 1 FROM t b WHERE b.gain > a.gain AND b.trials < a.trials) AS dominated FROM t a""")
 def pareto_front(spark, sf_dir):
-    rows = events(spark, sf_dir).groupBy("user_id").agg(F.round(F.sum("value")).cast("long").alias("gain"), F.count(F.lit(1)).alias("trials"))
-    return V.pareto_front(rows, "user_id", "gain", "trials")
+    return V.pareto_front(gains(spark, sf_dir), "user_id", "gain", "trials")
 
 
 # sets

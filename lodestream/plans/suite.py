@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestream.functions.frames import Keyed, with_warm_up
 
 from lodestream.operators.bars import ticks_to_bars
+from lodestream.operators.evaluation import rounded_sums
 from lodestream.plans.lazy import Lazy, real
 
 #: Added before rounding on both sides, so that sums in another order do not fall on a tie.
@@ -26,6 +27,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, gain, trials): the rounded sum of a user's values, added in the order of the table's rows, and their number."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    return rounded_sums(events(spark, sf_dir).select("user_id", "value", *place), "user_id", "value", ["_file", "_row"], "gain", "trials")
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_to_bars(events(spark, sf_dir).select("event_type", "ts", "value", "event_id"))
 

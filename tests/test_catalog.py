@@ -153,3 +153,21 @@ def test_exact_quantiles(spark):
         assert found == pytest.approx(np.quantile([x for s, x in rows if s == k and x is not None], shares).tolist())
     assert V.exact_quantiles(df, "x", [0.5]).first()[0] == pytest.approx([np.median([x for _, x in rows if x is not None])])
     assert V.exact_quantiles(df.limit(0), "x", [0.5]).collect() == []
+
+
+@pytest.mark.parametrize("name", ["pareto_front"])
+def test_gains_are_added_in_the_order_of_the_rows(spark, tmp_path, name):
+    """Sums that another order of adding rounds to another number: 1e16 swallows each 1 after it, and tenths end beside a half."""
+    rows = [(1, 1e16), (2, 0.5), (4, None)] + [(3, 0.1)] * 7, [(1, 1.0), (1, 1.0), (2, 0.25), (None, 2.5), (4, None)] + [(3, 0.7), (3, 0.1), (3, 0.0)] * 3
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, "user_id long, value double").coalesce(1).write.mode("append" if i else "overwrite").parquet(f"{tmp_path}/{i}")
+    base = duckdb.connect(config={"threads": 1})
+    files = [glob.glob(f"{tmp_path}/{i}/*.parquet")[0] for i in range(2)]
+    os.makedirs(f"{tmp_path}/events.parquet")
+    for i, path in enumerate(files):
+        os.rename(path, f"{tmp_path}/events.parquet/part-{i}.parquet")
+    base.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = base.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = catalog.queries()[name](spark, str(tmp_path)).select(columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
