@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 from lodestream.llm.scratch import without
-from lodestream.llm.words import lean, slices
+from lodestream.llm.words import Memo, lean, slices
 
-#: Words and stretches whose ids a worker keeps, their greatest length, and pairs whose compatibility it keeps.
-CACHE_WORDS, CACHE_CHUNKS, CACHE_LETTERS, CACHE_PAIRS = 250_000, 60_000, 64, 200_000
+#: Words and stretches in each of the two generations that a worker keeps, their greatest length, and pairs whose compatibility it keeps.
+CACHE_WORDS, CACHE_CHUNKS, CACHE_LETTERS, CACHE_PAIRS = 150_000, 150_000, 64, 400_000
 NEVER = 1 << 40
 
 
@@ -36,6 +36,20 @@ class Newer(Exception):
     """A text has a character that this interpreter's Unicode tables do not know."""
 
 
+class Fits(dict):
+    """Whether a token may follow another, by the one before, computed when it is first asked for."""
+
+    __slots__ = ("bpe", "token")
+
+    def __init__(self, bpe: Bpe, token: int) -> None:
+        self.bpe, self.token = bpe, token
+
+    def __missing__(self, before: int) -> bool:
+        self.bpe.count_pair()
+        fits = self[before] = self.bpe.apart(before, self.token)
+        return fits
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: its own if it is printable Latin-1, else the next from 256 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -64,14 +78,15 @@ class Bpe:
             self.merge[ids[a], ids[b]] = (rank, whole)
         self.alphabet = byte_alphabet()
         self.spines: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.fits: list[Fits] = []
+        self.pairs = 0
+        self.words, self.chunks = Memo(self._packed, CACHE_WORDS, CACHE_LETTERS), Memo(self.ids, CACHE_CHUNKS, CACHE_LETTERS)
         self.automaton = ahocorasick.Automaton()
         for s, i in ids.items():
             if (i not in self.split and len(s.removesuffix(self.end)) == 1) or (i in self.split and self.whole(i)):
                 letters = self._letters(s.removesuffix(self.end), s.endswith(self.end) and bool(self.end) and s != self.end)
-                self.automaton.add_word(letters, (i, len(letters)))
+                self.fits.append(Fits(self, i))
+                self.automaton.add_word(letters, (i, len(letters), self.fits[-1]))
         self.automaton.make_automaton()
         words = next(p["pattern"]["Regex"] for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.library_split = pre_tokenizers.Split(Regex(words), "removed", invert=True)
@@ -126,23 +141,16 @@ class Bpe:
     def word(self, letters: str) -> list[int]:
         """Ids of one word, its last letter marked as the end."""
         n = len(letters) + 1
-        last, length, pairs = [-1] * n, [0] * n, self.pairs
-        if len(pairs) >= CACHE_PAIRS:
-            pairs.clear()
-        for end, (token, size) in self.automaton.iter(letters):
-            if last[end + 1] >= 0:
+        last, length = [-1] * n, [0] * n
+        for end, (token, size, fits) in self.automaton.iter(letters):
+            at = end + 1
+            if last[at] >= 0:
                 continue  # the one token is known; others that end here are not last
-            start = end + 1 - size
-            if start:
-                before = last[start]
-                if before < 0:
+            if size < at:
+                before = last[at - size]
+                if before < 0 or not fits[before]:
                     continue
-                fits = pairs.get((before, token))
-                if fits is None:
-                    fits = pairs[before, token] = self.apart(before, token)
-                if not fits:
-                    continue
-            last[end + 1], length[end + 1] = token, size
+            last[at], length[at] = token, size
         out, at = [], len(letters)
         while at > 0:
             if last[at] < 0:
@@ -154,25 +162,14 @@ class Bpe:
 
     def ids(self, chunk: str) -> bytes:
         """Packed ids of the words of a stretch of normalised text."""
-        found = self.chunks.get(chunk)
-        if found is None:
-            if not chunk.isascii() and not self.newer.isdisjoint(chunk):
-                raise Newer
-            found = b"".join([self.words.get(w) or self._packed(w) for w in self.pattern.findall(chunk)])
-            if len(chunk) <= CACHE_LETTERS:
-                if len(self.chunks) >= CACHE_CHUNKS:
-                    self.chunks.clear()
-                self.chunks[chunk] = found
-        return found
+        if not chunk.isascii() and not self.newer.isdisjoint(chunk):
+            raise Newer
+        return b"".join([self.words[w] for w in self.pattern.findall(chunk)])
 
     def _packed(self, word: str) -> bytes:
+        """Packed ids of one word."""
         letters = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
-        packed = array("I", self.word(self._letters(letters, True))).tobytes()
-        if len(word) <= CACHE_LETTERS:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = packed
-        return packed
+        return array("I", self.word(self._letters(letters, True))).tobytes()
 
     def _plain(self, text: str) -> list[bytes]:
         raw, text = text, unicodedata.normalize("NFC", text)
@@ -181,7 +178,7 @@ class Bpe:
         # No word crosses white space; str.split() cuts at four separators more than the pattern does.
         chunks = [text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         try:
-            return list(map(self.ids, chunks))
+            return list(map(self.chunks.__getitem__, chunks))
         except Newer:  # the library's own tables decide what is a letter, and its lower case
             return [self._packed(w) for w, _ in self.library_split.pre_tokenize_str(self.library_form.normalize_str(raw))]
 
@@ -195,10 +192,13 @@ class Bpe:
             at = m.end()
         return b"".join([*out, *self._plain(text[at:])])
 
-    def forget(self) -> None:
-        """Drop what was kept of words and pairs, at the end of a task."""
-        for kept in (self.words, self.chunks, self.pairs, *self.spines):
-            kept.clear()
+    def count_pair(self) -> None:
+        """One more pair is kept; beyond the bound all that were are dropped first."""
+        if self.pairs >= CACHE_PAIRS:
+            self.pairs = 0
+            for kept in (*self.fits, *self.spines):
+                kept.clear()
+        self.pairs += 1
 
     def decode(self, packed: bytes) -> str:
         """The tokens' names, special ones too, with a space between."""
@@ -230,16 +230,13 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     fields = [f for f in rows.schema.fields if carry or f.name == key_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(described.value)
-        try:
-            for batch in slices(batches, 64):
-                packed = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
-                more = [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
-                more += [pa.array([bpe.decode(p) for p in packed], pa.string())] * decode
-                old = batch if carry else batch.select([key_col])
-                yield pa.RecordBatch.from_arrays([*old.columns, *more], names=[*old.schema.names, "_n", "_ids", "_decoded"][: len(old.columns) + len(more)])
-        finally:
-            bpe.forget()
+        bpe = load(described.value)  # with the words that earlier tasks of this worker met
+        for batch in slices(batches, 64):
+            packed = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
+            more = [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+            more += [pa.array([bpe.decode(p) for p in packed], pa.string())] * decode
+            old = batch if carry else batch.select([key_col])
+            yield pa.RecordBatch.from_arrays([*old.columns, *more], names=[*old.schema.names, "_n", "_ids", "_decoded"][: len(old.columns) + len(more)])
 
     more = [T.StructField("_n", T.LongType()), T.StructField("_ids", T.BinaryType())] + [T.StructField("_decoded", T.StringType())] * decode
     result = rows.mapInArrow(lean(run), T.StructType([*fields, *more]))

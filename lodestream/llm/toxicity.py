@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lodestream.llm.labelled import SAMPLE_ROWS, logistic, sample, sigmoid
 from lodestream.llm.scratch import save, without
-from lodestream.llm.words import lean, slices
+from lodestream.llm.words import Memo, lean, slices
 
 #: Toxic documents that an entry must be in, the share of its documents that must be toxic, letters of a stem, words that show
 #: it, and letters of an entry that may be misspelled, unless the caller says.
@@ -37,7 +37,8 @@ SURE = 1.0
 #: Words on either side of a hit that make up its context.
 WINDOW = 6
 STATES = 100_000
-CACHE_WORDS = 300_000
+#: Words in each of the two generations that a worker keeps, and their greatest length.
+CACHE_WORDS, CACHE_LETTERS = 150_000, 64
 #: Quotation marks, words of report and of address.
 QUOTES = "\"“”„«»‹›"
 REPORT = frozenset("said says wrote writes called quote quoted quotes cited citing according reported dit disait selon cité sagte sagt schrieb zitiert laut dijo dice escribió según citado".split())
@@ -72,6 +73,7 @@ class Matcher:
                 node = self.children[node][c]
             store = self.stem if entry.endswith("*") else self.whole
             store[node] = max(store[node], weight)
+        self.known = Memo(self._of, CACHE_WORDS, CACHE_LETTERS)
         self._reset()
 
     def _reset(self) -> None:
@@ -81,7 +83,6 @@ class Matcher:
         self.moves: list[dict[str, int]] = []
         self.value: list[tuple[float, float]] = []
         self.stemmed: list[float] = []
-        self.known: dict[str, tuple[float, float]] = {}
         self.start = self._state({(0, 0)})
 
     def _state(self, raw: set[tuple[int, int]]) -> int:
@@ -114,10 +115,10 @@ class Matcher:
 
     def of(self, word: str) -> tuple[float, float]:
         """(weight spelled right, weight misspelled); zeros if nothing fits."""
-        found = self.known.get(word)
-        if found is not None:
-            return found
-        if len(self.known) >= CACHE_WORDS or len(self.sets) >= STATES:
+        return self.known[word]
+
+    def _of(self, word: str) -> tuple[float, float]:
+        if len(self.sets) >= STATES:
             self._reset()
         state, stem = self.start, 0.0
         for c in word:
@@ -128,14 +129,15 @@ class Matcher:
             stem = max(stem, self.stemmed[state])
         right, wrong = self.value[state] if state >= 0 else (0.0, 0.0)
         right = max(right, stem)
-        found = self.known[word] = (right, 0.0 if right or word in self.proper else wrong)
-        return found
+        wrong = 0.0 if right or word in self.proper else wrong
+        return (right, wrong) if right or wrong else NOTHING
 
 
 def features(text: str, matcher: Matcher) -> list[float]:
     """What the hits of a text add up to: all (a misspelled one less), whether there are any, those in address, those quoted."""
     lower = text.lower()
-    weights = {w: found for w in set(WORD.findall(lower)) if len(w) > 2 and (found := matcher.of(w)) != NOTHING}
+    known = matcher.known
+    weights = {w: found for w in set(WORD.findall(lower)) if len(w) > 2 and (found := known[w]) is not NOTHING}
     if not weights:
         return [0.0] * 4
     spans = list(WORD.finditer(lower))

@@ -43,6 +43,28 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, chain.from_iterable(split)), U, edges[-1]), edges
 
 
+class Memo(dict):
+    """make(key) of each text, computed when it is first asked for; of texts of more letters than `longest` each time.
+
+    Two generations of `most` keys are kept at most: when the young one is full
+    it becomes the old one, and of that what is asked for again stays.
+    """
+
+    def __init__(self, make: Callable[[str], object], most: int, longest: int) -> None:
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64's finish)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import struct
@@ -13,6 +14,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lodestream.llm import bpe, components, exact_dedup, mixing, ngram_join, substring_dedup
+from lodestream.llm.words import Memo
 from pyspark.sql import functions as F
 from tests.llm.conftest import ROWS
 from tokenizers import Tokenizer
@@ -393,6 +395,26 @@ def test_bpe_words():
         both_ways(word)
 
 
+def test_memo_keeps_what_is_asked_for_again():
+    made = []
+    memo = Memo(lambda w: made.append(w) or w.upper(), 3, 6)
+    for i in range(50):
+        assert memo["the"] == "THE" and memo[f"w{i}"] == f"W{i}" and memo["lengthy"] == "LENGTHY"
+        assert len(memo) <= 3 and len(memo.old) <= 3
+    assert made.count("the") == 1 and made.count("lengthy") == 50
+
+
+def test_bpe_with_full_caches(monkeypatch):
+    for name in ("CACHE_WORDS", "CACHE_CHUNKS", "CACHE_PAIRS"):
+        monkeypatch.setattr(bpe, name, 2)
+    with open(PATH, encoding="utf-8") as f:
+        own = bpe.Bpe(json.loads(f.read()))
+    for text in [t or "" for _, t, _ in ROWS] + ["the loveliness, of (the) loveliness! " * 9]:
+        ids = LIBRARY.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
+    assert len(own.words) <= 2 and len(own.words.old) <= 2 and own.pairs <= 2
+
+
 def test_bpe_frame(docs, clashing, no_docs):
     got = bpe.encode_decode(docs, PATH, carry=False).collect()
     want = Counter()
